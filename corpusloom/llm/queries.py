@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, langid, quality, rules, simhash
+from corpusloom.llm import chat, decontam, extract, langid, packing, quality, rules, simhash, tokens, urls
+from corpusloom.llm.common import scratch, written
 from corpusloom.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +30,63 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after four batches over all
+    documents: loaded with two tokenizers, one recounted, exact copies deleted; each
+    batch is committed twice and counts once."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    rows = docs.select("doc_id", "source", "lang", "text", F.xxhash64(text, F.octet_length(text)).alias("h"), tokens.word_count(text).alias("words"), tokens.letter_word_count(text).alias("letter_words"))
+    counts = written(tokens.counted(rows, ("doc_id", "source", "lang", "h", "words", "letter_words")), "counts")
+    first = counts.groupBy("h").agg(F.min("doc_id").alias("first"))
+    copies = counts.join(first, "h").where("doc_id <> first")
+    bpe, none = tokens.version(), F.lit(None).cast("long")
+
+    def delta(rows: DataFrame, op: str, version: str, new: str, old=none) -> DataFrame:
+        return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("version"), F.col(new).alias("n_tokens"), old.alias("old_tokens"))
+
+    batches = {
+        "load words-1": delta(counts, "insert", "words-1", "words"),
+        "load bpe": delta(counts, "insert", bpe, "n_tokens"),
+        "recount words-1": delta(counts, "revise", "words-1", "letter_words", F.col("words")),
+        "delete copies": delta(copies, "delete", "words-1", "letter_words").unionByName(delta(copies, "delete", bpe, "n_tokens")),
+    }
+    rollup = tokens.Rollup(spark, scratch(spark, "rollup"))
+    for _ in range(2):
+        for name, deltas in batches.items():
+            rollup.commit(name, deltas)
+    return rollup.totals()
+
+
+#: Dated list entries: list, verdict, action, key, day.
+ENTRIES = [
+    ("gambling", "block", "add", "d:casino-win.example.com", "2024-01-15"),
+    ("gambling", "block", "remove", "d:casino-win.example.com", "2024-06-01"),
+    ("gambling", "block", "add", "d:casino-win.example.com", "2024-09-01"),
+    ("gambling", "block", "add", "d:free-bets.example.com", "2024-03-01"),
+    ("pharmacy", "block", "add", "d:cheap-pills.example.com", "2023-12-01"),
+    ("pharmacy", "block", "remove", "d:cheap-pills.example.com", "2024-11-01"),
+    ("tracking", "block", "add", "d:ads-track.example.com", "2024-02-10"),
+    ("tracking", "allow", "add", "p:m.ads-track.example.com/en", "2024-05-01"),
+    ("tracking", "allow", "remove", "p:m.ads-track.example.com/en", "2024-08-01"),
+    ("partners", "block", "add", "d:example.net", "2024-07-01"),
+    ("partners", "block", "remove", "d:example.net", "2024-07-15"),
+    ("partners", "allow", "add", "d:tiontion.example.net", "2024-01-01"),
+    ("partners", "block", "add", "p:blog.tionsh.example.com/fr", "2024-04-01"),
+]
+
+
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no fetch day; the query takes 2024-01-01 plus page_id modulo 366 days."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched_at"))
+    entries = spark.createDataFrame(ENTRIES, "list string, verdict string, action string, key string, at string").withColumn("at", F.col("at").cast("date"))
+    return urls.evaluate(pages, entries, ("page_id", "url"))
+
+
+def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.report(table(spark, sf_dir, "pages"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,13 +95,37 @@ def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_ranking, op3_language_id, op7_winnowing, op8_robust_outliers, op10_simhash)}
+    found = (op1_chat_transcripts, op2_quality_ranking, op3_language_id, op4_token_rollup, op5_url_lists, op6_html_wrappers, op7_winnowing, op8_robust_outliers, op9_best_fit_packing, op10_simhash)
+    return {f.__name__: f for f in found}
+
+
+URL_SQL = f"""
+WITH e(list, verdict, action, key, day) AS (VALUES {", ".join(str(x) for x in ENTRIES)}),
+last AS (SELECT list, verdict, action, key, CAST(day AS DATE) AS since FROM e
+         QUALIFY row_number() OVER (PARTITION BY verdict, key, day ORDER BY action DESC, list DESC) = 1),
+i AS (SELECT *, lead(since) OVER (PARTITION BY verdict, key ORDER BY since) AS until FROM last),
+v AS (SELECT key, verdict, list, since, until FROM i WHERE action = 'add'),
+u AS (SELECT row_number() OVER () AS row, page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS taken,
+             regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', ['host', 'path']) AS x FROM pages),
+p AS (SELECT row, page_id, url, taken, regexp_replace(lower(x.host), '\\.$', '') AS host, trim(x.path, '/') AS path FROM u),
+m AS (SELECT row, key, verdict, list FROM p JOIN v ON since <= taken AND (until IS NULL OR taken < until) AND host <> '' AND
+        CASE WHEN key LIKE 'd:%' THEN ends_with('.' || host, '.' || substr(key, 3))
+             ELSE starts_with('p:' || host || '/' || path || '/', key || '/') END),
+d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(key) DESC, key DESC, verdict) = 1),
+n AS (SELECT row, count(*) AS n FROM m GROUP BY row)
+SELECT page_id, url, coalesce(verdict = 'block', false) AS blocked, coalesce(n, 0) AS n_active, key AS decided_by, list
+FROM p LEFT JOIN d USING (row) LEFT JOIN n USING (row)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_winnowing": decontam.REPORT_SQL}
+    return {"op5_url_lists": URL_SQL, "op7_winnowing": decontam.REPORT_SQL}
