@@ -47,6 +47,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plainly_named(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that clash with none of an operator's own, and the new
+    name of each old one, in order."""
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def named_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
 def fold_of(column: Column | str, modulus: int) -> Column:
     """The fold of a row: crc32 of the id as text, modulo ``modulus`` (null ids: fold -1)."""
     text = F.col(column) if isinstance(column, str) else column

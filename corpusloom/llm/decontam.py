@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import LOWER, WORD_BYTES, byte_spans, mix, sliced, span_hashes, text_bytes, written
+from corpusloom.llm.common import LOWER, WORD_BYTES, byte_spans, mix, named_back, plainly_named, sliced, span_hashes, text_bytes, written
 
 WINDOW, GRAM, PICK = 13, 5, 9
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -221,8 +221,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that are not contaminated."""
-    columns = docs.columns
-    return match(docs, benchmark, keep=tuple(columns)).where(~contaminated()).select(*columns)
+    plain, names = plainly_named(docs)
+    found = match(plain, benchmark, keep=tuple(names.values()), text=names["text"])
+    return named_back(found.where(~contaminated()), names)
 
 
 REPORT_SQL = r"""

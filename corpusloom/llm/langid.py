@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import LETTER_BYTES, LOWER, byte_spans, fold_of, mix, powers, sliced, span_hashes, text_bytes
+from corpusloom.llm.common import LETTER_BYTES, LOWER, byte_spans, fold_of, mix, named_back, plainly_named, powers, sliced, span_hashes, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CUT = 96
@@ -268,7 +268,8 @@ def identify(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def stage(docs: DataFrame, least: float = 0.5, path: str = VOCABULARY) -> DataFrame:
     """Rows whose language is recognised with a posterior of ``least`` or more;
     ``lang`` becomes the recognised language."""
-    columns = docs.columns
-    found = predict(docs, train(docs, learnable(), path=path), keep=tuple(columns))
+    model = train(docs, learnable(), path=path)
+    plain, names = plainly_named(docs)
+    found = predict(plain, model, text=names["text"], keep=tuple(names.values()))
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in columns])
+    return named_back(kept, names | {"lang": "lang_pred"})

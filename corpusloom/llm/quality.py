@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, most_rows: int = 20_000) ->
         return None
     place = F.xxhash64(F.col("doc_id")).bitwiseAND(F.lit((1 << 31) - 1))
     sample = usable.where(place <= int(min(1.0, most_rows / count) * (1 << 31))).limit(2 * most_rows)
-    rows = _featured(docs.join(F.broadcast(sample), "doc_id"), ("y",), "text").toPandas()
+    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ("y",), "text").toPandas()
     return fit(np.array(rows["x"].tolist()).reshape(-1, len(FEATURES)), rows["y"].to_numpy())
 
 

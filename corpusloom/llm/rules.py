@@ -165,54 +165,66 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-_MOMENTS = [F.count("*").alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in PAIRS]]
-_SUMS = [F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(P)], *[F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in PAIRS]]
+def _moments() -> list[Column]:
+    return [F.count("*").alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in PAIRS]]
+
+
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(P)], *[f"s{i}_{j}" for i, j in PAIRS]]]
 
 
 def _nearest(rows: DataFrame, estimates: DataFrame, sizes: DataFrame) -> DataFrame:
     """One concentration step: moments of each group's nearer half, for each start."""
     near = rows.join(estimates, "gid")
-    bins = near.withColumn("bin", F.floor(F.log(_distance() + 1e-9) * 32)).groupBy("gid", "start", "bin").agg(*_MOMENTS)
+    bins = near.withColumn("bin", F.floor(F.log(_distance() + 1e-9) * 32)).groupBy("gid", "start", "bin").agg(*_moments())
     order = Window.partitionBy("gid", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     before = bins.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(sizes, "gid")
-    return before.where(F.col("before") < F.col("half")).groupBy("gid", "start").agg(*_SUMS)
+    return before.where(F.col("before") < F.col("half")).groupBy("gid", "start").agg(*_sums())
 
 
-def verdicts(rows: DataFrame, keys: list[str], level: float = 0.99999, least_rows: int = 60, steps: int = 2) -> DataFrame:
-    """``rows`` (a written table with lang, source and the statistics) with
-    ``distance`` (squared, robust; null if no estimate) and ``inlier``."""
-    vectors = rows.select(*rows.columns, *[z.alias(f"z{i}") for i, z in enumerate(transformed())])
-    usable = vectors.where("n_words > 0")
+def _same_group() -> Column:
+    return F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs"))
+
+
+def estimates(rows: DataFrame, least_rows: int = 60, steps: int = 2) -> tuple[DataFrame, DataFrame]:
+    """From ``rows`` (a written table with lang, source and the statistics): groups
+    (gl, gs, gid) and for each gid the re-weighted robust mean and precision. Both
+    are written tables with a row a group."""
+    vectors = rows.where("n_words > 0").select("lang", "source", *[z.alias(f"z{i}") for i, z in enumerate(transformed())])
     # groups: (language, source), or what small ones are pooled to
-    sizes = usable.groupBy("lang", "source").count()
+    sizes = vectors.groupBy("lang", "source").count()
     by_lang = sizes.where(F.col("count") < least_rows).groupBy(F.col("lang").alias("l")).agg(F.sum("count").alias("pooled"))
     gid = F.when(F.col("count") >= least_rows, F.to_json(F.struct(F.lit(2).alias("of"), "lang", "source"))).when(F.col("pooled") >= least_rows, F.to_json(F.struct(F.lit(1).alias("of"), "lang"))).otherwise(F.lit('{"of":0}'))
-    groups = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "count", gid.alias("gid"))
-    groups = written(groups, "groups")
-    named = vectors.join(groups.drop("count"), F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs")
-    named = written(named, "vectors")
-    usable = named.where("n_words > 0").select("gid", *[f"z{i}" for i in range(P)])
+    groups = written(sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "count", gid.alias("gid")), "groups")
+    usable = written(vectors.join(groups.drop("count"), _same_group()).select("gid", *[f"z{i}" for i in range(P)]), "vectors")
     halves = groups.groupBy("gid").agg(F.sum("count").alias("rows")).where(F.col("rows") >= 2 * P).select("gid", F.ceil(F.col("rows") * HALF).alias("half"))
     halves = written(halves, "halves")
-    # starts: medians and median deviations through bins of a hundredth, classical moments
-    classical = usable.groupBy("gid").agg(*_MOMENTS).select("gid", F.lit(1).alias("start"), *[c for c in ["n"] + [f"s{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in PAIRS]])
-    middle = _medians(usable)
+    # starts: medians and median deviations, classical moments
+    classical = usable.groupBy("gid").agg(*_moments()).select("gid", F.lit(1).alias("start"), *[c for c in ["n"] + [f"s{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in PAIRS]])
+    # written, so that its size is known and the join needs no deal by group
+    middle = written(_medians(usable), "medians")
     spread = _medians(usable.join(middle, "gid").select("gid", *[F.abs(F.col(f"z{i}") - F.col(f"c{i}")).alias(f"z{i}") for i in range(P)]))
     robust = middle.join(spread.select("gid", *[F.col(f"c{i}").alias(f"d{i}") for i in range(P)]), "gid")
     robust = robust.select("gid", F.lit(0).alias("start"), *[F.col(f"c{i}").alias(f"m{i}") for i in range(P)], *[(1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"q{i}_{j}") for i, j in PAIRS], F.lit(0.0).alias("logdet"))
-    estimates = written(robust.unionByName(_estimates(classical, ["gid", "start"], 1.0)), "starts")
+    found = written(robust.unionByName(_estimates(classical, ["gid", "start"], 1.0)), "starts")
     for _ in range(steps):
-        estimates = written(_estimates(_nearest(usable, estimates, halves), ["gid", "start"], _consistency(HALF)), "halved")
-    best = estimates.groupBy("gid").agg(F.min_by(F.struct(*[c for c in estimates.columns if c != "gid"]), F.struct("logdet", "start")).alias("e")).select("gid", "e.*").drop("start")
-    inner = usable.join(best, "gid").where(_distance() <= _quantile(WEIGHTED, P)).groupBy("gid").agg(*_MOMENTS)
-    final = written(_estimates(inner, ["gid"], _consistency(WEIGHTED)), "weighted")
-    judged = named.join(final, "gid", "left").withColumn("distance", F.when(F.col("n_words") > 0, _distance()))
-    return judged.select(*rows.columns, "distance", (F.col("distance").isNull() | (F.col("distance") <= _quantile(level, P))).alias("inlier"))
+        found = written(_estimates(_nearest(usable, found, halves), ["gid", "start"], _consistency(HALF)), "halved")
+    best = found.groupBy("gid").agg(F.min_by(F.struct(*[c for c in found.columns if c != "gid"]), F.struct("logdet", "start")).alias("e")).select("gid", "e.*").drop("start")
+    inner = usable.join(best, "gid").where(_distance() <= _quantile(WEIGHTED, P)).groupBy("gid").agg(*_moments())
+    return groups.select("gl", "gs", "gid"), written(_estimates(inner, ["gid"], _consistency(WEIGHTED)), "weighted")
+
+
+def judged(rows: DataFrame, groups: DataFrame, final: DataFrame, level: float = 0.99999) -> DataFrame:
+    """``rows`` with ``distance`` (squared, robust; null if there is no estimate) and
+    ``inlier``. Both joins are with tables of a row a group."""
+    vectors = rows.select(*rows.columns, *[z.alias(f"z{i}") for i, z in enumerate(transformed())])
+    near = vectors.join(groups, _same_group(), "left").join(final, "gid", "left").withColumn("distance", F.when(F.col("n_words") > 0, _distance()))
+    return near.select(*rows.columns, "distance", (F.col("distance").isNull() | (F.col("distance") <= _quantile(level, P))).alias("inlier"))
 
 
 def _medians(rows: DataFrame) -> DataFrame:
-    """gid, c0.. : medians of z0.. of each group, to a thousandth, by counts of bins."""
-    long = rows.select("gid", F.posexplode(F.array(*[F.round(F.col(f"z{i}"), 3) for i in range(P)])).alias("k", "z"))
+    """gid, c0.. : medians of z0.. of each group, to a hundredth, by counts of bins."""
+    long = rows.select("gid", F.posexplode(F.array(*[F.round(F.col(f"z{i}"), 2) for i in range(P)])).alias("k", "z"))
     counts = long.groupBy("gid", "k", "z").count()
     window = Window.partitionBy("gid", "k")
     ranked = counts.withColumn("upto", F.sum("count").over(window.orderBy("z"))).withColumn("of", F.sum("count").over(window))
@@ -223,16 +235,14 @@ def _medians(rows: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, base_failed and kept of every row."""
     rows = written(base(docs, ["doc_id", "lang", "source"]), "statistics")
-    judged = verdicts(rows, ["doc_id"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("inlier")).alias("kept"), "distance")
+    found = judged(rows, *estimates(rows))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("inlier")).alias("kept"), "distance")
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The kept rows. Verdicts depend on language, source and statistics alone, so
-    they are found on the statistics and joined back by a row's digest."""
+    """The kept rows. Texts are written once beside their statistics and never shuffled."""
     columns = docs.columns
-    digest = F.xxhash64("text", F.lit(1)), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = written(base(docs.select("doc_id", "lang", "source", "text", digest[0].alias("h"), digest[1].alias("c")), ["doc_id", "lang", "source", "h", "c"]), "statistics")
-    kept = verdicts(rows, ["doc_id"]).where(~F.col("base_failed") & F.col("inlier")).select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"), F.col("c").alias("k_c"), F.col("lang").alias("k_l"), F.col("source").alias("k_s")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (digest[0] == F.col("k_h")) & (digest[1] == F.col("k_c")) & F.col("lang").eqNullSafe(F.col("k_l")) & F.col("source").eqNullSafe(F.col("k_s"))
-    return docs.join(kept, same, "left_semi").select(*columns)
+    named = docs.select(*columns, F.struct(*columns).alias("__row"))
+    rows = written(base(named, ["lang", "source", "__row"]), "statistics")
+    kept = judged(rows, *estimates(rows.drop("__row"))).where(~F.col("base_failed") & F.col("inlier"))
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in columns])

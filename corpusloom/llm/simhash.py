@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import sliced, written
+from corpusloom.llm.common import named_back, plainly_named, sliced, written
 from corpusloom.llm.components import connected_components
 
 BITS, SHINGLE, SEED = 2, 3, 42
@@ -212,15 +212,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """One row of each component: the one of the least doc_id (of equal ids one row)."""
-    columns = docs.columns
     prints = written(fingerprints(docs), "prints")
-    first = prints.join(components(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("first")).agg(F.min("fp").alias("fp"))
-    chosen = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select(*columns)
-    twice = prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice"))
+    first = prints.join(components(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    plain, names = plainly_named(docs)
+    own = F.col(names["doc_id"])
+    chosen = plain.join(first, own.eqNullSafe(F.col("first")), "left_semi")
+    twice = written(prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")), "repeated-ids")
     if not twice.take(1):
-        return chosen
-    # ids that occur in several rows: one of their equal-id rows stays
-    twice = written(twice, "repeated-ids")
-    single = chosen.join(twice, F.col("doc_id").eqNullSafe(F.col("twice")), "left_anti")
-    several = chosen.join(twice, F.col("doc_id").eqNullSafe(F.col("twice")), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several.select(*columns))
+        return named_back(chosen, names)
+    # ids that occur in several rows: one of their rows stays
+    single = chosen.join(twice, own.eqNullSafe(F.col("twice")), "left_anti")
+    several = chosen.join(twice, own.eqNullSafe(F.col("twice")), "left_semi").dropDuplicates([names["doc_id"]])
+    return named_back(single.unionByName(several), names)
