@@ -182,7 +182,8 @@ def parse(transcripts: DataFrame, model: Model, keep: tuple[str, ...] = (), bloc
     """Turns of ``transcripts`` (conv_id, turn, text and ``keep``), one row for each
     stretch of a row's lines with one turn: conv_id, turn, ``keep``, part, role,
     opens, closes (whether the turn begins and ends with the stretch), text and
-    rendered (canonical form; concatenated in order it is the whole conversation)."""
+    rendered (canonical form; concatenated in order it is the whole conversation).
+    Names in ``keep`` must differ from these."""
     spark = transcripts.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kinds = {c: transcripts.schema[c].dataType.simpleString() for c in ("conv_id", "turn", *keep)}

@@ -225,7 +225,9 @@ def region(wrapper: list) -> dict:
         if node[TEXT] and node[PAGES] > 1:
             constants.append(path)
         total = own + sum([visit(c, path) for c in node[CHILDREN]])
-        weights[path] = weights.get(path, 0) + total
+        if not own and not node[REPEATED]:
+            # a paragraph or a list's item is no region
+            weights[path] = weights.get(path, 0) + total
         if (level := _is_article(node[S])) and not any(path.startswith(f"{p}/") for _, p in named.get(level, ())):
             named.setdefault(level, []).append((node[SIZE] + total, path))
         return total
@@ -236,7 +238,7 @@ def region(wrapper: list) -> dict:
             roots = [p for _, p in named[level]]
             # visited children first: outermost nodes stand for those within them
             return {"roots": sorted({p for p in roots if not any(p != q and p.startswith(f"{q}/") for q in roots)}), "constants": sorted(set(constants))}
-    # the deepest node that still holds nearly all slots' text
+    # the deepest node, itself without text and not repeated, that still holds nearly all slots' text
     holding = [p for p, w in weights.items() if w >= 0.9 * all_of_it and all_of_it]
     return {"roots": [max(holding, key=lambda p: (p.count("/"), p))] if holding else ["/#"], "constants": sorted(set(constants))}
 
