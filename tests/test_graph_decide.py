@@ -29,7 +29,12 @@ def ring(spark):
         record(3, "delta", "four", requires=["beta", "lost"]),
         record(4, "epsilon", "five", recommends=["beta"]),
         record(5, "alone", "six"),
-    )
+    ).materialised()
+
+
+@pytest.fixture(scope="module")
+def index(ring):
+    return I.build_index(ring.documents)
 
 
 def brute_components(nodes, pairs):
@@ -54,7 +59,7 @@ def test_components_and_levels(pairs):
             assert read[u] > read[v] and apply[v] > apply[u]
 
 
-@pytest.mark.parametrize("pairs", [[("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("g", "a")], [("a", "b"), ("b", "c")], [("x", "x")]])
+@pytest.mark.parametrize("pairs", [[("a", "b"), ("b", "a"), ("b", "c"), ("d", "d"), ("e", "a")]])
 def test_distributed_forms_equal_local_ones(spark, pairs):
     arc = spark.createDataFrame(pairs, "u string, v string")
     nodes = spark.createDataFrame(sorted({(n,) for p in pairs for n in p} | {("z",)}), "name string")
@@ -96,8 +101,7 @@ def test_graph_modes(ring):
     assert rows(G.graph(ring, e, [], "orphans")["nodes"], "name") == [("alone",)]
 
 
-def test_decide_weights(ring):
-    index = I.build_index(ring.documents)
+def test_decide_weights(ring, index):
     pool = D.candidates(ring, index, "focus", ["delta"], 10)
     decision = {r["name"]: r for r in D.decide(ring, pool, 10).collect()}
     hits = {r["canonical_name"]: r for r in S.ranked(ring, index, "focus", 10).collect()}
@@ -107,8 +111,7 @@ def test_decide_weights(ring):
     assert "required by peers: alpha, delta" in decision["beta"]["reasons"]
 
 
-def bundle(ring, chars=4000):
-    index = I.build_index(ring.documents)
+def bundle(ring, index, chars=4000):
     decision = D.decide(ring, D.candidates(ring, index, "focus", ["delta"], 50), 50)
     winner, steps, _ = D.plan(decision, True, 10)
     entries = G.project(ring, G.edges(ring), ["delta", "alpha", "beta"], False)["entries"]
@@ -118,8 +121,13 @@ def bundle(ring, chars=4000):
     return steps, packets.Bundle(phases, packets.brief(phases, packed).cache(), winner, omitted)
 
 
-def test_plan_route_turns(ring):
-    steps, b = bundle(ring)
+@pytest.fixture(scope="module")
+def planned(ring, index):
+    return bundle(ring, index)
+
+
+def test_plan_route_turns(planned):
+    steps, b = planned
     plan = steps.orderBy("order").collect()
     assert (plan[0]["name"], plan[0]["reason"]) == ("beta", "winner") and {p["name"] for p in plan[1:3]} == {"alpha", "delta"} and all(p["reason"] == "unblocks-required-peer" and p["via"] == "beta" for p in plan[1:3])
     kinds = [r["kind"] for r in b.phases.orderBy("order").collect()]
@@ -129,8 +137,8 @@ def test_plan_route_turns(ring):
     assert b.ready and packets.blocked_turns(b).count() == 0
 
 
-def test_packet_texts(ring):
-    _, b = bundle(ring)
+def test_packet_texts(planned):
+    _, b = planned
     t = packets.texts(packets.current(b)).collect()
     assert len(t) == 1
     t = t[0]
@@ -147,16 +155,15 @@ def test_packet_texts(ring):
     assert [w["path"] for w in json.loads(json.loads(literal + "")[0])] == [f["path"] for f in t["files"]]
 
 
-def test_recovery(ring):
-    _, b = bundle(ring, chars=10)
+def test_recovery(ring, index):
+    _, b = bundle(ring, index, chars=10)
     blocked = packets.blocked_turns(b).orderBy("order").collect()
     assert not b.ready and blocked and blocked[0]["unblock_criteria"][0].startswith("Read omitted skill bodies: skill://")
     turn = packets.current(b).first()
     assert turn["order"] == blocked[0]["order"] and turn["blocked_by_budget"] and not turn["ready"] and turn["recovery_guidance"][1] == packets.APPLY_HINT
 
 
-def test_compare_and_recommend(ring):
-    index = I.build_index(ring.documents)
+def test_compare_and_recommend(ring, index):
     entries, pairs = D.compare(D.candidates(ring, index, "focus", ["delta"], 8), 8)
     assert entries.count() == 3 and pairs.count() == 3
     pair = pairs.where("left_name = 'delta' and right_name = 'beta'").first()
