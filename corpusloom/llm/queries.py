@@ -38,12 +38,17 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     rows = docs.select("doc_id", "source", "lang", "text", F.xxhash64(text, F.octet_length(text)).alias("h"), tokens.word_count(text).alias("words"), tokens.letter_word_count(text).alias("letter_words"))
     counts = written(tokens.counted(rows, ("doc_id", "source", "lang", "h", "words", "letter_words")), "counts")
-    first = counts.groupBy("h").agg(F.min("doc_id").alias("first"))
-    copies = counts.join(first, "h").where("doc_id <> first")
+    # copies of one text, however many, become a row for each source and language before they meet
+    alike = ("h", "source", "lang", "words", "letter_words", "n_tokens")
+    groups = counts.groupBy(*alike, "doc_id").count().groupBy(*alike).agg(F.min("doc_id").alias("least"), F.min_by("count", "doc_id").alias("at_least"), F.sum("count").alias("n"))
+    groups = written(groups, "copies")
+    first = groups.groupBy("h").agg(F.min("least").alias("first"))
+    copies = groups.join(first, "h").withColumn("times", F.col("n") - F.when(F.col("least") == F.col("first"), F.col("at_least")).otherwise(0)).where("times > 0")
     bpe, none = tokens.version(), F.lit(None).cast("long")
 
     def delta(rows: DataFrame, op: str, version: str, new: str, old=none) -> DataFrame:
-        return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("version"), F.col(new).alias("n_tokens"), old.alias("old_tokens"))
+        times = "times" if "times" in rows.columns else F.lit(1).cast("long").alias("times")
+        return rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("version"), F.col(new).alias("n_tokens"), old.alias("old_tokens"), times)
 
     batches = {
         "load words-1": delta(counts, "insert", "words-1", "words"),

@@ -84,11 +84,13 @@ KEYS = ("source", "lang", "version")
 def signed(deltas: DataFrame) -> DataFrame:
     """Signed contributions of deltas (op, source, lang, version, n_tokens,
     old_tokens), one row a key: inserts add, deletes take away, a revision adds
-    the difference to the old count."""
+    the difference to the old count. A column ``times``, if there is one, says how
+    many equal deltas a row stands for."""
     op, new, old = F.col("op"), F.coalesce("n_tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
+    times = F.coalesce("times", F.lit(1)) if "times" in deltas.columns else F.lit(1)
     docs = F.when(op == "insert", 1).when(op == "delete", -1).otherwise(0)
     tokens = F.when(op == "insert", new).when(op == "delete", -new).when(op == "revise", new - old).otherwise(0)
-    return deltas.groupBy(*KEYS).agg(F.sum(docs).cast("long").alias("docs"), F.sum(tokens).cast("long").alias("tokens"))
+    return deltas.groupBy(*KEYS).agg(F.sum(docs * times).cast("long").alias("docs"), F.sum(tokens * times).cast("long").alias("tokens"))
 
 
 class Rollup:
