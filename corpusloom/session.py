@@ -9,12 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bounds of the batches that go to Python workers, where the session has set none:
+#: rows, and bytes, so that a run of long texts is no large batch.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8m")}
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once for each application, so that
-    Python workers can import it on any cluster."""
+    Python workers can import it on any cluster; bound the batches they get."""
     context = spark.sparkContext
+    for key, (default, bound) in BATCHES.items():
+        if spark.conf.get(key, default) in (default, f"{default}b"):
+            spark.conf.set(key, bound)
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix="corpusloom-")) / "corpusloom.zip"
