@@ -267,8 +267,11 @@ def identify(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def stage(docs: DataFrame, least: float = 0.5, path: str = VOCABULARY) -> DataFrame:
     """Rows whose language is recognised with a posterior of ``least`` or more;
-    ``lang`` becomes the recognised language."""
+    ``lang`` becomes the recognised language. Where there is nothing to learn from,
+    rows with a letter stay as they are."""
     model = train(docs, learnable(), path=path)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     plain, names = plainly_named(docs)
     found = predict(plain, model, text=names["text"], keep=tuple(names.values()))
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))

@@ -155,6 +155,7 @@ def test_forward_sums_all_segmentations(tmp_path):
 def test_language_ties_and_no_labels(spark):
     frame = spark.createDataFrame([(1, "abc def", None)], "doc_id long, text string, lang string")
     assert langid.identify(frame).collect()[0]["lang_pred"] == "und"
+    assert langid.stage(frame).count() == 1
 
 
 def test_quality_ranking(spark):
