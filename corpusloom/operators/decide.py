@@ -9,6 +9,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import search as S
 from corpusloom.operators.corpus import Corpus
 from corpusloom.operators.index import Index
+from corpusloom.operators.tables import written
 
 SHOWN = ("path", "title", "category", "scope", "aliases")
 
@@ -37,7 +38,7 @@ def decide(corpus: Corpus, pool: DataFrame, limit: int) -> DataFrame:
     """Candidates by weight: rank, name, score, query_score, query_coverage, explicit,
     peer_required_by, peer_recommended_by, required_peers, unresolved_requires,
     reasons, preview. The first is the winner."""
-    pool = pool.cache()
+    pool = written(pool, "pool")
     own = corpus.aliases.select(F.col("alias").alias("target"), F.col("canonical_name").alias("c"))
     rows = [pool.select("name", F.explode(c).alias("target"), F.lit(c).alias("relation")) for c in ("requires", "recommends")]
     links = rows[0].unionByName(rows[1]).join(own, "target", "left").select("name", "relation", "target", F.coalesce("c", "target").alias("to"))
@@ -76,7 +77,7 @@ def plan(decision: DataFrame, full: bool, limit: int) -> tuple[str | None, DataF
     """The winner, steps (order, phase, reason, via and the candidate's columns), and
     deferred names: winner, peers that require it, peers that recommend it (full mode
     only), then alternatives; cut to ``limit``."""
-    decision = decision.cache()
+    decision = written(decision, "decision")
     head = decision.where("rank = 1").select("name").first()
     winner = head["name"] if head else None
     first = decision.where("rank = 1")

@@ -14,6 +14,7 @@ from corpusloom.operators import graph as G
 from corpusloom.operators import search as S
 from corpusloom.operators.corpus import Corpus
 from corpusloom.operators.index import Index, build_index
+from corpusloom.operators.tables import written
 from corpusloom.plans.request import Request, RequestError
 
 
@@ -34,6 +35,7 @@ class Engine:
     def __init__(self, corpus: Corpus, index: Index | None = None, kept: int = 4):
         self.corpus, self.kept = corpus, kept
         self._indexes: dict[tuple, Index] = {(): index} if index else {}
+        self._bundles: dict[tuple, tuple[packets.Bundle, DataFrame]] = {}
 
     def _built(self, key: tuple, corpus: Corpus) -> Index:
         if key not in self._indexes:
@@ -48,7 +50,7 @@ class Engine:
         if scopes is not None:
             d = corpus.documents.where(F.col("scope").isin(scopes)) if scopes else corpus.documents.limit(0)
             corpus = Corpus(d, corpus.aliases.join(d.select("canonical_name"), "canonical_name", "left_semi"), corpus.duplicates, corpus.alias_conflicts, corpus.malformed, corpus.settings)
-        return corpus.restricted(names) if names else corpus, (tuple(scopes) if scopes is not None else None, tuple(names)) if scopes is not None or names else ()
+        return corpus.restricted(names).materialised() if names else corpus, (tuple(scopes) if scopes is not None else None, tuple(names)) if scopes is not None or names else ()
 
     def run(self, action: str, **parameters) -> Result:
         """The result of an action; a request that can't be answered gives an error."""
@@ -156,13 +158,22 @@ class Engine:
     # -- packets ---------------------------------------------------------------------
 
     def bundle(self, r: Request, corpus: Corpus, key: tuple, include_body: bool = True) -> tuple[packets.Bundle, DataFrame]:
-        """Phases, brief entries and omitted bodies, computed once for all packets."""
+        """Phases, brief entries and omitted bodies, computed once for all packets of a
+        request and kept in the shared folder."""
+        asked = (key, r.query, tuple(r.names), r.limit, r.min_score, r.relation_mode, r.budget_chars, r.budget_tokens, include_body)
+        if asked not in self._bundles:
+            while len(self._bundles) >= self.kept:
+                self._bundles.pop(next(iter(self._bundles)))
+            self._bundles[asked] = self._bundled(r, corpus, key, include_body)
+        return self._bundles[asked]
+
+    def _bundled(self, r: Request, corpus: Corpus, key: tuple, include_body: bool) -> tuple[packets.Bundle, DataFrame]:
         winner, steps, deferred = self._planned(r, corpus, key)
         projection = self._projection(r, corpus, key, r.limit)
-        packed = packets.pack(corpus, projection["entries"], r.budget_chars, r.budget_tokens, include_body).cache()
-        phases = D.route(steps, projection["entries"]).cache()
+        packed = written(packets.pack(corpus, projection["entries"], r.budget_chars, r.budget_tokens, include_body), "packed")
+        phases = written(D.route(steps, projection["entries"]), "phases")
         omitted = [x["read_path"] for x in packed.where("omitted_by_budget").orderBy(F.when(F.col("reason") == "seed", 1).when(F.col("reason") == "required", 2).otherwise(3), F.coalesce("read_layer", F.lit(2**31 - 1)), "depth", X.locale_order(F.col("name"))).select("read_path").collect()]
-        return packets.Bundle(phases, packets.brief(phases, packed).cache(), winner, omitted), deferred
+        return packets.Bundle(phases, written(packets.brief(phases, packed), "brief"), winner, omitted), deferred
 
     def _packet(self, r: Request, corpus: Corpus, key: tuple) -> Result:
         b, deferred = self.bundle(r, corpus, key, r.include_body if r.action == "brief" else True)
@@ -195,7 +206,7 @@ class Engine:
                 "execution-packet": ["script_path", "script_content", "run_command", "execution_text"],
                 "verification-packet": ["run_command", "verification_items", "verification_text"],
             }[r.action]
-            frames["packet"] = packets.texts(packets.current(b)).select("winner", "ready", "active_turn_order", *columns)
+            frames["packet"] = packets.texts(written(packets.current(b), "turn")).select("winner", "ready", "active_turn_order", *columns)
         return Result(r.action, frames, facts)
 
     # -- health ----------------------------------------------------------------------

@@ -15,6 +15,7 @@ from corpusloom.operators import graph as G
 from corpusloom.operators import index as I
 from corpusloom.operators import search as S
 from corpusloom.operators.corpus import Corpus, classify_scopes, dedupe, scope_table
+from corpusloom.operators.tables import written
 from corpusloom.plans import oracle as O
 from corpusloom.session import ship
 from corpusloom.sources.tables import SCOPE_ROOTS, corpus, purchase_arcs, records
@@ -303,10 +304,10 @@ def _bundle(spark: SparkSession, sf_dir: str, chars: int = 4000) -> packets.Bund
     c, index, pool = _pool(spark, sf_dir)
     winner, steps, _ = D.plan(D.decide(c, pool, 50), True, LIMIT)
     entries = G.project(c, G.edges(c), _seeds(c, index), False)["entries"]
-    packed = packets.pack(c, entries, chars, 1000).cache()
-    phases = D.route(steps, entries).cache()
+    packed = written(packets.pack(c, entries, chars, 1000), "packed")
+    phases = written(D.route(steps, entries), "phases")
     omitted = [r[0] for r in packed.where("omitted_by_budget").select("read_path").orderBy("read_path").collect()]
-    return packets.Bundle(phases, packets.brief(phases, packed).cache(), winner, omitted)
+    return packets.Bundle(phases, written(packets.brief(phases, packed), "brief"), winner, omitted)
 
 
 def pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +349,7 @@ def resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts of the current turn."""
-    rows = packets.texts(packets.current(_bundle(spark, sf_dir)))
+    rows = packets.texts(written(packets.current(_bundle(spark, sf_dir)), "turn"))
     return rows.select("winner", "ready", "instruction_text", "summary_text", "markdown", "checklist_text", "command_block", "apply_text", "script_content", "execution_text", "verification_text")
 
 
