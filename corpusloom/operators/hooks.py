@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +106,6 @@ def compact_unknown_reads(results: DataFrame) -> DataFrame:
 
 def rewrite_payload_json(column: Column) -> Column:
     """:func:`rewrite_payload` over JSON texts (null where nothing changes)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> str | None:
