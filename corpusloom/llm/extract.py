@@ -10,11 +10,13 @@ becomes repeated, texts that differ become slots. Folding is done for each task
 first, then for each salted share of a host, then for the host, so that a hot
 host is never gathered.
 
-The wrapper says which nodes hold the article: the region is the ``article`` or
-``main`` element (or what is named so), else the node whose slots hold most of
-the text; nodes named as menus, adverts, notices, comments and the like, and
-constant texts outside the region, are template. Each page is then read with its
-host's wrapper.
+The wrapper says which texts are slots. Each page is then read with its host's
+wrapper: the region is made of the page's own outermost ``article`` or ``main``
+elements (or what is named so) where these hold half of its slots' text at least,
+else of all its slots, with the whole of the node that holds most of them. Nodes
+named as menus, adverts, notices, comments and the like, and constant texts
+outside the best named or holding node, are template. A page that would be left
+without text keeps all it has.
 
 Bounded memory: signatures lose digits and positions; a node with more than
 ``MOST_KINDS`` kinds of children is generalised (names are dropped, so its
@@ -63,7 +65,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*
 
 
 class Node:
-    __slots__ = ("children", "parts", "signature", "tag")
+    __slots__ = ("children", "fixed", "hidden", "mark", "signature", "tag")
 
     def __init__(self, tag: str, signature: str):
         self.tag, self.signature = tag, signature
@@ -125,6 +127,11 @@ def _clean(raw: str) -> str:
     return " ".join(entities.unescape(raw).split())
 
 
+def own_text(node: Node) -> str:
+    """A node's own text, without that of its elements."""
+    return " ".join([t for c in node.children if isinstance(c, str) and (t := _clean(c))])
+
+
 # A wrapper node is [signature, text, size, pages, optional, repeated, children]: text is a
 # constant, or None for a slot, or "" for none; size the characters of its own texts.
 S, TEXT, SIZE, PAGES, OPTIONAL, REPEATED, CHILDREN = range(7)
@@ -132,8 +139,7 @@ S, TEXT, SIZE, PAGES, OPTIONAL, REPEATED, CHILDREN = range(7)
 
 def folded(node: Node) -> list:
     """The wrapper of one page's tree."""
-    texts = [t for c in node.children if isinstance(c, str) and (t := _clean(c))]
-    own = " ".join(texts)
+    own = own_text(node)
     out = [node.signature, own if len(own) <= 120 else None, len(own), 1, False, False, []]
     children: list[list] = []
     for child in node.children:
@@ -210,44 +216,131 @@ def _is_article(signature: str) -> int:
     return 3 if tag == "article" else 2 if tag == "main" or "main" in names else 1 if any(n in ARTICLE for n in names) else 0
 
 
-def region(wrapper: list) -> dict:
-    """Reading rules of a wrapper: the paths of the article's nodes and the paths
-    with constant texts."""
-    named: dict[int, list[tuple[int, str]]] = {}
-    weights: dict[str, int] = {}
-    constants = []
-
-    def visit(node: list, path: str) -> int:
-        path = f"{path}/{node[S]}"
-        if template_words(node[S]) or node[S].split(".")[0] in ("header", "h0"):
-            return 0
-        own = node[SIZE] if node[TEXT] is None else 0
-        if node[TEXT] and node[PAGES] > 1:
-            constants.append(path)
-        total = own + sum([visit(c, path) for c in node[CHILDREN]])
-        if not own and not node[REPEATED]:
-            # a paragraph or a list's item is no region
-            weights[path] = weights.get(path, 0) + total
-        if (level := _is_article(node[S])) and not any(path.startswith(f"{p}/") for _, p in named.get(level, ())):
-            named.setdefault(level, []).append((node[SIZE] + total, path))
-        return total
-
-    all_of_it = visit(wrapper, "")
-    for level in (3, 2, 1):
-        if level in named:
-            roots = [p for _, p in named[level]]
-            # visited children first: outermost nodes stand for those within them
-            return {"roots": sorted({p for p in roots if not any(p != q and p.startswith(f"{q}/") for q in roots)}), "constants": sorted(set(constants))}
-    # the deepest node, itself without text and not repeated, that still holds nearly all slots' text
-    holding = [p for p, w in weights.items() if w >= 0.9 * all_of_it and all_of_it]
-    return {"roots": [max(holding, key=lambda p: (p.count("/"), p))] if holding else ["/#"], "constants": sorted(set(constants))}
-
-
-def read(root: Node, rules: dict) -> str:
+def region(wrapper: list) -> list[list]:
+    """The constant texts of a wrapper as a tree of [parent, signature, texts], parents first."""
+    tree: list[list] = []
+    places: dict[tuple[int, str], int] = {}
+    stack = [(wrapper, -1)]
+    while stack:
+        node, parent = stack.pop()
+        if node[S].split(".")[0] in DROPPED:
+            continue
+        at = places.setdefault((parent, node[S]), len(tree))
+        if at == len(tree):
+            tree.append([parent, node[S], []])
+        if node[TEXT] and node[PAGES] > 1 and node[TEXT] not in tree[at][2]:
+            tree[at][2].append(node[TEXT])
+        stack += [(c, at) for c in node[CHILDREN]]
+    # branches without a constant are of no use
+    used = [bool(texts) for _, _, texts in tree]
+    for at in range(len(tree) - 1, 0, -1):
+        used[tree[at][0]] |= used[at]
+    number = {at: n for n, at in enumerate(at for at, u in enumerate(used) if u)}
+    return [[number.get(parent, -1), signature, sorted(texts)] for (parent, signature, texts), u in zip(tree, used, strict=True) if u]
+
+
+def known_constants(rules: list[list]) -> tuple[dict, list[set]]:
+    """Places of a host's constants by parent and signature, and the texts of each place."""
+    return {(parent, signature): at for at, (parent, signature, _) in enumerate(rules)}, [set(texts) for *_, texts in rules]
+
+
+def _outline(root: Node) -> tuple[list[Node], list[int]]:
+    """Elements that may hold text, in the page's order, and the places of their parents."""
+    nodes, up, stack = [], [], [(root, -1)]
+    while stack:
+        node, parent = stack.pop()
+        at = len(nodes)
+        nodes.append(node)
+        up.append(parent)
+        stack += [(c, at) for c in reversed(node.children) if not isinstance(c, str) and c.tag not in VOID and c.tag not in DROPPED]
+    return nodes, up
+
+
+def _sums(own: list[int], up: list[int]) -> list[int]:
+    out = list(own)
+    for at in range(len(out) - 1, 0, -1):
+        out[up[at]] += out[at]
+    return out
+
+
+def _mark(root: Node, constants: tuple[dict, list[set]]) -> None:
+    """Set ``mark`` (2 all text is read, 1 all but the host's constants, 0 nothing),
+    ``fixed`` (the own text is a constant) and ``hidden`` of a page's elements."""
+    nodes, up = _outline(root)
+    size = [sum([len(c.strip()) for c in n.children if isinstance(c, str)]) for n in nodes]
+    _hide(nodes, up, size)
+    places, texts = constants
+    at_host: list[list[int]] = []
+    outside = [False] * len(nodes)
+    for at, node in enumerate(nodes):
+        parent = up[at]
+        node.mark = 0
+        node.hidden = node.hidden or at > 0 and nodes[parent].hidden
+        outside[at] = node.hidden or node.tag == "header" or at > 0 and outside[parent]
+        found = [places[key] for p in (at_host[parent] if at else [-1]) if (key := (p, node.signature)) in places] if places else []
+        at_host.append(found)
+        node.fixed = bool(size[at] and found and any(own_text(node) in texts[f] for f in found))
+    shown = [0 if n.hidden else x for n, x in zip(nodes, size, strict=True)]
+    slots = [0 if n.fixed or o else x for n, x, o in zip(nodes, size, outside, strict=True)]
+    if not any(slots):
+        # constants alone: the page keeps them
+        for node in nodes:
+            node.fixed = False
+        slots = [0 if o else x for x, o in zip(size, outside, strict=True)]
+    text, slot = _sums(shown, up), _sums(slots, up)
+    level = [_is_article(n.signature) if t and n.tag not in ("html", "body") and not o else 0 for n, t, o in zip(nodes, text, outside, strict=True)]
+    best = list(level)
+    for at in range(len(nodes) - 1, 0, -1):
+        best[up[at]] = max(best[up[at]], best[at])
+    # the outermost named elements, in them what is named best
+    top = [-1] * len(nodes)
+    held = 0
+    for at, node in enumerate(nodes):
+        top[at] = top[up[at]] if at else -1
+        if level[at]:
+            if top[at] < 0:
+                top[at] = at
+                held += slot[at]
+            node.mark = 2 if level[at] == best[top[at]] else 1
+    if max(level) == 0 or 2 * held < slot[0]:
+        # no name holds the main text: all slots are read, and the whole of the
+        # deepest node, itself without text and not repeated, with nearly all of them
+        kinds = [[c.signature for c in n.children if not isinstance(c, str)] for n in nodes]
+        core = 0
+        for at in range(1, len(nodes)):
+            if slot[0] and slot[at] >= 0.9 * slot[0] and not slots[at] and kinds[up[at]].count(nodes[at].signature) == 1:
+                core = at
+        root.mark = max(root.mark, 1)
+        if core:
+            nodes[core].mark = 2
+    for at in range(1, len(nodes)):
+        nodes[at].mark = max(nodes[at].mark, nodes[up[at]].mark)
+
+
+def _hide(nodes: list[Node], up: list[int], size: list[int]) -> None:
+    """Set ``hidden`` of the elements that are named as template."""
+    for node in nodes:
+        node.hidden = template_words(node.signature)
+
+
+def read(root: Node, constants: tuple[dict, list[set]]) -> str:
     """The article's blocks, one a line."""
+    _mark(root, constants)
+    if text := _blocks(root):
+        return text
+    # nothing is left: the page's whole text, first without what is named as template
+    nodes, _ = _outline(root)
+    for unhide in (False, True):
+        for node in nodes:
+            node.mark, node.hidden = 2, node.hidden and not unhide
+        if text := _blocks(root):
+            return text
+    return ""
+
+
+def _blocks(root: Node) -> str:
     blocks: list[str] = []
     open_block: list[str] = []
-    roots, constants = rules["roots"], set(rules["constants"])
 
     def close() -> None:
         if open_block:
@@ -255,36 +348,35 @@ def read(root: Node, rules: dict) -> str:
                 blocks.append(line)
             open_block.clear()
 
-    # an explicit stack: (node, path, inside, next child)
-    stack = [[root, "/#", "/#" in roots, 0]]
+    # an explicit stack: (node, next child)
+    stack = [[root, 0]]
     while stack:
-        node, path, inside, at = stack[-1]
+        node, at = stack[-1]
         if at >= len(node.children):
             stack.pop()
             if node.tag not in INLINE:
                 close()
             continue
-        stack[-1][3] += 1
+        stack[-1][1] += 1
         child = node.children[at]
         if isinstance(child, str):
-            if inside and not (path in constants and roots == ["/#"]):
+            if node.mark == 2 or node.mark == 1 and not node.fixed:
                 open_block.append(child)
             continue
-        if child.tag in RAW or template_words(child.signature) or child.tag == "header" and not inside:
-            if child.tag not in INLINE:
-                close()
-            continue
         if child.tag in VOID:
-            if inside:
+            if node.mark:
                 if child.tag in INLINE:
                     open_block.append(" " if child.tag != "wbr" else "")
                 else:
                     close()
             continue
+        if child.tag in DROPPED or child.hidden or child.tag == "header" and node.mark < 2:
+            if child.tag not in INLINE:
+                close()
+            continue
         if child.tag not in INLINE:
             close()
-        below = f"{path}/{child.signature}"
-        stack.append([child, below, inside or below in roots, 0])
+        stack.append([child, 0])
     close()
     return "\n".join(blocks)
 
@@ -346,16 +438,15 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html:
     schema = ", ".join([*(f"k{i} {hosted.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "text string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, dict] = {}
+        known: dict[str | None, tuple] = {}
         n = len(keep)
         for batch in sliced(batches, "html"):
             texts = []
             for rule, body in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                 if rule not in known:
                     known.clear() if len(known) > 5000 else None
-                    known[rule] = json.loads(rule) if rule else None
-                tree = parse(body)
-                texts.append(read(tree, known[rule] or region(folded(tree))))
+                    known[rule] = known_constants(json.loads(rule) if rule else [])
+                texts.append(read(parse(body), known[rule]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(texts, pa.string())], names=[*(f"k{i}" for i in range(n)), "text"])
 
     return joined.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text")
