@@ -20,7 +20,8 @@ without text keeps all it has.
 
 Bounded memory: signatures lose digits and positions; a node with more than
 ``MOST_KINDS`` kinds of children is generalised (names are dropped, so its
-children fold into fewer kinds) and nothing of a page's text is lost by it.
+children fold into fewer kinds) and nothing of a page's text is lost by it: pages
+are compared with generalised nodes by their tags.
 
 Defined results: null and empty html give an empty text; a null url, or one
 without a host, belongs to the host with the empty name; markup that never closes
@@ -277,7 +278,7 @@ def _mark(root: Node, constants: tuple[dict, list[set]]) -> None:
         node.mark = 0
         node.hidden = node.hidden or at > 0 and nodes[parent].hidden
         outside[at] = node.hidden or node.tag == "header" or at > 0 and outside[parent]
-        found = [places[key] for p in (at_host[parent] if at else [-1]) if (key := (p, node.signature)) in places] if places else []
+        found = [places[key] for p in (at_host[parent] if at else [-1]) for s in {node.signature, node.tag} if (key := (p, s)) in places] if places else []
         at_host.append(found)
         node.fixed = bool(size[at] and found and any(own_text(node) in texts[f] for f in found))
     shown = [0 if n.hidden else x for n, x in zip(nodes, size, strict=True)]

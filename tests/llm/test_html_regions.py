@@ -30,3 +30,11 @@ def test_small_templates_and_lead_paragraphs_of_unnamed_hosts_are_read():
     got = texts(*big, small)
     assert got[:9] == [f"Head {n}\nLead {n}\n{words(n, 500)}\n{words(-n, 500)}" for n in range(1, 10)]
     assert got[9] == "Few\nShort text of another template."
+
+
+def test_hosts_with_more_kinds_of_articles_than_the_bound():
+    slug = lambda n: f"{chr(97 + n // 26)}q{chr(97 + n % 26)}"
+    pages = [f'<body><main><div class="s-{slug(n)}"><em>All rights</em><article class="c-{slug(n)} hentry"><p>{words(n)}</p></article></div></main></body>' for n in range(80)]
+    assert texts(*pages) == [words(n) for n in range(80)]
+    many = "".join(f'<article class="k{slug(n)}"><p>{words(n, 3)}</p></article><hr>' for n in range(80))
+    assert texts(f"<body>{many}</body>", f"<body>{many}<p>x</p></body>")[0] == "\n".join(words(n, 3) for n in range(80))
