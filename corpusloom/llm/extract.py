@@ -58,6 +58,12 @@ DROPPED = frozenset("nav aside footer form script style noscript template iframe
 NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall subscribe subscription newsletter signup nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget widgets related recommended share sharing social comment comments reply replies respond discussion disqus footer foot masthead topbar toolbar login search pagination pager copyright disclaimer".split())
 #: The same for names as a whole.
 NAMED_WHOLE = frozenset("header site-header page-header global-header top bottom legal hidden toc".split())
+#: Words before a name of NAMED in one compound that make it tell of something else.
+TELLING = frozenset("has have no not without with is hide hides in category categories cat tag tags topic topics type format".split())
+#: Words after a name of NAMED that only say what form it has.
+FORMS = frozenset("area bar block body bottom box button buttons container content form group header inner item items left link links list panel right row section title top wrap wrapper 0".split())
+#: Elements that are never dropped for their names.
+KEPT = frozenset("# html body main article".split())
 ARTICLE = frozenset("article post entry story content main body articlebody post-body post-content entry-content article-body article-content main-content maincontent".split())
 #: What an opening tag of these closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -208,7 +214,18 @@ def _bounded(children: list[list]) -> list[list]:
 def template_words(signature: str) -> bool:
     """Whether a signature names something that is not the article."""
     tag, *names = signature.split(".")
-    return tag in DROPPED or any(name in NAMED_WHOLE for name in names) or any(w in NAMED for name in names for w in [name, *re.split(r"[-_:]+", name)])
+    return tag in DROPPED or tag not in KEPT and any(name in NAMED_WHOLE or _names_template(name) for name in names)
+
+
+def _names_template(name: str) -> bool:
+    """Whether a class, id or role has a word of NAMED for the thing itself: it is or begins with
+    one, or ends with one (and its form), and does not tell of a state or subject."""
+    if name in NAMED:
+        return True
+    words = re.split(r"[-_:]+", name)
+    while len(words) > 1 and words[-1] in FORMS and words[-1] not in NAMED:
+        words.pop()
+    return words[0] in NAMED or words[-1] in NAMED and not TELLING.intersection(words)
 
 
 def _is_article(signature: str) -> int:
@@ -319,9 +336,27 @@ def _mark(root: Node, constants: tuple[dict, list[set]]) -> None:
 
 
 def _hide(nodes: list[Node], up: list[int], size: list[int]) -> None:
-    """Set ``hidden`` of the elements that are named as template."""
+    """Set ``hidden`` of the elements that are named as template, unless such a name
+    would take the page's main text: more than all that is left, and ten times
+    what named articles still hold."""
     for node in nodes:
         node.hidden = template_words(node.signature)
+    if not any(n.hidden for n in nodes):
+        return
+    whole = _sums(size, up)
+    while True:
+        top, article = [-1] * len(nodes), [False] * len(nodes)
+        left = held = 0
+        for at, node in enumerate(nodes):
+            top[at] = top[up[at]] if at and top[up[at]] >= 0 else at if node.hidden else -1
+            article[at] = at > 0 and article[up[at]] or node.tag not in ("html", "body") and _is_article(node.signature) > 0
+            if top[at] < 0:
+                left += size[at]
+                held += size[at] if article[at] else 0
+        most = max({at for at in top if at >= 0}, key=lambda at: (whole[at], -at), default=-1)
+        if most < 0 or whole[most] <= left or 10 * held >= whole[most]:
+            return
+        nodes[most].hidden = False
 
 
 def read(root: Node, constants: tuple[dict, list[set]]) -> str:

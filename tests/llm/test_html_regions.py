@@ -38,3 +38,14 @@ def test_hosts_with_more_kinds_of_articles_than_the_bound():
     assert texts(*pages) == [words(n) for n in range(80)]
     many = "".join(f'<article class="k{slug(n)}"><p>{words(n, 3)}</p></article><hr>' for n in range(80))
     assert texts(f"<body>{many}</body>", f"<body>{many}<p>x</p></body>")[0] == "\n".join(words(n, 3) for n in range(80))
+
+
+def test_names_that_tell_of_something_else_drop_no_article():
+    for outer, inner in (('body class="has-sidebar no-comments"', "article"), ("body", 'main class="with-sidebar"'), ("body", 'article class="category-social tag-search promoted"'), ("body", 'div class="post category-social"'), ('div class="social"', "section")):
+        pages = [f'<{outer}><div class="site-nav-wrapper"><i>menu {n}</i></div><{inner}><p>{words(n)}</p><div class="share-buttons">Share {n}</div></{inner.split()[0]}><section class="comments"><p>Nice {n}</p></section></{outer.split()[0]}>' for n in range(4)]
+        assert texts(*pages) == [words(n) for n in range(4)], (outer, inner)
+        assert texts(pages[0]) == [words(0)], (outer, inner)
+
+
+def test_long_comments_stay_out_beside_an_article():
+    assert texts(*[f'<body><article><p>{words(n, 9)}</p></article><div id="comments"><article class="comment"><p>{words(n, 50)}</p></article></div></body>' for n in range(3)]) == [words(n, 9) for n in range(3)]
