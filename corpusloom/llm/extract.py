@@ -35,7 +35,8 @@ import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -72,18 +73,27 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*
 
 
 class Node:
-    __slots__ = ("children", "fixed", "hidden", "mark", "signature", "tag")
+    __slots__ = ("children", "fixed", "hidden", "level", "mark", "signature", "tag")
 
-    def __init__(self, tag: str, signature: str):
-        self.tag, self.signature = tag, signature
+    def __init__(self, tag: str, signature: str, template: bool = False, level: int = 0):
+        self.tag, self.signature, self.hidden, self.level = tag, signature, template, level
         self.children: list[Node | str] = []
 
 
-def _signature(tag: str, attributes: str) -> str:
-    if not attributes or "=" not in attributes:
-        return tag
-    names = {w for m in ATTRIBUTE.finditer(attributes) for w in re.sub(r"\d+", "0", (m[2] or m[3] or m[4] or "").lower()).split()}
-    return ".".join([tag, *sorted(names)[:6]])
+def _element(tag: str, attributes: str) -> Node:
+    """A node; its role comes from all its names, of which the signature holds six, or a hash."""
+    names = frozenset()
+    if attributes and "=" in attributes:
+        names = frozenset(w for m in ATTRIBUTE.finditer(attributes) for w in re.sub(r"\d+", "0", (m[2] or m[3] or m[4] or "").lower()).split())
+    return Node(tag, *_role(tag, names))
+
+
+@lru_cache(1 << 14)
+def _role(tag: str, names: frozenset[str]) -> tuple[str, bool, int]:
+    """Signature, whether it is template, and how far it is an article."""
+    shown = sorted(names)
+    signature = ".".join([tag, *shown] if len(shown) <= 6 else [tag, f"#{hash_of(' '.join(shown)):08x}"])
+    return signature, template_words(tag, names), _is_article(tag, names)
 
 
 def parse(html: str | None) -> Node:
@@ -119,7 +129,7 @@ def parse(html: str | None) -> Node:
                     break
                 if stack[depth].tag not in INLINE and stack[depth].tag not in ("td", "th", "dd", "dt"):
                     break
-        node = Node(tag, _signature(tag, m[3]))
+        node = _element(tag, m[3])
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(text, place)
@@ -211,9 +221,8 @@ def _bounded(children: list[list]) -> list[list]:
     return children
 
 
-def template_words(signature: str) -> bool:
-    """Whether a signature names something that is not the article."""
-    tag, *names = signature.split(".")
+def template_words(tag: str, names: Iterable[str]) -> bool:
+    """Whether an element's names tell that it is not the article."""
     return tag in DROPPED or tag not in KEPT and any(name in NAMED_WHOLE or _names_template(name) for name in names)
 
 
@@ -228,9 +237,8 @@ def _names_template(name: str) -> bool:
     return words[0] in NAMED or words[-1] in NAMED and not TELLING.intersection(words)
 
 
-def _is_article(signature: str) -> int:
+def _is_article(tag: str, names: Iterable[str]) -> int:
     """3 article, 2 main, 1 something named so, 0 neither."""
-    tag, *names = signature.split(".")
     return 3 if tag == "article" else 2 if tag == "main" or "main" in names else 1 if any(n in ARTICLE for n in names) else 0
 
 
@@ -306,7 +314,7 @@ def _mark(root: Node, constants: tuple[dict, list[set]]) -> None:
             node.fixed = False
         slots = [0 if o else x for x, o in zip(size, outside, strict=True)]
     text, slot = _sums(shown, up), _sums(slots, up)
-    level = [_is_article(n.signature) if t and n.tag not in ("html", "body") and not o else 0 for n, t, o in zip(nodes, text, outside, strict=True)]
+    level = [n.level if t and n.tag not in ("html", "body") and not o else 0 for n, t, o in zip(nodes, text, outside, strict=True)]
     best = list(level)
     for at in range(len(nodes) - 1, 0, -1):
         best[up[at]] = max(best[up[at]], best[at])
@@ -336,11 +344,9 @@ def _mark(root: Node, constants: tuple[dict, list[set]]) -> None:
 
 
 def _hide(nodes: list[Node], up: list[int], size: list[int]) -> None:
-    """Set ``hidden`` of the elements that are named as template, unless such a name
+    """Clear ``hidden`` of the elements that are named as template where such a name
     would take the page's main text: more than all that is left, and ten times
     what named articles still hold."""
-    for node in nodes:
-        node.hidden = template_words(node.signature)
     if not any(n.hidden for n in nodes):
         return
     whole = _sums(size, up)
@@ -349,7 +355,7 @@ def _hide(nodes: list[Node], up: list[int], size: list[int]) -> None:
         left = held = 0
         for at, node in enumerate(nodes):
             top[at] = top[up[at]] if at and top[up[at]] >= 0 else at if node.hidden else -1
-            article[at] = at > 0 and article[up[at]] or node.tag not in ("html", "body") and _is_article(node.signature) > 0
+            article[at] = at > 0 and article[up[at]] or node.tag not in ("html", "body") and node.level > 0
             if top[at] < 0:
                 left += size[at]
                 held += size[at] if article[at] else 0

@@ -49,3 +49,11 @@ def test_names_that_tell_of_something_else_drop_no_article():
 
 def test_long_comments_stay_out_beside_an_article():
     assert texts(*[f'<body><article><p>{words(n, 9)}</p></article><div id="comments"><article class="comment"><p>{words(n, 50)}</p></article></div></body>' for n in range(3)]) == [words(n, 9) for n in range(3)]
+
+
+def test_roles_come_from_all_names():
+    utility = "bg-white border flex gap-2 mb-4 p-6 rounded"
+    pages = [f'<body><div class="{utility} sidebar"><p>Side {n} {words(n, 50)}</p></div><div class="{utility} xl post-content"><p>{words(n)}</p></div><div class="{utility} text-sm widget"><p>Tags {n}</p></div></body>' for n in range(4)]
+    assert texts(*pages) == [words(n) for n in range(4)]
+    a, b = (extract.parse(f'<div class="{utility} {x}">').children[0].signature for x in ("sidebar", "story"))
+    assert a != b and a.startswith("div.") and len(a) < 20
