@@ -35,7 +35,8 @@ import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Generator, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -46,8 +47,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import sliced, written
 
 MOST_KINDS = 48
-#: Elements nested deeper than this are read as following, not inner, ones.
-DEEPEST = 150
 SHARES = 32
 
 # Element names of HTML by their role.
@@ -100,12 +99,19 @@ def parse(html: str | None) -> Node:
     """The tree of a page; text stays as it is written, each run one string."""
     root = Node("#", "#")
     stack = [root]
+    #: how many elements of each tag are open, so that none is looked for in vain
+    opened: Counter[str] = Counter()
     place, text = 0, html or ""
 
     def words(raw: str) -> None:
         if raw:
             stack[-1].children.append(raw)
 
+    def cut(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[node.tag] -= 1
+        del stack[depth:]
+
     while m := TOKEN.search(text, place):
         words(text[place : m.start()])
         place = m.end()
@@ -113,19 +119,21 @@ def parse(html: str | None) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
+            if not opened[tag]:
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
-                    del stack[depth:]
+                    cut(depth)
                     break
                 if stack[depth].tag in ("article", "main", "body", "table") and tag in INLINE:
                     break
             continue
         closing = CLOSES.get(tag)
-        if tag not in INLINE and tag not in VOID | RAW or closing:
+        if opened["p"] and tag not in INLINE and tag not in VOID | RAW or closing and any(opened[t] for t in closing):
             # a block ends an open paragraph, with the inline elements left open in it
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p" and tag not in INLINE or closing and stack[depth].tag in closing:
-                    del stack[depth:]
+                    cut(depth)
                     break
                 if stack[depth].tag not in INLINE and stack[depth].tag not in ("td", "th", "dd", "dt"):
                     break
@@ -134,8 +142,9 @@ def parse(html: str | None) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(text, place)
             place = end.end() if end else len(text)
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < DEEPEST:
+        elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     words(text[place:])
     return root
 
@@ -154,43 +163,74 @@ def own_text(node: Node) -> str:
 S, TEXT, SIZE, PAGES, OPTIONAL, REPEATED, CHILDREN = range(7)
 
 
+Steps = Generator["Steps", list, list]
+
+
+def _run(steps: Steps) -> list:
+    """The result of steps that yield further ones and go on with their results: recursion without a bound of depth."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 def folded(node: Node) -> list:
     """The wrapper of one page's tree."""
+    return _run(_folding(node))
+
+
+def _aligned(a: list, b: list, repeats: bool = False) -> list:
+    """The least wrapper of both. repeats: they are neighbours on one page."""
+    return _run(_aligning(a, b, repeats))
+
+
+def _folding(node: Node) -> Steps:
     own = own_text(node)
     out = [node.signature, own if len(own) <= 120 else None, len(own), 1, False, False, []]
     children: list[list] = []
     for child in node.children:
         if isinstance(child, str) or child.tag in RAW:
             continue
-        made = folded(child)
+        made = yield _folding(child)
         if children and children[-1][S] == made[S]:
-            children[-1] = _aligned(children[-1], made, True)
+            children[-1] = yield _aligning(children[-1], made, True)
         else:
             children.append(made)
-    out[CHILDREN] = _bounded(children)
+    out[CHILDREN] = yield _bounding(children)
     return out
 
 
-def _aligned(a: list, b: list, repeats: bool = False) -> list:
-    """The least wrapper of both. repeats: they are neighbours on one page."""
+def _aligning(a: list, b: list, repeats: bool = False) -> Steps:
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
     pages = a[PAGES] if repeats else a[PAGES] + b[PAGES]
-    return [a[S], text, a[SIZE] + b[SIZE], pages, a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or repeats, _bounded(_sequence(a[CHILDREN], b[CHILDREN]))]
+    children: list[list] = []
+    if a[CHILDREN] or b[CHILDREN]:
+        children = yield _sequence(a[CHILDREN], b[CHILDREN])
+        children = yield _bounding(children)
+    return [a[S], text, a[SIZE] + b[SIZE], pages, a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or repeats, children]
 
 
-def _sequence(a: list[list], b: list[list]) -> list[list]:
+def _sequence(a: list[list], b: list[list]) -> Steps:
     """Children of both sides in order: matched ones aligned, others optional."""
+    out = []
     if [x[S] for x in a] == [x[S] for x in b]:
-        return [_aligned(x, y) for x, y in zip(a, b, strict=True)]
+        for x, y in zip(a, b, strict=True):
+            out.append((yield _aligning(x, y)))
+        return out
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = 1 + best[i + 1][j + 1] if a[i][S] == b[j][S] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    i, j = 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][S] == b[j][S]:
-            out.append(_aligned(a[i], b[j]))
+            out.append((yield _aligning(a[i], b[j])))
             i, j = i + 1, j + 1
         elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([*a[i][:OPTIONAL], True, *a[i][REPEATED:]])
@@ -201,7 +241,7 @@ def _sequence(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
-def _bounded(children: list[list]) -> list[list]:
+def _bounding(children: list[list]) -> Steps:
     """Neighbours of one signature fold into a repeated group; too many kinds lose their names."""
     for drop in (False, True):
         if drop:
@@ -213,7 +253,7 @@ def _bounded(children: list[list]) -> list[list]:
         out: list[list] = []
         for c in children:
             if out and out[-1][S] == c[S]:
-                out[-1] = _aligned(out[-1], c, True)
+                out[-1] = yield _aligning(out[-1], c, True)
                 out[-1][OPTIONAL] = out[-1][OPTIONAL] or drop
             else:
                 out.append(c)
@@ -221,6 +261,26 @@ def _bounded(children: list[list]) -> list[list]:
     return children
 
 
+def dumped(wrapper: list) -> str:
+    """A wrapper as JSON: its nodes in order, each with the count of its children, so that depth is no nesting."""
+    flat, stack = [], [wrapper]
+    while stack:
+        node = stack.pop()
+        flat.append([*node[:CHILDREN], len(node[CHILDREN])])
+        stack += reversed(node[CHILDREN])
+    return json.dumps(flat, ensure_ascii=False)
+
+
+def loaded(text: str) -> list:
+    """The wrapper that :func:`dumped` gave."""
+    built: list[list] = []
+    for *node, count in reversed(json.loads(text)):
+        children = built[len(built) - count :][::-1] if count else []
+        del built[len(built) - count :]
+        built.append([*node, children])
+    return built[0]
+
+
 def template_words(tag: str, names: Iterable[str]) -> bool:
     """Whether an element's names tell that it is not the article."""
     return tag in DROPPED or tag not in KEPT and any(name in NAMED_WHOLE or _names_template(name) for name in names)
@@ -428,10 +488,10 @@ def host_of(url: Column) -> Column:
 
 
 def _merged(wrappers: list[str]) -> str:
-    out = json.loads(wrappers[0])
+    out = loaded(wrappers[0])
     for more in wrappers[1:]:
-        out = _aligned(out, json.loads(more))
-    return json.dumps(out, ensure_ascii=False)
+        out = _aligned(out, loaded(more))
+    return dumped(out)
 
 
 def wrappers(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -444,7 +504,8 @@ def wrappers(pages: DataFrame, html: str = "html") -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal salt
             salt += 1
-            made = pa.RecordBatch.from_pydict({"host": list(held), "share": [hash_of(f"{h}{len(json.dumps(w))}{salt}") % SHARES for h, w in held.items()], "wrapper": [json.dumps(w, ensure_ascii=False) for w in held.values()]}, schema=_FOLDED)
+            texts = [dumped(w) for w in held.values()]
+            made = pa.RecordBatch.from_pydict({"host": list(held), "share": [hash_of(f"{h}{len(w)}{salt}") % SHARES for h, w in zip(held, texts, strict=True)], "wrapper": texts}, schema=_FOLDED)
             held.clear()
             return made
 
@@ -475,7 +536,7 @@ def hash_of(text: str) -> int:
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html", url: str = "url") -> DataFrame:
     """``keep`` columns with text."""
     hosted = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    rules = wrappers(hosted).mapInPandas(lambda rows: (pd.DataFrame({"host": r["host"], "rules": [json.dumps(region(json.loads(w)), ensure_ascii=False) for w in r["wrapper"]]}) for r in rows), "host string, rules string")
+    rules = wrappers(hosted).mapInPandas(lambda rows: (pd.DataFrame({"host": r["host"], "rules": [json.dumps(region(loaded(w)), ensure_ascii=False) for w in r["wrapper"]]}) for r in rows), "host string, rules string")
     joined = hosted.join(written(rules, "wrappers"), "host", "left").select(*[f"k{i}" for i in range(len(keep))], "rules", "html")
     schema = ", ".join([*(f"k{i} {hosted.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "text string"])
 

@@ -57,3 +57,14 @@ def test_roles_come_from_all_names():
     assert texts(*pages) == [words(n) for n in range(4)]
     a, b = (extract.parse(f'<div class="{utility} {x}">').children[0].signature for x in ("sidebar", "story"))
     assert a != b and a.startswith("div.") and len(a) < 20
+
+
+def test_deep_nests_neither_close_what_is_outside_nor_leak():
+    deep = "<div>" * 400 + "deep" + "</div>" * 400
+    page = f"<body><div><article><p>{words(1)}</p>{deep}<p>{words(2)}</p></article></div></body>"
+    assert texts(page, page.replace("start", "begin"))[0] == f"{words(1)}\ndeep\n{words(2)}"
+    unclosed = "<body><article>" + "".join(f"<font>f{n} " for n in range(300)) + f'<div class="comments"><p>bad</p></div><p>{words(3)}</p></article></body>'
+    assert texts(unclosed) == [" ".join(f"f{n}" for n in range(300)) + f"\n{words(3)}"]
+    wrapper = extract.folded(extract.parse("<div>" * 20000 + "deep"))
+    text = extract.dumped(extract._aligned(wrapper, wrapper))
+    assert extract.dumped(extract.loaded(text)) == text and extract.read(extract.parse("<div>" * 20000 + "deep"), ({}, [])) == "deep"
