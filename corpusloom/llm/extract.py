@@ -25,8 +25,9 @@ are compared with generalised nodes by their tags.
 
 Defined results: null and empty html give an empty text; a null url, or one
 without a host, belongs to the host with the empty name; markup that never closes
-is closed at the end; pages of a host seen only once use their own wrapper; equal
-pages have equal texts; further columns are ignored.
+is closed at the end; a text is constant where different pages of a host have it, so
+copies of one page tell of none; equal pages of a host have equal texts; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ import zlib
 from collections import Counter
 from collections.abc import Generator, Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -158,9 +160,10 @@ def own_text(node: Node) -> str:
     return " ".join([t for c in node.children if isinstance(c, str) and (t := _clean(c))])
 
 
-# A wrapper node is [signature, text, size, pages, optional, repeated, children]: text is a
-# constant, or None for a slot, or "" for none; size the characters of its own texts.
-S, TEXT, SIZE, PAGES, OPTIONAL, REPEATED, CHILDREN = range(7)
+# A wrapper node is [signature, text, least, most, optional, repeated, children]: text is a
+# constant, or None for a slot, or "" for none; least and most are those of its pages' digests,
+# equal where all its pages are copies of one.
+S, TEXT, LEAST, MOST, OPTIONAL, REPEATED, CHILDREN = range(7)
 
 
 Steps = Generator["Steps", list, list]
@@ -179,9 +182,13 @@ def _run(steps: Steps) -> list:
     return value
 
 
-def folded(node: Node) -> list:
-    """The wrapper of one page's tree."""
-    return _run(_folding(node))
+def folded(node: Node, digest: int = 0) -> list:
+    """The wrapper of one page's tree; ``digest`` tells the page from others."""
+    return _run(_folding(node, digest))
+
+
+def digest_of(html: str | None) -> int:
+    return int.from_bytes(blake2b((html or "").encode("utf-8", "replace"), digest_size=6).digest())
 
 
 def _aligned(a: list, b: list, repeats: bool = False) -> list:
@@ -189,14 +196,14 @@ def _aligned(a: list, b: list, repeats: bool = False) -> list:
     return _run(_aligning(a, b, repeats))
 
 
-def _folding(node: Node) -> Steps:
+def _folding(node: Node, digest: int) -> Steps:
     own = own_text(node)
-    out = [node.signature, own if len(own) <= 120 else None, len(own), 1, False, False, []]
+    out = [node.signature, own if len(own) <= 120 else None, digest, digest, False, False, []]
     children: list[list] = []
     for child in node.children:
         if isinstance(child, str) or child.tag in RAW:
             continue
-        made = yield _folding(child)
+        made = yield _folding(child, digest)
         if children and children[-1][S] == made[S]:
             children[-1] = yield _aligning(children[-1], made, True)
         else:
@@ -207,12 +214,11 @@ def _folding(node: Node) -> Steps:
 
 def _aligning(a: list, b: list, repeats: bool = False) -> Steps:
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
-    pages = a[PAGES] if repeats else a[PAGES] + b[PAGES]
     children: list[list] = []
     if a[CHILDREN] or b[CHILDREN]:
         children = yield _sequence(a[CHILDREN], b[CHILDREN])
         children = yield _bounding(children)
-    return [a[S], text, a[SIZE] + b[SIZE], pages, a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or repeats, children]
+    return [a[S], text, min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or repeats, children]
 
 
 def _sequence(a: list[list], b: list[list]) -> Steps:
@@ -314,7 +320,7 @@ def region(wrapper: list) -> list[list]:
         at = places.setdefault((parent, node[S]), len(tree))
         if at == len(tree):
             tree.append([parent, node[S], []])
-        if node[TEXT] and node[PAGES] > 1 and node[TEXT] not in tree[at][2]:
+        if node[TEXT] and node[LEAST] < node[MOST] and node[TEXT] not in tree[at][2]:
             tree[at][2].append(node[TEXT])
         stack += [(c, at) for c in node[CHILDREN]]
     # branches without a constant are of no use
@@ -511,7 +517,7 @@ def wrappers(pages: DataFrame, html: str = "html") -> DataFrame:
 
         for batch in sliced(batches, "html"):
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = folded(parse(html))
+                made = folded(parse(html), digest_of(html))
                 held[host] = _aligned(held[host], made) if host in held else made
             if len(held) > 2000:
                 yield flush()

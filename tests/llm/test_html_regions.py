@@ -7,9 +7,9 @@ from corpusloom.llm import extract
 
 def texts(*pages):
     """Texts of the pages of one host."""
-    wrapper = extract.folded(extract.parse(pages[0]))
-    for page in pages[1:]:
-        wrapper = extract._aligned(wrapper, extract.folded(extract.parse(page)))
+    wrapper, *more = [extract.folded(extract.parse(page), extract.digest_of(page)) for page in pages]
+    for other in more:
+        wrapper = extract._aligned(wrapper, other)
     known = extract.known_constants(extract.region(wrapper))
     return [extract.read(extract.parse(page), known) for page in pages]
 
@@ -68,3 +68,18 @@ def test_deep_nests_neither_close_what_is_outside_nor_leak():
     wrapper = extract.folded(extract.parse("<div>" * 20000 + "deep"))
     text = extract.dumped(extract._aligned(wrapper, wrapper))
     assert extract.dumped(extract.loaded(text)) == text and extract.read(extract.parse("<div>" * 20000 + "deep"), ({}, [])) == "deep"
+
+
+def test_copies_of_a_page_erase_nothing():
+    page = "<h1>Title</h1><p>Short.</p><div>Also short.</div>"
+    assert texts(page) == ["Title\nShort.\nAlso short."] and texts(page, page) == texts(page) * 2 and texts(*[page] * 5) == texts(page) * 5
+    # a copy's texts are slots even where other pages of the host have constants
+    other = "<section><i>Legal text</i><p>{}</p></section><section><i>Legal text</i></section>"
+    got = texts(page, page, other.format("One."), other.format("Two."))
+    assert got[:2] == texts(page) * 2 and got[2:] == ["One.", "Two."]
+
+
+def test_constants_take_no_other_text_of_their_path():
+    pages = [f"<div>All rights</div><h1>Head {n}</h1>{f'<div>Other {n}</div>' if n == 3 else '<div>All rights</div>'}<p>{words(n)}</p>" for n in range(4)]
+    constant = [[-1, "#", []], [0, "div", ["All rights"]]]
+    assert extract.read(extract.parse(pages[3]), extract.known_constants(constant)) == f"Head 3\nOther 3\n{words(3)}"
