@@ -54,6 +54,8 @@ SHARES = 32
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title".split())
+#: Those of RAW that last to the end of the page where they are never closed.
+TO_THE_END = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("nav aside footer form script style noscript template iframe svg math object canvas textarea title head button select option input dialog menu audio video".split())
 #: Words in class, id and role that name what is not the article.
@@ -103,6 +105,8 @@ def parse(html: str | None) -> Node:
     stack = [root]
     #: how many elements of each tag are open, so that none is looked for in vain
     opened: Counter[str] = Counter()
+    #: RAW elements without a further end tag
+    endless: set[str] = set()
     place, text = 0, html or ""
 
     def words(raw: str) -> None:
@@ -142,8 +146,15 @@ def parse(html: str | None) -> Node:
         node = _element(tag, m[3])
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(text, place)
-            place = end.end() if end else len(text)
+            if tag in ("svg", "math") and m[3].endswith("/") or tag in endless:
+                continue
+            if end := re.compile(rf"</{tag}\b[^>]*>?", re.I).search(text, place):
+                place = end.end()
+            elif tag in TO_THE_END:
+                place = len(text)
+            else:
+                # never closed: an empty element, and what follows is the page's
+                endless.add(tag)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
             opened[tag] += 1

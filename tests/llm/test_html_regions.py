@@ -83,3 +83,11 @@ def test_constants_take_no_other_text_of_their_path():
     pages = [f"<div>All rights</div><h1>Head {n}</h1>{f'<div>Other {n}</div>' if n == 3 else '<div>All rights</div>'}<p>{words(n)}</p>" for n in range(4)]
     constant = [[-1, "#", []], [0, "div", ["All rights"]]]
     assert extract.read(extract.parse(pages[3]), extract.known_constants(constant)) == f"Head 3\nOther 3\n{words(3)}"
+
+
+def test_raw_elements_that_are_empty_or_never_closed_cut_nothing():
+    for raw in ("<svg class='icon'/>", '<svg class="icon" />', "<math/>", "<canvas>", "<object data=x>", "<svg class='icon'>", "<iframe src=x>", "<noscript>"):
+        page = f"<body>{raw}<article>{raw}<p>{words(1)}</p>{raw}<p>{words(2)}</p></article></body>"
+        assert texts(page) == [f"{words(1)}\n{words(2)}"], raw
+    icons = f"<article><svg/><p>{words(1)}</p><svg><text>no</text></svg><p>{words(2)}</p><script>let a = 1"
+    assert texts(icons) == [f"{words(1)}\n{words(2)}"]
