@@ -20,8 +20,9 @@ over these have the same members.
 Defined results: texts without words (null, empty, only white space) have
 fingerprint zero and link with each other; texts of one or two words have one
 shingle, the whole sequence; equal rows fall in one component; null doc_ids take
-part with component ids of the non-null rest (null if there is none); further
-columns are carried by :func:`stage` and ignored otherwise.
+part with component ids of the non-null rest (null if there is none); of each
+component one row is kept by :func:`stage`, whatever ids are null or repeated; further
+columns are carried by it and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -194,15 +195,27 @@ def links(nodes: DataFrame, group_most: int = 1 << 16) -> DataFrame:
     return found
 
 
-def components(prints: DataFrame, doc_id: str = "doc_id", group_most: int = 1 << 16) -> DataFrame:
-    """fp, component_id (least doc_id reachable) of each distinct fingerprint of ``prints``."""
+def _labelled(prints: DataFrame, doc_id: str, group_most: int) -> DataFrame:
+    """fp, first (its least doc_id) and root of each distinct fingerprint of ``prints``."""
     nodes = written(prints.groupBy("fp").agg(F.min(doc_id).alias("first")), "fingerprints")
     roots = connected_components(links(nodes.select("fp"), group_most))
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def components(prints: DataFrame, doc_id: str = "doc_id", group_most: int = 1 << 16) -> DataFrame:
+    """fp, component_id (least doc_id reachable) of each distinct fingerprint of ``prints``."""
+    labelled = _labelled(prints, doc_id, group_most)
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     return labelled.join(least, "root").select("fp", "component_id")
 
 
+def survivors(prints: DataFrame, group_most: int = 1 << 16) -> DataFrame:
+    """first and fp of one row of each component: the least doc_id (null only where the
+    component has no other), then the least fingerprint."""
+    best = _labelled(prints, "doc_id", group_most).groupBy("root").agg(F.min(F.struct(F.isnull("first").alias("none"), "first", "fp")).alias("best"))
+    return best.select("best.first", "best.fp")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id of every row."""
     prints = written(fingerprints(docs), "prints")
@@ -211,16 +224,23 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one of the least doc_id (of equal ids one row)."""
+    """One row of each component: the one of the least doc_id (of rows with equal ids
+    and fingerprints one). A null or repeated id stands for several rows, of which
+    the fingerprint tells the survivors."""
     prints = written(fingerprints(docs), "prints")
-    first = prints.join(components(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    first = written(survivors(prints), "survivors")
+    twice = written(prints.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")), "repeated-ids")
     plain, names = plainly_named(docs)
     own = F.col(names["doc_id"])
-    chosen = plain.join(first, own.eqNullSafe(F.col("first")), "left_semi")
-    twice = written(prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")), "repeated-ids")
-    if not twice.take(1):
-        return named_back(chosen, names)
-    # ids that occur in several rows: one of their rows stays
-    single = chosen.join(twice, own.eqNullSafe(F.col("twice")), "left_anti")
-    several = chosen.join(twice, own.eqNullSafe(F.col("twice")), "left_semi").dropDuplicates([names["doc_id"]])
-    return named_back(single.unionByName(several), names)
+    chosen = plain.join(first.where("first IS NOT NULL").select("first"), own == F.col("first"), "left_semi")
+    unsure = []
+    if twice.take(1):
+        unsure.append(chosen.join(twice, own == F.col("twice"), "left_semi"))
+        chosen = chosen.join(twice, own == F.col("twice"), "left_anti")
+    if first.where("first IS NULL").take(1):
+        unsure.append(plain.where(own.isNull()))
+    for rows in unsure:
+        known = fingerprints(rows, names["text"], tuple(names.values()))
+        told = known.join(first.withColumnRenamed("fp", "__fp"), own.eqNullSafe(F.col("first")) & (F.col("fp") == F.col("__fp")), "left_semi")
+        chosen = chosen.unionByName(told.dropDuplicates([names["doc_id"], "fp"]).drop("fp"))
+    return named_back(chosen, names)

@@ -85,6 +85,20 @@ def test_report_and_stage_edges(spark):
     assert simhash.report(frame.limit(0)).count() == 0 and simhash.stage(frame.limit(0)).count() == 0
 
 
+def test_stage_keeps_one_row_of_each_component_whatever_the_ids(spark):
+    rng = np.random.default_rng(5)
+    fresh = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 40))
+    a, b, c, d, e, f = (fresh() for _ in range(6))
+    # null ids of three texts, one of them copied to id 4; id 7 with four texts, one of them a copy of id 3's
+    rows = [(None, a), (None, a), (None, b), (None, c), (4, c), (3, d), (7, d), (7, e), (7, e), (7, f), (9, b.upper())]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, 7, 8, 9, "g") for i, t in rows], SCHEMA)
+    kept = simhash.stage(frame)
+    assert kept.columns == frame.columns
+    got = sorted(((r["doc_id"] or -1, r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(-1, a), (9, b.upper()), (4, c), (3, d), (7, e), (7, f)], key=str)
+    assert {tuple(r)[2:] for r in kept.collect()} == {("en", "s", 1, 7, 8, 9, "g")}
+
+
 def plain_statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
