@@ -10,46 +10,74 @@ becomes repeated, texts that differ become slots. Folding is done for each task
 first, then for each salted share of a host, then for the host, so that a hot
 host is never gathered.
 
-The wrapper says which texts are slots. Each page is then read with its host's
-wrapper: the region is made of the page's own outermost ``article`` or ``main``
-elements (or what is named so) where these hold half of its slots' text at least,
-else of all its slots, with the whole of the node that holds most of them. Nodes
-named as menus, adverts, notices, comments and the like, and constant texts
-outside the best named or holding node, are template. A page that would be left
-without text keeps all it has.
-
-Bounded memory: signatures lose digits and positions; a node with more than
-``MOST_KINDS`` kinds of children is generalised (names are dropped, so its
-children fold into fewer kinds) and nothing of a page's text is lost by it: pages
-are compared with generalised nodes by their tags.
+A node also keeps how much text it holds on an average page, and a bottom-k sample
+of its texts, each with some of the pages that have it. From these the wrapper says
+of every place of a host what it is: a constant (one text on different pages),
+recurring (few texts that come back on page after page: adverts, notices), a slot,
+or a group of links; and how much new text a page has there. Each page is read so:
+
+- the region is what holds the new text: the page's ``article`` or ``main`` (or what
+  is named so) where that has half of it at least, else the deepest node with nearly
+  all of it together with the slots around it;
+- groups of constants, of recurring texts and of links are template, in the region
+  and around it; headings and paragraphs of the region stay, whatever they say;
+- how much a place matters is what the host's pages have there, not what this page
+  has, so the article of a page with two words is found beside a long footer.
+
+Names decide where the wrapper leaves it open. Elements that HTML itself calls menu,
+footer, aside or form are dropped; names of adverts, menus, sidebars, notices and
+comments drop their element unless it holds the host's main text; vaguer names
+(``WEAK``) only what has little text of its own. Where a host has one page, or only
+copies of one, there is nothing to compare, and the page's own sizes stand for the
+host's. With fewer than ``ENOUGH`` different pages the wrapper is not believed where
+it would drop most of a page. A page that would be left without text keeps what it has.
+
+A text counts as one of several pages only where what stands beside it differs. Pages
+are told from each other by three of their texts, drawn by hash with a chance in
+proportion to length, the text in question left out: copies of an article, exact or
+(mostly) near, count as one page, so what they share is not taken for template.
+
+Bounded memory: a node with more than ``MOST_KINDS`` kinds of children drops their
+names, so that they fold into fewer kinds; a wrapper of more than ``MOST_NODES``
+nodes does so with lower bounds and in the end gives up its deepest nodes. Nothing of
+a page's text is lost by it: pages are read from their own trees.
 
 Defined results: null and empty html give an empty text; a null url, or one
 without a host, belongs to the host with the empty name; markup that never closes
-is closed at the end; a text is constant where different pages of a host have it, so
-copies of one page tell of none; equal pages of a host have equal texts; further
-columns are ignored.
+is closed at the end; equal pages of a host have equal texts; further columns are
+ignored, and those of ``keep`` may have any names.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import json
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Generator, Iterable, Iterator
 from functools import lru_cache
-from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import sliced, written
+from corpusloom.llm.common import plainly_named, sliced, written
 
 MOST_KINDS = 48
+MOST_NODES = 20_000
 SHARES = 32
+#: Texts that a node samples, and pages that it keeps of each.
+TEXTS_KEPT, PAGES_KEPT = 8, 4
+#: Texts by which a page is told from others.
+DRAWN = 3
+#: Different pages from which on a wrapper is believed against most of a page.
+ENOUGH = 3
+#: Pages of a host above which its rules are dealt over several tasks, and rules (bytes) up to which they are broadcast.
+HOT_PAGES, BROADCAST_BYTES = 200_000, 64 << 20
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,15 +87,21 @@ TO_THE_END = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("nav aside footer form script style noscript template iframe svg math object canvas textarea title head button select option input dialog menu audio video".split())
 #: Words in class, id and role that name what is not the article.
-NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall subscribe subscription newsletter signup nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget widgets related recommended share sharing social comment comments reply replies respond discussion disqus footer foot masthead topbar toolbar login search pagination pager copyright disclaimer".split())
+NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside comment comments respond disqus footer foot masthead".split())
+#: Words that may name such things, or what an article is about: they drop only what has little text of its own.
+WEAK = frozenset("promo promoted promotion banner notification alert popup modal overlay paywall subscribe subscription newsletter signup widget widgets related recommended share sharing social reply replies discussion topbar toolbar login search pagination pager copyright disclaimer".split())
+#: Non-link characters that make an element with a weak name content: where the name stands alone, and beside other names.
+PLAIN_TEXT = (80, 20)
 #: The same for names as a whole.
 NAMED_WHOLE = frozenset("header site-header page-header global-header top bottom legal hidden toc".split())
-#: Words before a name of NAMED in one compound that make it tell of something else.
+#: Words before a name of NAMED or WEAK in one compound that make it tell of something else.
 TELLING = frozenset("has have no not without with is hide hides in category categories cat tag tags topic topics type format".split())
-#: Words after a name of NAMED that only say what form it has.
+#: Words after such a name that only say what form it has.
 FORMS = frozenset("area bar block body bottom box button buttons container content form group header inner item items left link links list panel right row section title top wrap wrapper 0".split())
 #: Elements that are never dropped for their names.
 KEPT = frozenset("# html body main article".split())
+#: Elements that group others: such groups can be template within the region.
+GROUPS = frozenset("div section span ul ol dl table tbody figure center details fieldset".split())
 ARTICLE = frozenset("article post entry story content main body articlebody post-body post-content entry-content article-body article-content main-content maincontent".split())
 #: What an opening tag of these closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
@@ -76,15 +110,17 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*
 
 
 class Node:
-    __slots__ = ("children", "fixed", "hidden", "level", "mark", "signature", "tag")
+    __slots__ = ("children", "fixed", "hidden", "level", "mark", "seal", "signature", "size", "tag", "weak")
 
-    def __init__(self, tag: str, signature: str, template: bool = False, level: int = 0):
-        self.tag, self.signature, self.hidden, self.level = tag, signature, template, level
+    def __init__(self, tag: str, signature: str, template: bool = False, weak: int = 0, level: int = 0):
+        self.tag, self.signature, self.hidden, self.weak, self.level = tag, signature, template, weak, level
         self.children: list[Node | str] = []
+        self.size = self.seal = self.mark = 0
+        self.fixed = False
 
 
 def _element(tag: str, attributes: str) -> Node:
-    """A node; its role comes from all its names, of which the signature holds six, or a hash."""
+    """A node; its role comes from all its names, which the signature holds, or a hash of them."""
     names = frozenset()
     if attributes and "=" in attributes:
         names = frozenset(w for m in ATTRIBUTE.finditer(attributes) for w in re.sub(r"\d+", "0", (m[2] or m[3] or m[4] or "").lower()).split())
@@ -92,11 +128,14 @@ def _element(tag: str, attributes: str) -> Node:
 
 
 @lru_cache(1 << 14)
-def _role(tag: str, names: frozenset[str]) -> tuple[str, bool, int]:
-    """Signature, whether it is template, and how far it is an article."""
-    shown = sorted(names)
-    signature = ".".join([tag, *shown] if len(shown) <= 6 else [tag, f"#{hash_of(' '.join(shown)):08x}"])
-    return signature, template_words(tag, names), _is_article(tag, names)
+def _role(tag: str, names: frozenset[str]) -> tuple[str, bool, int, int]:
+    """Signature, whether it is template, how much text its weak name gives way to, and how far it is an article."""
+    signature = ".".join([tag, *sorted(names)])
+    if len(signature) > 80:
+        signature = f"{tag}.#{hash_of(signature):08x}"
+    weak = tag not in KEPT and any(_names_template(name, WEAK) for name in names)
+    alone = not any(n not in FORMS and not _names_template(n, WEAK) for n in names)
+    return signature, template_words(tag, names), (PLAIN_TEXT[0] if alone else PLAIN_TEXT[1]) if weak else 0, _is_article(tag, names)
 
 
 def parse(html: str | None) -> Node:
@@ -171,10 +210,37 @@ def own_text(node: Node) -> str:
     return " ".join([t for c in node.children if isinstance(c, str) and (t := _clean(c))])
 
 
-# A wrapper node is [signature, text, least, most, optional, repeated, children]: text is a
-# constant, or None for a slot, or "" for none; least and most are those of its pages' digests,
-# equal where all its pages are copies of one.
-S, TEXT, LEAST, MOST, OPTIONAL, REPEATED, CHILDREN = range(7)
+def weighed(root: Node) -> tuple[list[Node], list[int]]:
+    """Elements that may hold text, in the page's order, and the places of their
+    parents; sets ``size`` and ``seal`` (a hash) of their own texts."""
+    nodes, up, stack = [], [], [(root, -1)]
+    while stack:
+        node, parent = stack.pop()
+        at = len(nodes)
+        nodes.append(node)
+        up.append(parent)
+        if own := own_text(node):
+            node.size, node.seal = len(own), hash_of(own)
+        stack += [(c, at) for c in reversed(node.children) if not isinstance(c, str) and c.tag not in VOID and c.tag not in DROPPED]
+    return nodes, up
+
+
+def page_draws(nodes: list[Node]) -> list[int]:
+    """The hashes of a few of a page's texts, drawn by hash with a chance in proportion
+    to their length: pages that share most of their text mostly draw the same."""
+    drawn = heapq.nsmallest(DRAWN + 1, {(-math.log((n.seal + 1) / (1 << 32)) / n.size, n.seal) for n in nodes if n.size})
+    return [seal for _, seal in drawn]
+
+
+def beside(drawn: list[int], seal: int = 0) -> int:
+    """What tells a page from others, the text ``seal`` left out of account."""
+    return hash_of(str([x for x in drawn if x != seal][:DRAWN]))
+
+
+# A wrapper node is [signature, optional, repeated, pages, chars, texts, children]: pages that have
+# it, own characters on all of them, and a sample of its texts: [hash, hashes of some pages that have
+# it], those of the least hashes. The root's only text is 0, so that it holds some of the host's pages.
+S, OPTIONAL, REPEATED, PAGES, CHARS, TEXTS, CHILDREN = range(7)
 
 
 Steps = Generator["Steps", list, list]
@@ -193,43 +259,55 @@ def _run(steps: Steps) -> list:
     return value
 
 
-def folded(node: Node, digest: int = 0) -> list:
-    """The wrapper of one page's tree; ``digest`` tells the page from others."""
-    return _run(_folding(node, digest))
+def folded(root: Node) -> list:
+    """The wrapper of one page's tree."""
+    drawn = page_draws(weighed(root)[0])
+    made = _run(_folding(root, drawn))
+    made[TEXTS] = [[0, [beside(drawn)]]]
+    return made
 
 
-def digest_of(html: str | None) -> int:
-    return int.from_bytes(blake2b((html or "").encode("utf-8", "replace"), digest_size=6).digest())
+def aligned(a: list, b: list) -> list:
+    """The least wrapper of both."""
+    return _run(_aligning(a, b))
 
 
-def _aligned(a: list, b: list, repeats: bool = False) -> list:
-    """The least wrapper of both. repeats: they are neighbours on one page."""
-    return _run(_aligning(a, b, repeats))
-
-
-def _folding(node: Node, digest: int) -> Steps:
-    own = own_text(node)
-    out = [node.signature, own if len(own) <= 120 else None, digest, digest, False, False, []]
+def _folding(node: Node, drawn: list[int]) -> Steps:
     children: list[list] = []
     for child in node.children:
-        if isinstance(child, str) or child.tag in RAW:
+        if isinstance(child, str) or child.tag in VOID or child.tag in DROPPED:
             continue
-        made = yield _folding(child, digest)
+        made = yield _folding(child, drawn)
         if children and children[-1][S] == made[S]:
-            children[-1] = yield _aligning(children[-1], made, True)
+            children[-1] = yield _aligning(children[-1], made, 1)
         else:
             children.append(made)
-    out[CHILDREN] = yield _bounding(children)
-    return out
+    children = yield _bounding(children, 1)
+    return [node.signature, False, False, 1, node.size, [[node.seal, [beside(drawn, node.seal)]]] if node.size else [], children]
+
+
+def _sampled(a: list, b: list) -> list:
+    """Both samples as one."""
+    if not a or not b:
+        return a or b
+    found = dict(a)
+    for text, pages in b:
+        if text in found:
+            if found[text] != pages:
+                found[text] = sorted({*found[text], *pages})[:PAGES_KEPT]
+        else:
+            found[text] = pages
+    return [[text, found[text]] for text in sorted(found)[:TEXTS_KEPT]]
 
 
-def _aligning(a: list, b: list, repeats: bool = False) -> Steps:
-    text = a[TEXT] if a[TEXT] == b[TEXT] else None
+def _aligning(a: list, b: list, most: int = 0) -> Steps:
+    """most: both are neighbours under a node of so many pages."""
+    pages = min(a[PAGES] + b[PAGES], most or 1 << 62)
     children: list[list] = []
     if a[CHILDREN] or b[CHILDREN]:
         children = yield _sequence(a[CHILDREN], b[CHILDREN])
-        children = yield _bounding(children)
-    return [a[S], text, min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or repeats, children]
+        children = yield _bounding(children, pages)
+    return [a[S], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED] or most > 0, pages, a[CHARS] + b[CHARS], _sampled(a[TEXTS], b[TEXTS]), children]
 
 
 def _sequence(a: list[list], b: list[list]) -> Steps:
@@ -250,34 +328,77 @@ def _sequence(a: list[list], b: list[list]) -> Steps:
             out.append((yield _aligning(a[i], b[j])))
             i, j = i + 1, j + 1
         elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:OPTIONAL], True, *a[i][REPEATED:]])
+            out.append([a[i][S], True, *a[i][REPEATED:]])
             i += 1
         else:
-            out.append([*b[j][:OPTIONAL], True, *b[j][REPEATED:]])
+            out.append([b[j][S], True, *b[j][REPEATED:]])
             j += 1
     return out
 
 
-def _bounding(children: list[list]) -> Steps:
-    """Neighbours of one signature fold into a repeated group; too many kinds lose their names."""
-    for drop in (False, True):
-        if drop:
-            if len(children) <= MOST_KINDS:
+def _general(signature: str) -> str:
+    """The tag alone, marked as standing for all names."""
+    return signature if signature.endswith("*") else signature.split(".")[0] + "*"
+
+
+def _bounding(children: list[list], pages: int, most: int = MOST_KINDS) -> Steps:
+    """Neighbours of one signature fold into a repeated group; too many kinds lose
+    their names and, if the bound is lower than their tags are many, these as well.
+    Names once lost stay so for what comes later; beyond the bound order is given up."""
+    wide = {c[S] for c in children if c[S].endswith("*")}
+    if "*" in wide:
+        children = [["*", *c[OPTIONAL:]] for c in children]
+    elif wide:
+        children = sorted(([g if (g := _general(c[S])) in wide else c[S], *c[OPTIONAL:]] for c in children), key=lambda c: c[S])
+    for general in (None, _general, lambda _: "*"):
+        if general:
+            if len(children) <= most:
                 break
-            children = [[c[S].split(".")[0], *c[TEXT:]] for c in children]
-            # beyond the bound order is given up: one repeated optional child of each kind
-            children.sort(key=lambda c: c[S])
+            children = sorted(([general(c[S]), *c[OPTIONAL:]] for c in children), key=lambda c: c[S])
         out: list[list] = []
         for c in children:
             if out and out[-1][S] == c[S]:
-                out[-1] = yield _aligning(out[-1], c, True)
-                out[-1][OPTIONAL] = out[-1][OPTIONAL] or drop
+                out[-1] = yield _aligning(out[-1], c, pages)
+                out[-1][OPTIONAL] = out[-1][OPTIONAL] or c[S].endswith("*")
             else:
                 out.append(c)
         children = out
     return children
 
 
+def _lowering(node: list, most: int) -> Steps:
+    children = []
+    for c in node[CHILDREN]:
+        children.append((yield _lowering(c, most)))
+    return [*node[:CHILDREN], (yield _bounding(children, node[PAGES], most))]
+
+
+def fitted(wrapper: list, most: int = MOST_NODES) -> list:
+    """The wrapper with at most ``most`` nodes (of their kinds, see :func:`_bounding`;
+    what is still too deep is cut off)."""
+    for kinds in (16, 4, 1):
+        levels = _levels(wrapper)
+        if sum(map(len, levels)) <= most:
+            return wrapper
+        wrapper = _run(_lowering(wrapper, kinds))
+    levels = _levels(wrapper)
+    held = 0
+    for level, below in zip(levels, [*levels[1:], []], strict=True):
+        held += len(level)
+        if held + len(below) > most:
+            for node in level:
+                node[CHILDREN] = []
+            break
+    return wrapper
+
+
+def _levels(wrapper: list) -> list[list[list]]:
+    levels = [[wrapper]]
+    while below := [c for node in levels[-1] for c in node[CHILDREN]]:
+        levels.append(below)
+    return levels
+
+
 def dumped(wrapper: list) -> str:
     """A wrapper as JSON: its nodes in order, each with the count of its children, so that depth is no nesting."""
     flat, stack = [], [wrapper]
@@ -285,7 +406,7 @@ def dumped(wrapper: list) -> str:
         node = stack.pop()
         flat.append([*node[:CHILDREN], len(node[CHILDREN])])
         stack += reversed(node[CHILDREN])
-    return json.dumps(flat, ensure_ascii=False)
+    return json.dumps(flat, ensure_ascii=False, separators=(",", ":"))
 
 
 def loaded(text: str) -> list:
@@ -303,15 +424,15 @@ def template_words(tag: str, names: Iterable[str]) -> bool:
     return tag in DROPPED or tag not in KEPT and any(name in NAMED_WHOLE or _names_template(name) for name in names)
 
 
-def _names_template(name: str) -> bool:
-    """Whether a class, id or role has a word of NAMED for the thing itself: it is or begins with
+def _names_template(name: str, words_of: frozenset[str] = NAMED) -> bool:
+    """Whether a class, id or role has one of the words for the thing itself: it is or begins with
     one, or ends with one (and its form), and does not tell of a state or subject."""
-    if name in NAMED:
+    if name in words_of:
         return True
     words = re.split(r"[-_:]+", name)
-    while len(words) > 1 and words[-1] in FORMS and words[-1] not in NAMED:
+    while len(words) > 1 and words[-1] in FORMS and words[-1] not in words_of:
         words.pop()
-    return words[0] in NAMED or words[-1] in NAMED and not TELLING.intersection(words)
+    return words[0] in words_of or words[-1] in words_of and not TELLING.intersection(words)
 
 
 def _is_article(tag: str, names: Iterable[str]) -> int:
@@ -319,117 +440,161 @@ def _is_article(tag: str, names: Iterable[str]) -> int:
     return 3 if tag == "article" else 2 if tag == "main" or "main" in names else 1 if any(n in ARTICLE for n in names) else 0
 
 
-def region(wrapper: list) -> list[list]:
-    """The constant texts of a wrapper as a tree of [parent, signature, texts], parents first."""
-    tree: list[list] = []
-    places: dict[tuple[int, str], int] = {}
+def rules_of(wrapper: list) -> list:
+    """What a host's wrapper says of its places: how many different pages stand behind
+    it (up to PAGES_KEPT), and for each place, parents first, [parent, signature, own
+    characters on a page that has it, whether its texts are new, hashes of constants].
+    Nodes of one signature under one parent are one place."""
+    support = len(wrapper[TEXTS][0][1]) if wrapper[TEXTS] else 0
+    places: list[list] = []
+    known: dict[tuple[int, str], int] = {}
     stack = [(wrapper, -1)]
     while stack:
         node, parent = stack.pop()
-        if node[S].split(".")[0] in DROPPED:
-            continue
-        at = places.setdefault((parent, node[S]), len(tree))
-        if at == len(tree):
-            tree.append([parent, node[S], []])
-        if node[TEXT] and node[LEAST] < node[MOST] and node[TEXT] not in tree[at][2]:
-            tree[at][2].append(node[TEXT])
+        at = known.setdefault((parent, node[S]), len(places))
+        if at == len(places):
+            places.append([parent, node[S], 0.0, False, []])
+        place = places[at]
+        if parent < 0:
+            place[2:4] = [round(node[CHARS] / node[PAGES], 1), True]
+        elif node[TEXTS]:
+            place[2] += round(node[CHARS] / node[PAGES], 1)
+            again = sum(len(p) > 1 for _, p in node[TEXTS])
+            if again == len(node[TEXTS]) == 1:
+                place[4].append(node[TEXTS][0][0])
+            elif support < ENOUGH or 2 * again <= len(node[TEXTS]):
+                place[3] = True
         stack += [(c, at) for c in node[CHILDREN]]
-    # branches without a constant are of no use
-    used = [bool(texts) for _, _, texts in tree]
-    for at in range(len(tree) - 1, 0, -1):
-        used[tree[at][0]] |= used[at]
-    number = {at: n for n, at in enumerate(at for at, u in enumerate(used) if u)}
-    return [[number.get(parent, -1), signature, sorted(texts)] for (parent, signature, texts), u in zip(tree, used, strict=True) if u]
+    return [support, places]
 
 
-def known_constants(rules: list[list]) -> tuple[dict, list[set]]:
-    """Places of a host's constants by parent and signature, and the texts of each place."""
-    return {(parent, signature): at for at, (parent, signature, _) in enumerate(rules)}, [set(texts) for *_, texts in rules]
+class Rules:
+    """A host's places, ready for reading: ``at`` by parent and signature."""
 
-
-def _outline(root: Node) -> tuple[list[Node], list[int]]:
-    """Elements that may hold text, in the page's order, and the places of their parents."""
-    nodes, up, stack = [], [], [(root, -1)]
-    while stack:
-        node, parent = stack.pop()
-        at = len(nodes)
-        nodes.append(node)
-        up.append(parent)
-        stack += [(c, at) for c in reversed(node.children) if not isinstance(c, str) and c.tag not in VOID and c.tag not in DROPPED]
-    return nodes, up
+    def __init__(self, found: list | None):
+        self.support, places = found or (0, [])
+        if self.support < 2:
+            places = []
+        self.at = {(p, s): k for k, (p, s, *_) in enumerate(places)}
+        self.chars = [p[2] for p in places]
+        self.new = [p[3] for p in places]
+        self.constants = [frozenset(p[4]) for p in places]
 
 
-def _sums(own: list[int], up: list[int]) -> list[int]:
+def _sums(own: list, up: list[int]) -> list:
     out = list(own)
     for at in range(len(out) - 1, 0, -1):
         out[up[at]] += out[at]
     return out
 
 
-def _mark(root: Node, constants: tuple[dict, list[set]]) -> None:
-    """Set ``mark`` (2 all text is read, 1 all but the host's constants, 0 nothing),
-    ``fixed`` (the own text is a constant) and ``hidden`` of a page's elements."""
-    nodes, up = _outline(root)
-    size = [sum([len(c.strip()) for c in n.children if isinstance(c, str)]) for n in nodes]
-    _hide(nodes, up, size)
-    places, texts = constants
-    at_host: list[list[int]] = []
-    outside = [False] * len(nodes)
+def _placed(nodes: list[Node], up: list[int], rules: Rules) -> list[int]:
+    """The place of each element among the host's; -1 where there is none."""
+    out: list[int] = []
     for at, node in enumerate(nodes):
-        parent = up[at]
-        node.mark = 0
-        node.hidden = node.hidden or at > 0 and nodes[parent].hidden
-        outside[at] = node.hidden or node.tag == "header" or at > 0 and outside[parent]
-        found = [places[key] for p in (at_host[parent] if at else [-1]) for s in {node.signature, node.tag} if (key := (p, s)) in places] if places else []
-        at_host.append(found)
-        node.fixed = bool(size[at] and found and any(own_text(node) in texts[f] for f in found))
-    shown = [0 if n.hidden else x for n, x in zip(nodes, size, strict=True)]
-    slots = [0 if n.fixed or o else x for n, x, o in zip(nodes, size, outside, strict=True)]
+        parent = out[up[at]] if at else -1
+        out.append(-1 if at and parent < 0 else next((rules.at[k] for s in (node.signature, node.tag + "*", "*") if (k := (parent, s)) in rules.at), -1))
+    return out
+
+
+def _mark(nodes: list[Node], up: list[int], rules: Rules) -> None:
+    """Set ``mark`` (2 all text is read, 1 all but constant and recurring texts, 0
+    nothing), ``fixed`` (the own text is such) and ``hidden`` of a page's elements."""
+    n = range(len(nodes))
+    place = _placed(nodes, up, rules)
+    for at in n:
+        node, p = nodes[at], place[at]
+        node.mark, node.fixed = 0, p >= 0 and node.size > 0 and (not rules.new[p] or node.seal in rules.constants[p])
+    if rules.support < ENOUGH and 2 * sum(x.size for x in nodes if x.fixed) > sum(x.size for x in nodes):
+        # few pages, and they would take most of this one: they are copies of each other
+        place = [-1] * len(nodes)
+        for node in nodes:
+            node.fixed = False
+    linked = [False] * len(nodes)
+    for at in n:
+        linked[at] = nodes[at].tag in ("a", "button") or at > 0 and linked[up[at]]
+    # what a page of the host has here, new texts and all of them
+    shared: Counter[int] = Counter(place)
+    usual = [rules.chars[p] / shared[p] if p >= 0 else float(x.size) for x, p in zip(nodes, place, strict=True)]
+    new = [0.0 if x.fixed or p >= 0 and not rules.new[p] else u for x, p, u in zip(nodes, place, usual, strict=True)]
+    # a weak name gives way to text of the element's own
+    plain = _sums([0.0 if k else max(u, x.size) for x, u, k in zip(nodes, new, linked, strict=True)], up)
+    bound = _sums([max(u, x.size) if k else 0.0 for x, u, k in zip(nodes, usual, linked, strict=True)], up)
+    for at in n:
+        node = nodes[at]
+        if node.weak and (plain[at] < node.weak or plain[at] < bound[at]):
+            node.hidden = True
+    _show(nodes, up, new)
+    outside = [False] * len(nodes)
+    for at in n:
+        node = nodes[at]
+        node.hidden = node.hidden or at > 0 and nodes[up[at]].hidden
+        outside[at] = node.hidden or node.tag == "header" or at > 0 and outside[up[at]]
+    slots = [0.0 if o or k else u for u, o, k in zip(new, outside, linked, strict=True)]
     if not any(slots):
-        # constants alone: the page keeps them
+        # constants or links alone: the page keeps them
         for node in nodes:
             node.fixed = False
-        slots = [0 if o else x for x, o in zip(size, outside, strict=True)]
-    text, slot = _sums(shown, up), _sums(slots, up)
-    level = [n.level if t and n.tag not in ("html", "body") and not o else 0 for n, t, o in zip(nodes, text, outside, strict=True)]
+        new = usual = [float(x.size) for x in nodes]
+        slots = [0.0 if o else u for u, o in zip(new, outside, strict=True)]
+        place = [-1] * len(nodes)
+    text, slot = _sums([0 if x.hidden else x.size for x in nodes], up), _sums(slots, up)
+    level = [x.level if t and x.tag not in ("html", "body") and not o else 0 for x, t, o in zip(nodes, text, outside, strict=True)]
     best = list(level)
     for at in range(len(nodes) - 1, 0, -1):
         best[up[at]] = max(best[up[at]], best[at])
     # the outermost named elements, in them what is named best
     top = [-1] * len(nodes)
-    held = 0
-    for at, node in enumerate(nodes):
+    held, rest = 0.0, slot[0]
+    for at in n:
         top[at] = top[up[at]] if at else -1
         if level[at]:
             if top[at] < 0:
                 top[at] = at
-                held += slot[at]
-            node.mark = 2 if level[at] == best[top[at]] else 1
-    if max(level) == 0 or 2 * held < slot[0]:
-        # no name holds the main text: all slots are read, and the whole of the
+                held += max(slot[at], text[at])
+                rest -= slot[at]
+            nodes[at].mark = 2 if level[at] == best[top[at]] else 1
+    if max(level) == 0 or held < rest:
+        # no name holds the main text: the slots are read, and the whole of the
         # deepest node, itself without text and not repeated, with nearly all of them
-        kinds = [[c.signature for c in n.children if not isinstance(c, str)] for n in nodes]
+        kinds = [Counter(c.signature for c in x.children if not isinstance(c, str)) for x in nodes]
         core = 0
-        for at in range(1, len(nodes)):
-            if slot[0] and slot[at] >= 0.9 * slot[0] and not slots[at] and kinds[up[at]].count(nodes[at].signature) == 1:
+        for at in n[1:]:
+            if slot[0] and slot[at] >= 0.9 * slot[0] and not slots[at] and kinds[up[at]][nodes[at].signature] == 1:
                 core = at
-        root.mark = max(root.mark, 1)
+        nodes[0].mark = max(nodes[0].mark, 1)
         if core:
             nodes[core].mark = 2
-    for at in range(1, len(nodes)):
+    if rules.support >= ENOUGH:
+        _drop_groups(nodes, up, place, usual, new, linked)
+    for at in n[1:]:
         nodes[at].mark = max(nodes[at].mark, nodes[up[at]].mark)
 
 
-def _hide(nodes: list[Node], up: list[int], size: list[int]) -> None:
+def _drop_groups(nodes: list[Node], up: list[int], place: list[int], usual: list[float], new: list[float], linked: list[bool]) -> None:
+    """Hide groups whose texts are all constant or recurring on the host, and groups
+    of links; never what holds a marked element."""
+    all_of, fresh = _sums(usual, up), _sums(new, up)
+    links = _sums([u if k else 0.0 for u, k in zip(new, linked, strict=True)], up)
+    holds = [x.mark == 2 for x in nodes]
+    for at in range(len(nodes) - 1, 0, -1):
+        holds[up[at]] |= holds[at]
+    for at, node in enumerate(nodes):
+        if place[at] >= 0 and node.tag in GROUPS and not holds[at] and all_of[at] > 0:
+            if fresh[at] == 0 or node.tag in ("div", "section") and links[at] >= 0.8 * fresh[at]:
+                node.hidden = True
+
+
+def _show(nodes: list[Node], up: list[int], size: list[float]) -> None:
     """Clear ``hidden`` of the elements that are named as template where such a name
-    would take the page's main text: more than all that is left, and ten times
-    what named articles still hold."""
+    would take the main text: more than all that is left, and ten times what named
+    articles still hold."""
     if not any(n.hidden for n in nodes):
         return
     whole = _sums(size, up)
     while True:
         top, article = [-1] * len(nodes), [False] * len(nodes)
-        left = held = 0
+        left = held = 0.0
         for at, node in enumerate(nodes):
             top[at] = top[up[at]] if at and top[up[at]] >= 0 else at if node.hidden else -1
             article[at] = at > 0 and article[up[at]] or node.tag not in ("html", "body") and node.level > 0
@@ -442,16 +607,17 @@ def _hide(nodes: list[Node], up: list[int], size: list[int]) -> None:
         nodes[most].hidden = False
 
 
-def read(root: Node, constants: tuple[dict, list[set]]) -> str:
+def read(root: Node, rules: Rules) -> str:
     """The article's blocks, one a line."""
-    _mark(root, constants)
+    nodes, up = weighed(root)
+    named = [n.hidden for n in nodes]
+    _mark(nodes, up, rules)
     if text := _blocks(root):
         return text
     # nothing is left: the page's whole text, first without what is named as template
-    nodes, _ = _outline(root)
     for unhide in (False, True):
-        for node in nodes:
-            node.mark, node.hidden = 2, node.hidden and not unhide
+        for node, was in zip(nodes, named, strict=True):
+            node.mark, node.hidden = 2, was and not unhide
         if text := _blocks(root):
             return text
     return ""
@@ -507,7 +673,7 @@ def host_of(url: Column) -> Column:
 def _merged(wrappers: list[str]) -> str:
     out = loaded(wrappers[0])
     for more in wrappers[1:]:
-        out = _aligned(out, loaded(more))
+        out = fitted(aligned(out, loaded(more)))
     return dumped(out)
 
 
@@ -516,20 +682,23 @@ def wrappers(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
-        salt = 0
+        salt = count = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal salt
             salt += 1
-            texts = [dumped(w) for w in held.values()]
+            texts = [dumped(fitted(w)) for w in held.values()]
             made = pa.RecordBatch.from_pydict({"host": list(held), "share": [hash_of(f"{h}{len(w)}{salt}") % SHARES for h, w in zip(held, texts, strict=True)], "wrapper": texts}, schema=_FOLDED)
             held.clear()
             return made
 
         for batch in sliced(batches, "html"):
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = folded(parse(html), digest_of(html))
-                held[host] = _aligned(held[host], made) if host in held else made
+                made = folded(parse(html))
+                held[host] = aligned(held[host], made) if host in held else made
+                count += 1
+                if count % 256 == 0:
+                    held[host] = fitted(held[host])
             if len(held) > 2000:
                 yield flush()
         if held:
@@ -550,22 +719,42 @@ def hash_of(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
+def _with_rules(hosted: DataFrame, rules: DataFrame) -> DataFrame:
+    """``hosted`` with its host's rules: by broadcast where these are small, else by a
+    join in which a hot host's pages and rules are dealt over several tasks."""
+    size = rules.agg(F.sum(F.octet_length("rules") + F.octet_length("host"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return hosted.join(F.broadcast(rules.select("host", "rules")), "host", "left")
+    # at most one host in HOT_PAGES pages is hot
+    hot = rules.where(F.col("pages") > HOT_PAGES).select("host", F.ceil(F.col("pages") / HOT_PAGES).cast("int").alias("parts"))
+    parts = hosted.join(F.broadcast(hot), "host", "left").withColumn("part", F.pmod(F.xxhash64("html", *[c for c in hosted.columns if c.startswith("k")]), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    dealt = rules.select("host", "rules", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("pages") / HOT_PAGES).cast("int"), F.lit(1)) - 1)).alias("part"))
+    return parts.join(dealt, ["host", "part"], "left").drop("part")
+
+
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html", url: str = "url") -> DataFrame:
     """``keep`` columns with text."""
-    hosted = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    rules = wrappers(hosted).mapInPandas(lambda rows: (pd.DataFrame({"host": r["host"], "rules": [json.dumps(region(loaded(w)), ensure_ascii=False) for w in r["wrapper"]]}) for r in rows), "host string, rules string")
-    joined = hosted.join(written(rules, "wrappers"), "host", "left").select(*[f"k{i}" for i in range(len(keep))], "rules", "html")
+    plain, names = plainly_named(pages)
+    hosted = plain.select(*[F.col(names[c]).alias(f"k{i}") for i, c in enumerate(keep)], F.col(names[html]).alias("html"), host_of(F.col(names[url])).alias("host"))
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [loaded(w) for w in rows["wrapper"]]
+            yield pd.DataFrame({"host": rows["host"], "pages": [w[PAGES] for w in found], "rules": [json.dumps(rules_of(w), ensure_ascii=False, separators=(",", ":")) for w in found]})
+
+    rules = written(wrappers(hosted).mapInPandas(told, "host string, pages long, rules string"), "wrappers")
+    joined = _with_rules(hosted, rules).select(*[f"k{i}" for i in range(len(keep))], "rules", "html")
     schema = ", ".join([*(f"k{i} {hosted.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "text string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, tuple] = {}
+        known: dict[str | None, Rules] = {}
         n = len(keep)
         for batch in sliced(batches, "html"):
             texts = []
             for rule, body in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                 if rule not in known:
-                    known.clear() if len(known) > 5000 else None
-                    known[rule] = known_constants(json.loads(rule) if rule else [])
+                    known.clear() if len(known) > 500 else None
+                    known[rule] = Rules(json.loads(rule) if rule else None)
                 texts.append(read(parse(body), known[rule]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(texts, pa.string())], names=[*(f"k{i}" for i in range(n)), "text"])
 

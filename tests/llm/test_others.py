@@ -195,9 +195,21 @@ def test_extract_edges(spark):
 def test_alignment_of_wrappers():
     a = extract.folded(extract.parse("<div><h1>A</h1><p>x</p><p>y</p></div>"))
     b = extract.folded(extract.parse("<div><h1>B</h1><i>z</i><table><tr><td>1</td></tr></table><p>x</p></div>"))
-    div = extract._aligned(a, b)[extract.CHILDREN][0]
-    shape = [(c[0], c[extract.TEXT], c[extract.OPTIONAL], c[extract.REPEATED]) for c in div[extract.CHILDREN]]
-    assert shape == [("h1", None, False, False), ("i", "z", True, False), ("table", "", True, False), ("p", None, False, True)]
+    div = extract.aligned(a, b)[extract.CHILDREN][0]
+    shape = [(c[extract.S], len(c[extract.TEXTS]), c[extract.OPTIONAL], c[extract.REPEATED], c[extract.PAGES]) for c in div[extract.CHILDREN]]
+    assert shape == [("h1", 2, False, False, 2), ("i", 1, True, False, 1), ("table", 0, True, False, 1), ("p", 2, False, True, 2)]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_hot_hosts_and_small_ones_read_alike(spark, monkeypatch, limit):
+    """Rules that are broadcast and rules that are joined, with hosts dealt over tasks."""
+    monkeypatch.setattr(extract, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(extract, "HOT_PAGES", 7)
+    rows = [(n, None if n % 40 == 39 else f"http://{'hot' if n % 4 else 'h%d' % (n % 3)}.org/{n}", f"<body><div class=m>All the same</div><div class=t><p>Text {n} " + "word " * 30 + "</p></div></body>", 1) for n in range(80)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, `k0.x` long")
+    got = {r["page_id"]: r["text"] for r in extract.report(frame).collect()}
+    assert got == {n: f"Text {n} " + " ".join(["word"] * 30) for n in range(80)}
+    assert extract.extract(frame, keep=("k0.x",)).columns == ["k0.x", "text"]
 
 
 def test_page_texts_equal_their_documents(spark):
