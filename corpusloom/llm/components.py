@@ -9,7 +9,9 @@ from corpusloom.llm.common import written
 
 
 def _sum(edges: DataFrame) -> tuple:
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()[:]
+    """What tells one set of links from another; nothing in it overflows, however many there are."""
+    h = F.xxhash64("u", "v")
+    return edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()[:]
 
 
 def connected_components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -18,13 +20,16 @@ def connected_components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     Each round joins every node with the least of its neighbours (aggregated
     before the shuffle, so a hub is one row a task) and is written to the shared
-    folder; rounds grow with the logarithm of the component's size.
+    folder; rounds grow with the logarithm of the component's size. If ``most_rounds``
+    end before nothing changes any more, that is an error, not a result.
     """
     edges = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _sum(edges)
-    for _ in range(most_rounds):
+    for left in range(most_rounds, -1, -1):
         if not state[0]:
             break
+        if not left:
+            raise RuntimeError(f"components still change after {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
