@@ -78,6 +78,13 @@ ENTRIES = [
     ("partners", "block", "remove", "d:example.net", "2024-07-15"),
     ("partners", "allow", "add", "d:tiontion.example.net", "2024-01-01"),
     ("partners", "block", "add", "p:blog.tionsh.example.com/fr", "2024-04-01"),
+    # two lists on one key, of which one takes it back
+    ("scams", "block", "add", "d:casino-win.example.com", "2024-03-01"),
+    ("scams", "block", "remove", "d:casino-win.example.com", "2024-10-01"),
+    ("scams", "block", "add", "d:example.org", "2024-02-01"),
+    ("partners", "block", "add", "d:example.org", "2024-05-01"),
+    ("scams", "block", "remove", "d:example.org", "2024-08-01"),
+    ("partners", "allow", "add", "d:example.org", "2024-11-01"),
 ]
 
 
@@ -116,8 +123,8 @@ def queries() -> dict[str, Query]:
 URL_SQL = f"""
 WITH e(list, verdict, action, key, day) AS (VALUES {", ".join(str(x) for x in ENTRIES)}),
 last AS (SELECT list, verdict, action, key, CAST(day AS DATE) AS since FROM e
-         QUALIFY row_number() OVER (PARTITION BY verdict, key, day ORDER BY action DESC, list DESC) = 1),
-i AS (SELECT *, lead(since) OVER (PARTITION BY verdict, key ORDER BY since) AS until FROM last),
+         QUALIFY row_number() OVER (PARTITION BY list, verdict, key, day ORDER BY action DESC) = 1),
+i AS (SELECT *, lead(since) OVER (PARTITION BY list, verdict, key ORDER BY since) AS until FROM last),
 v AS (SELECT key, verdict, list, since, until FROM i WHERE action = 'add'),
 u AS (SELECT row_number() OVER () AS row, page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS taken,
              regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)', ['host', 'path']) AS x FROM pages),
@@ -125,7 +132,7 @@ p AS (SELECT row, page_id, url, taken, regexp_replace(lower(x.host), '\\.$', '')
 m AS (SELECT row, key, verdict, list FROM p JOIN v ON since <= taken AND (until IS NULL OR taken < until) AND host <> '' AND
         CASE WHEN key LIKE 'd:%' THEN ends_with('.' || host, '.' || substr(key, 3))
              ELSE starts_with('p:' || host || '/' || path || '/', key || '/') END),
-d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(key) DESC, key DESC, verdict) = 1),
+d AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(key) DESC, key DESC, verdict, list DESC) = 1),
 n AS (SELECT row, count(*) AS n FROM m GROUP BY row)
 SELECT page_id, url, coalesce(verdict = 'block', false) AS blocked, coalesce(n, 0) AS n_active, key AS decided_by, list
 FROM p LEFT JOIN d USING (row) LEFT JOIN n USING (row)

@@ -1,8 +1,8 @@
 """URL filters by a temporal join with dated block and allow lists.
 
 List entries are dated changes (add or remove a host or a URL prefix). For each
-key the changes become validity intervals: an entry holds from its day to the
-key's next change. A capture's URL yields its keys (every suffix of its host and
+list and key the changes become validity intervals: an entry holds from its day to
+the next change of that key in the same list; lists don't end each other's entries. A capture's URL yields its keys (every suffix of its host and
 every path prefix); an equi-join on the key with the interval that holds at fetch
 time evaluates it as of then. Of the entries found, an allow entry wins over block
 entries of keys that are no more specific.
@@ -11,10 +11,11 @@ A hot host costs no more than its rows: the list side has few rows a key, the jo
 is on the key, and Spark chooses to broadcast it by its size only.
 
 Defined results: null URLs, URLs without a host and null fetch times match nothing
-and are allowed; of several changes of one key at one time the last in order of
-(action, list) holds; entries without a key, time or known action are ignored;
-captures at the very time of a change see the change; equal captures are evaluated
-each; further columns are carried by name.
+and are allowed; of an addition and a removal of one key by one list at one time the
+removal holds; entries without a key, time or known action are ignored, those of a
+null list form a list of their own; where lists agree on a key the name that sorts
+last is shown; captures at the very time of a change see the change; equal captures
+are evaluated each; further columns are carried by name, whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import plainly_named, written
 
 _URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)"
 
@@ -53,9 +54,9 @@ def intervals(entries: DataFrame) -> DataFrame:
     """Entries (list, action add|remove, verdict block|allow, key, day) to intervals
     key, verdict, list, since, until (exclusive, null: still holds)."""
     usable = entries.where(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("action").isin("add", "remove") & F.col("verdict").isin("block", "allow"))
-    same_time = Window.partitionBy("verdict", "key", "at").orderBy(F.desc("action"), F.desc("list"))
+    same_time = Window.partitionBy("list", "verdict", "key", "at").orderBy(F.desc("action"))
     last = usable.withColumn("r", F.row_number().over(same_time)).where("r = 1")
-    following = Window.partitionBy("verdict", "key").orderBy("at")
+    following = Window.partitionBy("list", "verdict", "key").orderBy("at")
     return last.withColumn("until", F.lead("at").over(following)).where("action = 'add'").select("key", "verdict", "list", F.col("at").alias("since"), "until")
 
 
@@ -63,13 +64,14 @@ def evaluate(captures: DataFrame, entries: DataFrame, keep: tuple[str, ...], url
     """``keep`` columns with blocked, n_active (entries in force), decided_by (key of
     the deciding entry) and list (its list) for every capture."""
     valid = written(intervals(entries), "intervals")
-    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = captures.select(*named, F.col(fetched).alias("at"), keys_of(F.col(url)).alias("keys"), F.monotonically_increasing_id().alias("row"))
+    plain, names = plainly_named(captures)
+    named = [F.col(names[c]).alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = plain.select(*named, F.col(names[fetched]).alias("at"), keys_of(F.col(names[url])).alias("keys"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "captures")
     keyed = rows.select("row", "at", F.explode("keys").alias("key"))
     held = keyed.join(valid, "key").where((F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     # the longest key decides; at one length a path beats a domain, an allow entry a block entry
-    order = F.struct(F.char_length("key").alias("n"), F.col("key").alias("k"), (F.col("verdict") == "allow").alias("a"))
+    order = F.struct(F.char_length("key").alias("n"), F.col("key").alias("k"), (F.col("verdict") == "allow").alias("a"), F.col("list").alias("l"))
     found = held.groupBy("row").agg(F.count("*").alias("n_active"), F.max_by(F.struct("verdict", "key", "list"), order).alias("d"))
     out = rows.join(found, "row", "left")
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.coalesce(F.col("d.verdict") == "block", F.lit(False)).alias("blocked"), F.coalesce("n_active", F.lit(0)).alias("n_active"), F.col("d.key").alias("decided_by"), F.col("d.list").alias("list"))
