@@ -6,7 +6,8 @@ to one row a key and committed under its id: a batch is written to a folder of i
 own and counts once Spark's success marker stands there. Committing an id again
 does nothing; a commit that broke off left no marker and is written anew, so
 retries and lost executors never count twice. Totals are the sums over committed
-batches; :meth:`Rollup.compact` folds these into one.
+batches; :meth:`Rollup.compact` folds these into one, which takes their place in a
+single step.
 
 Defined results: null and empty texts have no tokens and count as documents; null
 sources and languages are keys of their own; a null count is zero tokens; equal
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -113,48 +116,73 @@ class Rollup:
         return f"{self.folder}/batch-{base64.urlsafe_b64encode(batch_id.encode()).decode().rstrip('=')}"
 
     def committed(self, batch_id: str) -> bool:
+        """A batch counts once Spark's success marker stands; folded batches keep theirs."""
         return self._exists(f"{self._batch(batch_id)}/_SUCCESS")
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Apply a batch once. False if it had been applied before."""
-        if self.committed(batch_id) or self._exists(f"{self.folder}/folded/{self._batch(batch_id).rsplit('/', 1)[1]}"):
+        if self.committed(batch_id):
             return False
         rows = signed(deltas).select(*KEYS, "docs", "tokens")
         rows.write.mode("overwrite").parquet(self._batch(batch_id))
         return True
 
-    def _parts(self) -> list[str]:
+    def _names(self) -> list[str]:
         system, folder = self._path(self.folder)
-        if not system.exists(folder):
-            return []
-        names = sorted(s.getPath().getName() for s in system.listStatus(folder) if s.isDirectory())
-        parts = [f"{self.folder}/{n}" for n in names if n.startswith(("batch-", "total-"))]
-        folded = {n.getPath().getName() for n in system.listStatus(self._path(f"{self.folder}/folded")[1])} if self._exists(f"{self.folder}/folded") else set()
-        return [p for p in parts if p.rsplit("/", 1)[1] not in folded and self._exists(f"{p}/_SUCCESS")]
+        return sorted(s.getPath().getName() for s in system.listStatus(folder)) if system.exists(folder) else []
+
+    def _manifest(self, names: list[str]) -> dict:
+        """The manifest of the highest number that is whole: the live total and the
+        batches in it. One that was being written when its writer broke off is none."""
+        for name in sorted((n for n in names if n.startswith("manifest-")), reverse=True):
+            system, path = self._path(f"{self.folder}/{name}")
+            stream = system.open(path)
+            try:
+                return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+            except ValueError:
+                continue
+            finally:
+                stream.close()
+        return {"total": None, "folded": []}
+
+    def _parts(self) -> tuple[dict, list[str]]:
+        """The manifest, and the committed batches that are not in its total."""
+        names = self._names()
+        manifest = self._manifest(names)
+        folded = set(manifest["folded"])
+        return manifest, [n for n in names if n.startswith("batch-") and n not in folded and self._exists(f"{self.folder}/{n}/_SUCCESS")]
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens over all committed batches; keys that
         have come back to nothing are left out."""
-        parts = self._parts()
+        return self._summed(*self._parts())
+
+    def _summed(self, manifest: dict, batches: list[str]) -> DataFrame:
+        parts = [f"{self.folder}/{n}" for n in [manifest["total"], *batches] if n]
         if not parts:
             return self.spark.createDataFrame([], self.SCHEMA)
         rows = self.spark.read.schema(self.SCHEMA).parquet(*parts)
         summed = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return summed.where("docs <> 0 or tokens <> 0")
 
-    def compact(self, name: str) -> None:
-        """Fold what is committed into one total; the folded batches stay known by
-        their marks, so that they can't be applied again."""
-        parts = self._parts()
-        target = f"{self.folder}/total-{name}"
-        if not parts or self._exists(f"{target}/_SUCCESS"):
+    def compact(self) -> None:
+        """Fold what is committed into one total. The new total counts from the moment
+        when a manifest with the next number names it and the batches in it; whatever
+        breaks off before leaves the old manifest, and with it all totals, as they were.
+        Of two compactions at once one fails, as a manifest is never overwritten."""
+        manifest, batches = self._parts()
+        if not batches:
             return
-        # the new total counts from the moment when its temporary folder takes its name
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/making-{name}")
-        system, made = self._path(f"{self.folder}/making-{name}")
-        for p in parts:
-            system.mkdirs(self._path(f"{self.folder}/folded/{p.rsplit('/', 1)[1]}")[1])
-        system.rename(made, self._path(target)[1])
+        numbers = [int(n.rsplit("-", 1)[1]) for n in self._names() if n.startswith("manifest-")]
+        total = f"total-{uuid.uuid4().hex}"
+        self._summed(manifest, batches).write.parquet(f"{self.folder}/{total}")
+        self._publish(f"manifest-{max(numbers, default=0) + 1:09d}", json.dumps({"total": total, "folded": [*manifest["folded"], *batches]}))
+
+    def _publish(self, name: str, text: str) -> None:
+        system, path = self._path(f"{self.folder}/{name}")
+        stream = system.create(path, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
 
 
 def word_count(text: Column) -> Column:

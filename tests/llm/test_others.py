@@ -92,7 +92,7 @@ def test_long_texts_in_parts(monkeypatch):
     assert tokens.count_tokens(text) == whole
 
 
-def test_rollup_is_idempotent_and_recovers(spark):
+def test_rollup_is_idempotent_and_recovers(spark, monkeypatch):
     schema = "op string, source string, lang string, version string, n_tokens long, old_tokens long, extra string"
     one = spark.createDataFrame([("insert", "a", "en", "v", 5, None, "x"), ("insert", "a", "en", "v", 5, None, "x"), ("insert", None, None, "v", None, None, "x"), ("noise", "a", "en", "v", 99, 1, "x")], schema)
     two = spark.createDataFrame([("delete", "a", "en", "v", 5, None, "x"), ("revise", "a", "en", "v", 9, 5, "x")], schema)
@@ -107,9 +107,25 @@ def test_rollup_is_idempotent_and_recovers(spark):
     assert rollup.commit("two", two) and rollup.commit("empty", two.limit(0)) and not rollup.commit("empty", one)
     want = {("a", 1, 9), (None, 1, 0)}
     assert {(r["source"], r["docs"], r["tokens"]) for r in rollup.totals().collect()} == want
-    rollup.compact("first")
-    assert not rollup.commit("two", two)
-    assert {(r["source"], r["docs"], r["tokens"]) for r in rollup.totals().collect()} == want
+    told = lambda: {(r["source"], r["docs"], r["tokens"]) for r in rollup.totals().collect()}
+    # broken off at each step: before the total is whole, and before a manifest names it
+    for step in ("_summed", "_publish"):
+        with monkeypatch.context() as m:
+            m.setattr(rollup, step, lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                rollup.compact()
+        assert told() == want and not rollup.commit("two", two)
+    # a manifest that was only half written is none
+    rollup._publish("manifest-000000001", '{"total": "total-')
+    assert told() == want
+    for _ in range(2):
+        rollup.compact()
+        assert told() == want and not rollup.commit("two", two) and not rollup.commit("empty", one)
+    assert rollup.commit("three", one) and told() == {("a", 3, 19), (None, 2, 0)}
+    rollup.compact()
+    assert told() == {("a", 3, 19), (None, 2, 0)} and not rollup.commit("three", one)
+    with pytest.raises(Exception):
+        rollup._publish("manifest-000000002", "{}")
 
 
 def test_rollup_query_matches_brute_force(spark):
@@ -148,10 +164,21 @@ def test_url_lists(spark):
     listed = spark.createDataFrame(entries, "list string, verdict string, action string, key string, at date")
     got = {r["page_id"]: r["blocked"] for r in urls.evaluate(captures, listed, ("page_id",)).collect()}
     assert got == {i: b for i, (_, _, b) in enumerate(cases)}
+    clash = captures.withColumnRenamed("page_id", "row.x").withColumn("key", captures["url"]).withColumn("list", captures["url"])
+    assert urls.evaluate(clash, listed, ("row.x", "key")).columns[:2] == ["row.x", "key"]
     assert urls.evaluate(captures.limit(0), listed, ("page_id",)).count() == 0
     assert not [r for r in urls.evaluate(captures, listed.limit(0), ("page_id",)).collect() if r["blocked"]]
 
 
+def test_a_list_ends_only_its_own_entries(spark):
+    entries = [("a", "block", "add", "d:x.com", day(1)), ("b", "block", "add", "d:x.com", day(3)), ("a", "block", "remove", "d:x.com", day(5)), (None, "block", "add", "d:x.com", day(7)), ("b", "block", "remove", "d:x.com", day(9))]
+    listed = spark.createDataFrame(entries, "list string, verdict string, action string, key string, at date")
+    captures = spark.createDataFrame([(n, "http://x.com/", day(n)) for n in range(1, 11)], "page_id long, url string, fetched_at date")
+    got = {r["page_id"]: (r["blocked"], r["n_active"], r["list"]) for r in urls.evaluate(captures, listed, ("page_id",)).collect()}
+    assert [got[n][1] for n in range(1, 11)] == [1, 1, 2, 2, 1, 1, 2, 2, 1, 1] and all(b for b, _, _ in got.values())
+    assert got[3][2] == got[8][2] == "b" and got[10][2] is None
+
+
 def test_url_query_matches_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
