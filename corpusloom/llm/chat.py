@@ -8,8 +8,9 @@ Transition and emission counts come from labelled conversations (all of them, as
 sums); Viterbi decoding recovers the states, and turns are rendered in canonical
 form with markers taken off.
 
-Long conversations are not gathered: rows are range-sorted and cut into blocks of
-``block_rows``. Where a conversation crosses blocks, each block is reduced to its
+Long conversations are not gathered: rows are range-sorted and cut into blocks of at
+most ``block_rows`` rows and about ``block_bytes`` bytes (a longer row stands alone).
+Where a conversation crosses blocks, each block is reduced to its
 max-plus transfer matrix (best score from each state before it to each state at its
 end); these are chained, and every block is decoded between the states found. The
 result is that of Viterbi over the whole conversation.
@@ -18,7 +19,8 @@ Defined results: null and empty texts are one empty line; rows of a null
 conversation are one conversation; rows that share a turn go by text; equal rows
 are lines one after the other; unknown or null roles are not learned from; without
 labelled rows all roles are equally likely except for markers (a fixed prior);
-ties go to the state listed first; further columns are ignored.
+ties go to the state listed first; further columns are ignored, and those of ``keep``
+may have any names but those of the result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold_of, written
+from corpusloom.llm.common import fold_of, plainly_named, written
 
 ROLES = ("system", "user", "assistant")
 #: States: (role, begins) in this order.
@@ -178,14 +180,16 @@ def _observed(rows: pd.DataFrame) -> tuple[list[tuple[int, int, int, int]], list
     return found, rests, of
 
 
-def parse(transcripts: DataFrame, model: Model, keep: tuple[str, ...] = (), block_rows: int = 2000) -> DataFrame:
+def parse(transcripts: DataFrame, model: Model, keep: tuple[str, ...] = (), block_rows: int = 2000, block_bytes: int = 4 << 20) -> DataFrame:
     """Turns of ``transcripts`` (conv_id, turn, text and ``keep``), one row for each
     stretch of a row's lines with one turn: conv_id, turn, ``keep``, part, role,
     opens, closes (whether the turn begins and ends with the stretch), text and
-    rendered (canonical form; concatenated in order it is the whole conversation).
-    Names in ``keep`` must differ from these."""
+    rendered (canonical form; concatenated in order it is the whole conversation)."""
     spark = transcripts.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    plain, named = plainly_named(transcripts)
+    transcripts = plain.select(*[F.col(named[c]).alias(c) for c in ("conv_id", "turn", "text")], *[F.col(named[c]).alias(f"k{i}") for i, c in enumerate(keep)])
+    given, keep = keep, tuple(f"k{i}" for i in range(len(keep)))
     kinds = {c: transcripts.schema[c].dataType.simpleString() for c in ("conv_id", "turn", *keep)}
     key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-"))
     rows = transcripts.select("conv_id", "turn", *keep, F.coalesce("text", F.lit("")).alias("text"), key.alias("__key"), F.monotonically_increasing_id().alias("__id"))
@@ -196,15 +200,22 @@ def parse(transcripts: DataFrame, model: Model, keep: tuple[str, ...] = (), bloc
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        start = TaskContext.get().partitionId() << 40
+        block = start = TaskContext.get().partitionId() << 40
+        held = size = 0
         for rows in batches:
-            rows["__at"] = np.arange(start, start + len(rows))
+            of = np.empty(len(rows), np.int64)
+            for i, text in enumerate(rows["text"]):
+                more = len(text.encode("utf-8", "replace"))
+                if held and (held == block_rows or size + more > block_bytes):
+                    block, held, size = block + 1, 0, 0
+                held, size, of[i] = held + 1, size + more, block
+            rows["__at"], rows["__block"] = np.arange(start, start + len(rows)), of
             start += len(rows)
             yield rows
 
-    schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "text string, __key string, __id long, __at long"])
+    schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "text string, __key string, __id long, __at long, __block long"])
     placed = rows.select(*names).repartitionByRange(width, *order).sortWithinPartitions(*order).mapInPandas(blocks, schema)
-    placed = written(placed, "ordered").withColumn("__block", (F.floor(F.col("__at") / (1 << 40)) * (1 << 20) + F.floor((F.col("__at") % (1 << 40)) / block_rows)).cast("long"))
+    placed = written(placed, "ordered")
 
     def edges(rows: pd.DataFrame) -> pd.DataFrame:
         """Transfer matrices of the first and last conversation of a block: once as of
@@ -264,7 +275,8 @@ def parse(transcripts: DataFrame, model: Model, keep: tuple[str, ...] = (), bloc
     # whether the block after goes on with a begun turn is known once it is decoded from its first line
     bounds = _with_next(placed, bounds, shared)
     result = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "part int, role string, opens boolean, closes boolean, text string, rendered string"])
-    return placed.groupBy("__block").cogroup(bounds.groupBy("__block")).applyInPandas(decode, result)
+    found = placed.groupBy("__block").cogroup(bounds.groupBy("__block")).applyInPandas(decode, result)
+    return found.select("conv_id", "turn", *[F.col(k).alias(c) for k, c in zip(keep, given, strict=True)], "part", "role", "opens", "closes", "text", "rendered")
 
 
 def _with_next(placed: DataFrame, bounds: DataFrame, shared) -> DataFrame:

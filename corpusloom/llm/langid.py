@@ -185,10 +185,13 @@ def fit(counts: dict[str, dict[str, int]], path: str = VOCABULARY, rounds: int =
     return Model(languages, chances, path)
 
 
-def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", path: str = VOCABULARY, docs_per_language: int = 400, words_per_language: int = 150_000, most_languages: int = 512) -> Model:
+def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", path: str = VOCABULARY, docs_per_language: int = 400, words_per_language: int = 150_000, most_words: int = 3_000_000, most_languages: int = 512) -> Model:
     """Fit on a bounded sample: of the rows that ``learn`` admits, about
     ``docs_per_language`` of each language (those whose hashed id falls lowest)
-    and of their words the ``words_per_language`` most frequent."""
+    and of their words the ``words_per_language`` most frequent, of all languages
+    together at most ``most_words``. A model has one table of the vocabulary a
+    language (0.4 MB), so ``most_languages`` bounds it: those with most rows are
+    learned."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN))
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages).collect()}
     if not sizes:
@@ -200,7 +203,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     found = F.regexp_extract_all(lowered, F.lit(r"[a-z\x{80}-\x{10FFFF}]+"), F.lit(0))
     words = rows.where(place <= limit).select(F.col(lang).alias("k"), F.explode(found).alias("w")).where(F.octet_length("w") <= CUT)
     order = Window.partitionBy("k").orderBy(F.desc("n"), "w")
-    frequent = words.groupBy("k", "w").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= words_per_language)
+    frequent = words.groupBy("k", "w").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= min(words_per_language, max(1, most_words // len(sizes))))
     counts: dict[str, dict[str, int]] = {}
     for r in frequent.select("k", "w", "n").toLocalIterator():
         counts.setdefault(r["k"], {})[r["w"]] = r["n"]

@@ -3,15 +3,20 @@
 Each text gives a vector of transformed statistics. Per language and source the
 minimum covariance determinant (MCD) is sought: the half of the rows whose
 covariance has the least determinant. Two deterministic starts (medians with
-absolute deviations, and classical moments) are improved by concentration steps
-(take the half nearest by Mahalanobis distance, re-estimate); the start with the
-lesser determinant is kept, re-weighted once, and rows beyond the chi-square
-quantile of the distance are rejected.
-
-The half is found exactly and deterministically: squared distances fall into
-fixed logarithmic bins, sums of moments are gathered for each (group, start, bin)
-before the shuffle, and bins are accumulated up to the half. A hot source is thus
-a few thousand rows after partial aggregation, and no group is ever gathered.
+absolute deviations, and classical moments) are improved by ``steps`` concentration
+steps (take the half nearest by Mahalanobis distance, re-estimate); the start with
+the lesser determinant is kept and concentrated until no determinant falls any more
+(``most_steps`` at most), re-weighted once, and rows beyond the chi-square quantile
+of the distance are rejected.
+
+The half is found deterministically: squared distances fall into logarithmic bins
+(32 to a natural logarithm), sums of moments are gathered for each (group, start,
+bin) before the shuffle, and bins are accumulated up to the half. Of the bin that
+crosses it every row counts with the same fraction, so that the weights add up to
+the half exactly. A hot source is a few thousand rows after partial aggregation; no
+group is ever gathered, and the small tables of estimates are joined by broadcast
+where their counted rows are few, else with salted keys (:func:`_by_group`), so no
+row is dealt by its group alone.
 Covariances carry a ridge (``FLOORS``): spreads below it do not count as deviation,
 so that statistics which are zero in most texts leave the estimate regular.
 
@@ -21,7 +26,7 @@ of their language, and if these are too few as well, with those of all languages
 Defined results: null texts, empty texts and texts without words have zero
 statistics and fail the base rule; null languages and sources are groups like any
 other; equal rows have equal verdicts; with too few rows for any estimate only the
-base rule decides; further columns do not matter.
+base rule decides; further columns do not matter, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import named_back, plainly_named, written
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -84,11 +89,24 @@ def statistics(text: Column) -> list[Column]:
         # high bits: the window's hash; low bits (mask ``low``): its place
         keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
 
+        def words_at(p: Column) -> Column:
+            return F.struct(*[F.get(w, p + k) for k in range(3)])
+
         def places(s: Column) -> Column:
-            def equal(x: Column, k: Column) -> Column:
+            def alike(x: Column, k: Column) -> Column:
                 return F.coalesce(x.bitwiseXOR(F.get(s, k)) <= low, F.lit(False)) & F.coalesce(x.bitwiseXOR(F.get(s, k)) >= 0, F.lit(False))
 
-            marked = F.transform(s, lambda x, k: F.when(equal(x, k - 1) | equal(x, k + 1), x.bitwiseAND(low)))
+            # neighbours of one hash are compared word for word; where windows of one hash
+            # differ (hashes seldom meet), with all of that hash
+            def equal(x: Column, k: Column) -> Column:
+                return alike(x, k) & (words_at(x.bitwiseAND(low).cast("int")) == words_at(F.get(s, k).bitwiseAND(low).cast("int")))
+
+            def met(x: Column, k: Column) -> Column:
+                own = words_at(x.bitwiseAND(low).cast("int"))
+                among = F.exists(s, lambda y: (y != x) & (y.bitwiseXOR(x) <= low) & (y.bitwiseXOR(x) >= 0) & (words_at(y.bitwiseAND(low).cast("int")) == own))
+                return F.when(~alike(x, k - 1) & ~alike(x, k + 1), F.lit(False)).when(equal(x, k - 1) | equal(x, k + 1), F.lit(True)).otherwise(among)
+
+            marked = F.transform(s, lambda x, k: F.when(met(x, k), x.bitwiseAND(low)))
             return F.sort_array(F.filter(marked, lambda p: p.isNotNull()))
 
         def covered(p: Column) -> Column:
@@ -169,24 +187,41 @@ def _moments() -> list[Column]:
     return [F.count("*").alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in PAIRS]]
 
 
-def _sums() -> list[Column]:
-    return [F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(P)], *[f"s{i}_{j}" for i, j in PAIRS]]]
+_MOMENTS = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}_{j}" for i, j in PAIRS]]
+
+
+#: Rows of a table of estimates (25 numbers each) up to which it is broadcast, and salts beyond it.
+BROADCAST_ROWS, SALTS = 50_000, 64
+
+
+def _by_group(rows: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``few`` (a written table of few rows a gid)."""
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), "gid", how)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[f"z{i}" for i in range(P)]), F.lit(SALTS)).cast("int"))
+    return salted.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["gid", "__salt"], how).drop("__salt")
 
 
 def _nearest(rows: DataFrame, estimates: DataFrame, sizes: DataFrame) -> DataFrame:
     """One concentration step: moments of each group's nearer half, for each start."""
-    near = rows.join(estimates, "gid")
+    near = _by_group(rows, estimates)
     bins = near.withColumn("bin", F.floor(F.log(_distance() + 1e-9) * 32)).groupBy("gid", "start", "bin").agg(*_moments())
     order = Window.partitionBy("gid", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = bins.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(sizes, "gid")
-    return before.where(F.col("before") < F.col("half")).groupBy("gid", "start").agg(*_sums())
+    before = bins.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(sizes, "gid").where(F.col("before") < F.col("half"))
+    part = F.least(F.lit(1.0), (F.col("half") - F.col("before")) / F.col("n"))
+    return before.groupBy("gid", "start").agg(*[F.sum(F.col(c) * part).alias(c) for c in _MOMENTS])
 
 
-def _same_group() -> Column:
-    return F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs"))
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with their gid (null where no group has their language and source)."""
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs")
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[f"z{i}" for i in range(P)]), F.lit(SALTS)).cast("int"))
+    dealt = groups.withColumn("__many", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(dealt, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")) & (F.col("__salt") == F.col("__many")), "left").drop("gl", "gs", "__salt", "__many")
 
 
-def estimates(rows: DataFrame, least_rows: int = 60, steps: int = 2) -> tuple[DataFrame, DataFrame]:
+def estimates(rows: DataFrame, least_rows: int = 60, steps: int = 2, most_steps: int = 10) -> tuple[DataFrame, DataFrame]:
     """From ``rows`` (a written table with lang, source and the statistics): groups
     (gl, gs, gid) and for each gid the re-weighted robust mean and precision. Both
     are written tables with a row a group."""
@@ -196,21 +231,28 @@ def estimates(rows: DataFrame, least_rows: int = 60, steps: int = 2) -> tuple[Da
     by_lang = sizes.where(F.col("count") < least_rows).groupBy(F.col("lang").alias("l")).agg(F.sum("count").alias("pooled"))
     gid = F.when(F.col("count") >= least_rows, F.to_json(F.struct(F.lit(2).alias("of"), "lang", "source"))).when(F.col("pooled") >= least_rows, F.to_json(F.struct(F.lit(1).alias("of"), "lang"))).otherwise(F.lit('{"of":0}'))
     groups = written(sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "count", gid.alias("gid")), "groups")
-    usable = written(vectors.join(groups.drop("count"), _same_group()).select("gid", *[f"z{i}" for i in range(P)]), "vectors")
+    usable = written(_grouped(vectors, groups.drop("count")).select("gid", *[f"z{i}" for i in range(P)]), "vectors")
     halves = groups.groupBy("gid").agg(F.sum("count").alias("rows")).where(F.col("rows") >= 2 * P).select("gid", F.ceil(F.col("rows") * HALF).alias("half"))
     halves = written(halves, "halves")
     # starts: medians and median deviations, classical moments
-    classical = usable.groupBy("gid").agg(*_moments()).select("gid", F.lit(1).alias("start"), *[c for c in ["n"] + [f"s{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in PAIRS]])
-    # written, so that its size is known and the join needs no deal by group
+    classical = usable.groupBy("gid").agg(*_moments()).select("gid", F.lit(1).alias("start"), *_MOMENTS)
     middle = written(_medians(usable), "medians")
-    spread = _medians(usable.join(middle, "gid").select("gid", *[F.abs(F.col(f"z{i}") - F.col(f"c{i}")).alias(f"z{i}") for i in range(P)]))
+    spread = _medians(_by_group(usable, middle).select("gid", *[F.abs(F.col(f"z{i}") - F.col(f"c{i}")).alias(f"z{i}") for i in range(P)]))
     robust = middle.join(spread.select("gid", *[F.col(f"c{i}").alias(f"d{i}") for i in range(P)]), "gid")
     robust = robust.select("gid", F.lit(0).alias("start"), *[F.col(f"c{i}").alias(f"m{i}") for i in range(P)], *[(1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"q{i}_{j}") for i, j in PAIRS], F.lit(0.0).alias("logdet"))
     found = written(robust.unionByName(_estimates(classical, ["gid", "start"], 1.0)), "starts")
     for _ in range(steps):
         found = written(_estimates(_nearest(usable, found, halves), ["gid", "start"], _consistency(HALF)), "halved")
-    best = found.groupBy("gid").agg(F.min_by(F.struct(*[c for c in found.columns if c != "gid"]), F.struct("logdet", "start")).alias("e")).select("gid", "e.*").drop("start")
-    inner = usable.join(best, "gid").where(_distance() <= _quantile(WEIGHTED, P)).groupBy("gid").agg(*_moments())
+    best = found.groupBy("gid").agg(F.min_by(F.struct(*[c for c in found.columns if c != "gid"]), F.struct("logdet", "start")).alias("e")).select("gid", "e.*")
+    best = written(best, "best")
+    for _ in range(steps, most_steps):
+        better = written(_estimates(_nearest(usable, best, halves), ["gid", "start"], _consistency(HALF)), "better")
+        falls = best.select("gid", F.col("logdet").alias("was")).join(better.select("gid", "logdet"), "gid").where(F.col("logdet") < F.col("was") - 1e-3)
+        if not falls.take(1):
+            break
+        best = better
+    best = best.drop("start")
+    inner = _by_group(usable, best).where(_distance() <= _quantile(WEIGHTED, P)).groupBy("gid").agg(*_moments())
     return groups.select("gl", "gs", "gid"), written(_estimates(inner, ["gid"], _consistency(WEIGHTED)), "weighted")
 
 
@@ -218,7 +260,7 @@ def judged(rows: DataFrame, groups: DataFrame, final: DataFrame, level: float =
     """``rows`` with ``distance`` (squared, robust; null if there is no estimate) and
     ``inlier``. Both joins are with tables of a row a group."""
     vectors = rows.select(*rows.columns, *[z.alias(f"z{i}") for i, z in enumerate(transformed())])
-    near = vectors.join(groups, _same_group(), "left").join(final, "gid", "left").withColumn("distance", F.when(F.col("n_words") > 0, _distance()))
+    near = _by_group(_grouped(vectors, groups), final, "left").withColumn("distance", F.when(F.col("n_words") > 0, _distance()))
     return near.select(*rows.columns, "distance", (F.col("distance").isNull() | (F.col("distance") <= _quantile(level, P))).alias("inlier"))
 
 
@@ -240,9 +282,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The kept rows. Texts are written once beside their statistics and never shuffled."""
-    columns = docs.columns
-    named = docs.select(*columns, F.struct(*columns).alias("__row"))
-    rows = written(base(named, ["lang", "source", "__row"]), "statistics")
-    kept = judged(rows, *estimates(rows.drop("__row"))).where(~F.col("base_failed") & F.col("inlier"))
-    return kept.select(*[F.col("__row").getField(c).alias(c) for c in columns])
+    """The kept rows. Texts are written once beside their statistics; they are shuffled
+    only where there are more than ``BROADCAST_ROWS`` groups, and then by salted keys."""
+    plain, names = plainly_named(docs)
+    named = plain.select(F.struct(*plain.columns).alias("row"), *[F.col(names[c]).alias(c) for c in ("lang", "source", "text")])
+    rows = written(base(named, ["lang", "source", "row"]), "statistics")
+    kept = judged(rows, *estimates(rows.drop("row"))).where(~F.col("base_failed") & F.col("inlier"))
+    return named_back(kept.select("row.*"), names)

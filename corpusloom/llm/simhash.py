@@ -9,10 +9,11 @@ into nodes again. Pairs of nodes whose agreed bits already differ in more than
 ``BITS`` places are pruned as a whole, the others are opened down to members.
 
 Exact copies are one fingerprint before anything is compared. A group of more
-than ``group_most`` distinct fingerprints is not gathered in one task: its members
-take an exact path instead, where each is keyed by itself and its 64 one-bit
-neighbours (two fingerprints within two bits share a key, and a key has at most
-65 members), so no group is unbounded and no link is lost.
+than ``group_most`` distinct fingerprints is not gathered in one task: it becomes an
+upper node, and its members enter three lower groups each, by its pattern and one
+more block of the bits that are left (again, a linked pair agrees in one of three).
+After three such levels at most 16 bits are left, and with them at most 65,536 members,
+so no group is unbounded and no link is lost.
 
 Groups give a spanning forest of their links, not all pairs; connected components
 over these have the same members.
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import named_back, plainly_named, sliced, written
+from corpusloom.llm.common import MASK, named_back, plainly_named, sliced, written
 from corpusloom.llm.components import connected_components
 
 BITS, SHINGLE, SEED = 2, 3, 42
@@ -145,8 +146,8 @@ def _links(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Star links of each group; rows come sorted by group and Gray rank."""
 
     def forest(rows: pd.DataFrame) -> pd.DataFrame:
-        kind, pattern, values = (rows[c].to_numpy() for c in ("kind", "pattern", "fp"))
-        fresh = np.flatnonzero((np.diff(kind, prepend=-1) != 0) | np.concatenate([[True], pattern[1:] != pattern[:-1]]))
+        mask, pattern, values = (rows[c].to_numpy() for c in ("mask", "pattern", "fp"))
+        fresh = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])]))
         sizes = np.diff([*fresh, len(values)])
         fps = values.astype(np.uint64)
         label = np.arange(len(values))
@@ -166,8 +167,8 @@ def _links(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(rows):
             continue
         rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
-        kind, pattern = rows["kind"].to_numpy(), rows["pattern"].to_numpy()
-        same = (kind == kind[-1]) & (pattern == pattern[-1])
+        mask, pattern = rows["mask"].to_numpy(), rows["pattern"].to_numpy()
+        same = (mask == mask[-1]) & (pattern == pattern[-1])
         cut = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
         if cut:
             yield forest(rows.iloc[:cut])
@@ -176,23 +177,38 @@ def _links(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield forest(rest)
 
 
+def finer(mask: int) -> list[int]:
+    """The masks (signed longs) that share the bits of ``mask`` and one more block each of
+    the others: two fingerprints that agree on ``mask`` and are linked agree on one of these."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    cuts = [round(k * len(rest) / (BITS + 1)) for k in range(BITS + 2)]
+    made = [mask & MASK | sum(1 << b for b in rest[low:high]) for low, high in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [m - (1 << 64) if m >> 63 else m for m in made]
+
+
 def links(nodes: DataFrame, group_most: int = 1 << 16) -> DataFrame:
     """Links u, v among the distinct fingerprints ``fp`` of ``nodes`` that join the
     same ones as all pairs within BITS bits would."""
-    masks = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(m)).alias("pattern")) for k, m in enumerate(BLOCKS)])
-    keyed = nodes.select("fp", F.inline(masks))
-    crowded = written(keyed.groupBy("kind", "pattern").count().where(F.col("count") > group_most).select("kind", "pattern"), "crowded")
-    any_crowded = bool(crowded.take(1))
-    plain = keyed.join(crowded, ["kind", "pattern"], "left_anti") if any_crowded else keyed
-    plain = plain.repartition("kind", "pattern").sortWithinPartitions("kind", "pattern", gray_rank(F.col("fp")))
-    found = plain.mapInPandas(_links, "u long, v long")
-    if any_crowded:
-        members = keyed.join(crowded, ["kind", "pattern"], "left_semi").select("fp").distinct()
-        flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << b) - ((1 << 64) if b == 63 else 0))) for b in range(64)])
-        near = members.select("fp", F.explode(flips).alias("key"))
-        least = near.groupBy("key").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1")
-        found = found.unionByName(near.join(least, "key").where("fp != v").select(F.col("fp").alias("u"), "v"))
-    return found
+    masks, level, found = list(BLOCKS), 0, None
+    keyed = nodes.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
+    while True:
+        level += 1
+        # where 16 bits are left, a group has 65,536 members at most
+        last = 64 - min((m & MASK).bit_count() for m in masks) <= 16
+        crowded = None if last else written(keyed.groupBy("mask", "pattern").count().where(F.col("count") > group_most).select("mask", "pattern"), f"crowded-{level}")
+        if crowded is not None and not crowded.take(1):
+            crowded = None
+        plain = keyed if crowded is None else keyed.join(crowded, ["mask", "pattern"], "left_anti")
+        plain = plain.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", gray_rank(F.col("fp")))
+        here = plain.mapInPandas(_links, "u long, v long")
+        found = here if found is None else found.unionByName(here)
+        if crowded is None:
+            return found
+        # lower nodes of the index: a crowded group's pattern and one more block
+        steps = [(m, f) for m in masks for f in finer(m)]
+        below, masks = nodes.sparkSession.createDataFrame(steps, "mask long, finer long"), sorted({f for _, f in steps})
+        members = keyed.join(crowded, ["mask", "pattern"], "left_semi").join(F.broadcast(below), "mask")
+        keyed = written(members.select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("pattern")).distinct(), f"finer-{level}")
 
 
 def _labelled(prints: DataFrame, doc_id: str, group_most: int) -> DataFrame:

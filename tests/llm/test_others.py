@@ -38,12 +38,12 @@ def brute_viterbi(model, found):
     return path[int(np.argmax(best))]
 
 
-@pytest.mark.parametrize("block", [2000, 3])
-def test_transcripts_match_viterbi_over_whole_conversations(spark, block):
+@pytest.mark.parametrize("block,size", [(2000, 4 << 20), (3, 4 << 20), (2000, 60)])
+def test_transcripts_match_viterbi_over_whole_conversations(spark, block, size):
     raw = chat.transcripts_of(conversations(spark))
     model = chat.train(raw)
     got = defaultdict(list)
-    for r in chat.parse(raw.drop("role"), model, block_rows=block).orderBy("conv_id", "turn", "part").collect():
+    for r in chat.parse(raw.drop("role").withColumn("a.b", raw["turn"]).withColumn("text2", raw["text"]), model, keep=("a.b", "text2"), block_rows=block, block_bytes=size).orderBy("conv_id", "turn", "part").collect():
         got[r["conv_id"]].append(r)
     table = defaultdict(list)
     for r in raw.orderBy("conv_id", "turn").collect():

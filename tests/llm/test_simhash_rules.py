@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusloom.llm import rules, simhash
 
@@ -54,6 +55,18 @@ def brute_components(pairs):
     return {(doc, f): least[g] for (doc, f), g in zip(pairs, group)}
 
 
+def test_finer_blocks_share_what_linked_fingerprints_share():
+    rng = np.random.default_rng(2)
+    for mask in (*simhash.BLOCKS, *simhash.finer(simhash.BLOCKS[1])):
+        below = [m & simhash.MASK for m in simhash.finer(mask)]
+        upper = mask & simhash.MASK
+        assert below[0] & below[1] & below[2] == upper and below[0] | below[1] | below[2] == simhash.MASK
+        rest = [b for b in range(64) if not upper >> b & 1]
+        for _ in range(50):
+            flips = sum(1 << int(b) for b in rng.choice(rest, 2, replace=False))
+            assert any(not flips & m for m in below)
+
+
 @pytest.mark.parametrize("most", [1 << 16, 2])
 def test_components_match_brute_force(spark, most):
     rng = np.random.default_rng(3)
@@ -129,6 +142,100 @@ def test_outliers(spark):
     assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(150))
 
 
+def brute_verdicts(frame, least_rows=60):
+    """The method over gathered rows in numpy: distances of all rows by doc_id."""
+    eps, floors = 1e-9, np.array(rules.FLOORS)
+    stats = {i: plain_statistics(t) for i, (t, _, _) in frame.items()}
+    lines = {i: max(1, sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n"))) for i, (t, _, _) in frame.items()}
+    z = {i: np.array([np.log(n), np.log(c / n), np.sqrt(s / c), np.sqrt(d / lines[i]), np.sqrt(r / n)]) for i, (n, c, s, d, r) in stats.items() if n}
+    of = defaultdict(list)
+    for i in z:
+        of[frame[i][1:]].append(i)
+    pooled = defaultdict(list)
+    for (lang, source), ids in of.items():
+        small = [k for k, v in of.items() if k[0] == lang and len(v) < least_rows]
+        name = (lang, source) if len(ids) >= least_rows else (lang,) if sum(len(of[k]) for k in small) >= least_rows else ()
+        pooled[name] += ids
+    out = dict.fromkeys(frame)
+
+    def estimate(x, w, factor):
+        m = (w[:, None] * x).sum(0) / w.sum()
+        cov = factor * ((w[:, None] * x).T @ x / w.sum() - np.outer(m, m))
+        cov[np.diag_indices(5)] = np.maximum(np.diag(cov), 0) + floors**2
+        return m, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+    def distance(x, m, q):
+        return np.maximum(np.einsum("ni,ij,nj->n", x - m, q, x - m), 0)
+
+    def half(x, m, q):
+        bins = np.floor(np.log(distance(x, m, q) + eps) * 32)
+        need, w = np.ceil(len(x) / 2), np.zeros(len(x))
+        for b in np.unique(bins):
+            here = bins == b
+            w[here] = min(1.0, max(0.0, need) / here.sum())
+            need -= here.sum()
+        return estimate(x, w, rules._consistency(0.5))
+
+    for ids in pooled.values():
+        if len(ids) < 10:
+            continue
+        x = np.array([z[i] for i in ids])
+        near = np.sort(np.floor(np.abs(x) * 100 + 0.5) / 100 * np.sign(x), axis=0)
+        centre = near[(len(x) + 1) // 2 - 1]
+        away = np.sort(np.floor(np.abs(x - centre) * 100 + 0.5) / 100, axis=0)[(len(x) + 1) // 2 - 1]
+        found = [(centre, np.diag(1 / ((1.4826 * away) ** 2 + floors**2)), 0.0), estimate(x, np.ones(len(x)), 1.0)]
+        for _ in range(2):
+            found = [half(x, m, q) for m, q, _ in found]
+        best = min(found, key=lambda f: f[2])
+        for _ in range(8):
+            better = half(x, *best[:2])
+            if better[2] >= best[2] - 1e-3:
+                break
+            best = better
+        w = (distance(x, *best[:2]) <= rules._quantile(0.975, 5)).astype(float)
+        m, q, _ = estimate(x, w, rules._consistency(0.975))
+        out.update(zip(ids, distance(x, m, q), strict=True))
+    return stats, out
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_verdicts_match_brute_force(spark, monkeypatch, few):
+    """Also where estimates are joined by salted keys."""
+    monkeypatch.setattr(rules, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(rules, "SALTS", 3)
+    rng = np.random.default_rng(11)
+    rows = {}
+    for i in range(260):
+        words = rng.choice([f"{a}{b}{'#' * int(rng.random() < 0.02)}" for a in "ka lo mi ne".split() for b in "da fegi ho jumala".split()], rng.integers(20, 300))
+        if i % 17 == 0:
+            words = [w + "$%#" for w in words]
+        text = " ".join(words) if i % 5 else "\n".join([" ".join(words[:30])] * 4 + list(words))
+        lang, source = ("a", "x") if i % 2 else ("a", f"s{i % 7}") if i % 3 else (None, None)
+        rows[i] = (text if i % 41 else None, lang, source)
+    stats, want = brute_verdicts(rows)
+    frame = spark.createDataFrame([(i, t, lang, source) for i, (t, lang, source) in rows.items()], "doc_id long, text string, lang string, source string")
+    level = rules._quantile(0.99999, 5)
+    got = {r["doc_id"]: r for r in rules.report(frame).collect()}
+    for i, d in want.items():
+        assert (d is None) == (got[i]["distance"] is None) and (d is None or abs(d - got[i]["distance"]) < 1e-6 * (1 + d)), i
+        n, repeated = stats[i][0], stats[i][4]
+        assert got[i]["kept"] == (n >= 50 and 100 * repeated <= 50 * n and (d is None or d <= level)), i
+    assert 0 < sum(r["kept"] for r in got.values()) < sum(not r["base_failed"] for r in got.values())
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    frame = docs(spark, ["a b c d"] * 3).withColumn("a.b", F.lit(1)).withColumn("row", F.lit(2)).withColumn("z1", F.lit(3))
+    assert rules.stage(frame).columns == frame.columns and rules.stage(frame).count() == 0
+
+
+def test_equal_hashes_of_other_words_are_told_apart(spark, monkeypatch):
+    """Every window gets the same hash: words decide alone."""
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(-1).cast("long") + 0 * F.length(c[0]))
+    texts = ["a b c d", "a b c a b c", "a b c d a b c e f g", "x y z p q r x y z", "a a a a", "a b"]
+    rows = {r["doc_id"]: r["n_repeat_words"] for r in rules.base(docs(spark, texts), ["doc_id"]).collect()}
+    assert rows == {i: plain_statistics(t)[4] for i, t in enumerate(texts)}
+
+
 def test_rules_small_and_empty(spark):
     frame = docs(spark, ["a b c", None], lang=None, source=None)
     assert [r["kept"] for r in rules.report(frame).collect()] == [False, False]
@@ -139,6 +246,15 @@ def test_chi_square():
     assert abs(rules._quantile(0.975, 5) - 12.8325) < 1e-3 and abs(rules._quantile(0.5, 5) - 4.3515) < 1e-3
 
 
-def test_rules_are_native(spark):
-    plan = rules.report(docs(spark, ["a b c d"] * 3))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+def test_rules_are_native(spark, monkeypatch):
+    """Every job of the main path: what is written on the way, and the last plan."""
+    plans, write = [], rules.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(rules, "written", seen)
+    for last in (rules.report(docs(spark, ["a b c d"] * 3)), rules.stage(docs(spark, ["a b c d"] * 3))):
+        plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 15 and not any(w in p for p in plans for w in ("Python", "Pandas", "Arrow"))
