@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import named_back, plainly_named, written
@@ -71,6 +71,8 @@ def _consistency(share: float) -> float:
 
 
 HALF, WEIGHTED = 0.5, 0.975
+#: The fall of a log determinant that is worth another concentration step.
+FALL = 0.01
 
 
 def statistics(text: Column) -> list[Column]:
@@ -132,59 +134,47 @@ def base(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return s.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+# Expressions of many terms are SQL texts: one call each instead of one for every term.
+_N, _C = "greatest(n_words, 1)", "greatest(word_chars, 1)"
+TRANSFORMED = (f"ln(double({_N}))", f"ln({_C} / {_N})", f"sqrt(n_symbols / {_C})", "sqrt(n_dup_lines / greatest(n_lines, 1))", f"sqrt(n_repeat_words / {_N})")
+Z = [f"z{i}" for i in range(P)]
+
+
 def transformed() -> list[Column]:
-    n, c = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return [F.log(n.cast("double")), F.log(c / n), F.sqrt(F.col("n_symbols") / c), F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / n)]
+    return [F.expr(f"{t} AS {z}") for t, z in zip(TRANSFORMED, Z, strict=True)]
 
 
-def _inverse(matrix: Column) -> Column:
+def _inverse(cells: str) -> str:
     """Inverse of a positive definite matrix (flat array of P * P) by Gauss-Jordan
     steps, with the log determinant as a last element."""
-
-    def step(m: Column, k: Column) -> Column:
-        d = F.get(m, k * P + k)
-
-        def entry(t: Column) -> Column:
-            i, j = F.floor(t / P).cast("int"), (t % P).cast("int")
-            row, column = F.get(m, k * P + j), F.get(m, i * P + k)
-            inner = F.when((i == k) & (j == k), 1 / d).when(i == k, row / d).when(j == k, -column / d).otherwise(F.get(m, t) - column * row / d)
-            return F.when(t == P * P, F.get(m, t) + F.log(d)).otherwise(inner)
-
-        return F.transform(F.sequence(F.lit(0), F.lit(P * P)), entry)
-
-    start = F.concat(matrix, F.array(F.lit(0.0)))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(P - 1)), start, step)
+    row, column, d = f"m[k * {P} + t % {P}]", f"m[t div {P} * {P} + k]", f"m[k * {P} + k]"
+    entry = f"CASE WHEN t = {P * P} THEN m[t] + ln({d}) WHEN t div {P} = k AND t % {P} = k THEN 1 / {d} WHEN t div {P} = k THEN {row} / {d} WHEN t % {P} = k THEN -{column} / {d} ELSE m[t] - {column} * {row} / {d} END"
+    return f"aggregate(sequence(0, {P - 1}), concat({cells}, array(0D)), (m, k) -> transform(sequence(0, {P * P}), t -> {entry.replace(' div ', ' DIV ').replace('m[', 'get(m, int(').replace(']', '))')}))"
 
 
 def _estimates(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
     """Means m*, precisions q*_* and log determinant from n, sums s* and products s*_*."""
-    n = F.col("n")
-    means = [F.col(f"s{i}") / n for i in range(P)]
 
-    def cell(i: int, j: int) -> Column:
+    def cell(i: int, j: int) -> str:
         a, b = min(i, j), max(i, j)
-        value = factor * (F.col(f"s{a}_{b}") / n - means[a] * means[b])
-        return F.greatest(value, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else value
+        value = f"{factor!r}D * (s{a}_{b} / n - s{a} / n * s{b} / n)"
+        return f"greatest({value}, 0D) + {FLOORS[i] ** 2!r}D" if i == j else value
 
-    flat = F.array(*[cell(i, j) for i in range(P) for j in range(P)])
+    flat = ", ".join(cell(i, j) for i in range(P) for j in range(P))
     # rounding may leave a matrix that is not quite positive: then its diagonal stands
-    diagonal = F.array(*[cell(i, j) if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
-    out = moments.select(*keys, *[m.alias(f"m{i}") for i, m in enumerate(means)], _inverse(flat).alias("a"), _inverse(diagonal).alias("b"))
-    sound = F.forall(F.array(*[F.get("a", F.lit(i * P + i)) for i in range(P)]), lambda x: x.isNotNull() & (x > 0) & ~F.isnan(x)) & ~F.isnan(F.coalesce(F.get("a", F.lit(P * P)), F.lit(float("nan"))))
-    out = out.withColumn("a", F.when(sound, F.col("a")).otherwise(F.col("b")))
-    return out.select(*keys, *[f"m{i}" for i in range(P)], *[F.get("a", F.lit(i * P + j)).alias(f"q{i}_{j}") for i, j in PAIRS], F.get("a", F.lit(P * P)).alias("logdet"))
+    diagonal = ", ".join(cell(i, j) if i == j else "0D" for i in range(P) for j in range(P))
+    out = moments.selectExpr(*keys, *[f"s{i} / n AS m{i}" for i in range(P)], f"array({flat}) AS f", f"array({diagonal}) AS g")
+    out = out.selectExpr(*keys, *[f"m{i}" for i in range(P)], f"{_inverse('f')} AS a", f"{_inverse('g')} AS b")
+    sound = f"forall(sequence(0, {P - 1}), i -> coalesce(a[i * {P + 1}] > 0 AND NOT isnan(a[i * {P + 1}]), false)) AND NOT isnan(coalesce(a[{P * P}], double('NaN')))"
+    out = out.selectExpr(*keys, *[f"m{i}" for i in range(P)], f"CASE WHEN {sound} THEN a ELSE b END AS a")
+    return out.selectExpr(*keys, *[f"m{i}" for i in range(P)], *[f"a[{i * P + j}] AS q{i}_{j}" for i, j in PAIRS], f"a[{P * P}] AS logdet")
 
 
-def _distance() -> Column:
-    d = [F.col(f"z{i}") - F.col(f"m{i}") for i in range(P)]
-    total = F.lit(0.0)
-    for i, j in PAIRS:
-        total = total + (1 if i == j else 2) * F.col(f"q{i}_{j}") * d[i] * d[j]
-    return F.greatest(total, F.lit(0.0))
+DISTANCE = "greatest(" + " + ".join(f"{1 if i == j else 2} * q{i}_{j} * (z{i} - m{i}) * (z{j} - m{j})" for i, j in PAIRS) + ", 0D)"
 
 
 def _moments() -> list[Column]:
-    return [F.count("*").alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in PAIRS]]
+    return [F.expr(e) for e in ("count(*) AS n", *(f"sum({z}) AS s{i}" for i, z in enumerate(Z)), *(f"sum(z{i} * z{j}) AS s{i}_{j}" for i, j in PAIRS))]
 
 
 _MOMENTS = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}_{j}" for i, j in PAIRS]]
@@ -194,84 +184,88 @@ _MOMENTS = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}_{j}" for i, j in PAIRS]]
 BROADCAST_ROWS, SALTS = 50_000, 64
 
 
-def _by_group(rows: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+def _by_group(rows: DataFrame, few: DataFrame, small: bool, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``few`` (a written table of few rows a gid)."""
-    if few.count() <= BROADCAST_ROWS:
+    if small:
         return rows.join(F.broadcast(few), "gid", how)
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[f"z{i}" for i in range(P)]), F.lit(SALTS)).cast("int"))
-    return salted.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["gid", "__salt"], how).drop("__salt")
+    salted = rows.withColumn("__salt", _salt())
+    return salted.join(few.withColumn("__salt", _salts()), ["gid", "__salt"], how).drop("__salt")
 
 
-def _nearest(rows: DataFrame, estimates: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One concentration step: moments of each group's nearer half, for each start."""
-    near = _by_group(rows, estimates)
-    bins = near.withColumn("bin", F.floor(F.log(_distance() + 1e-9) * 32)).groupBy("gid", "start", "bin").agg(*_moments())
-    order = Window.partitionBy("gid", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = bins.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(sizes, "gid").where(F.col("before") < F.col("half"))
-    part = F.least(F.lit(1.0), (F.col("half") - F.col("before")) / F.col("n"))
-    return before.groupBy("gid", "start").agg(*[F.sum(F.col(c) * part).alias(c) for c in _MOMENTS])
+def _salt() -> Column:
+    return F.expr(f"int(pmod(xxhash64({', '.join(Z)}), {SALTS}))")
+
+
+def _salts() -> Column:
+    return F.expr(f"explode(sequence(0, {SALTS - 1}))")
 
 
-def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
     """``rows`` with their gid (null where no group has their language and source)."""
-    if groups.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(groups), F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs")
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[f"z{i}" for i in range(P)]), F.lit(SALTS)).cast("int"))
-    dealt = groups.withColumn("__many", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(dealt, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")) & (F.col("__salt") == F.col("__many")), "left").drop("gl", "gs", "__salt", "__many")
+    same = F.expr("lang <=> gl AND source <=> gs")
+    if small:
+        return rows.join(F.broadcast(groups), same, "left").drop("gl", "gs")
+    return rows.withColumn("__salt", _salt()).join(groups.withColumn("__many", _salts()), same & F.expr("__salt = __many"), "left").drop("gl", "gs", "__salt", "__many")
+
+
+def _nearest(rows: DataFrame, estimates: DataFrame, sizes: DataFrame, small: bool) -> DataFrame:
+    """One concentration step: moments of each group's nearer half, for each start."""
+    near = _by_group(rows, estimates, small)
+    bins = near.withColumn("bin", F.expr(f"floor(ln({DISTANCE} + 1e-9D) * 32)")).groupBy("gid", "start", "bin").agg(*_moments())
+    before = bins.withColumn("before", F.expr("coalesce(sum(n) OVER (PARTITION BY gid, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")).join(sizes, "gid").where("before < half")
+    return before.groupBy("gid", "start").agg(*[F.expr(f"sum({c} * least(1D, (half - before) / n)) AS {c}") for c in _MOMENTS])
 
 
-def estimates(rows: DataFrame, least_rows: int = 60, steps: int = 2, most_steps: int = 10) -> tuple[DataFrame, DataFrame]:
+def estimates(rows: DataFrame, least_rows: int = 60, steps: int = 2, most_steps: int = 10) -> tuple[DataFrame, DataFrame, bool]:
     """From ``rows`` (a written table with lang, source and the statistics): groups
-    (gl, gs, gid) and for each gid the re-weighted robust mean and precision. Both
-    are written tables with a row a group."""
-    vectors = rows.where("n_words > 0").select("lang", "source", *[z.alias(f"z{i}") for i, z in enumerate(transformed())])
+    (gl, gs, gid), for each gid the re-weighted robust mean and precision, and whether
+    these tables are small. Both are written tables with a row a group."""
+    vectors = rows.where("n_words > 0").select("lang", "source", *transformed())
     # groups: (language, source), or what small ones are pooled to
     sizes = vectors.groupBy("lang", "source").count()
     by_lang = sizes.where(F.col("count") < least_rows).groupBy(F.col("lang").alias("l")).agg(F.sum("count").alias("pooled"))
-    gid = F.when(F.col("count") >= least_rows, F.to_json(F.struct(F.lit(2).alias("of"), "lang", "source"))).when(F.col("pooled") >= least_rows, F.to_json(F.struct(F.lit(1).alias("of"), "lang"))).otherwise(F.lit('{"of":0}'))
-    groups = written(sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "count", gid.alias("gid")), "groups")
-    usable = written(_grouped(vectors, groups.drop("count")).select("gid", *[f"z{i}" for i in range(P)]), "vectors")
-    halves = groups.groupBy("gid").agg(F.sum("count").alias("rows")).where(F.col("rows") >= 2 * P).select("gid", F.ceil(F.col("rows") * HALF).alias("half"))
-    halves = written(halves, "halves")
+    gid = F.expr(f"""CASE WHEN count >= {least_rows} THEN to_json(struct(2 AS of, lang, source)) WHEN pooled >= {least_rows} THEN to_json(struct(1 AS of, lang)) ELSE '{{"of":0}}' END""")
+    groups = written(sizes.join(by_lang, F.expr("lang <=> l"), "left").select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "count", gid.alias("gid")), "groups")
+    small = 2 * groups.count() <= BROADCAST_ROWS
+    usable = written(_grouped(vectors, groups.drop("count"), small).select("gid", *Z), "vectors")
+    halves = written(groups.groupBy("gid").agg(F.sum("count").alias("rows")).where(f"rows >= {2 * P}").select("gid", F.expr(f"ceil(rows * {HALF}) AS half")), "halves")
     # starts: medians and median deviations, classical moments
     classical = usable.groupBy("gid").agg(*_moments()).select("gid", F.lit(1).alias("start"), *_MOMENTS)
     middle = written(_medians(usable), "medians")
-    spread = _medians(_by_group(usable, middle).select("gid", *[F.abs(F.col(f"z{i}") - F.col(f"c{i}")).alias(f"z{i}") for i in range(P)]))
-    robust = middle.join(spread.select("gid", *[F.col(f"c{i}").alias(f"d{i}") for i in range(P)]), "gid")
-    robust = robust.select("gid", F.lit(0).alias("start"), *[F.col(f"c{i}").alias(f"m{i}") for i in range(P)], *[(1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"q{i}_{j}") for i, j in PAIRS], F.lit(0.0).alias("logdet"))
+    spread = _medians(_by_group(usable, middle, small).selectExpr("gid", *[f"abs(z{i} - c{i}) AS z{i}" for i in range(P)]))
+    robust = middle.join(spread.selectExpr("gid", *[f"c{i} AS d{i}" for i in range(P)]), "gid")
+    robust = robust.selectExpr("gid", "0 AS start", *[f"c{i} AS m{i}" for i in range(P)], *[f"1 / (pow(1.4826D * d{i}, 2) + {FLOORS[i] ** 2!r}D) AS q{i}_{j}" if i == j else f"0D AS q{i}_{j}" for i, j in PAIRS], "0D AS logdet")
     found = written(robust.unionByName(_estimates(classical, ["gid", "start"], 1.0)), "starts")
     for _ in range(steps):
-        found = written(_estimates(_nearest(usable, found, halves), ["gid", "start"], _consistency(HALF)), "halved")
+        found = written(_estimates(_nearest(usable, found, halves, small), ["gid", "start"], _consistency(HALF)), "halved")
     best = found.groupBy("gid").agg(F.min_by(F.struct(*[c for c in found.columns if c != "gid"]), F.struct("logdet", "start")).alias("e")).select("gid", "e.*")
     best = written(best, "best")
     for _ in range(steps, most_steps):
-        better = written(_estimates(_nearest(usable, best, halves), ["gid", "start"], _consistency(HALF)), "better")
-        falls = best.select("gid", F.col("logdet").alias("was")).join(better.select("gid", "logdet"), "gid").where(F.col("logdet") < F.col("was") - 1e-3)
+        better = written(_estimates(_nearest(usable, best, halves, small), ["gid", "start"], _consistency(HALF)), "better")
+        falls = best.selectExpr("gid", "logdet AS was").join(better.select("gid", "logdet"), "gid").where(f"logdet < was - {FALL}")
         if not falls.take(1):
             break
         best = better
     best = best.drop("start")
-    inner = _by_group(usable, best).where(_distance() <= _quantile(WEIGHTED, P)).groupBy("gid").agg(*_moments())
-    return groups.select("gl", "gs", "gid"), written(_estimates(inner, ["gid"], _consistency(WEIGHTED)), "weighted")
+    inner = _by_group(usable, best, small).where(F.expr(f"{DISTANCE} <= {_quantile(WEIGHTED, P)!r}D")).groupBy("gid").agg(*_moments())
+    return groups.select("gl", "gs", "gid"), written(_estimates(inner, ["gid"], _consistency(WEIGHTED)), "weighted"), small
 
 
-def judged(rows: DataFrame, groups: DataFrame, final: DataFrame, level: float = 0.99999) -> DataFrame:
+def judged(rows: DataFrame, groups: DataFrame, final: DataFrame, small: bool, level: float = 0.99999) -> DataFrame:
     """``rows`` with ``distance`` (squared, robust; null if there is no estimate) and
     ``inlier``. Both joins are with tables of a row a group."""
-    vectors = rows.select(*rows.columns, *[z.alias(f"z{i}") for i, z in enumerate(transformed())])
-    near = _by_group(_grouped(vectors, groups), final, "left").withColumn("distance", F.when(F.col("n_words") > 0, _distance()))
-    return near.select(*rows.columns, "distance", (F.col("distance").isNull() | (F.col("distance") <= _quantile(level, P))).alias("inlier"))
+    vectors = rows.select("*", *transformed())
+    near = _by_group(_grouped(vectors, groups, small), final, small, "left").withColumn("distance", F.expr(f"CASE WHEN n_words > 0 THEN {DISTANCE} END"))
+    return near.select(*rows.columns, "distance", F.expr(f"distance IS NULL OR distance <= {_quantile(level, P)!r}D").alias("inlier"))
 
 
 def _medians(rows: DataFrame) -> DataFrame:
     """gid, c0.. : medians of z0.. of each group, to a hundredth, by counts of bins."""
-    long = rows.select("gid", F.posexplode(F.array(*[F.round(F.col(f"z{i}"), 2) for i in range(P)])).alias("k", "z"))
+    long = rows.selectExpr("gid", f"posexplode(array({', '.join(f'round({z}, 2)' for z in Z)})) AS (k, z)")
     counts = long.groupBy("gid", "k", "z").count()
-    window = Window.partitionBy("gid", "k")
-    ranked = counts.withColumn("upto", F.sum("count").over(window.orderBy("z"))).withColumn("of", F.sum("count").over(window))
-    found = ranked.where(2 * F.col("upto") >= F.col("of")).groupBy("gid", "k").agg(F.min("z").alias("z"))
-    return found.groupBy("gid").agg(*[F.max(F.when(F.col("k") == i, F.col("z"))).alias(f"c{i}") for i in range(P)])
+    ranked = counts.selectExpr("gid", "k", "z", "sum(count) OVER (PARTITION BY gid, k ORDER BY z) AS upto", "sum(count) OVER (PARTITION BY gid, k) AS of")
+    found = ranked.where("2 * upto >= of").groupBy("gid", "k").agg(F.min("z").alias("z"))
+    return found.groupBy("gid").agg(*[F.expr(f"max(CASE WHEN k = {i} THEN z END) AS c{i}") for i in range(P)])
 
 
 def report(docs: DataFrame) -> DataFrame:

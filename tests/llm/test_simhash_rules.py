@@ -176,22 +176,22 @@ def brute_verdicts(frame, least_rows=60):
             need -= here.sum()
         return estimate(x, w, rules._consistency(0.5))
 
-    for ids in pooled.values():
-        if len(ids) < 10:
-            continue
-        x = np.array([z[i] for i in ids])
+    sets = [ids for ids in pooled.values() if len(ids) >= 10]
+    xs, bests = [np.array([z[i] for i in ids]) for ids in sets], []
+    for x in xs:
         near = np.sort(np.floor(np.abs(x) * 100 + 0.5) / 100 * np.sign(x), axis=0)
         centre = near[(len(x) + 1) // 2 - 1]
         away = np.sort(np.floor(np.abs(x - centre) * 100 + 0.5) / 100, axis=0)[(len(x) + 1) // 2 - 1]
         found = [(centre, np.diag(1 / ((1.4826 * away) ** 2 + floors**2)), 0.0), estimate(x, np.ones(len(x)), 1.0)]
         for _ in range(2):
             found = [half(x, m, q) for m, q, _ in found]
-        best = min(found, key=lambda f: f[2])
-        for _ in range(8):
-            better = half(x, *best[:2])
-            if better[2] >= best[2] - 1e-3:
-                break
-            best = better
+        bests.append(min(found, key=lambda f: f[2]))
+    for _ in range(8):
+        better = [half(x, *b[:2]) for x, b in zip(xs, bests, strict=True)]
+        if not any(new[2] < old[2] - rules.FALL for new, old in zip(better, bests, strict=True)):
+            break
+        bests = better
+    for ids, x, best in zip(sets, xs, bests, strict=True):
         w = (distance(x, *best[:2]) <= rules._quantile(0.975, 5)).astype(float)
         m, q, _ = estimate(x, w, rules._consistency(0.975))
         out.update(zip(ids, distance(x, m, q), strict=True))
