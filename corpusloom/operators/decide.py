@@ -113,7 +113,8 @@ def route(steps: DataFrame, entries: DataFrame) -> DataFrame:
 
 def compare(pool: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Entries and unordered pairs of the first 2 to 8 candidates: at most 28 pairs."""
-    few = pool.orderBy("pos").limit(max(2, min(limit, 8))).cache()
+    few = pool.orderBy("pos").limit(max(2, min(limit, 8)))
+    few = written(few, "compared")
     side = lambda p: few.select(*[F.col(c).alias(f"{p}_{c}") for c in ("pos", "name", "category", "aliases", "matched_terms", "requires", "recommends", "query_score")])
     pairs = side("l").join(F.broadcast(side("r")), F.col("l_pos") < F.col("r_pos"))
     both = lambda c: F.array_sort(F.array_distinct(F.array_intersect(f"l_{c}", f"r_{c}")))

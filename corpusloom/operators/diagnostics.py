@@ -83,3 +83,8 @@ def metrics(corpus: Corpus, index: Index | None = None) -> dict[str, DataFrame]:
 def complaint(missing: Column, hits: Column, limit: int) -> Column:
     """What a search with few or many results points to."""
     return F.when(missing > 0, "drift").when(hits == 0, "miss").when(hits >= limit, "overload").otherwise("low-value")
+
+
+def complaint_of(missing: int, hits: int, limit: int) -> str:
+    """:func:`complaint` of one request."""
+    return "drift" if missing else "miss" if not hits else "overload" if hits >= limit else "low-value"

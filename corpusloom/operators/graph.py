@@ -13,7 +13,7 @@ from collections import deque
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -21,6 +21,8 @@ from corpusloom.operators.corpus import Corpus
 from corpusloom.operators.tables import written
 
 LOCAL_EDGES = 400_000
+#: Rounds of a loop after which what it gathered is written as one table.
+REWRITE = 8
 REASONS = {"seed": 3, "required": 2, "recommended": 1}
 
 
@@ -193,6 +195,9 @@ def reach(pairs: DataFrame, seeds: list[str], inbound: bool = False, local_edges
         step = front.join(pairs, front["name"] == pairs["u"]).select(F.col("v").alias("name")).distinct()
         front = written(step.join(seen, "name", "left_anti").withColumn("depth", F.lit(depth)), "front")
         seen = seen.unionByName(front)
+        if depth % REWRITE == 0:
+            # so that the plan doesn't grow with the depth
+            seen = written(seen, "reached")
     return seen
 
 
@@ -230,10 +235,13 @@ def strong_components(nodes: DataFrame, pairs: DataFrame, local_edges: int = LOC
         same = arc.join(colour.select(F.col("name").alias("u"), F.col("c").alias("cu")), "u").join(colour.select(F.col("name").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").select("u", "v", F.col("cu").alias("c"))
         same = written(same, "coloured")
         front = found = written(colour.where("name = c"), "roots")
+        rounds = 0
         while front.take(1):
             step = same.join(front.select(F.col("name").alias("v"), F.col("c").alias("c2")), "v").where("c = c2").select(F.col("u").alias("name"), "c").distinct()
             front = written(step.join(found, "name", "left_anti"), "back")
-            found = found.unionByName(front)
+            found, rounds = found.unionByName(front), rounds + 1
+            if rounds % REWRITE == 0:
+                found = written(found, "component")
         found = written(found, "component")
         least = found.groupBy("c").agg(F.min("name").alias("root"))
         done.append(found.join(least, "c").select("name", "root"))
@@ -289,11 +297,20 @@ def _longest(nodes: DataFrame, link: DataFrame) -> DataFrame:
             return level
 
 
-def cycles(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """root, members (sorted) of components of several nodes or with an arc to itself."""
-    found = strong_components(nodes, pairs).groupBy("root").agg(F.array_sort(F.collect_list("name")).alias("members"))
-    loops = pairs.where("u = v").select(F.col("u").alias("root"), F.lit(True).alias("loop")).distinct()
-    return found.join(loops, "root", "left").where((F.size("members") > 1) | F.coalesce("loop", F.lit(False))).select("root", "members")
+def cycle_rows(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """root, name: the members of components (``roots``: name, root) of several nodes or
+    with an arc to itself, a row each, so that a component may be of any size."""
+    several = roots.groupBy("root").count().where("count > 1").select("root")
+    loops = pairs.where("u = v").select(F.col("u").alias("name"))
+    alone = roots.join(loops, "name", "left_semi").select("root")
+    return roots.join(several.unionByName(alone).distinct(), "root", "left_semi").select("root", "name")
+
+
+def cycles(nodes: DataFrame, pairs: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """root, members (sorted) of :func:`cycle_rows`: for reports, which show a cycle as
+    one list of names (memory: the names of one component)."""
+    rows = cycle_rows(roots if roots is not None else written(strong_components(nodes, pairs), "roots"), pairs)
+    return rows.groupBy("root").agg(F.array_sort(F.collect_list("name")).alias("members"))
 
 
 def orphans(corpus: Corpus, edge_rows: DataFrame) -> DataFrame:
@@ -346,6 +363,8 @@ def compose(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], full: b
         walked = levels.join(via.select(F.col("to_name").alias("name"), "via"), "name", "left").select("name", F.when(F.col("depth") == 0, "seed").otherwise("required").alias("reason"), "depth", "via", F.lit(None).cast("string").alias("target"))
         broken = mine.where("to_name is null").join(up, "from_name").select(F.col("from_name").alias("name"), F.lit("required").alias("reason"), (F.col("d") + 1).alias("depth"), F.lit(None).cast("string").alias("via"), "target")
         walked = walked.unionByName(broken)
+    # one job for both
+    walked = written(walked, "walked")
     entries = walked.where("target is null").select("name", "reason", "depth", "via")
     missing = walked.where("target is not null").select(F.col("target").alias("name"), F.col("reason").alias("relation"), F.col("name").alias("via"), "depth").distinct()
     return entries, missing
@@ -373,12 +392,12 @@ def graph(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], mode: str
     kept = written(kept, "slice-edges")
     d = corpus.documents
     nodes = d.join(names, d["canonical_name"] == names["name"], "left_semi").select(F.col("canonical_name").alias("name"), "path", "title", "category", "scope", "aliases", "requires", "recommends")
-    level = layers(names, arcs(kept)) if mode != "cycles" else spark.createDataFrame([], "name string, root string, read_layer int, apply_layer int")
+    level = written(layers(names, arcs(kept)), "layers") if mode != "cycles" else spark.createDataFrame([], "name string, root string, read_layer int, apply_layer int")
     return {
         "nodes": nodes,
         "edges": kept,
         "layers": level,
-        "cycles": whole if whole is not None else cycles(names, arcs(kept)),
+        "cycles": whole if whole is not None else cycles(names, arcs(kept), level.select("name", "root")),
         "orphans": alone.join(names, "name", "left_semi"),
         "missing": kept.where("to_name is null").select(F.col("target").alias("name"), F.when(F.col("relation") == "requires", "required").otherwise("recommended").alias("relation"), F.col("from_name").alias("via"), F.lit(1).alias("depth")).distinct(),
     }
@@ -389,17 +408,16 @@ def project(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], full: b
     apply_layer), missing, cycles, orphans. Edges among composed documents count
     whatever their relation."""
     entries, missing = compose(corpus, edge_rows, seed_names, full)
-    entries, missing = written(entries, "composed"), written(missing, "missing")
     names = entries.select("name")
-    inside = edge_rows.join(names.select(F.col("name").alias("from_name")), "from_name", "left_semi")
+    inside = written(edge_rows.join(names.select(F.col("name").alias("from_name")), "from_name", "left_semi"), "inside")
     solid = inside.where("to_name is not null").join(names.select(F.col("name").alias("to_name")), "to_name", "left_semi").select(inside.columns)
     pairs = arcs(solid)
-    level = layers(names, pairs)
+    level = written(layers(names, pairs), "layers")
     linked = inside.where("to_name is null").select(F.col("from_name").alias("name")).unionByName(solid.select(F.explode(F.array("from_name", "to_name")).alias("name")))
     return {
         "entries": entries.join(level.drop("root"), "name", "left"),
         "missing": missing,
-        "cycles": cycles(names, pairs),
+        "cycles": cycles(names, pairs, level.select("name", "root")),
         "orphans": names.join(linked, "name", "left_anti"),
     }
 
@@ -419,3 +437,22 @@ def layer_rows(level: DataFrame, column: str) -> DataFrame:
     first member in language order."""
     order = Window.partitionBy(column).orderBy(X.locale_order(F.col("root")), "name")
     return level.select(F.col(column).alias("layer"), (F.row_number().over(order) - 1).alias("pos"), "name")
+
+
+def entry_order() -> list[Column]:
+    """Composed entries: near ones first, then by strength of the reason, then by name."""
+    strength = F.coalesce(*[F.when(F.col("reason") == r, F.lit(-n)) for r, n in REASONS.items()], F.lit(0))
+    return [F.col("depth"), strength, X.locale_order(F.col("name"))]
+
+
+def missing_order() -> list[Column]:
+    return [F.col("depth"), *[X.locale_order(F.col(c)) for c in ("relation", "via", "name")]]
+
+
+def edge_order() -> list[Column]:
+    return [X.locale_order(F.col("from_name")), X.locale_order(F.coalesce("to_name", "target")), X.locale_order(F.col("relation"))]
+
+
+def numbered(rows: DataFrame, order: list[Column], number: str = "place") -> DataFrame:
+    """``rows`` of one request with their place in an order (from 1)."""
+    return rows.withColumn(number, F.row_number().over(Window.orderBy(*order)))

@@ -22,7 +22,6 @@ class Index:
 
     postings: DataFrame
     vocab: DataFrame
-    doc_len: DataFrame
     n_docs: int
     avg_len: float
 
@@ -32,16 +31,19 @@ def _fields() -> Column:
     return F.array(*[F.struct(F.lit(w).alias("weight"), F.coalesce(F.array_join(f, " ") if f in LISTS else F.col(f), F.lit("")).alias("text")) for f, w in FIELDS.items()])
 
 
-def term_rows(documents: DataFrame) -> DataFrame:
-    """One row a token: skill_id, term, weight (tenths)."""
+def tokenised(documents: DataFrame) -> DataFrame:
+    """skill_id, fields (an array of weight and terms), n_tokens: each text is cut once."""
     fields = F.transform(_fields(), lambda f: F.struct(f["weight"].alias("weight"), X.document_tokens(f["text"]).alias("terms")))
-    rows = documents.select("skill_id", F.inline(fields))
-    return rows.select("skill_id", "weight", F.explode("terms").alias("term")).withColumn("term", X.folded(F.col("term")))
+    rows = documents.select("skill_id", fields.alias("fields"))
+    return rows.withColumn("n_tokens", F.aggregate("fields", F.lit(0).cast("long"), lambda a, f: a + F.size(f["terms"])))
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """term, skill_id, tf, wtf."""
-    return term_rows(documents).groupBy("term", "skill_id").agg(F.count("*").alias("tf"), F.sum("weight").cast("long").alias("wtf"))
+    """term, skill_id, n_tokens, tf, wtf. A document's tokens stand in one task, so they
+    are counted before the one shuffle."""
+    rows = tokenised(documents).select("skill_id", "n_tokens", F.inline("fields"))
+    rows = rows.select("skill_id", "n_tokens", "weight", F.explode("terms").alias("term")).withColumn("term", X.folded(F.col("term")))
+    return rows.groupBy("term", "skill_id", "n_tokens").agg(F.count("*").alias("tf"), F.sum("weight").cast("long").alias("wtf"))
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
@@ -50,22 +52,18 @@ def vocabulary(rows: DataFrame) -> DataFrame:
 
 def lengths(documents: DataFrame) -> DataFrame:
     """skill_id, n_tokens of every document, without a shuffle: sizes of its token lists."""
-    total = F.aggregate(_fields(), F.lit(0).cast("long"), lambda a, f: a + F.size(X.document_tokens(f["text"])))
-    return documents.select("skill_id", total.alias("n_tokens"))
+    return tokenised(documents).select("skill_id", "n_tokens")
 
 
 def build_index(documents: DataFrame, persist: bool = True) -> Index:
     """The index of a corpus; written to the shared folder if ``persist``, with
-    postings sorted by term within files so that term filters skip row groups."""
-    length = lengths(documents)
+    postings in ranges of term and document (so that a frequent term is no single task)
+    sorted within files, so that term filters skip files and row groups."""
     rows = postings(documents)
     if persist:
-        length = written(length, "lengths")
-    rows = rows.join(length, "skill_id")
-    if persist:
-        rows = written(rows.repartitionByRange("term").sortWithinPartitions("term"), "postings")
+        rows = written(rows.repartitionByRange("term", "skill_id").sortWithinPartitions("term"), "postings")
     vocab = vocabulary(rows)
     if persist:
         vocab = written(vocab.repartitionByRange("term").sortWithinPartitions("term"), "vocab")
-    n, total = length.agg(F.count("*"), F.sum("n_tokens")).first()
-    return Index(rows, vocab, length, n, (total or 0) / n if n else 0.0)
+    n, total = documents.count(), rows.agg(F.sum("tf")).first()[0]
+    return Index(rows, vocab, n, (total or 0) / n if n else 0.0)

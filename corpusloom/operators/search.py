@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators.corpus import Corpus
 from corpusloom.operators.index import Index
+from corpusloom.operators.tables import written
 
 K1, B = 1.2, 0.75
 FUZZY = {1: 0.45, 2: 0.25}
@@ -78,6 +79,8 @@ def fuzzy(vocab: DataFrame, place: int, token: str) -> list[Variant]:
     if not most or not re.fullmatch(r"[a-z][a-z0-9_]*", token):
         return []
     near = vocab.where(F.col("term").startswith(token[0]) & F.char_length("term").between(len(token) - most, len(token) + most) & F.col("term").rlike("^[a-z][a-z0-9_]*$"))
+    # a swap is two plain edits, so plain distance bounds what is looked at row by row
+    near = near.where(F.levenshtein("term", F.lit(token), 2 * most) >= 0)
     scored = near.select("term", X.osa_column(F.col("term"), F.lit(token), F.lit(most)).alias("d")).where("d is not null")
     rows = scored.orderBy("d", F.char_length("term"), X.locale_order(F.col("term"))).limit(FUZZY_MOST).collect()
     return [Variant(place, token, r["term"], "en-fuzzy", FUZZY[r["d"]]) for r in rows]
@@ -113,22 +116,36 @@ def score(index: Index, found: list[Variant]) -> DataFrame:
     return gathered.select("skill_id", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["s"]).alias("score"), F.size("parts").alias("coverage"), F.transform("parts", lambda p: p["term"]).alias("matched_terms"))
 
 
-def scope_ranks(corpus: Corpus) -> DataFrame:
+def scope_ranks(corpus: Corpus, scoped: DataFrame | None = None) -> DataFrame:
     """scope (``__unscoped__`` for none), rank: listed priority first, others in byte order."""
     listed = corpus.settings.scope_priority
-    seen = corpus.documents.select(F.coalesce(F.nullif(F.btrim("scope"), F.lit("")), F.lit("__unscoped__")).alias("scope")).distinct()
+    seen = (ranking_scopes(corpus) if scoped is None else scoped).select("scope").distinct()
     place = F.coalesce(*[F.when(F.col("scope") == s, F.lit(i)) for i, s in enumerate(listed)], F.lit(len(listed))) if listed else F.lit(0)
     # scopes are few: one row each
     return seen.withColumn("rank", F.row_number().over(Window.orderBy(place, "scope")))
 
 
+def ranking_scopes(corpus: Corpus) -> DataFrame:
+    """skill_id, canonical_name, scope of every document as ranking sees it: its own; if
+    that is blank, the scope whose root lies nearest above its source root (of several
+    such scopes the first in byte order); else ``__unscoped__``."""
+    own = F.nullif(F.btrim("scope"), F.lit(""))
+    d = corpus.documents.select("skill_id", "canonical_name", own.alias("own"), "source_root")
+    roots = [(s, r.rstrip("/")) for s, rs in corpus.settings.scope_roots.items() for r in rs if r.rstrip("/")]
+    # roots of scopes and source roots are few; a literal for each
+    above = F.lit(None).cast("string")
+    top = F.regexp_replace("source_root", "/+$", "")
+    for root, scope in sorted({r: min(s for s, x in roots if x == r) for _, r in roots}.items(), key=lambda x: len(x[0])):
+        above = F.when((top == root) | top.startswith(f"{root}/"), F.lit(scope)).otherwise(above)
+    return d.select("skill_id", "canonical_name", F.coalesce("own", above, F.lit("__unscoped__")).alias("scope"))
+
+
 def ranked(corpus: Corpus, index: Index, query: str | None, limit: int, min_score: float = 0.0) -> DataFrame:
     """The best documents for a query: rank, document columns, score, coverage,
     matched_terms; ordered by score, coverage, scope rank, name."""
     hits = score(index, variants(index, query or "")).where((F.col("score") >= min_score) & (F.col("score") > 0))
-    scope = F.coalesce(F.nullif(F.btrim(F.col("scope")), F.lit("")), F.lit("__unscoped__"))
-    thin = corpus.documents.select("skill_id", "canonical_name", scope.alias("scope"))
-    ordered = hits.join(thin, "skill_id").join(scope_ranks(corpus), "scope", "left")
+    thin = ranking_scopes(corpus)
+    ordered = hits.join(thin, "skill_id").join(scope_ranks(corpus, thin), "scope", "left")
     order = [F.col("score").desc(), F.col("coverage").desc(), F.col("rank"), X.locale_order(F.col("canonical_name"))]
     top = ordered.orderBy(*order).limit(limit).select("skill_id", "score", "coverage", "matched_terms", F.col("rank").alias("scope_rank"))
     numbered = top.join(corpus.documents, "skill_id")
@@ -163,6 +180,16 @@ class Found:
     aliases: list[str]
 
 
+def evidence(found: Found, asked: str) -> tuple[list[str], dict[str, str | None]]:
+    """Names of the hits in order, and why the first is the first or why there is none."""
+    rows = found.hits.select("rank", "canonical_name", "matched_terms", "score").orderBy("rank").collect()
+    if not rows:
+        why = f"the rewritten query {found.query!r} has no hits either" if found.query != asked.strip() else "no token of the query is in the index"
+        return [], {"why_top": None, "why_none": why}
+    first = rows[0]
+    return [r["canonical_name"] for r in rows], {"why_top": f"{first['canonical_name']} matched {', '.join(first['matched_terms']) or 'its score'} with score {first['score']:.3f}", "why_none": None}
+
+
 def matched_aliases(hits: DataFrame, query: str) -> list[str]:
     """Aliases of hits that the query contains or shares a token with."""
     spark = hits.sparkSession
@@ -174,12 +201,12 @@ def matched_aliases(hits: DataFrame, query: str) -> list[str]:
 def search(corpus: Corpus, index: Index, query: str, limit: int, min_score: float = 0.0) -> Found:
     """Ranked hits; a query without any is rewritten once."""
     asked = query.strip()
-    hits = ranked(corpus, index, asked, limit, min_score).cache()
+    hits = written(ranked(corpus, index, asked, limit, min_score), "hits")
     if hits.take(1):
         return Found(hits, asked, "none", matched_aliases(hits, asked))
     other = fallback_query(index, asked)
     if other and other != asked:
-        again = ranked(corpus, index, other, limit, min_score).cache()
+        again = written(ranked(corpus, index, other, limit, min_score), "hits")
         if again.take(1):
             return Found(again, other, "query-rewrite", matched_aliases(again, other))
     return Found(hits, other or asked, "safe-zero", [])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -12,10 +13,12 @@ from corpusloom.operators import decide as D
 from corpusloom.operators import diagnostics, packets
 from corpusloom.operators import graph as G
 from corpusloom.operators import search as S
-from corpusloom.operators.corpus import Corpus
+from corpusloom.operators.corpus import Corpus, Settings
 from corpusloom.operators.index import Index, build_index
 from corpusloom.operators.tables import written
+from corpusloom.plans import render
 from corpusloom.plans.request import Request, RequestError
+from corpusloom.sources.snapshot import Store, opened
 
 
 @dataclass
@@ -27,6 +30,10 @@ class Result:
     facts: dict[str, object] = field(default_factory=dict)
     error: str | None = None
 
+    def text(self) -> str:
+        """What the action found, as text (see :mod:`corpusloom.plans.render`)."""
+        return render.text_of(self.kind, self.frames, self.facts, self.error)
+
 
 class Engine:
     """Answers requests over one corpus. Indexes are built once for each restriction
@@ -36,6 +43,39 @@ class Engine:
         self.corpus, self.kept = corpus, kept
         self._indexes: dict[tuple, Index] = {(): index} if index else {}
         self._bundles: dict[tuple, tuple[packets.Bundle, DataFrame]] = {}
+        self._edges: dict[tuple, DataFrame] = {}
+        self._open: Callable[[bool], tuple[Corpus, Index, str]] | None = None
+        self._token: str | None = None
+
+    @classmethod
+    def over(cls, store: Store, settings: Settings, build: Callable[[], Corpus], signature: Callable[[], str], request: dict | None = None, kept: int = 4) -> Engine:
+        """An engine over snapshots: before each request the stored version is taken if it
+        is fresh and its sources (``signature``) are unchanged; else, or with ``refresh``, a
+        new one is built and stored."""
+
+        def at(refresh: bool) -> tuple[Corpus, Index, str]:
+            return opened(store, request or {}, settings, build, signature, refresh)
+
+        corpus, index, token = at(False)
+        engine = cls(corpus, index, kept)
+        engine._open, engine._token = at, token
+        return engine
+
+    def _current(self, refresh: bool) -> None:
+        if self._open is None:
+            return
+        corpus, index, token = self._open(refresh)
+        if token != self._token:
+            self.corpus, self._token = corpus, token
+            self._indexes, self._bundles, self._edges = {(): index}, {}, {}
+
+    def edges(self, key: tuple, corpus: Corpus) -> DataFrame:
+        """The corpus' relations, resolved once for all requests on it."""
+        if key not in self._edges:
+            while len(self._edges) >= self.kept:
+                self._edges.pop(next(iter(self._edges)))
+            self._edges[key] = written(G.edges(corpus), "edges")
+        return self._edges[key]
 
     def _built(self, key: tuple, corpus: Corpus) -> Index:
         if key not in self._indexes:
@@ -53,32 +93,55 @@ class Engine:
         return corpus.restricted(names).materialised() if names else corpus, (tuple(scopes) if scopes is not None else None, tuple(names)) if scopes is not None or names else ()
 
     def run(self, action: str, **parameters) -> Result:
-        """The result of an action; a request that can't be answered gives an error."""
+        """The result of an action. A request that can't be answered, or that fails on
+        the way, gives a result with an error; nothing is raised."""
         try:
-            r = Request(action, **parameters).normalised(self.corpus.settings)
-            if action in ("discover", "search", "select", "gap") and not r.query:
-                raise RequestError(f"{action} needs a query")
-            if action == "resolve" and not r.names:
-                raise RequestError("resolve needs names")
-            if not r.query and not r.names and action not in ("index", "validate", "metrics", "audit", "graph"):
-                raise RequestError(f"{action} needs a query or names")
+            return self._run(action, parameters)
         except RequestError as e:
             return Result(action, error=str(e))
+        except Exception as e:
+            return Result(action, error=f"{action} failed: {e}")
+
+    def _run(self, action: str, parameters: dict) -> Result:
+        r = Request(action, **parameters).normalised(self.corpus.settings)
+        if action in ("discover", "search", "select", "gap") and not r.query:
+            raise RequestError(f"{action} needs a query")
+        if action == "resolve" and not r.names:
+            raise RequestError("resolve needs names")
+        if not r.query and not r.names and action not in ("index", "validate", "metrics", "audit", "graph"):
+            raise RequestError(f"{action} needs a query or names")
+        self._current(r.refresh)
         corpus, key = self._view(r)
-        return getattr(self, "_" + action.replace("-", "_"), self._packet)(r, corpus, key)
+        result = getattr(self, "_" + action.replace("-", "_"), self._packet)(r, corpus, key)
+        result.facts |= {"query": result.facts.get("query", r.query), "relation_mode": r.relation_mode}
+        return result
+
+    def _missing(self, r: Request, corpus: Corpus) -> list[str]:
+        """Requested names that no document of the corpus answers to."""
+        asked = r.names or r.corpus_names(corpus.settings)
+        if not asked:
+            return []
+        met = {x[0] for x in corpus.aliases.where(F.col("alias").isin(asked)).select("alias").collect()}
+        return [n for n in asked if n not in met]
 
     # -- search ----------------------------------------------------------------------
 
     def _index(self, r: Request, corpus: Corpus, key: tuple) -> Result:
         d = corpus.documents
-        return Result("index", {"documents": d.orderBy("ordinal").limit(r.limit).select("ordinal", "canonical_name", "path", "title", "category", "scope"), "scopes": diagnostics.metrics(corpus)["by_scope"], "duplicates": corpus.duplicates, "malformed": corpus.malformed}, {"documents": d.count()})
+        n, parsed = d.count(), corpus.duplicates.count()
+        top = d.orderBy("ordinal").limit(r.limit).select("ordinal", "canonical_name", "path", "title", "category", "scope", "source_root")
+        stats = {"documents": n, "parsed": n + parsed, "deduplicated": parsed, "parse_errors": corpus.malformed.count(), "name_filter": "targeted" if r.corpus_names(corpus.settings) else "full", "missing_from_requested": self._missing(r, corpus), "requested_names": r.names}
+        return Result("index", {"documents": top, "scopes": diagnostics.metrics(corpus)["by_scope"], "duplicates": corpus.duplicates, "malformed": corpus.malformed}, stats)
 
     def _discover(self, r: Request, corpus: Corpus, key: tuple) -> Result:
         found = S.search(corpus, self._built(key, corpus), r.query, r.limit, r.min_score)
         shown = found.hits.select("rank", F.col("canonical_name").alias("name"), X.read_path(F.col("canonical_name")).alias("read_path"), "score", "coverage", "path", "scope", "category", "aliases", "requires", "recommends", "matched_terms", X.preview(F.col("body_text"), r.preview_chars or corpus.settings.preview_chars).alias("preview"))
         if r.action == "discover":
             shown = shown.drop("preview")
-        return Result(r.action, {"hits": shown}, {"query": found.query, "fallback_mode": found.mode, "matched_aliases": found.aliases})
+        names, why = S.evidence(found, r.query)
+        missing = self._missing(r, corpus)
+        told = {"query": found.query, "fallback_mode": found.mode, "matched_aliases": found.aliases, **why, "missing_requested": missing}
+        return Result(r.action, {"hits": shown}, told | {"telemetry": {"query": r.query, "returned": names, "used": [], "complaint": diagnostics.complaint_of(len(missing), len(names), r.limit)}})
 
     _search = _discover
 
@@ -88,7 +151,12 @@ class Engine:
         return Result("select", {"hits": hits.select("rank", F.col("canonical_name").alias("name"), "score", "coverage", "path", "scope", "category", X.preview(F.col("body_text"), chars).alias("preview"))})
 
     def _resolve(self, r: Request, corpus: Corpus, key: tuple) -> Result:
-        return Result("resolve", S.resolve(corpus, self._built(key, corpus), r.names, r.include_body, r.budget_chars, r.budget_tokens, r.suggestion_limit))
+        frames = S.resolve(corpus, self._built(key, corpus), r.names, r.include_body, r.budget_chars, r.budget_tokens, r.suggestion_limit)
+        frames["resolved"] = written(frames["resolved"], "resolved")
+        rows = frames["resolved"].select("read_path", F.coalesce(F.char_length("body"), F.lit(0)).alias("n"), "omitted_by_budget").orderBy("pos").collect()
+        budget = {"chars": r.budget_chars, "tokens": r.budget_tokens, "effective_chars": S.effective_chars(r.budget_chars, r.budget_tokens), "used_chars": sum(x["n"] for x in rows)}
+        missing = [x[0] for x in frames["missing"].orderBy("pos").select("requested").collect()]
+        return Result("resolve", frames, {"missing": missing, "omitted": [x["read_path"] for x in rows if x["omitted_by_budget"]], "budget": budget, "resolved": len(rows)})
 
     def _gap(self, r: Request, corpus: Corpus, key: tuple) -> Result:
         return Result("gap", S.gap(corpus, self._built(key, corpus), r.query, r.names, r.coverage_threshold, r.limit, r.min_score))
@@ -101,15 +169,18 @@ class Engine:
 
     def _compose(self, r: Request, corpus: Corpus, key: tuple) -> Result:
         seeds = self._seeds(r, corpus, key)
-        entries, missing = G.compose(corpus, G.edges(corpus), seeds, r.relation_mode == "full")
-        return Result("compose", {"entries": entries, "missing": missing}, {"seeds": seeds})
+        entries, missing = G.compose(corpus, self.edges(key, corpus), seeds, r.relation_mode == "full")
+        return Result("compose", {"entries": G.numbered(entries, G.entry_order()), "missing": G.numbered(missing, G.missing_order())}, {"seeds": seeds})
 
     def _graph(self, r: Request, corpus: Corpus, key: tuple) -> Result:
         seeds = self._seeds(r, corpus, key) if r.query or r.names else []
-        return Result("graph", G.graph(corpus, G.edges(corpus), seeds, r.graph_mode), {"seeds": seeds})
+        found = G.graph(corpus, self.edges(key, corpus), seeds, r.graph_mode)
+        found |= {"nodes": found["nodes"].orderBy(X.locale_order(F.col("name"))), "edges": found["edges"].orderBy(*G.edge_order()), "missing": found["missing"].orderBy(*G.missing_order())}
+        found |= {f"{kind}_layers": G.layer_rows(found["layers"], f"{kind}_layer").orderBy("layer", "pos") for kind in ("read", "apply")}
+        return Result("graph", found, {"seeds": seeds, "mode": r.graph_mode})
 
     def _projection(self, r: Request, corpus: Corpus, key: tuple, limit: int) -> dict[str, DataFrame]:
-        return G.project(corpus, G.edges(corpus), self._seeds(r, corpus, key, limit), r.relation_mode == "full")
+        return G.project(corpus, self.edges(key, corpus), self._seeds(r, corpus, key, limit), r.relation_mode == "full")
 
     def _explain(self, r: Request, corpus: Corpus, key: tuple) -> Result:
         projection = self._projection(r, corpus, key, r.limit)
@@ -152,7 +223,7 @@ class Engine:
 
     def _recommend(self, r: Request, corpus: Corpus, key: tuple) -> Result:
         seeds = self._seeds(r, corpus, key)
-        rows = D.recommend(corpus, self._built(key, corpus), G.edges(corpus), seeds, r.query, r.relation_mode == "full", r.limit, r.min_score)
+        rows = D.recommend(corpus, self._built(key, corpus), self.edges(key, corpus), seeds, r.query, r.relation_mode == "full", r.limit, r.min_score)
         return Result("recommend", {"recommendations": rows}, {"seeds": seeds})
 
     # -- packets ---------------------------------------------------------------------
@@ -217,7 +288,7 @@ class Engine:
 
     def _audit(self, r: Request, corpus: Corpus, key: tuple) -> Result:
         seeds = self._seeds(r, corpus, key) if r.query or r.names else []
-        return Result("audit", diagnostics.audit(corpus, G.edges(corpus), seeds, min(r.limit, 10)))
+        return Result("audit", diagnostics.audit(corpus, self.edges(key, corpus), seeds, min(r.limit, 10)))
 
     def _metrics(self, r: Request, corpus: Corpus, key: tuple) -> Result:
         return Result("metrics", diagnostics.metrics(corpus, self._built(key, corpus)))

@@ -17,8 +17,10 @@ from corpusloom.operators import search as S
 from corpusloom.operators.corpus import Corpus, classify_scopes, dedupe, scope_table
 from corpusloom.operators.tables import written
 from corpusloom.plans import oracle as O
+from corpusloom.plans.engine import Engine
 from corpusloom.session import ship
-from corpusloom.sources.tables import SCOPE_ROOTS, corpus, purchase_arcs, records
+from corpusloom.sources import markdown
+from corpusloom.sources.tables import SCOPE_ROOTS, corpus, markdown_files, purchase_arcs, records, shelf
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,31 +29,60 @@ NAMES, LIMIT = ["doc-27", "alias-3", "doc-9", "doc-81", "nobody"], 20
 #: Query tokens that the tables hold at every size.
 TERMS = [(0, "attion", 1.0), (1, "ating", 1.0), (2, "bleing", 1.0)]
 SEARCH = "attion ating bleing"
-_CORPORA: dict[tuple[str, str], tuple[Corpus, I.Index]] = {}
+LEAST = 4.0
+_READY: dict[tuple[str, str], tuple[Corpus, DataFrame]] = {}
+_INDEXES: dict[tuple[str, str], I.Index] = {}
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+def _lazy(spark: SparkSession, sf_dir: str) -> Corpus:
     return corpus(ship(spark), sf_dir)
 
 
+def _ready(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
+    """The corpus and its edges, written once for an application and folder, as an
+    engine keeps them for all its requests."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _READY:
+        _READY.clear()
+        _INDEXES.clear()
+        c = _lazy(spark, sf_dir).materialised()
+        _READY[key] = (c, written(G.edges(c), "edges"))
+    return _READY[key]
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    return _ready(spark, sf_dir)[0]
+
+
+def _edges(spark: SparkSession, sf_dir: str, relation: str | None = None) -> DataFrame:
+    rows = _ready(spark, sf_dir)[1]
+    return rows.where(F.col("relation") == relation) if relation else rows
+
+
 def _indexed(spark: SparkSession, sf_dir: str) -> tuple[Corpus, I.Index]:
     """The corpus with its written index, built once for an application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CORPORA:
-        _CORPORA.clear()
-        c = _corpus(spark, sf_dir).materialised()
-        _CORPORA[key] = (c, I.build_index(c.documents))
-    return _CORPORA[key]
+    key, c = (spark.sparkContext.applicationId, sf_dir), _corpus(spark, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = I.build_index(c.documents)
+    return c, _INDEXES[key]
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(*_indexed(spark, sf_dir))
+
+
+def _names(c: Corpus) -> DataFrame:
+    return c.documents.select(F.col("canonical_name").alias("name"))
 
 
 def vocab_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of every term."""
-    return I.vocabulary(I.postings(_corpus(spark, sf_dir).documents))
+    return I.vocabulary(I.postings(_lazy(spark, sf_dir).documents))
 
 
 def doc_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document over all fields."""
-    return I.lengths(_corpus(spark, sf_dir).documents).select(F.col("skill_id").alias("name"), "n_tokens")
+    return I.lengths(_lazy(spark, sf_dir).documents).select(F.col("skill_id").alias("name"), "n_tokens")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,22 +136,22 @@ def _renamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def scope_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scope of every path by its longest root."""
-    return _corpus(spark, sf_dir).documents.select(F.col("canonical_name").alias("name"), "scope")
+    return _lazy(spark, sf_dir).documents.select(F.col("canonical_name").alias("name"), "scope")
 
 
 def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of selected scopes."""
-    return _corpus(spark, sf_dir).documents.where(F.col("scope").isin("first", "second")).select(F.col("canonical_name").alias("name"), "scope")
+    return _lazy(spark, sf_dir).documents.where(F.col("scope").isin("first", "second")).select(F.col("canonical_name").alias("name"), "scope")
 
 
 def alias_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who owns each name and alias."""
-    return _corpus(spark, sf_dir).aliases.select("alias", F.col("canonical_name").alias("name"))
+    return _lazy(spark, sf_dir).aliases.select("alias", F.col("canonical_name").alias("name"))
 
 
 def alias_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owners that lost an alias."""
-    return _corpus(spark, sf_dir).alias_conflicts.select("alias", F.col("canonical_name").alias("name"), F.col("conflicting_canonical_name").alias("other"))
+    return _lazy(spark, sf_dir).alias_conflicts.select("alias", F.col("canonical_name").alias("name"), F.col("conflicting_canonical_name").alias("other"))
 
 
 def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,36 +162,32 @@ def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R01, J02."""
-    return G.edges(_corpus(spark, sf_dir)).drop("pos")
+    return G.edges(_lazy(spark, sf_dir)).drop("pos")
 
 
 def broken_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations whose target nobody owns."""
-    return G.edges(_corpus(spark, sf_dir)).where("not resolved").select("from_name", "target", "relation")
+    return _edges(spark, sf_dir).where("not resolved").select("from_name", "target", "relation")
 
 
 def reach_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What three documents lead to."""
-    return G.reach(G.arcs(G.edges(_corpus(spark, sf_dir))), ["doc-27", "doc-9"]).select("name", "depth")
+    return G.reach(G.arcs(_edges(spark, sf_dir)), ["doc-27", "doc-9"]).select("name", "depth")
 
 
 def reach_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What leads to a document, by requirements alone."""
-    e = G.edges(_corpus(spark, sf_dir)).where("relation = 'requires'")
-    return G.reach(G.arcs(e), ["doc-3"], inbound=True).select("name", "depth")
+    return G.reach(G.arcs(_edges(spark, sf_dir, "requires")), ["doc-3"], inbound=True).select("name", "depth")
 
 
 def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strongly connected components by recommendations."""
-    c = _corpus(spark, sf_dir)
-    e = G.edges(c).where("relation = 'recommends'")
-    return G.strong_components(c.documents.select(F.col("canonical_name").alias("name")), G.arcs(e))
+    return G.strong_components(_names(_corpus(spark, sf_dir)), G.arcs(_edges(spark, sf_dir, "recommends")))
 
 
 def cycle_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycles by recommendations: size and members."""
-    c = _corpus(spark, sf_dir)
-    found = G.cycles(c.documents.select(F.col("canonical_name").alias("name")), G.arcs(G.edges(c).where("relation = 'recommends'")))
+    found = G.cycles(_names(_corpus(spark, sf_dir)), G.arcs(_edges(spark, sf_dir, "recommends")))
     return found.select("root", F.size("members").cast("long").alias("n"), F.array_join("members", ",").alias("members"))
 
 
@@ -173,32 +200,27 @@ def purchase_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels by requirements, dependencies first and dependents first."""
-    c = _corpus(spark, sf_dir)
-    return G.layers(c.documents.select(F.col("canonical_name").alias("name")), G.arcs(G.edges(c).where("relation = 'requires'"))).select("name", "read_layer", "apply_layer")
+    return G.layers(_names(_corpus(spark, sf_dir)), G.arcs(_edges(spark, sf_dir, "requires"))).select("name", "read_layer", "apply_layer")
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without requirements either way."""
-    c = _corpus(spark, sf_dir)
-    return G.orphans(c, G.edges(c).where("relation = 'requires'"))
+    return G.orphans(_corpus(spark, sf_dir), _edges(spark, sf_dir, "requires"))
 
 
 def compose_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two documents require, with depth and the smallest via."""
-    c = _corpus(spark, sf_dir)
-    return G.compose(c, G.edges(c), ["doc-81", "doc-99"], False)[0]
+    return G.compose(_corpus(spark, sf_dir), _edges(spark, sf_dir), ["doc-81", "doc-99"], False)[0]
 
 
 def compose_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A06 with recommendations: the order of the walk matters (no SQL)."""
-    c = _corpus(spark, sf_dir)
-    return G.compose(c, G.edges(c), ["doc-81", "doc-99"], True)[0]
+    return G.compose(_corpus(spark, sf_dir), _edges(spark, sf_dir), ["doc-81", "doc-99"], True)[0]
 
 
 def graph_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the slice that a document leads to."""
-    c = _corpus(spark, sf_dir)
-    return G.graph(c, G.edges(c).where("relation = 'requires'"), ["doc-81", "doc-99"])["edges"].drop("pos")
+    return G.graph(_corpus(spark, sf_dir), _edges(spark, sf_dir, "requires"), ["doc-81", "doc-99"])["edges"].drop("pos")
 
 
 def validate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,15 +229,28 @@ def validate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues, cycles and orphans by kind."""
-    c = _corpus(spark, sf_dir)
-    return diagnostics.audit(c, G.edges(c), [], 10)["issues"].groupBy("severity", "kind").count()
+    """Issues, cycles and orphans."""
+    return diagnostics.audit(_corpus(spark, sf_dir), _edges(spark, sf_dir), [], 10)["issues"].select("severity", "kind", "message", "skill_name", "source_kind", F.array_join("related_skills", ",").alias("related"))
+
+
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues by severity and kind, and whether the corpus is sound."""
+    return diagnostics.audit(_corpus(spark, sf_dir), _edges(spark, sf_dir), [], 10)["counts"]
+
+
+def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G10."""
+    return diagnostics.counts(diagnostics.validate(_corpus(spark, sf_dir)))
 
 
 def degree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents with most relations to them."""
-    c = _corpus(spark, sf_dir)
-    return diagnostics.audit(c, G.edges(c), [], 10)["top_inbound"].drop("path")
+    return diagnostics.audit(_corpus(spark, sf_dir), _edges(spark, sf_dir), [], 10)["top_inbound"].drop("path")
+
+
+def degree_top_outbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents with most relations from them."""
+    return diagnostics.audit(_corpus(spark, sf_dir), _edges(spark, sf_dir), [], 10)["top_outbound"].drop("path")
 
 
 def metrics_category(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,8 +300,8 @@ def route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases of the plan."""
     c, index, pool = _pool(spark, sf_dir)
     steps = D.plan(D.decide(c, pool, 50), True, LIMIT)[1]
-    entries = G.project(c, G.edges(c), _seeds(c, index), False)["entries"]
-    return D.route(steps, entries).select("order", "kind", "layer", F.array_join("names", ",").alias("names"), F.array_join("rationale", ",").alias("rationale"))
+    entries = G.project(c, _edges(spark, sf_dir), _seeds(c, index), False)["entries"]
+    return D.route(steps, entries).select("order", "kind", F.expr(_LAYER).alias("layer"), F.array_join("names", ",").alias("names"), F.array_join("rationale", ",").alias("rationale"))
 
 
 def _seeds(c: Corpus, index: I.Index) -> list[str]:
@@ -283,15 +318,15 @@ def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14, D05, G12, T08."""
     c, index, _ = _pool(spark, sf_dir)
-    rows = D.recommend(c, index, G.edges(c), ["doc-27", "doc-9"], SEARCH, True, LIMIT)
+    rows = D.recommend(c, index, _edges(spark, sf_dir), ["doc-27", "doc-9"], SEARCH, True, LIMIT)
     return rows.select("rank", "name", "score", F.size("outbound_signals").alias("n_out"), F.size("inbound_signals").alias("n_in"))
 
 
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Required documents of three seeds with search evidence."""
     c, index = _indexed(spark, sf_dir)
-    rows = D.explain(c, G.project(c, G.edges(c), ["doc-81", "doc-99"], False)["entries"], S.ranked(c, index, SEARCH, LIMIT))
-    return rows.select("name", "reason", "via", "depth", "coverage", F.round("score", 6).alias("score"))
+    rows = D.explain(c, G.project(c, _edges(spark, sf_dir), ["doc-81", "doc-99"], False)["entries"], S.ranked(c, index, SEARCH, LIMIT))
+    return rows.select("name", "reason", "via", "depth", "read_layer", "apply_layer", F.coalesce("coverage", F.lit(0)).alias("coverage"), F.round("score", 6).alias("score"), F.array_join("matched_terms", ",").alias("terms"))
 
 
 def gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,10 +335,20 @@ def gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.gap(c, index, SEARCH + " zzyzx", [], 0.6, LIMIT)["gap"].select("candidates", F.array_join("covered_terms", ",").alias("covered"), F.array_join("uncovered_terms", ",").alias("uncovered"), F.round("coverage_ratio", 6).alias("ratio"), "recommended_action", F.col("scaffold.name").alias("scaffold"))
 
 
+#: A layer as a number; -1 where there is none.
+_LAYER = "coalesce(layer, -1)"
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    """Lists joined by bars, layers as numbers."""
+    lists = [f.name for f in rows.schema if f.dataType.typeName() == "array"]
+    return rows.withColumns({c: F.array_join(c, "|") for c in lists}).withColumn("layer", F.expr(_LAYER))
+
+
 def _bundle(spark: SparkSession, sf_dir: str, chars: int = 4000) -> packets.Bundle:
     c, index, pool = _pool(spark, sf_dir)
     winner, steps, _ = D.plan(D.decide(c, pool, 50), True, LIMIT)
-    entries = G.project(c, G.edges(c), _seeds(c, index), False)["entries"]
+    entries = G.project(c, _edges(spark, sf_dir), _seeds(c, index), False)["entries"]
     packed = written(packets.pack(c, entries, chars, 1000), "packed")
     phases = written(D.route(steps, entries), "phases")
     omitted = [r[0] for r in packed.where("omitted_by_budget").select("read_path").orderBy("read_path").collect()]
@@ -311,10 +356,10 @@ def _bundle(spark: SparkSession, sf_dir: str, chars: int = 4000) -> packets.Bund
 
 
 def pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies within 4000 characters (no SQL: a fold that skips)."""
+    """Bodies within 4000 characters, by a fold that skips."""
     c = _corpus(spark, sf_dir)
-    entries = G.project(c, G.edges(c), ["doc-81", "doc-99", "doc-14", "doc-34"], False)["entries"]
-    return packets.pack(c, entries, 4000, 1000).select("name", "reason", "depth", F.char_length("body").alias("body_chars"), "omitted_by_budget")
+    entries = G.project(c, _edges(spark, sf_dir), ["doc-81", "doc-99", "doc-14", "doc-34"], False)["entries"]
+    return packets.pack(c, entries, 4000, 1000).select("name", "reason", "depth", F.coalesce(F.char_length("body"), F.lit(-1)).alias("body_chars"), "omitted_by_budget")
 
 
 def brief(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,28 +374,176 @@ def handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19."""
-    return packets.session_steps(_bundle(spark, sf_dir))
+    return packets.session_steps(_bundle(spark, sf_dir)).withColumn("layer", F.expr(_LAYER))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A20, D12."""
-    return packets.turns(_bundle(spark, sf_dir))
+    return _flat(packets.turns(_bundle(spark, sf_dir)))
 
 
 def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A21."""
-    return packets.blocked_turns(_bundle(spark, sf_dir))
+    return _flat(packets.blocked_turns(_bundle(spark, sf_dir)))
 
 
 def resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A22, A23."""
-    return packets.remaining(_bundle(spark, sf_dir))
+    return _flat(packets.remaining(_bundle(spark, sf_dir)))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets.texts(written(packets.current(_bundle(spark, sf_dir)), "turn"))
+
+
+def current_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one turn to take now."""
+    return packets.current(_bundle(spark, sf_dir)).select("winner", "ready", "active_turn_order", "phase_kind", "objective", F.array_join("checklist", "|").alias("checklist"), F.array_join("exit_criteria", "|").alias("exit_criteria"), F.array_join("recovery_guidance", "|").alias("recovery_guidance"))
 
 
 def packet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts of the current turn."""
-    rows = packets.texts(written(packets.current(_bundle(spark, sf_dir)), "turn"))
-    return rows.select("winner", "ready", "instruction_text", "summary_text", "markdown", "checklist_text", "command_block", "apply_text", "script_content", "execution_text", "verification_text")
+    """Texts of the current turn."""
+    return _texts(spark, sf_dir).select("winner", "ready", "instruction_text", "summary_text", "markdown", "checklist_text", "command_block", "verification_text")
+
+
+def file_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the current turn."""
+    return _texts(spark, sf_dir).select("base_name", F.inline("files"))
+
+
+def apply_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be written, and in what order."""
+    return _texts(spark, sf_dir).select("apply_text", F.inline("writes"))
+
+
+def execution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The script's place, how it is run, and what to expect (its content is
+    Python with the writes as JSON; tests run it)."""
+    return _texts(spark, sf_dir).select("script_path", "run_command", "execution_text")
+
+
+def select_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A04."""
+    hits = _engine(spark, sf_dir).run("select", query=SEARCH, task_size="large", limit=LIMIT).frames["hits"]
+    return hits.select("rank", "name", F.round("score", 6).alias("score"), "coverage", "scope", "category", "preview")
+
+
+def minimum_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a least score."""
+    c, index = _indexed(spark, sf_dir)
+    return S.ranked(c, index, SEARCH, LIMIT, LEAST).select("rank", F.col("canonical_name").alias("name"), F.round("score", 6).alias("score"))
+
+
+def resolve_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named documents with their bodies within a budget."""
+    rows = _engine(spark, sf_dir).run("resolve", names=NAMES, include_body=True, budget_chars=1500, budget_tokens=1000).frames["resolved"]
+    return rows.select("pos", "name", "read_path", "title", "scope", F.coalesce(F.char_length("body"), F.lit(-1)).alias("body_chars"), "omitted_by_budget")
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near names of one that is missing."""
+    return _engine(spark, sf_dir).run("resolve", names=["docs-81"]).frames["suggestions"]
+
+
+def index_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first documents of the index."""
+    return _engine(spark, sf_dir).run("index", task_size="large", limit=LIMIT).frames["documents"]
+
+
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of an index of named documents."""
+    f = _engine(spark, sf_dir).run("index", names=NAMES).facts
+    return spark.createDataFrame([(f["documents"], f["parsed"], f["name_filter"], ",".join(f["missing_from_requested"]))], "documents long, parsed long, name_filter string, missing string")
+
+
+def decide_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D02."""
+    c, _, pool = _pool(spark, sf_dir)
+    return D.decide(c, pool, LIMIT).select("rank", "name", F.array_join("reasons", "|").alias("reasons"))
+
+
+def decision_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The basis and winner of a decision, and whether its pack is sound."""
+    engine = _engine(spark, sf_dir)
+    decided = engine.run("decide", query=SEARCH, names=NAMES, task_size="large", limit=LIMIT).facts
+    packed = engine.run("pack", names=["doc-81"], task_size="large").facts
+    return spark.createDataFrame([(decided["basis"], decided["winner"], packed["ok"])], "basis string, winner string, pack_ok boolean")
+
+
+def gap_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gap among named documents only."""
+    c, index = _indexed(spark, sf_dir)
+    return S.gap(c, index, SEARCH, NAMES + [f"doc-{n}" for n in range(0, 200)], 0.9, LIMIT)["candidates"].select("name", F.round("score", 6).alias("score"), "coverage")
+
+
+def compose_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed documents in order."""
+    rows = _engine(spark, sf_dir).run("compose", names=["doc-81", "doc-99"]).frames["entries"]
+    return rows.select("place", "name", "reason", "depth", "via")
+
+
+def missing_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing relations in order."""
+    rows = _engine(spark, sf_dir).run("compose", names=["doc-891", "doc-99", "doc-66"]).frames["missing"]
+    return rows.select("place", "relation", "name", "via", "depth")
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a slice with their layers and places in them."""
+    c, e = _corpus(spark, sf_dir), _edges(spark, sf_dir, "requires")
+    found = G.graph(c, e, ["doc-3"], "inbound")
+    rows = [G.layer_rows(found["layers"], f"{k}_layer").select("name", F.col("layer").alias(f"{k}_layer"), F.col("pos").alias(f"{k}_pos")) for k in ("read", "apply")]
+    return found["nodes"].select("name", "category").join(rows[0], "name").join(rows[1], "name")
+
+
+def orphan_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of orphans among seeds."""
+    return G.graph(_corpus(spark, sf_dir), _edges(spark, sf_dir, "requires"), [f"doc-{n}" for n in range(100, 400)], "orphans")["nodes"].select("name")
+
+
+def fallback_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query without hits is rewritten; ranks of equal hits go by
+    the scope of their source root."""
+    c = shelf(ship(spark), sf_dir)
+    found = S.search(c, I.build_index(c.documents), "zzzq mismatch report", 50)
+    scoped = S.ranking_scopes(c).withColumnRenamed("scope", "rank_scope")
+    return found.hits.join(scoped, "canonical_name").select("rank", F.col("canonical_name").alias("name"), F.round("score", 9).alias("score"), "coverage", "rank_scope", F.lit(found.mode).alias("mode"), F.lit(found.query).alias("asked"))
+
+
+def korean_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems and halves of Hangul words made from the keys of parts."""
+    p = ship(spark).read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    endings = F.array(*[F.lit(e) for e in X.KOREAN_ENDINGS])
+    syllables = F.transform(F.sequence(F.lit(1), (2 + F.col("p_partkey") % 6).cast("int")), lambda k: F.expr("array('가','람','터','실','봄','도','만')")[((F.col("p_partkey") * k) % 7).cast("int")])
+    word = F.concat(F.array_join(syllables, ""), F.when(F.col("p_partkey") % 3 > 0, F.get(endings, (F.col("p_partkey") % len(X.KOREAN_ENDINGS)).cast("int"))).otherwise(""))
+    forms = F.transform(X.korean_forms(word), lambda f: F.concat(f["token"], F.lit(":"), f["weight"].cast("string")))
+    return p.select("p_partkey", word.alias("word"), F.array_join(forms, " ").alias("forms"))
+
+
+def payload_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a provider with a catalogue in their messages."""
+    m = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.lit("<skills></skills>").alias("content")), F.struct("role", F.concat(F.lit("a<skills>"), "text", F.lit("</skills>b")).alias("content"))).alias("messages")))
+    new = hooks.rewrite_payload_json(body)
+    return m.select("conv_id", "turn", F.get_json_object(new, "$.messages[1].content").alias("content"))
+
+
+def blocks_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of several blocks."""
+    m = ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    return m.select("conv_id", "turn", hooks.rewrite_blocks(F.array(F.col("text"), F.when(F.col("turn") % 2 == 0, F.lit("x<skills>y</skills>z")).otherwise(F.lit("<skills>")), F.col("role"))).alias("prompt"))
+
+
+def markdown_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents parsed from files with frontmatter."""
+    good, _ = markdown.parse(markdown_files(ship(spark), sf_dir), "/files")
+    joined = [F.array_join(c, "|").alias(c) for c in ("tags", "aliases", "requires", "recommends")]
+    return good.select("path", "canonical_name", "title", "category", "description", "version", *joined, F.char_length("body_text").alias("body_chars"))
+
+
+def markdown_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that can't be read."""
+    return markdown.parse(markdown_files(ship(spark), sf_dir), "/files")[1].select("path", F.substring("reason", 1, 11).alias("reason"))
 
 
 def prompt_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,17 +584,18 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of sources by path, size and time, whatever their order."""
-    d = _corpus(spark, sf_dir).documents
-    parts = F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "path", F.char_length("body_text").cast("string"), F.col("mtime_ms").cast("long").cast("string")))), "\n")
-    return d.groupBy("source_root").agg(F.sha2(parts.cast("binary"), 256).alias("signature"))
+    """The digest of each root's sources by path, size and time, whatever their order."""
+    d = _lazy(spark, sf_dir).documents.select("source_root", "path", F.char_length("body_text").alias("size"), "mtime_ms")
+    return markdown.manifests(d, "source_root")
 
 
 _ALL = (
     vocab_df, doc_len, tokens, bm25_exact, search_ranked, prefix_variants, fuzzy_variants, dedupe_canonical, duplicate_log, scope_classify, scope_filter, alias_owner, alias_conflicts,
     resolve_names, edges, broken_relations, reach_out, reach_in, scc, cycle_list, purchase_components, read_layers, orphans, compose_required, compose_full, graph_slice, validate_issues,
     audit_issues, degree_topk, metrics_category, metrics_root, metrics_scope, metrics_totals, top_terms, decide, plan, route, compare, recommend, explain, gap, pack_budget, brief, handoff,
-    session_steps, turns, recovery, resume, packet_texts, prompt_rewrite, read_compactor, complaints, name_similarity, canonical_names, previews, snapshot_manifest,
+    session_steps, turns, recovery, resume, current_turn, packet_texts, file_ready, apply_writes, execution, select_hits, minimum_score, resolve_bodies, suggestions, index_top, index_stats,
+    decide_reasons, decision_facts, gap_named, compose_places, missing_places, graph_nodes, orphan_slice, fallback_search, korean_forms, payload_rewrite, blocks_rewrite, markdown_records,
+    markdown_malformed, issue_counts, audit_counts, degree_top_outbound, prompt_rewrite, read_compactor, complaints, name_similarity, canonical_names, previews, snapshot_manifest,
 )
 
 
@@ -436,7 +630,93 @@ def oracle_sql() -> dict[str, str]:
     tier AS (SELECT o.*, CASE WHEN o.rank = 1 THEN 0 WHEN EXISTS (SELECT 1 FROM inn, win WHERE inn.t = win.name AND inn.name = o.name AND relation = 'requires') THEN 1
       WHEN EXISTS (SELECT 1 FROM inn, win WHERE inn.t = win.name AND inn.name = o.name AND relation = 'recommends') THEN 2 ELSE 3 END AS t FROM ord o)"""
     full = (c, s, a, e, p, h, named, pool)
+    valid = """vi AS (SELECT 'warning' AS severity, 'duplicate-alias' AS kind, 'Alias ''' || alias || ''' resolves to ''' || name || ''' and conflicts with ''' || other || '''.' AS message, name AS skill_name, other AS target FROM cf
+      UNION ALL SELECT CASE relation WHEN 'requires' THEN 'error' ELSE 'warning' END, 'broken-' || w || '-relation', upper(w[1]) || substr(w, 2) || ' relation ''' || target || ''' from ''' || from_name || ''' does not resolve.', from_name, target
+      FROM (SELECT *, CASE relation WHEN 'requires' THEN 'required' ELSE 'recommended' END AS w FROM e WHERE NOT resolved))"""
+    conflicts = "cf AS (SELECT DISTINCT alias, CASE WHEN k < wk THEN name ELSE wn END AS name, CASE WHEN k < wk THEN wn ELSE name END AS other FROM (SELECT alias, name, k, min(k) OVER w AS wk, arg_min(name, k) OVER w AS wn FROM (SELECT alias, o.name, {'p': p, 'm': -mtime, 'path': path} AS k, CASE WHEN alias = o.name THEN -1 ELSE mtime END AS at_ FROM own o) WINDOW w AS (PARTITION BY alias ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE wk IS NOT NULL AND wn <> name)"
+    audited = """ring AS (SELECT root, list(name ORDER BY name) AS members FROM comp GROUP BY root HAVING count(*) > 1 OR root IN (SELECT u FROM arcs WHERE u = v)),
+    lone AS (SELECT name FROM d WHERE name NOT IN (SELECT from_name FROM e) AND name NOT IN (SELECT to_name FROM e WHERE resolved)),
+    au AS (SELECT severity, 'validation' AS kind, message, skill_name, kind AS source_kind, NULL AS related FROM vi
+      UNION ALL SELECT 'warning', 'cycle', 'Relation cycle detected: ' || array_to_string(members, ' -> ') || ' -> ' || members[1], members[1], NULL, array_to_string(members, ',') FROM ring
+      UNION ALL SELECT 'info', 'orphan', 'Orphan skill ''' || name || ''' has no inbound or outbound relations.', name, NULL, name FROM lone)"""
+    # the whole graph is one ring of recommendations and what hangs on it: members reach its least node and are reached
+    around = """arcs AS (SELECT DISTINCT from_name AS u, to_name AS v FROM e WHERE resolved),
+    cl(u, v) AS (SELECT u, v FROM arcs UNION SELECT cl.u, arcs.v FROM cl JOIN arcs ON cl.v = arcs.u)"""
+    bundle = (*full, tiers, O.PROJECT, O.route_sql(LIMIT), O.pack_sql(4000), O.PACKETS)
+    degrees = "dg AS (SELECT name, coalesce(i, 0) AS inbound, coalesce(o, 0) AS outbound, coalesce(r, 0) AS requires, coalesce(m, 0) AS recommends FROM d LEFT JOIN (SELECT from_name AS name, count(*) AS o, count(*) FILTER (relation = 'requires') AS r, count(*) FILTER (relation = 'recommends') AS m FROM e GROUP BY 1) USING (name) LEFT JOIN (SELECT to_name AS name, count(*) AS i FROM e WHERE resolved GROUP BY 1) USING (name))"
+    of_turn = "winner, ready"
+    joined = lambda *c: ", ".join(f"array_to_string({x}, '|') AS {x}" for x in c)
+    flat_turn = 'SELECT "order", phase_kind, coalesce(layer, -1) AS layer, objective, blocked_by_budget, ' + joined("names", "read_paths", "source_paths", "next_commands", "checklist", "exit_criteria")
+    steps = lambda names: ", ".join(f"('{n}', 0)" for n in names)
+    pairs = """few AS (SELECT p.*, d.category, alias, requires, recommends, row_number() OVER (ORDER BY pos) AS nth FROM pool p JOIN d USING (name) QUALIFY nth <= 8)"""
+    rel = lambda a, b: f"CASE WHEN list_has_any({a}.requires, [{b}.name, {b}.alias]) THEN 'requires' WHEN list_has_any([{a}.recommends], [{b}.name, {b}.alias]) THEN 'recommends' END"
+    shared = lambda x: f"array_to_string(list_sort(list_intersect(coalesce(l.{x}, []), coalesce(r.{x}, []))), ',')"
+    signals = f"""sg AS (SELECT DISTINCT * FROM (
+      SELECT to_name AS name, 'out' AS kind, from_name AS via, relation FROM e WHERE resolved AND from_name IN ('doc-27', 'doc-9')
+      UNION ALL SELECT from_name, 'in', to_name, relation FROM e WHERE resolved AND to_name IN ('doc-27', 'doc-9')
+      UNION ALL SELECT d.name, 'category', x.name, NULL FROM d JOIN d x ON x.category = d.category AND x.name IN ('doc-27', 'doc-9'))),
+    su AS (SELECT name, sum(CASE kind WHEN 'out' THEN CASE relation WHEN 'requires' THEN 4.0 ELSE 2.0 END WHEN 'in' THEN CASE relation WHEN 'requires' THEN 1.5 ELSE 0.75 END ELSE 0.5 END) AS w, count(*) FILTER (kind = 'out') AS n_out, count(*) FILTER (kind = 'in') AS n_in FROM sg GROUP BY name),
+    rc AS (SELECT coalesce(su.name, h.name) AS name, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, round(score, 3) AS q3, round(coalesce(score, 0) + 0.25 * coalesce(coverage, 0) + coalesce(w, 0), 3) AS score FROM su FULL JOIN h ON su.name = h.name)"""
+    ends = ", ".join(f"'{x}'" for x in X.KOREAN_ENDINGS)
+    korean = f"""w AS (SELECT p_partkey, array_to_string(list_transform(range(1, 3 + p_partkey % 6), lambda k: ['가', '람', '터', '실', '봄', '도', '만'][1 + (p_partkey * k) % 7]), '') || CASE WHEN p_partkey % 3 > 0 THEN [{ends}][1 + p_partkey % {len(X.KOREAN_ENDINGS)}] ELSE '' END AS word FROM part),
+    st AS (SELECT *, list_filter([{ends}], lambda e: suffix(word, e) AND length(word) - length(e) >= 2)[1] AS ending FROM w),
+    rt AS (SELECT *, CASE WHEN ending IS NOT NULL THEN left(word, length(word) - length(ending)) END AS stem, coalesce(CASE WHEN ending IS NOT NULL THEN left(word, length(word) - length(ending)) END, word) AS root FROM st),
+    cut AS (SELECT *, list_filter(range(2, length(root) - 1), lambda i: length(root) >= 4 AND i <= 4 AND length(root) - i <= 4 AND abs(2 * i - length(root)) <= 2) AS cuts FROM rt),
+    hv AS (SELECT *, flatten(list_transform(cuts, lambda i: [left(root, i), substr(root, i + 1)])) AS parts FROM cut),
+    ud AS (SELECT *, list_filter(list_transform(parts, lambda x, i: CASE WHEN list_position(parts, x) = i AND x <> coalesce(stem, '') THEN x || ':0.52' END), lambda x: x IS NOT NULL) AS told FROM hv)"""
+    file = """f AS (SELECT doc_id, lang, text, source, CASE WHEN doc_id % 17 = 0 THEN false ELSE true END AS front, '/files/folder-' || doc_id || '/SKILL.md' AS path,
+      CASE WHEN doc_id % 17 = 0 OR doc_id % 13 = 0 THEN 'folder-' || doc_id WHEN doc_id % 2 = 0 THEN 'doc-' || doc_id ELSE 'doc-' || doc_id END AS canonical_name,
+      (CASE WHEN doc_id % 5 = 0 THEN 'intro' || chr(10) || '##  Heading ' || doc_id || '  ' || chr(10) ELSE '' END) || coalesce(text, '') AS body FROM documents WHERE doc_id % 101 <> 0),
+    g AS (SELECT *, CASE WHEN front AND doc_id % 3 = 0 THEN ['a', 'b'] WHEN front THEN ['x-y', 'z'] ELSE [] END AS requires, regexp_extract(body, '(?m)^#+\\s*(.+)$', 1) AS head FROM f)"""
     return {
+        "search_ranked": q(c, s, p, O.variants_sql(["tion", "shthx", "ratiingx"]), O.search_sql(None, LIMIT), select="SELECT rank, name, round(score, 6) AS score, coverage, array_to_string(terms, ',') AS terms FROM h"),
+        "fuzzy_variants": q(c, p, "qw(place, token) AS (VALUES (0, 'thtionx'), (1, 'oneratx'), (2, 'ingblex'))", select=f"SELECT token, term, CASE d WHEN 1 THEN 0.45 ELSE 0.25 END AS weight FROM {O.fuzzy_sql('qw')}"),
+        "select_hits": q(c, s, p, h, select="SELECT rank, name, round(h.score, 6) AS score, coverage, s.scope, category, regexp_replace(substr(body, 1, 500), '\\n+', ' ', 'g') AS preview FROM h JOIN d USING (name) JOIN s USING (name)"),
+        "minimum_score": q(c, s, p, O.search_sql(TERMS, LIMIT, LEAST), select="SELECT rank, name, round(score, 6) AS score FROM h"),
+        "resolve_bodies": q(c, s, a, named, "line AS (SELECT nn.pos, nn.name, title, s.scope, length(body) AS n, row_number() OVER (ORDER BY nn.pos) AS k FROM nn JOIN d USING (name) JOIN s USING (name)), fold(k, used, taken) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), NULL::BOOLEAN UNION ALL SELECT line.k, used + CASE WHEN n > 0 AND used + n <= 1500 THEN n ELSE 0 END, CASE WHEN n > 0 THEN used + n <= 1500 END FROM fold JOIN line ON line.k = fold.k + 1)", select="SELECT pos, name, 'skill://' || name AS read_path, title, scope, CASE WHEN taken THEN n ELSE -1 END AS body_chars, coalesce(NOT taken, false) AS omitted_by_budget FROM line JOIN fold USING (k)", recursive=True),
+        "suggestions": q(c, s, p, O.variants_sql(["docs", "81"]), O.search_sql(None, 5), select="SELECT name, 'skill://' || name AS read_path, round(confidence, 3) AS confidence FROM (SELECT name, greatest(1 - levenshtein(name, 'docs-81') / greatest(length(name), 7), 1 - levenshtein(alias, 'docs-81') / greatest(length(alias), 7)) AS confidence FROM h JOIN d USING (name)) WHERE confidence >= 0.8 ORDER BY confidence DESC, name LIMIT 3"),
+        "index_top": q(c, s, select=f"SELECT ordinal, name AS canonical_name, path, title, category, s.scope, source_root FROM d JOIN s USING (name) ORDER BY ordinal LIMIT {LIMIT}"),
+        "index_stats": q(c, s, a, f"asked(n) AS (VALUES {', '.join(f"('{n}')" for n in sorted(NAMES))})", select="SELECT (SELECT count(*) FROM d WHERE name IN (SELECT n FROM asked) OR alias IN (SELECT n FROM asked)) AS documents, (SELECT count(*) FROM d WHERE name IN (SELECT n FROM asked) OR alias IN (SELECT n FROM asked)) AS parsed, 'targeted' AS name_filter, (SELECT string_agg(n, ',' ORDER BY n) FROM asked WHERE n NOT IN (SELECT alias FROM al)) AS missing"),
+        "validate_issues": q(*base, conflicts, valid, select="SELECT * FROM vi"),
+        "issue_counts": q(*base, conflicts, valid, select="SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity <> 'error') AS warnings, count(*) FILTER (severity = 'error') = 0 AS ok FROM vi"),
+        "audit_issues": q(*base, conflicts, valid, around, comp, audited, select="SELECT * FROM au", recursive=True),
+        "audit_counts": q(*base, conflicts, valid, around, comp, audited, select="SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (kind = 'cycle') AS cycles, count(*) FILTER (kind = 'orphan') AS orphans, count(*) FILTER (starts_with(coalesce(source_kind, ''), 'broken-')) AS unresolved_relations, count(*) FILTER (severity = 'error' OR kind = 'cycle') = 0 AS ok FROM au", recursive=True),
+        "degree_top_outbound": q(*base, degrees, select="SELECT * FROM dg WHERE outbound > 0 ORDER BY outbound DESC, inbound DESC, name LIMIT 10"),
+        "decide_reasons": q(*full, select=f"""SELECT rank, name, array_to_string(list_filter([CASE WHEN q3 IS NOT NULL THEN printf('query score %.3f coverage %d', q3, CAST(coalesce(qc, 0) AS INTEGER)) END, CASE WHEN explicit THEN 'explicit names input' END,
+          'required by peers: ' || (SELECT string_agg(DISTINCT name, ', ' ORDER BY name) FROM inn WHERE t = ord.name AND relation = 'requires'), 'recommended by peers: ' || (SELECT string_agg(DISTINCT name, ', ' ORDER BY name) FROM inn WHERE t = ord.name AND relation = 'recommends'),
+          'requires peers first: ' || (SELECT string_agg(DISTINCT t, ', ' ORDER BY t) FROM inn WHERE name = ord.name AND relation = 'requires'),
+          'unresolved requires: ' || (SELECT string_agg(DISTINCT target, ', ' ORDER BY target) FROM lk WHERE lk.name = ord.name AND relation = 'requires' AND t NOT IN (SELECT name FROM d))], lambda x: x IS NOT NULL), '|') AS reasons FROM ord WHERE rank <= {LIMIT}"""),
+        "decision_facts": q(*full, select="SELECT 'query+names' AS basis, (SELECT name FROM ord WHERE rank = 1) AS winner, NOT EXISTS (SELECT 1 FROM e WHERE relation = 'requires' AND NOT resolved) AS pack_ok"),
+        "gap_named": q(*base, p, h, select=f"SELECT name, round(score, 6) AS score, coverage FROM h WHERE name IN (SELECT name FROM al WHERE alias IN ({', '.join(repr(n) for n in NAMES)}) OR (starts_with(alias, 'doc-') AND CAST(substr(alias, 5) AS BIGINT) < 200))"),
+        "compose_places": q(*base, req, walk.format(seeds=steps(["doc-81", "doc-99"])), "m AS (SELECT name, min(depth) AS depth FROM w GROUP BY name), co AS (SELECT m.name, CASE WHEN m.depth = 0 THEN 'seed' ELSE 'required' END AS reason, m.depth, min(p.name) AS via FROM m LEFT JOIN arcs ON arcs.v = m.name AND m.depth > 0 LEFT JOIN m p ON p.name = arcs.u AND p.depth = m.depth - 1 GROUP BY m.name, m.depth)", select="SELECT row_number() OVER (ORDER BY depth, CASE reason WHEN 'seed' THEN 0 ELSE 1 END, name) AS place, * FROM co", recursive=True),
+        "missing_places": q(*base, req, walk.format(seeds=steps(["doc-891", "doc-99", "doc-66"])), "m AS (SELECT w.name, min(depth) AS depth FROM w JOIN d USING (name) GROUP BY w.name)", select="SELECT row_number() OVER (ORDER BY m.depth + 1, from_name, target) AS place, 'required' AS relation, target AS name, from_name AS via, m.depth + 1 AS depth FROM m JOIN e ON from_name = m.name WHERE NOT resolved AND relation = 'requires'", recursive=True),
+        "graph_nodes": q(*base, "arcs AS (SELECT DISTINCT to_name AS u, from_name AS v FROM e WHERE resolved AND relation = 'requires')", walk.format(seeds="('doc-3', 0)"), "nd AS (SELECT DISTINCT name FROM w), sl AS (SELECT u, v FROM arcs WHERE u IN (SELECT name FROM nd) AND v IN (SELECT name FROM nd)), lv(name, l) AS (SELECT name, 0 FROM nd UNION SELECT v, l + 1 FROM lv JOIN sl ON u = name WHERE l < 60), ap(name, l) AS (SELECT name, 0 FROM nd UNION SELECT u, l + 1 FROM ap JOIN sl ON v = name WHERE l < 60), r AS (SELECT name, max(l) AS l FROM lv GROUP BY name), k AS (SELECT name, max(l) AS l FROM ap GROUP BY name)", select="SELECT name, category, r.l AS read_layer, CAST(row_number() OVER (PARTITION BY r.l ORDER BY name) - 1 AS INTEGER) AS read_pos, k.l AS apply_layer, CAST(row_number() OVER (PARTITION BY k.l ORDER BY name) - 1 AS INTEGER) AS apply_pos FROM r JOIN k USING (name) JOIN d USING (name)", recursive=True),
+        "orphan_slice": q(*base, select="SELECT name FROM d WHERE ordinal BETWEEN 100 AND 399 AND name NOT IN (SELECT from_name FROM e WHERE relation = 'requires') AND name NOT IN (SELECT to_name FROM e WHERE relation = 'requires' AND resolved)"),
+        "compare": q(*full, pairs, select=f"SELECT l.name AS left_name, r.name AS right_name, l.category IS NOT DISTINCT FROM r.category AS same_category, CASE WHEN l.alias = r.alias THEN l.alias ELSE '' END AS shared_aliases, {shared('terms')} AS shared_terms, {rel('l', 'r')} AS left_to_right, {rel('r', 'l')} AS right_to_left, CASE WHEN l.qs IS NOT NULL OR r.qs IS NOT NULL THEN round(coalesce(l.qs, 0) - coalesce(r.qs, 0), 3) END AS score_delta FROM few l JOIN few r ON l.pos < r.pos"),
+        "recommend": q(*base, p, O.search_sql(TERMS, 4 * LIMIT), signals, select=f"SELECT row_number() OVER (ORDER BY score DESC, n_out DESC, coalesce(q3, 0) DESC, name) AS rank, name, score, CAST(n_out AS INTEGER) AS n_out, CAST(n_in AS INTEGER) AS n_in FROM rc WHERE name NOT IN ('doc-27', 'doc-9') QUALIFY rank <= {LIMIT}"),
+        "explain": q(*full[:-2], "pool AS (SELECT unnest(['doc-81', 'doc-99']) AS name)", O.PROJECT, select="SELECT entries.name, reason, via, depth, read_layer, apply_layer, coalesce(coverage, 0) AS coverage, round(score, 6) AS score, coalesce(array_to_string(terms, ','), '') AS terms FROM entries LEFT JOIN h USING (name)", recursive=True),
+        "route": q(*full, tiers, O.PROJECT, O.route_sql(LIMIT), select="""SELECT "order", kind, coalesce(layer, -1) AS layer, array_to_string(names, ',') AS names, rationale FROM phases""", recursive=True),
+        "pack_budget": q(*base, "pool AS (SELECT unnest(['doc-81', 'doc-99', 'doc-14', 'doc-34']) AS name)", O.PROJECT, O.pack_sql(4000), select="SELECT name, reason, depth, coalesce(CAST(length(included) AS INTEGER), -1) AS body_chars, omitted AS omitted_by_budget FROM packed", recursive=True),
+        "brief": q(*bundle, select="SELECT phase_order, pos, phase_kind, name, omitted AS omitted_by_budget FROM be", recursive=True),
+        "handoff": q(*bundle, select="""SELECT winner, ready, path AS source_path, category AS source_category, scope AS source_scope, 'read("' || path || '")' AS next_command, CASE WHEN NOT ready THEN 'Increase budgetChars/budgetTokens or inspect omittedReadPaths before apply.' END AS apply_hint FROM head LEFT JOIN be ON be.name = winner""", recursive=True),
+        "session_steps": q(*bundle, select="""SELECT row_number() OVER (ORDER BY phase_order, pos) AS "order", name, path AS source_path, scope AS source_scope, category AS source_category, 'read("' || path || '")' AS next_command, phase_kind, coalesce(layer, -1) AS layer, omitted AS omitted_by_budget FROM be""", recursive=True),
+        "turns": q(*bundle, select=flat_turn + " FROM tn", recursive=True),
+        "recovery": q(*bundle, select='SELECT "order", phase_kind, coalesce(layer, -1) AS layer, objective, ' + joined("names", "omitted_read_paths", "source_paths", "recovery_commands", "unblock_criteria") + " FROM bt", recursive=True),
+        "resume": q(*bundle, select=flat_turn + " FROM rest", recursive=True),
+        "current_turn": q(*bundle, select="""SELECT winner, ready, "order" AS active_turn_order, phase_kind, objective, array_to_string(checklist, '|') AS checklist, array_to_string(exit_criteria, '|') AS exit_criteria, array_to_string(recovery_guidance, '|') AS recovery_guidance FROM cur""", recursive=True),
+        "packet_texts": q(*bundle, O.TEXTS, select=f"SELECT {of_turn}, instruction_text, summary_text, markdown, checklist_text, command_block, verification_text FROM t5", recursive=True),
+        "file_ready": q(*bundle, O.TEXTS, select="SELECT base_name, f.kind, f.path, f.media AS \"mediaType\", f.content FROM (SELECT base_name, unnest(files) AS f FROM t5)", recursive=True),
+        "apply_writes": q(*bundle, O.TEXTS, select="SELECT apply_text, 'write' AS kind, f.kind AS \"sourceKind\", f.path, f.media AS \"mediaType\", f.content FROM (SELECT apply_text, unnest(files) AS f FROM t5)", recursive=True),
+        "execution": q(*bundle, O.TEXTS, select="SELECT script_path, run_command, execution_text FROM t5", recursive=True),
+        "purchase_components": "WITH RECURSIVE ln AS (SELECT l_orderkey AS o, l_linenumber AS n, 'part-' || l_partkey AS p FROM lineitem), arcs AS (SELECT DISTINCT a.p AS u, b.p AS v FROM ln a JOIN ln b ON a.o = b.o AND b.n = a.n + 1), nd AS (SELECT u AS name FROM arcs UNION SELECT v FROM arcs), start AS (SELECT min(name) AS s FROM nd), fw(name) AS (SELECT s FROM start UNION SELECT v FROM fw JOIN arcs ON u = name), bk(name) AS (SELECT s FROM start UNION SELECT u FROM bk JOIN arcs ON v = name), core AS (SELECT name FROM fw INTERSECT SELECT name FROM bk), ra AS (SELECT u, v FROM arcs WHERE u NOT IN (SELECT name FROM core) AND v NOT IN (SELECT name FROM core)), rc(u, v) AS (SELECT u, v FROM ra UNION SELECT rc.u, ra.v FROM rc JOIN ra ON rc.v = ra.u), rr AS (SELECT nd.name, least(nd.name, coalesce(min(x.v), nd.name)) AS root FROM nd LEFT JOIN (SELECT a.u, a.v FROM rc a JOIN rc b ON a.u = b.v AND a.v = b.u) x ON x.u = nd.name WHERE nd.name NOT IN (SELECT name FROM core) GROUP BY nd.name) SELECT root, count(*) AS n FROM (SELECT name, root FROM rr UNION ALL SELECT name, (SELECT s FROM start) FROM core) GROUP BY root",
+        "fallback_search": q("d AS (SELECT 'part-' || p_partkey AS name, p_partkey % 3 AS shelf, '' AS alias, CASE WHEN p_partkey % 7 = 0 THEN 'Skill registry' ELSE 'Part' END AS title, p_type AS category, []::VARCHAR[] AS tags, p_name AS body FROM part)", "s AS (SELECT name, ['rest', 'second', 'first'][shelf + 1] AS scope FROM d)", p, O.variants_sql(["skill", "registry", "diagnostics"]), O.search_sql(None, 50), select="SELECT rank, name, round(score, 9) AS score, coverage, ['far', 'also', 'near'][shelf + 1] AS rank_scope, 'query-rewrite' AS mode, 'skill registry diagnostics' AS asked FROM h JOIN d USING (name)"),
+        "korean_forms": f"WITH {korean} SELECT p_partkey, word, CASE WHEN length(word) < 2 THEN '' ELSE array_to_string(CASE WHEN stem IS NULL THEN told ELSE list_prepend(stem || ':0.78', told) END, ' ') END AS forms FROM ud",
+        "payload_rewrite": "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'a" + hooks.GUIDANCE.replace("'", "''") + "b' END AS content FROM conversations",
+        "blocks_rewrite": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || chr(10) || chr(10) || 'x" + hooks.GUIDANCE.replace("'", "''") + "z' || chr(10) || chr(10) || role END AS prompt FROM conversations",
+        "markdown_records": f"""WITH {file} SELECT path, canonical_name, CASE WHEN head <> '' THEN substr(trim(head, ' '), 1, 80) WHEN front THEN 'About ' || doc_id ELSE canonical_name END AS title, CASE WHEN front THEN coalesce(nullif(lang, ''), 'uncategorized') ELSE 'uncategorized' END AS category, CASE WHEN front THEN 'About ' || doc_id ELSE '' END AS description, CASE WHEN front THEN '1.' || doc_id END AS version,
+          CASE WHEN NOT front THEN '' WHEN doc_id % 3 = 0 THEN 'one|two' ELSE lower(source) END AS tags, CASE WHEN NOT front THEN '' WHEN doc_id % 3 = 0 THEN 'a-' || doc_id || '|b' ELSE 'q-' || doc_id END AS aliases,
+          array_to_string(requires, '|') AS requires, CASE WHEN front AND doc_id % 3 = 0 THEN 'c-d' ELSE '' END AS recommends, CAST(length(body) AS INTEGER) AS body_chars FROM g""",
+        "markdown_malformed": "SELECT '/files/folder-' || doc_id || '/SKILL.md' AS path, 'read failed' AS reason FROM documents WHERE doc_id % 101 = 0",
         "vocab_df": q(c, p, select="SELECT * FROM vocab"),
         "doc_len": q(c, p, select="SELECT * FROM len"),
         "tokens": f"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tok} AS t FROM documents)",
@@ -472,7 +752,7 @@ def oracle_sql() -> dict[str, str]:
         "name_similarity": "SELECT p_partkey, round(1.0 - levenshtein(lower(p_name), 'part 12') / greatest(length(p_name), 7), 9) AS similarity FROM part",
         "canonical_names": "SELECT p_partkey, lower(regexp_replace(p_name || ' ' || p_type, '\\s+', '-', 'g')) AS name FROM part",
         "previews": q(c, select="SELECT 'skill://' || name AS read_path, regexp_replace(substr(body, 1, 250), '\\n+', ' ', 'g') AS preview FROM d"),
-        "snapshot_manifest": q(c, select="SELECT source_root, sha256(string_agg(path || '|' || length(body) || '|' || mtime, chr(10) ORDER BY path || '|' || length(body) || '|' || mtime)) AS signature FROM d GROUP BY source_root"),
+        "snapshot_manifest": q(c, "g AS (SELECT source_root, sha256(path || '|' || length(body) || '|' || mtime) AS x FROM d)", select="SELECT source_root, sha256(concat_ws('|', count(*), " + ", ".join(f"CAST(sum(CAST('0x' || substr(x, {1 + 12 * k}, 12) AS BIGINT)) AS VARCHAR)" for k in range(5)) + ")) AS signature FROM g GROUP BY source_root"),
         "prompt_rewrite": "WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN 'a<skills>' || text || '</skills>b' ELSE text END AS text FROM conversations), f AS (SELECT conv_id, min(turn) AS first FROM m WHERE role = 'system' GROUP BY conv_id) SELECT conv_id, m.turn, role, CASE WHEN role = 'system' AND m.turn = first THEN 'a' || '" + hooks.GUIDANCE.replace("'", "''") + "' || 'b' ELSE text END AS text, coalesce(role = 'system' AND m.turn = first, false) AS rewritten FROM m LEFT JOIN f USING (conv_id)",
         "read_compactor": "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Unknown skill: name ' || conv_id || chr(10) || 'recovery: use discover/search' || chr(10) || 'then resolve exact canonical name' || chr(10) || 'then read skill://<canonical-name>' END AS compacted FROM conversations",
     }

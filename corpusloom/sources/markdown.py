@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.corpus import DOCUMENT, Corpus, Settings, build
+from corpusloom.plans.request import roots_for_scopes
 
 # Directories that are not entered, and the names that a field goes by (first present counts).
 SKIPPED = (".git", ".svn", "node_modules", ".venv", "dist", "build", "out", "constructor")
@@ -27,7 +28,7 @@ FIELDS = {
     "version": ["version", "skill_version"],
 }
 FRONT = r"(?s)^---\r?\n(.*?)\r?\n---(?:\r?\n|$)"
-_ENTRY, _ITEM = re.compile(r"^([A-Za-z_][\w-]*)\s*:\s*(.*)$"), re.compile(r"^\s*-\s+(.*)$")
+_ENTRY, _ITEM = re.compile(r"([A-Za-z][A-Za-z0-9_-]*):(.*)"), re.compile(r"\s*-\s*(\S.*)")
 
 
 def _unquoted(value: str) -> str:
@@ -36,19 +37,19 @@ def _unquoted(value: str) -> str:
 
 
 def parse_front(block: str) -> dict[str, list[str]]:
-    """Lines of a frontmatter block: ``key: value`` and lists of ``- item`` lines. A
+    """Lines of a frontmatter block: ``key: value`` (the key begins with a letter and
+    stands right before the colon) and lists of ``- item`` or ``-item`` lines. A
     scalar is a list whose first element is marked with a leading NUL, so that lists
     and scalars stay apart; a later key of one name replaces an earlier one."""
     found: dict[str, list[str]] = {}
     open_list: str | None = None
     for line in block.replace("\r\n", "\n").split("\n"):
-        item, entry = _ITEM.match(line), _ENTRY.match(line)
-        if open_list and item:
-            found[open_list].append(_unquoted(item[1]))
-        elif entry:
+        if entry := _ENTRY.fullmatch(line):
             key, value = entry[1].lower(), entry[2].strip()
             open_list = None if value else key
             found[key] = ["\0" + value] if value else []
+        elif open_list and (item := _ITEM.fullmatch(line)):
+            found[open_list].append(_unquoted(item[1]))
         elif line.strip() and not line[0].isspace():
             open_list = None
     return found
@@ -106,13 +107,19 @@ def scan(spark: SparkSession, root: str, file_names: tuple[str, ...] = ("SKILL.m
     return rows.where(F.element_at(below, -1).isin(*file_names) & ~F.arrays_overlap(folders, F.array(*[F.lit(s) for s in SKIPPED])))
 
 
-def manifest(files: DataFrame) -> str:
-    """A digest of (path, size, time) of files in any order; contents aren't read."""
+def manifests(files: DataFrame, *by: str) -> DataFrame:
+    """``by``, signature: for each value of the columns ``by`` a digest of (path, size,
+    mtime_ms) of its files in any order; contents aren't read."""
     line = F.concat_ws("|", "path", F.col("size").cast("string"), F.col("mtime_ms").cast("long").cast("string"))
-    digest = files.select(F.sha2(line.cast("binary"), 256).alias("d"))
-    # order-free and without gathering: counts and sums of the digests' quarters
+    digest = files.select(*by, F.sha2(line.cast("binary"), 256).alias("d"))
+    # order-free and without gathering: counts and sums of the digests' parts
     parts = [F.sum(F.conv(F.substring("d", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(5)]
-    return digest.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *parts).cast("binary"), 256)).first()[0]
+    return digest.groupBy(*by).agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *parts).cast("binary"), 256).alias("signature"))
+
+
+def manifest(files: DataFrame) -> str:
+    """The one digest of all files."""
+    return manifests(files).first()["signature"]
 
 
 def parse(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
@@ -159,9 +166,12 @@ def parse(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     return records, malformed
 
 
-def load(spark: SparkSession, roots: list[str], settings: Settings, file_names: tuple[str, ...] = ("SKILL.md",), names: list[str] | None = None) -> tuple[Corpus, dict]:
+def load(spark: SparkSession, roots: list[str], settings: Settings, file_names: tuple[str, ...] = ("SKILL.md",), names: list[str] | None = None, scopes: list[str] | None = None) -> tuple[Corpus, dict]:
     """The corpus below several roots (documents in order of root and path), with
-    facts: missing roots and the digest of the sources."""
+    facts: missing roots and the digest of the sources. With ``scopes`` only roots are
+    read that lie in, or hold, a root of theirs."""
+    if scopes is not None:
+        roots = roots_for_scopes(roots, [r for s in scopes for r in settings.scope_roots.get(s, [])])
     records = malformed = None
     missing, signatures = [], []
     for nth, root in enumerate(roots):

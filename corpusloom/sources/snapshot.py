@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -21,8 +22,9 @@ class SnapshotError(RuntimeError):
 
 
 class Store:
-    """A folder of versions; ``current`` names the one that counts. A version's files
-    are complete before ``current`` names it, so a broken write is never read."""
+    """A folder of versions. A version's files are complete before a pointer names it;
+    pointers are numbered and never changed, and the highest whole one counts, so a
+    write that breaks off anywhere leaves the version before."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -52,13 +54,14 @@ class Store:
             stream.close()
 
     def _write(self, name: str, text: str) -> None:
-        system, path = self._path(f".{name}-{uuid.uuid4().hex}")
-        stream = system.create(path, True)
+        """A new file; one of this name is an error."""
+        system, path = self._path(name)
+        stream = system.create(path, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        _, target = self._path(name)
-        system.delete(target, False)
-        system.rename(path, target)
+
+    def _pointers(self) -> list[str]:
+        return sorted((n for n in self._list() if n.startswith("current-")), reverse=True) if self._exists("") else []
 
     def save(self, corpus: Corpus, request: dict, signature: str, now_ms: int | None = None) -> str:
         """Write a version and make it the current one; its token."""
@@ -67,20 +70,25 @@ class Store:
         index = build_index(corpus.documents)
         for name in FRAMES:
             getattr(corpus, name).write.parquet(f"{self.folder}/{token}/{name}")
-        for name in ("postings", "vocab", "doc_len"):
+        for name in ("postings", "vocab"):
             getattr(index, name).write.parquet(f"{self.folder}/{token}/{name}")
         facts = {"token": token, "request": request, "signature": signature, "generated_at": now_ms or int(time.time() * 1000), "ttl_ms": corpus.settings.cache_ttl_ms, "n_docs": index.n_docs, "avg_len": index.avg_len, "index_build_ms": int((time.time() - began) * 1000)}
-        self._write("_ENGINE", OWNER)
-        self._write("current", json.dumps(facts, sort_keys=True))
+        if not self._exists("_ENGINE"):
+            self._write("_ENGINE", OWNER)
+        held = self._pointers()
+        self._write(f"current-{int(held[0].rsplit('-', 1)[1]) + 1 if held else 1:09d}", json.dumps(facts, sort_keys=True))
         return token
 
     def facts(self) -> dict | None:
         """The current version's facts; None if there is none or they can't be read."""
-        try:
-            found = json.loads(self._read("current") or "null")
-        except ValueError:
-            return None
-        return found if isinstance(found, dict) and {"token", "request", "generated_at", "ttl_ms", "n_docs", "avg_len"} <= found.keys() else None
+        for pointer in self._pointers():
+            try:
+                found = json.loads(self._read(pointer) or "null")
+            except ValueError:
+                continue
+            if isinstance(found, dict) and {"token", "request", "generated_at", "ttl_ms", "n_docs", "avg_len"} <= found.keys():
+                return found
+        return None
 
     def load(self, request: dict, settings: Settings, signature: str | None = None, now_ms: int | None = None) -> tuple[Corpus, Index, str] | None:
         """The current version if it answers the request: same parameters, same
@@ -89,12 +97,28 @@ class Store:
         now = now_ms or int(time.time() * 1000)
         if f is None or f["request"] != request or now - f["generated_at"] >= f["ttl_ms"] or signature is not None and f["signature"] != signature:
             return None
+        return *self.frames(settings), f["token"]
+
+    def frames(self, settings: Settings) -> tuple[Corpus, Index]:
+        """Corpus and index of the current version, whatever its age."""
+        f = self.facts()
         read = lambda n: self.spark.read.parquet(f"{self.folder}/{f['token']}/{n}")
-        corpus = Corpus(*[read(n) for n in FRAMES], settings=settings)
-        return corpus, Index(read("postings"), read("vocab"), read("doc_len"), f["n_docs"], f["avg_len"]), f["token"]
+        return Corpus(*[read(n) for n in FRAMES], settings=settings), Index(read("postings"), read("vocab"), f["n_docs"], f["avg_len"])
 
     def require(self, token: str) -> None:
         """Refuse a version that is no longer the current one."""
         f = self.facts()
         if f is None or f["token"] != token:
             raise SnapshotError("the snapshot is no longer current")
+
+
+def opened(store: Store, request: dict, settings: Settings, build: Callable[[], Corpus], signature: Callable[[], str], refresh: bool = False, now_ms: int | None = None) -> tuple[Corpus, Index, str]:
+    """The corpus and index that answer a request: the current version if it was made for
+    the same request, is within its time to live and its sources are unchanged; else, or
+    with ``refresh``, a new one."""
+    digest = signature()
+    if not refresh and (held := store.load(request, settings, digest, now_ms)) is not None:
+        return held
+    token = store.save(build(), request, digest, now_ms)
+    corpus, index = store.frames(settings)
+    return corpus, index, token

@@ -43,3 +43,34 @@ def purchase_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("to"))
     part = lambda c: F.concat(F.lit("part-"), F.col(c).cast("string"))
     return lines.join(following, ["l_orderkey", "l_linenumber"]).select(part("l_partkey").alias("u"), part("to").alias("v")).distinct()
+
+
+def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, mtime_ms, content: a Markdown file with frontmatter for each document, its
+    fields under several names and in several forms, some repeated, some malformed."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    i = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 13 == 0, F.lit("")).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("name: Skill_Doc "), i, F.lit(".md\n"))).otherwise(F.concat(F.lit("NAME:  'Doc  "), i, F.lit("'\n")))
+    lists = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("tags: [One, 'two', One]\nalias:\n- A "), i, F.lit("\n  -B\n\nrequire: a, b;a\nrelated: [b, C d]\n"))).otherwise(F.concat(F.lit("tag: "), F.col("source"), F.lit("\naliases: \n - \"Q "), i, F.lit("\"\nnote\n- lost\ndepends_on: [X y, 'z']\nrecommends: x-Y\n")))
+    front = F.concat(F.lit("---\n"), name, F.lit("summary: About "), i, F.lit("\ngroup: "), F.coalesce("lang", F.lit("")), F.lit("\n"), lists, F.lit("skill_version: 1."), i, F.lit("\n---\n"))
+    heading = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("intro\n##  Heading "), i, F.lit("  \n"))).otherwise(F.lit(""))
+    content = F.concat(F.when(F.col("doc_id") % 17 == 0, F.lit("")).otherwise(front), heading, F.coalesce("text", F.lit("")))
+    content = F.when(F.col("doc_id") % 7 == 0, F.replace(content, F.lit("\n---\n"), F.lit("\r\n---\r\n"))).otherwise(content).cast("binary")
+    content = F.when(F.col("doc_id") % 101 == 0, F.concat(content, F.lit(bytes([255, 254])))).otherwise(content)
+    return d.select(F.concat(F.lit("/files/folder-"), i, F.lit("/SKILL.md")).alias("path"), F.col("doc_id").cast("double").alias("mtime_ms"), content.alias("content"))
+
+
+def shelf(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Parts as short documents without a scope of their own, some of them on the registry."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))
+    root = F.concat(F.lit("/shelf/"), F.col("p_partkey") % 3)
+    none = F.array().cast("array<string>")
+    d = p.select(
+        F.col("p_partkey").cast("long").alias("ordinal"), name.alias("skill_id"), name.alias("canonical_name"), F.concat(root, F.lit("/"), name).alias("path"), root.alias("source_root"), F.lit(" ").alias("scope"),
+        F.when(F.col("p_partkey") % 7 == 0, "Skill registry").otherwise("Part").alias("title"), F.col("p_type").alias("category"), F.lit("").alias("description"), F.array("p_type").alias("keywords"), none.alias("tags"), none.alias("aliases"),
+        none.alias("requires"), none.alias("recommends"), F.col("p_name").alias("body_text"), F.lit(None).cast("string").alias("version"), F.lit(0.0).alias("mtime_ms"),
+    )
+    none_of = spark.createDataFrame([], "path string, reason string")
+    owner = d.select(F.col("canonical_name").alias("alias"), "canonical_name")
+    return Corpus(d, owner, none_of, none_of, none_of, Settings(scope_priority=["near"], scope_roots={"far": ["/shelf", "/shelf/1"], "near": ["/shelf/2/"], "also": ["/shelf/1"]}))

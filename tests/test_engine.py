@@ -32,6 +32,33 @@ def test_actions(engine, action):
     assert result.error is None and result.frames
     for frame in result.frames.values():
         frame.collect()
+    text = result.text()
+    assert text.startswith(f"{action}: ") and (action in ("validate", "audit", "metrics", "gap", "graph", "commands-packet", "recovery-packet") or "alpha" in text)
+
+
+def test_failures_are_results(engine, monkeypatch):
+    monkeypatch.setattr(engine, "_search", lambda *_: 1 / 0)
+    failed = engine.run("search", query="metrics")
+    assert failed.error == "search failed: division by zero" and failed.text() == f"error: {failed.error}"
+    assert engine.run("search", odd=1).error.startswith("search failed")
+
+
+def test_orders_and_evidence(engine):
+    """T03-T06, A01, X15."""
+    composed = engine.run("compose", names=["gamma"], task_size="large").frames["entries"].orderBy("place").collect()
+    assert [(r["name"], r["depth"]) for r in composed] == [("gamma", 0), ("alpha", 1), ("beta", 2)]
+    graph = engine.run("graph", names=["gamma"], task_size="large").frames
+    assert [r["name"] for r in graph["nodes"].collect()] == ["alpha", "beta", "gamma"]
+    assert [(r["from_name"], r["to_name"]) for r in graph["edges"].collect()] == [("alpha", "beta"), ("gamma", "alpha")]
+    assert [(r["layer"], r["name"]) for r in graph["read_layers"].collect()] == [(0, "beta"), (1, "alpha"), (2, "gamma")]
+    facts = engine.run("search", query="metrics", names=["alpha", "nobody"], task_size="large").facts
+    assert facts["why_top"].startswith(f"{facts['telemetry']['returned'][0]} matched metrics with score") and facts["missing_requested"] == ["nobody"] and facts["telemetry"]["complaint"] == "drift"
+    none = engine.run("search", query="zzzz", task_size="large")
+    assert none.facts["fallback_mode"] == "safe-zero" and none.facts["why_none"] and none.facts["telemetry"]["complaint"] == "miss"
+    index = engine.run("index", names=["beta", "nobody"]).facts
+    assert (index["documents"], index["name_filter"], index["missing_from_requested"]) == (1, "targeted", ["nobody"])
+    lost = engine.run("resolve", names=["x" * 200 + str(n) for n in range(60)])
+    assert len(lost.text().encode()) <= 4096 and lost.facts["resolved"] == 0
 
 
 def test_errors(engine):

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import index as I
 from corpusloom.operators.corpus import Settings
 from corpusloom.plans.request import Request, RequestError, canonical_name, expand_root, roots_for_scopes
+from corpusloom.plans.engine import Engine
 from corpusloom.sources import markdown as M
 from corpusloom.sources.settings import load_settings
 from corpusloom.sources.snapshot import SnapshotError, Store
@@ -87,8 +90,12 @@ def test_load_and_snapshot(spark, root, tmp_path):
     store.save(c, {"a": 1}, "s", now_ms=2000)
     with pytest.raises(SnapshotError):
         store.require(token)
-    store._write("current", "{broken")
-    assert store.load({"a": 1}, settings) is None
+    # a pointer that was only half written leaves the one before; none is ever overwritten
+    last = store.facts()["token"]
+    store._write("current-000000009", "{broken")
+    assert store.facts()["token"] == last and store.load({"a": 1}, settings, now_ms=2001)[2] == last
+    with pytest.raises(Exception):
+        store._write("current-000000009", "{}")
     (tmp_path / "else").mkdir()
     (tmp_path / "else" / "file").write_text("x")
     with pytest.raises(SnapshotError):
@@ -127,10 +134,48 @@ def test_stream_of_documents(spark, tmp_path):
     for _ in range(2):
         stream = spark.readStream.schema(c.documents.schema).parquet(str(tmp_path / "in"))
         incremental.follow(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
-    want = sorted(map(tuple, I.postings(c.documents).select("term", "skill_id", "tf", "wtf").collect()))
+    want = sorted(map(tuple, I.postings(c.documents).select("term", "skill_id", "n_tokens", "tf", "wtf").collect()))
     assert sorted(map(tuple, incremental.current(spark, str(tmp_path / "out")).collect())) == want
-    later = corpus(spark, record(0, "x", "four", mtime=9.0))
+    later = corpus(spark, record(0, "x", "four", mtime=9.0), record(2, "z", "six", mtime=9.0))
     later.documents.write.mode("append").parquet(str(tmp_path / "in"))
     incremental.follow(spark.readStream.schema(c.documents.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     terms = {r["term"] for r in incremental.current(spark, str(tmp_path / "out")).where("skill_id = 'x'").collect()}
     assert "four" in terms and "one" not in terms
+    # one that is sent again without a token, and one with a null body, leave nothing
+    gone = later.documents.withColumn("body_text", F.when(F.col("canonical_name") == "x", F.lit("the")).otherwise(F.lit(None)))
+    none = F.array().cast("array<string>")
+    gone = gone.withColumns({c: F.lit("") for c in ("canonical_name", "title", "category")} | {c: none for c in ("aliases", "keywords", "tags")} | {"mtime_ms": F.lit(10.0)})
+    gone.select(*c.documents.columns).write.mode("append").parquet(str(tmp_path / "in"))
+    incremental.follow(spark.readStream.schema(c.documents.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    left = incremental.current(spark, str(tmp_path / "out"))
+    assert {r["skill_id"] for r in left.collect()} == {"y"}
+    incremental.compact(spark, str(tmp_path / "out"), str(tmp_path / "small"))
+    assert sorted(map(tuple, incremental.current(spark, str(tmp_path / "small")).collect())) == sorted(map(tuple, left.collect()))
+
+
+def test_frontmatter_lines():
+    block = "Name: One\n_key : no\nkey : no\ntags:\n-a\n  - 'b'\n\n  indented\n- c : d\nother\n- lost\nempty:\n2nd: no\ntag:   \nname: Two"
+    assert M.parse_front(block) == {"name": ["\0Two"], "tags": ["a", "b", "c : d"], "empty": [], "tag": []}
+
+
+def test_engine_over_snapshots(spark, root, tmp_path):
+    """Versions are reused while fresh and while sources are unchanged; refresh makes a new one."""
+    settings = Settings(scope_roots={"all": [root]}, scope_priority=["all"])
+    built = []
+
+    def build():
+        built.append(1)
+        return M.load(spark, [root], settings)[0]
+
+    store = Store(spark, str(tmp_path / "snap"))
+    sign = lambda: M.manifest(M.scan(spark, root))
+    engine = Engine.over(store, settings, build, sign)
+    assert engine.run("index").facts["documents"] == 3 and len(built) == 1
+    assert Engine.over(store, settings, build, sign).run("index").facts["documents"] == 3 and len(built) == 1
+    first = engine._token
+    assert engine.run("index", refresh=True).error is None and len(built) == 2 and engine._token != first
+    extra = Path(root) / "later"
+    extra.mkdir()
+    (extra / "SKILL.md").write_text("# Later\nwords")
+    assert engine.run("index").facts["documents"] == 4 and len(built) == 3
+    assert engine.run("search", query="words", task_size="large").frames["hits"].count() >= 1
