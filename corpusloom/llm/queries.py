@@ -107,6 +107,11 @@ def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(table(spark, sf_dir, "documents"))
 
 
+def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base rule of op8 alone, which SQL can express."""
+    return rules.base(table(spark, sf_dir, "documents"), ["doc_id"]).drop("n_lines")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"))
 
@@ -116,7 +121,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_chat_transcripts, op2_quality_ranking, op3_language_id, op4_token_rollup, op5_url_lists, op6_html_wrappers, op7_winnowing, op8_robust_outliers, op9_best_fit_packing, op10_simhash)
+    found = (op1_chat_transcripts, op2_quality_ranking, op3_language_id, op4_token_rollup, op5_url_lists, op6_html_wrappers, op7_winnowing, op8_robust_outliers, op9_best_fit_packing, op10_simhash, base_statistics)
     return {f.__name__: f for f in found}
 
 
@@ -139,5 +144,17 @@ FROM p LEFT JOIN d USING (row) LEFT JOIN n USING (row)
 """
 
 
+BASE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM t, unnest(range(1, len(w) - 1)) AS u(i)),
+h AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_lists": URL_SQL, "op7_winnowing": decontam.REPORT_SQL}
+    return {"base_statistics": BASE_SQL, "op5_url_lists": URL_SQL, "op7_winnowing": decontam.REPORT_SQL}

@@ -179,9 +179,8 @@ def brute_verdicts(frame, least_rows=60):
     sets = [ids for ids in pooled.values() if len(ids) >= 10]
     xs, bests = [np.array([z[i] for i in ids]) for ids in sets], []
     for x in xs:
-        near = np.sort(np.floor(np.abs(x) * 100 + 0.5) / 100 * np.sign(x), axis=0)
-        centre = near[(len(x) + 1) // 2 - 1]
-        away = np.sort(np.floor(np.abs(x - centre) * 100 + 0.5) / 100, axis=0)[(len(x) + 1) // 2 - 1]
+        centre = np.median(np.floor(np.abs(x) * 100 + 0.5) / 100 * np.sign(x), axis=0)
+        away = np.median(np.floor(np.abs(x - centre) * 100 + 0.5) / 100, axis=0)
         found = [(centre, np.diag(1 / ((1.4826 * away) ** 2 + floors**2)), 0.0), estimate(x, np.ones(len(x)), 1.0)]
         for _ in range(2):
             found = [half(x, m, q) for m, q, _ in found]
