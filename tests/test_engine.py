@@ -33,7 +33,7 @@ def test_actions(engine, action):
     for frame in result.frames.values():
         frame.collect()
     text = result.text()
-    assert text.startswith(f"{action}: ") and (action in ("validate", "audit", "metrics", "gap", "graph", "commands-packet", "recovery-packet") or "alpha" in text)
+    assert text.startswith(f"{action}: ") and (action in ("validate", "audit", "metrics", "gap", "graph", "commands-packet", "recovery-packet") or "alpha" in text or "beta" in text)
 
 
 def test_failures_are_results(engine, monkeypatch):
