@@ -11,8 +11,11 @@ Benchmark items of fewer than ``WINDOW`` words are one window of that length,
 found by hashes of grams of exactly that length (winnowing that keeps every gram).
 
 The benchmark is a stated query set. It is taken in blocks of at most
-``block_words`` words, each of which is sent to the executors; every block is
-compared with all rows, so memory is bounded whatever the benchmark's size.
+``block_words`` words, whose fingerprints and windows are sorted arrays (some 100 MB
+for two million words) that all executors get: a broadcast join on the fingerprint.
+Every block is compared with all rows, so memory is bounded whatever the benchmark's
+size. Documents are written once if there is more than one block, and a further block
+writes only the rows that it hits; these are gathered by row (one entry a block).
 
 Defined results: null and empty texts have no words, no hits and are clean; the
 items_sha256 of no items is that of the empty string; items without words and
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import LOWER, WORD_BYTES, byte_spans, mix, named_back, plainly_named, sliced, span_hashes, text_bytes, written
+from corpusloom.llm.common import LOWER, WORD_BYTES, byte_spans, mix, named_back, plainly_named, scratch, sliced, span_hashes, text_bytes, written
 
 WINDOW, GRAM, PICK = 13, 5, 9
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -71,55 +74,92 @@ def winnowed(grams: np.ndarray, pick: int = PICK) -> np.ndarray:
 
 
 class Index:
-    """Windows and fingerprints of one block of benchmark items."""
+    """Windows and fingerprints of one block of benchmark items, in arrays (some 50 bytes
+    a word): built once on the driver, sent to the executors, and joined there by binary
+    search."""
 
     def __init__(self, items: list[tuple[str, str]]):
-        self.windows: dict[int, dict[bytes, set[int]]] = {}
-        self.ids: list[str] = []
-        numbers: dict[str, int] = {}
+        bodies = [text.encode("utf-8", "replace") for _, text in items]
+        self.data = LOWER[np.frombuffer(b"\n".join(bodies), np.uint8)]
+        offsets = np.cumsum([0, *(len(x) + 1 for x in bodies)])
+        offsets[-1] = len(self.data)
+        self.start, self.end, row = byte_spans(self.data, offsets, WORD_BYTES)
+        hashes = span_hashes(self.data, self.start, self.end)
+        counts = np.bincount(row, minlength=len(items)) if len(row) else np.zeros(len(items), np.int64)
+        self.ids = sorted({name for (name, _), n in zip(items, counts, strict=True) if n})
+        number = {name: k for k, name in enumerate(self.ids)}
+        of = np.array([number.get(name, -1) for name, _ in items], np.int64)
+        size = np.minimum(counts, WINDOW)
+        #: for each length: hashes in order, the edges of each one's entries, and these: item, and word at which it has the window
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: windows lately met, so that one in many documents is compared once
+        self.met: dict[bytes, set[int]] = {}
         prints = []
-        for item, text in items:
-            data = LOWER[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
-            start, end, row = byte_spans(data, np.array([0, len(data)]), WORD_BYTES)
-            if not len(start):
-                continue
-            k = numbers.setdefault(item, len(numbers))
-            if k == len(self.ids):
-                self.ids.append(item)
-            words = [data[a:b].tobytes() for a, b in zip(start, end, strict=True)]
-            size = min(WINDOW, len(words))
-            held = self.windows.setdefault(size, {})
-            for i in range(len(words) - size + 1):
-                held.setdefault(b" ".join(words[i : i + size]), set()).add(k)
-            if size == WINDOW:
-                grams = gram_hashes(span_hashes(data, start, end), row, GRAM)
-                prints.append(grams[winnowed(grams)])
+        for n in sorted({int(x) for x in size if x}):
+            grams = gram_hashes(hashes, row, n)
+            at = np.flatnonzero((grams != NONE) & (size[row[: len(grams)]] == n))
+            self.windows[n] = self._table(grams[at], at, of[row[at]])
+            if n == WINDOW:
+                short = gram_hashes(hashes, row, GRAM)
+                prints.append(short[winnowed(short) & (size[row[: len(short)]] == n)])
             else:
-                prints.append(gram_hashes(span_hashes(data, start, end), row, size) ^ np.uint64(size))
-        self.prints = {0: np.unique(np.concatenate([np.zeros(0, np.uint64), *(p for p in prints)]))}
+                prints.append(grams[at] ^ np.uint64(n))
+        self.prints = np.unique(np.concatenate([np.zeros(0, np.uint64), *prints]))
         self.marks = np.zeros(1 << 20, bool)
-        self.marks[(self.prints[0] >> np.uint64(44)).astype(np.int64)] = True
+        self.marks[(self.prints >> np.uint64(44)).astype(np.int64)] = True
+
+    def words(self, at: int, n: int) -> bytes:
+        return spoken(self.data, self.start, self.end, at, n)
+
+    def _table(self, grams: np.ndarray, at: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((item, grams))
+        grams, at, item = grams[order], at[order], item[order]
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)])
+        return grams[first], np.append(first, len(grams)), item, at
+
+    def items(self, n: int, gram: np.uint64, words: bytes) -> set[int]:
+        """Items that hold the window of n words with this hash."""
+        if (found := self.met.get(words)) is None:
+            hashes, edges, item, at = self.windows[n]
+            k = int(np.searchsorted(hashes, gram))
+            here = slice(edges[k], edges[k + 1])
+            # one hash is nearly always one window; the words decide all the same
+            found = {int(i) for i, w in zip(item[here], at[here], strict=True) if self.words(int(w), n) == words}
+            if len(self.met) > 10_000:
+                self.met.clear()
+            self.met[words] = found
+        return found
 
     def known(self, grams: np.ndarray) -> np.ndarray:
         """The places of grams that are fingerprints of an item."""
         at = np.flatnonzero(self.marks[(grams >> np.uint64(44)).astype(np.int64)])
         if not len(at):
             return at
-        place = np.minimum(np.searchsorted(self.prints[0], grams[at]), len(self.prints[0]) - 1)
-        return at[self.prints[0][place] == grams[at]]
+        place = np.minimum(np.searchsorted(self.prints, grams[at]), len(self.prints) - 1)
+        return at[self.prints[place] == grams[at]]
 
-    def candidates(self, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each window length the places where a window may start."""
-        for size in self.windows:
+    def candidates(self, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each window length the places where a window may start, and their hashes."""
+        for size, (known, *_) in self.windows.items():
+            grams = gram_hashes(hashes, rows, size)
             if size == WINDOW:
-                grams = gram_hashes(hashes, rows, GRAM)
-                chosen = np.flatnonzero(winnowed(grams))
-                at = chosen[self.known(grams[chosen])]
+                short = gram_hashes(hashes, rows, GRAM)
+                chosen = np.flatnonzero(winnowed(short))
+                at = chosen[self.known(short[chosen])]
                 begins = np.unique((at[:, None] - np.arange(PICK)).ravel())
+                begins = begins[(begins >= 0) & (begins < len(grams))]
             else:
-                begins = self.known(gram_hashes(hashes, rows, size) ^ np.uint64(size))
-            begins = begins[(begins >= 0) & (begins + size <= len(rows))]
-            yield size, begins[rows[begins] == rows[begins + size - 1]] if len(begins) else begins
+                begins = self.known(grams ^ np.uint64(size))
+            # extended: the whole window's hash is one of the item's windows
+            begins = begins[grams[begins] != NONE]
+            place = np.minimum(np.searchsorted(known, grams[begins]), len(known) - 1)
+            begins = begins[known[place] == grams[begins]] if len(known) else begins[:0]
+            yield size, begins, grams[begins]
+
+
+def spoken(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: int, n: int) -> bytes:
+    """n words from one on, with single blanks."""
+    return b" ".join([data[a:b].tobytes() for a, b in zip(start[at : at + n], end[at : at + n], strict=True)])
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
@@ -153,58 +193,94 @@ def _merged(first: list[int] | None, more: np.ndarray) -> list[int]:
     return np.stack([hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])] + 1], axis=1).ravel().tolist()
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str]], text: str) -> DataFrame:
-    """Adds one block's hits to the columns __n, __spans and __items."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    names = docs.columns
-    n, spans, found = names.index("__n"), names.index("__spans"), names.index("__items")
+def _found(index: Index, batch: pa.RecordBatch, text: int) -> tuple[np.ndarray, dict[int, list[np.ndarray]], dict[int, set[int]]]:
+    """Words of each row, and for rows with a hit its word numbers and items."""
+    data, offsets = text_bytes(batch.column(text))
+    data = LOWER[data]
+    start, end, row = byte_spans(data, offsets, WORD_BYTES)
+    firsts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+    hits: dict[int, list[np.ndarray]] = {}
+    met: dict[int, set[int]] = {}
+    for size, begins, grams in index.candidates(span_hashes(data, start, end), row) if len(start) else ():
+        for i, gram in zip(begins, grams, strict=True):
+            if got := index.items(size, gram, spoken(data, start, end, i, size)):
+                r = int(row[i])
+                hits.setdefault(r, []).append(np.arange(i, i + size) - firsts[r])
+                met.setdefault(r, set()).update(got)
+    return np.diff(firsts), hits, met
+
+
+_SPANS, _ITEMS = pa.list_(pa.int64()), pa.list_(pa.string())
+
+
+def _pass(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
+    """Adds to the columns (the last is the text) __n, and one block's hits: __spans, __items."""
+    shared = docs.sparkSession.sparkContext.broadcast(Index(items))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__spans", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))])
+    names = [*docs.columns, "__n", "__spans", "__items"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in sliced(batches, "__text"):
+            n, hits, met = _found(index, batch, batch.num_columns - 1)
+            spans = [_merged(None, np.concatenate(hits[r])) if r in hits else None for r in range(batch.num_rows)]
+            found = [sorted(index.ids[k] for k in met[r]) if r in met else None for r in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(found, _ITEMS)], names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _further(rows: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
+    """__id, __more (spans), __met of the rows (__id, __text) that a further block hits."""
+    shared = rows.sparkSession.sparkContext.broadcast(Index(items))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in sliced(batches, "__text"):
+            _, hits, met = _found(index, batch, 1)
+            at = sorted(hits)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array([_merged(None, np.concatenate(hits[r])) for r in at], _SPANS), pa.array([sorted(index.ids[k] for k in met[r]) for r in at], _ITEMS)], names=["__id", "__more", "__met"])
+
+    return rows.mapInArrow(run, "__id long, __more array<long>, __met array<string>")
+
+
+def _united(frame: DataFrame) -> DataFrame:
+    """Spans and items of the first block with those of further ones (__others)."""
+    names = frame.columns
+    spans, found, others = (names.index(c) for c in ("__spans", "__items", "__others"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
-        for batch in sliced(batches, text):
-            data, offsets = text_bytes(batch.column(names.index(text)))
-            data = LOWER[data]
-            start, end, row = byte_spans(data, offsets, WORD_BYTES)
-            hashes = span_hashes(data, start, end)
-            firsts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            hits: dict[int, list[np.ndarray]] = {}
-            met: dict[int, set[int]] = {}
-            for size, begins in index.candidates(hashes, row) if len(start) else ():
-                windows = index.windows[size]
-                for i in begins:
-                    words = b" ".join([data[a:b].tobytes() for a, b in zip(start[i : i + size], end[i : i + size], strict=True)])
-                    if (got := windows.get(words)) is not None:
-                        r = int(row[i])
-                        hits.setdefault(r, []).append(np.arange(i, i + size) - firsts[r])
-                        met.setdefault(r, set()).update(got)
-            old_spans, old_items = batch.column(spans), batch.column(found)
-            new_spans, new_items = [None] * batch.num_rows, [None] * batch.num_rows
-            for r in range(batch.num_rows) if old_spans.null_count < batch.num_rows or hits else ():
-                was = old_spans[r].as_py()
-                if r in hits:
-                    new_spans[r] = _merged(was, np.concatenate(hits[r]))
-                    new_items[r] = sorted({*(old_items[r].as_py() or ()), *(index.ids[k] for k in met[r])})
-                else:
-                    new_spans[r], new_items[r] = was, old_items[r].as_py()
+        for batch in batches:
             columns = list(batch.columns)
-            columns[n] = pa.array(np.diff(firsts), pa.int64())
-            columns[spans], columns[found] = pa.array(new_spans, batch.schema.types[spans]), pa.array(new_items, batch.schema.types[found])
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            more = columns.pop(others).to_pylist()
+            was, had = columns[spans].to_pylist(), columns[found].to_pylist()
+            for r, x in enumerate(more):
+                for other in x or ():
+                    was[r] = _merged(was[r], np.concatenate([np.arange(a, b) for a, b in zip(other["s"][::2], other["s"][1::2], strict=True)]))
+                    had[r] = sorted({*(had[r] or ()), *other["i"]})
+            columns[spans], columns[found] = pa.array(was, _SPANS), pa.array(had, _ITEMS)
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n != "__others"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return frame.mapInArrow(run, T.StructType([f for f in frame.schema.fields if f.name != "__others"]))
 
 
-def match(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = 200_000) -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item: str = "item_id", item_text: str = "text", block_words: int = 2_000_000) -> DataFrame:
     """``keep`` columns with n_words, spans (hit words as alternating starts and
     ends), items (ids of items with occurring windows) and n_hit."""
-    empty = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"), F.lit(0).cast("long").alias("__n"), F.lit(None).cast("array<long>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
-    frame, count = empty, 0
-    for block in _blocks(benchmark, item, item_text, block_words):
-        if count:
-            frame = written(frame, "decontam")
-        frame, count = _pass(frame, block, "__text"), count + 1
-    if not count:
-        frame = _pass(frame, [], "__text")
+    spark = docs.sparkSession
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
+    blocks = _blocks(benchmark, item, item_text, block_words)
+    frame = _pass(rows, next(blocks, []))
+    if (block := next(blocks, None)) is not None:
+        # texts are written once; what a further block adds is a row for each document that it hits
+        frame = written(frame.withColumn("__id", F.monotonically_increasing_id()), "first-block")
+        folder, k = scratch(spark, "blocks"), 1
+        while block is not None:
+            _further(frame.select("__id", "__text"), block).write.parquet(f"{folder}/block={k}")
+            block, k = next(blocks, None), k + 1
+        more = spark.read.schema("__id long, __more array<long>, __met array<string>").parquet(folder)
+        more = more.groupBy("__id").agg(F.collect_list(F.struct(F.col("__more").alias("s"), F.col("__met").alias("i"))).alias("__others"))
+        frame = _united(frame.join(written(more, "further-blocks"), "__id", "left").drop("__id"))
     spans, found = F.coalesce("__spans", F.array().cast("array<long>")), F.coalesce("__items", F.array().cast("array<string>"))
     n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return frame.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("__n").alias("n_words"), spans.alias("spans"), found.alias("items"), n_hit.alias("n_hit"))
