@@ -96,7 +96,7 @@ def statistics(text: Column) -> list[Column]:
 
         def places(s: Column) -> Column:
             def alike(x: Column, k: Column) -> Column:
-                return F.coalesce(x.bitwiseXOR(F.get(s, k)) <= low, F.lit(False)) & F.coalesce(x.bitwiseXOR(F.get(s, k)) >= 0, F.lit(False))
+                return x.bitwiseOR(low).eqNullSafe(F.get(s, k).bitwiseOR(low))
 
             # neighbours of one hash are compared word for word; where windows of one hash
             # differ (hashes seldom meet), with all of that hash
@@ -105,7 +105,7 @@ def statistics(text: Column) -> list[Column]:
 
             def met(x: Column, k: Column) -> Column:
                 own = words_at(x.bitwiseAND(low).cast("int"))
-                among = F.exists(s, lambda y: (y != x) & (y.bitwiseXOR(x) <= low) & (y.bitwiseXOR(x) >= 0) & (words_at(y.bitwiseAND(low).cast("int")) == own))
+                among = F.exists(s, lambda y: (y != x) & (y.bitwiseOR(low) == x.bitwiseOR(low)) & (words_at(y.bitwiseAND(low).cast("int")) == own))
                 return F.when(~alike(x, k - 1) & ~alike(x, k + 1), F.lit(False)).when(equal(x, k - 1) | equal(x, k + 1), F.lit(True)).otherwise(among)
 
             marked = F.transform(s, lambda x, k: F.when(met(x, k), x.bitwiseAND(low)))
