@@ -210,6 +210,46 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
     return fit(counts, path) if counts else Model((), np.zeros((0, vocabulary(path).size)), path)
 
 
+class Scored:
+    """Words that a worker has scored already, by hash: most words of a text have been
+    met in earlier ones. Holds at most ``most`` numbers, then begins anew."""
+
+    def __init__(self, model: Model, most: int = 4 << 20):
+        self.model, self.most = model, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.scores = np.zeros(0, np.uint64), np.zeros((len(self.model.languages), 0))
+
+    def of(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Vocabulary) -> np.ndarray:
+        """Log probabilities (languages, words) of words in ascending order of their hashes."""
+        out = np.empty((len(self.model.languages), len(hashes)))
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == hashes[inside]
+        out[:, known] = self.scores[:, place[known]]
+        if len(fresh := np.flatnonzero(~known)):
+            out[:, fresh] = word_scores(data, start[fresh], end[fresh], pieces, self.model.chances)
+            if (len(self.hashes) + len(fresh)) * (len(out) + 1) > self.most:
+                self.clear()
+            merged = np.concatenate([self.hashes, hashes[fresh]])
+            order = np.argsort(merged, kind="stable")
+            self.hashes, self.scores = merged[order], np.concatenate([self.scores, out[:, fresh]], axis=1)[:, order]
+        return out
+
+
+_scored: Scored | None = None
+
+
+def scored(model: Model) -> Scored:
+    """The words that this process has scored with a model."""
+    global _scored
+    if _scored is None or _scored.model is not model:
+        _scored = Scored(model)
+    return _scored
+
+
 def score_batch(data: np.ndarray, offsets: np.ndarray, pieces: Vocabulary, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Summed log probabilities (languages, rows) and the number of words of each row."""
     data = LOWER[data]
@@ -217,8 +257,8 @@ def score_batch(data: np.ndarray, offsets: np.ndarray, pieces: Vocabulary, model
     rows = len(offsets) - 1
     totals = np.zeros((len(model.languages), rows))
     if len(start):
-        _, first, place = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        each = word_scores(data, start[first], end[first], pieces, model.chances)
+        hashes, first, place = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        each = scored(model).of(hashes, data, start[first], end[first], pieces)
         for k in range(len(totals)):
             totals[k] = np.bincount(row, each[k][place], minlength=rows)
     return totals, np.bincount(row, minlength=rows) if len(start) else np.zeros(rows, np.int64)

@@ -10,9 +10,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import decontam, langid, quality
+from corpusloom.llm.common import text_bytes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -172,3 +174,24 @@ def test_quality_ranking(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got.values())
     assert {r["score"] for r in quality.report(docs.drop("score"), labels.limit(0)).collect()} == {0.5}
     assert quality.report(docs.limit(0), labels).count() == 0
+
+
+def test_words_scored_before_score_alike(monkeypatch):
+    """Words come from what a worker has scored; beyond the bound it begins anew."""
+    rng = np.random.default_rng(3)
+    model = langid.fit({k: {syllables(n, "abcdefgh", 1, rng): 1 for _ in range(40)} for n, k in enumerate("xy")})
+    texts = [syllables(1, "abcdefgh", int(rng.integers(0, 40)), rng) for _ in range(60)]
+    pieces = langid.vocabulary()
+
+    def totals(most):
+        monkeypatch.setattr(langid, "_scored", langid.Scored(model, most))
+        return np.concatenate([langid.score_batch(*text_bytes(pa.array(texts[i : i + 7])), pieces, model)[0] for i in range(0, 60, 7)], axis=1), len(langid._scored.hashes)
+
+    whole, held = totals(1 << 20)
+    some, fewer = totals(60)
+    assert np.array_equal(whole, some) and held > fewer > 0
+    # a further pass over the same texts scores no word anew
+    monkeypatch.setattr(langid, "_scored", langid.Scored(model))
+    before = langid.score_batch(*text_bytes(pa.array(texts)), pieces, model)[0]
+    monkeypatch.setattr(langid, "word_scores", lambda *_: 1 / 0)
+    assert np.array_equal(before, langid.score_batch(*text_bytes(pa.array(texts)), pieces, model)[0])
