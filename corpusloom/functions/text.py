@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 # Words that are no tokens.
 STOP_WORDS = (
-    "a also an and are as at be become been by can could for from had has have how if in into is it its may might must "
-    "mustn't no not of or should so such than that the their them there they this through to under use using via was we "
-    "were when where which who why will with without would yes you your"
+    "a an and as at are be been become by for from if in into is it its of or so such than that the this to through under using "
+    "use via was were we with without you your they their them there when where who which why how also have has had will would "
+    "should could must can may might mustn't not no yes"
 ).split()
 # Endings of Korean words in the order in which they are tried.
 KOREAN_ENDINGS = (

@@ -19,7 +19,7 @@ K1, B = 1.2, 0.75
 FUZZY = {1: 0.45, 2: 0.25}
 PREFIX_WEIGHT, PREFIX_MOST, FUZZY_MOST = 0.7, 8, 5
 # Query words that a fallback query leaves out, and those that stand for a report on operations.
-FALLBACK_DROPPED = "diagnostic diagnostics improvement improvements low mismatch postmortem report reports retrospective usefulness value".split()
+FALLBACK_DROPPED = "diagnostic diagnostics improvement low mismatch improvements postmortem report reports retrospective usefulness value".split()
 FALLBACK_TRIGGERS = "diagnostic diagnostics mismatch postmortem report retrospective usefulness value".split()
 FALLBACK_QUERIES = ("skill registry diagnostics", "skill registry")
 SUGGESTIONS, SUGGESTIONS_MOST, SUGGESTION_LEAST = 3, 5, 0.8

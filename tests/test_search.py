@@ -27,12 +27,12 @@ def names(hits):
 def small(spark):
     c = corpus(
         spark,
-        record(0, "alpha", "security review coverage metrics ranking", aliases=["review-guide"], requires=["beta"]),
+        record(0, "alpha", "security review coverage metrics ranking", aliases=["reading-list"], requires=["beta"]),
         record(1, "beta", "documentation templates and café notes", aliases=["docs"]),
         record(2, "gamma", "runtime metrics and indexing diagnostics", recommends=["alpha", "nobody"]),
-        record(3, "observability", "tracing of services"),
-        record(4, "delta", "observability is mentioned here once"),
-        record(5, "korean", "형태소분석 파이프라인 설계"),
+        record(3, "cartographers", "tracing of services"),
+        record(4, "delta", "cartographers is mentioned here once"),
+        record(5, "korean", "자연어처리 도서목록 정리"),
     )
     return c, I.build_index(c.documents)
 
@@ -48,7 +48,7 @@ def test_bm25_equals_full_text_search(small):
         from pyspark.sql import functions as F
 
         con.execute("insert into t values (?, ?, ?, ?, ?, ?, ?, ?, ?)", (d["skill_id"], *(" ".join(r["t"]) for r in frame.select(document_tokens(F.col("v")).alias("t")).collect())))
-    for term in ("metrics", "observability", "alpha", "cafe", "custom", "diagnostics"):
+    for term in ("metrics", "cartographers", "alpha", "cafe", "custom", "diagnostics"):
         want = dict(con.execute("select id, -bm25(t, 0, 3.0, 2.6, 2.2, 2.0, 1.4, 1.2, 1.1, 1.0) from t where t match ?", (f'"{term}"',)).fetchall())
         got = {r["skill_id"]: r["score"] for r in S.score(index, [S.Variant(0, term, term, "base", 1.0)]).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
@@ -56,18 +56,18 @@ def test_bm25_equals_full_text_search(small):
 
 def test_title_and_typo_and_prefix(small):
     c, index = small
-    exact = S.ranked(c, index, "observability", 5)
-    assert names(exact) == ["observability", "delta"]
-    typo = S.ranked(c, index, "observabilty", 5)
-    assert names(typo)[0] == "observability" and typo.first()["score"] < exact.orderBy("rank").first()["score"]
-    assert names(S.ranked(c, index, "obse", 5))[0] == "observability"
+    exact = S.ranked(c, index, "cartographers", 5)
+    assert names(exact) == ["cartographers", "delta"]
+    typo = S.ranked(c, index, "cartogrphers", 5)
+    assert names(typo)[0] == "cartographers" and typo.first()["score"] < exact.orderBy("rank").first()["score"]
+    assert names(S.ranked(c, index, "cart", 5))[0] == "cartographers"
     assert names(S.ranked(c, index, "Planex", 5)) == []
 
 
 def test_diacritics_and_korean(small):
     c, index = small
     assert names(S.ranked(c, index, "cafe", 5)) == ["beta"] and names(S.ranked(c, index, "café", 5)) == []
-    assert names(S.ranked(c, index, "형태소분석합니다", 5)) == ["korean"]
+    assert names(S.ranked(c, index, "자연어처리합니다", 5)) == ["korean"]
 
 
 def test_ties_scores_and_limits(spark):
@@ -87,7 +87,7 @@ def test_fallback_and_diagnostics(small):
     found = S.search(c, index, "qqqq usefulness", 5)
     assert found.mode == "query-rewrite" and found.query == "skill registry diagnostics" and names(found.hits) == ["gamma"]
     assert S.search(c, index, "qqqq", 5).mode == "safe-zero"
-    assert S.search(c, index, "review guide of alpha", 5).aliases == ["review-guide"]
+    assert S.search(c, index, "reading list of alpha", 5).aliases == ["reading-list"]
 
 
 def test_scope_ties(spark):
@@ -101,12 +101,12 @@ def test_scope_ties(spark):
 
 def test_resolve(small):
     c, index = small
-    out = S.resolve(c, index, ["review-guide", "beta", "alpha", "gama", "x" * 10_000], True, 60, 1000)
+    out = S.resolve(c, index, ["reading-list", "beta", "alpha", "gama", "x" * 10_000], True, 60, 1000)
     rows = out["resolved"].orderBy("pos").collect()
     assert [r["name"] for r in rows] == ["alpha", "beta"] and [r["omitted_by_budget"] for r in rows] == [False, True] and rows[1]["body"] is None
     assert [r["requested"] for r in out["missing"].orderBy("pos").collect()] == ["gama", "x" * 10_000]
-    near = S.resolve(c, index, ["observabilty"], False, 0, 0)["suggestions"].collect()
-    assert [(r["name"], r["confidence"]) for r in near] == [("observability", 0.923)]
+    near = S.resolve(c, index, ["cartogrphers"], False, 0, 0)["suggestions"].collect()
+    assert [(r["name"], r["confidence"]) for r in near] == [("cartographers", 0.923)]
 
 
 def test_budget_fold_skips_and_goes_on(spark):

@@ -19,13 +19,13 @@ from corpusloom.streaming import incremental
 from tests.test_search import corpus, record
 
 GUIDE = """---\r
-name: Skill-My Observability Guide.md\r
+name: Skill-My Cartographers Guide.md\r
 group: Runtime
 tag: ['Ops', "reliability"]
 keywords: Tracing, slo; latency
 aliases:
-  - Obs Guide
-  - my-observability-guide
+  - Map Guide
+  - my-cartographers-guide
 requires: base-tools, "quoted"
 depends_on: ignored
 recommends: [related-reads, base-tools]
@@ -53,10 +53,10 @@ def test_scan_and_parse(spark, root):
     assert sorted(r["path"].removeprefix(root) for r in files.collect()) == ["/bad/SKILL.md", "/deep/a/b/SKILL.md", "/guide/SKILL.md", "/plain/SKILL.md"]
     good, bad = M.parse(files, root)
     got = {r["canonical_name"]: r for r in good.collect()}
-    assert set(got) == {"my-observability-guide", "plain", "b"}
-    g = got["my-observability-guide"]
+    assert set(got) == {"my-cartographers-guide", "plain", "b"}
+    g = got["my-cartographers-guide"]
     assert (g["category"], g["title"], g["keywords"], g["tags"]) == ("Runtime", "The Guide", ["tracing", "slo", "latency"], ["ops", "reliability"])
-    assert g["aliases"] == ["obs-guide"] and g["recommends"] == ["related-reads"] and g["requires"][0] == "base-tools"
+    assert g["aliases"] == ["map-guide"] and g["recommends"] == ["related-reads"] and g["requires"][0] == "base-tools"
     assert [r["path"].removeprefix(root) for r in bad.collect()] == ["/bad/SKILL.md"]
 
 
