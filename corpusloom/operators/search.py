@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,45 +45,66 @@ def query_tokens(spark: SparkSession, query: str) -> list[str]:
 
 
 def variants(index: Index, query: str) -> list[Variant]:
-    """Terms for each query token: exact ones and Korean forms that the vocabulary
-    holds; else up to 8 terms with the token as prefix; else up to 5 near terms.
+    """Terms for each query token, see :func:`variants_of`."""
+    return variants_of(index, query_tokens(index.vocab.sparkSession, query))
 
-    Query tokens are few (a query has at most 1024 characters); the vocabulary is
-    filtered by literals that reach the scan, never collected."""
+
+def variants_of(index: Index, words: list[str]) -> list[Variant]:
+    """Terms for each word: exact ones and Korean forms that the vocabulary holds; else
+    up to 8 terms with the word as prefix; else up to 5 near terms. At most one pass
+    over the vocabulary for each of the three, however many words.
+
+    Words are those of one request; the vocabulary is filtered by them, never collected."""
     spark = index.vocab.sparkSession
-    words = query_tokens(spark, query)
     if not words:
         return []
-    forms = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "place int, token string").select("place", "token", X.korean_forms(F.col("token")).alias("f")).collect()
+    forms = spark.createDataFrame(list(enumerate(words)), "place int, token string").select("place", "token", X.korean_forms(F.col("token")).alias("f")).collect()
     exact = {r["place"]: [(r["token"], 1.0, "base"), *((f["token"], f["weight"], "ko-morph") for f in r["f"])] for r in forms}
     wanted = sorted({t for terms in exact.values() for t, _, _ in terms})
     known = {r["term"] for r in index.vocab.where(F.col("term").isin(wanted)).select("term").collect()}
-    out = []
+    found: dict[int, list[Variant]] = {}
     for place, token in enumerate(words):
         best: dict[str, tuple[float, str]] = {}
         for term, weight, source in exact[place]:
             if term in known and weight > best.get(term, (0.0, ""))[0]:
                 best[term] = (weight, source)
-        found = [Variant(place, token, t, s, w) for t, (w, s) in sorted(best.items(), key=lambda x: (-x[1][0], x[1][1] != "base", x[0]))]
-        if not found and len(token) >= 4:
-            terms = index.vocab.where(F.col("term").startswith(token)).orderBy("term").limit(PREFIX_MOST).collect()
-            found = [Variant(place, token, r["term"], "base", PREFIX_WEIGHT) for r in terms]
-        out += found or fuzzy(index.vocab, place, token)
-    return out
-
-
-def fuzzy(vocab: DataFrame, place: int, token: str) -> list[Variant]:
-    """Near terms of an ASCII word of 5 or more characters: 1 edit, 2 from 7 on; the
-    first character stays and lengths differ by no more than the edits."""
-    most = 2 if len(token) >= 7 else 1 if len(token) >= 5 else 0
-    if not most or not re.fullmatch(r"[a-z][a-z0-9_]*", token):
+        if best:
+            found[place] = [Variant(place, token, t, s, w) for t, (w, s) in sorted(best.items(), key=lambda x: (-x[1][0], x[1][1] != "base", x[0]))]
+    for more in (prefixed, near):
+        if left := [(place, token) for place, token in enumerate(words) if place not in found]:
+            for v in more(index.vocab, left):
+                found.setdefault(v.place, []).append(v)
+    return [v for place in sorted(found) for v in found[place]]
+
+
+def prefixed(vocab: DataFrame, words: list[tuple[int, str]]) -> list[Variant]:
+    """For each (place, word) of 4 or more characters the first terms that begin with it."""
+    words = [(p, w) for p, w in words if len(w) >= 4]
+    if not words:
+        return []
+    # words of one request
+    few = F.broadcast(vocab.sparkSession.createDataFrame([(p, w, w[:4]) for p, w in words], "place int, token string, head string"))
+    met = vocab.select("term", F.substring("term", 1, 4).alias("head")).join(few, "head").where(F.col("term").startswith(F.col("token")))
+    order = Window.partitionBy("place").orderBy("term")
+    rows = met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PREFIX_MOST).orderBy("place", "r").collect()
+    return [Variant(r["place"], r["token"], r["term"], "base", PREFIX_WEIGHT) for r in rows]
+
+
+def near(vocab: DataFrame, words: list[tuple[int, str]]) -> list[Variant]:
+    """For each (place, ASCII word of 5 or more characters) its nearest terms: 1 edit, 2
+    from 7 on; the first character stays and lengths differ by no more than the edits."""
+    asked = [(p, w, w[0], 2 if len(w) >= 7 else 1) for p, w in words if len(w) >= 5 and re.fullmatch(r"[a-z][a-z0-9_]*", w)]
+    if not asked:
         return []
-    near = vocab.where(F.col("term").startswith(token[0]) & F.char_length("term").between(len(token) - most, len(token) + most) & F.col("term").rlike("^[a-z][a-z0-9_]*$"))
+    few = F.broadcast(vocab.sparkSession.createDataFrame(asked, "place int, token string, head string, most int"))
+    terms = vocab.where(F.col("term").rlike("^[a-z][a-z0-9_]*$")).select("term", F.substring("term", 1, 1).alias("head"))
+    met = terms.join(few, "head").where(F.abs(F.char_length("term") - F.char_length("token")) <= F.col("most"))
     # a swap is two plain edits, so plain distance bounds what is looked at row by row
-    near = near.where(F.levenshtein("term", F.lit(token), 2 * most) >= 0)
-    scored = near.select("term", X.osa_column(F.col("term"), F.lit(token), F.lit(most)).alias("d")).where("d is not null")
-    rows = scored.orderBy("d", F.char_length("term"), X.locale_order(F.col("term"))).limit(FUZZY_MOST).collect()
-    return [Variant(place, token, r["term"], "en-fuzzy", FUZZY[r["d"]]) for r in rows]
+    met = met.where(F.levenshtein("term", "token", 4).between(0, 2 * F.col("most")))
+    scored = met.select("place", "token", "term", X.osa_column(F.col("term"), F.col("token"), F.col("most")).alias("d")).where("d is not null")
+    order = Window.partitionBy("place").orderBy("d", F.char_length("term"), X.locale_order(F.col("term")))
+    rows = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= FUZZY_MOST).orderBy("place", "r").collect()
+    return [Variant(r["place"], r["token"], r["term"], "en-fuzzy", FUZZY[r["d"]]) for r in rows]
 
 
 def idf(n_docs: int, df: int) -> float:
@@ -98,22 +119,30 @@ def bm25(wtf: Column, n_tokens: Column, weight: Column, avg_len: float) -> Colum
     return weight * (f * (K1 + 1.0)) / (f + K1 * (1.0 - B + B * n_tokens / F.lit(avg_len)))
 
 
+SCORES = "skill_id string, score double, coverage int, matched_terms array<string>"
+
+
 def score(index: Index, found: list[Variant]) -> DataFrame:
     """skill_id, score, coverage, matched_terms of all documents with a variant: for
     each query token its best variant, summed in the query's order."""
+    return score_many(index, {0: found}).drop("ask")
+
+
+def score_many(index: Index, asked: dict[int, list[Variant]]) -> DataFrame:
+    """:func:`score` for the variants of several queries: ask and its columns."""
     spark = index.postings.sparkSession
-    if not found:
-        return spark.createDataFrame([], "skill_id string, score double, coverage int, matched_terms array<string>")
-    terms = sorted({v.term for v in found})
+    terms = sorted({v.term for found in asked.values() for v in found})
+    if not terms:
+        return spark.createDataFrame([], f"ask int, {SCORES}")
     dfs = {r["term"]: r["df"] for r in index.vocab.where(F.col("term").isin(terms)).collect()}
-    rows = [(v.term, v.place, i, v.weight, idf(index.n_docs, dfs.get(v.term, 0))) for i, v in enumerate(found)]
-    few = spark.createDataFrame(rows, "term string, place int, nth int, mult double, idf double")
-    # at most 8 variants for each of a query's tokens: bounded, so it is broadcast
+    rows = [(ask, v.term, v.place, i, v.weight, idf(index.n_docs, dfs.get(v.term, 0))) for ask, found in asked.items() for i, v in enumerate(found)]
+    few = spark.createDataFrame(rows, "ask int, term string, place int, nth int, mult double, idf double")
+    # at most 8 variants for each of a request's tokens: bounded, so it is broadcast
     met = index.postings.where(F.col("term").isin(terms)).join(F.broadcast(few), "term")
     each = met.withColumn("s", bm25(F.col("wtf"), F.col("n_tokens"), F.col("idf"), index.avg_len) * F.col("mult")).where("s > 0")
-    best = each.groupBy("skill_id", "place").agg(F.max(F.struct("s", (-F.col("nth")).alias("n"), "term")).alias("b"))
-    gathered = best.groupBy("skill_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("b.s").alias("s"), F.col("b.term").alias("term")))).alias("parts"))
-    return gathered.select("skill_id", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["s"]).alias("score"), F.size("parts").alias("coverage"), F.transform("parts", lambda p: p["term"]).alias("matched_terms"))
+    best = each.groupBy("ask", "skill_id", "place").agg(F.max(F.struct("s", (-F.col("nth")).alias("n"), "term")).alias("b"))
+    gathered = best.groupBy("ask", "skill_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("b.s").alias("s"), F.col("b.term").alias("term")))).alias("parts"))
+    return gathered.select("ask", "skill_id", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["s"]).alias("score"), F.size("parts").alias("coverage"), F.transform("parts", lambda p: p["term"]).alias("matched_terms"))
 
 
 def scope_ranks(corpus: Corpus, scoped: DataFrame | None = None) -> DataFrame:
@@ -268,15 +297,10 @@ def suggest(corpus: Corpus, index: Index | None, missing: DataFrame, limit: int)
     if not limit or index is None:
         return spark.createDataFrame([], schema)
     # names of one request, each of them bounded by the request's own size
+    names = {i: r["requested"] for i, r in enumerate(missing.orderBy("pos").collect()) if 0 < len(r["requested"].strip()) <= 256}
     out: dict[str, float] = {}
-    for r in missing.orderBy("pos").collect():
-        asked = r["requested"].strip().lower()
-        if not asked or len(asked) > 256:
-            continue
-        hits = search(corpus, index, r["requested"], SUGGESTIONS_MOST).hits
-        near = F.array_max(F.transform(F.concat(F.array("canonical_name"), "aliases"), lambda c: X.similarity(F.lower(c), F.lit(asked))))
-        for h in hits.select("canonical_name", near.alias("c"), "rank").where(F.col("c") >= SUGGESTION_LEAST).orderBy("rank").collect():
-            out.setdefault(h["canonical_name"], X.fixed3(h["c"]))
+    for name, confidence in _near_names(corpus, index, names):
+        out.setdefault(name, X.fixed3(confidence))
     best = sorted(out.items(), key=lambda x: (-x[1], x[0]))[:limit]
     kept, used, words = [], 0, 0
     for name, confidence in best:
@@ -288,6 +312,35 @@ def suggest(corpus: Corpus, index: Index | None, missing: DataFrame, limit: int)
     return spark.createDataFrame(kept, schema)
 
 
+def _near_names(corpus: Corpus, index: Index, names: dict[int, str]) -> list[tuple[str, float]]:
+    """Names and their similarity among the best hits of each missing name, in the
+    order of the names and of their hits; all names are searched for at once."""
+    spark = corpus.spark
+    if not names:
+        return []
+    cut = spark.createDataFrame(list(names.items()), "ask int, q string").select("ask", "q", F.array_distinct(X.tokens(F.col("q"))).alias("t")).collect()
+    words = list(dict.fromkeys(t for r in cut for t in r["t"]))
+    of: dict[str, list[Variant]] = {}
+    for v in variants_of(index, words):
+        of.setdefault(v.token, []).append(v)
+    asked = {r["ask"]: [replace(v, place=k) for k, t in enumerate(r["t"]) for v in of.get(t, ())] for r in cut}
+    thin = ranking_scopes(corpus)
+    hits = score_many(index, asked).where("score > 0").join(thin, "skill_id").join(scope_ranks(corpus, thin), "scope", "left")
+    order = Window.partitionBy("ask").orderBy(F.col("score").desc(), F.col("coverage").desc(), F.col("rank"), X.locale_order(F.col("canonical_name")))
+    top = written(hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SUGGESTIONS_MOST).select("ask", "place", "skill_id"), "near")
+    # what has no hit and speaks of reports or skills is searched for as a query would be
+    met = {r["ask"] for r in top.select("ask").distinct().collect()}
+    for r in cut:
+        if r["ask"] not in met and {*FALLBACK_TRIGGERS, "skill"}.intersection(r["t"]):
+            again = search(corpus, index, r["q"], SUGGESTIONS_MOST).hits
+            top = top.unionByName(again.select(F.lit(r["ask"]).alias("ask"), F.col("rank").alias("place"), "skill_id"))
+    few = F.broadcast(spark.createDataFrame([(a, n.strip().lower()) for a, n in names.items()], "ask int, wanted string"))
+    shown = top.join(few, "ask").join(corpus.documents.select("skill_id", "canonical_name", "aliases"), "skill_id")
+    alike = F.array_max(F.transform(F.concat(F.array("canonical_name"), "aliases"), lambda c: X.similarity(F.lower(c), F.col("wanted"))))
+    rows = shown.select("ask", "place", "canonical_name", alike.alias("c")).where(F.col("c") >= SUGGESTION_LEAST).orderBy("ask", "place").collect()
+    return [(r["canonical_name"], r["c"]) for r in rows]
+
+
 def bounded_text(text: str, most_bytes: int = RECOVERY_BYTES, most_tokens: int = RECOVERY_TOKENS) -> str:
     """The longest beginning of a text within both bounds."""
     low, high = 0, len(text)

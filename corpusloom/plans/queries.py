@@ -32,6 +32,7 @@ SEARCH = "attion ating bleing"
 LEAST = 4.0
 _READY: dict[tuple[str, str], tuple[Corpus, DataFrame]] = {}
 _INDEXES: dict[tuple[str, str], I.Index] = {}
+_BUNDLES: dict[tuple[str, str], packets.Bundle] = {}
 
 
 def _lazy(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -114,7 +115,7 @@ def prefix_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near terms of words, by edits with swaps."""
     _, index = _indexed(spark, sf_dir)
-    rows = [(v.token, v.term, v.weight) for k, w in enumerate(("thtionx", "oneratx", "ingblex")) for v in S.fuzzy(index.vocab, k, w)]
+    rows = [(v.token, v.term, v.weight) for v in S.near(index.vocab, list(enumerate(("thtionx", "oneratx", "ingblex"))))]
     return spark.createDataFrame(rows, "token string, term string, weight double")
 
 
@@ -345,7 +346,17 @@ def _flat(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.array_join(c, "|") for c in lists}).withColumn("layer", F.expr(_LAYER))
 
 
-def _bundle(spark: SparkSession, sf_dir: str, chars: int = 4000) -> packets.Bundle:
+def _bundle(spark: SparkSession, sf_dir: str) -> packets.Bundle:
+    """What packets stand on, computed once for an application and folder, as an engine
+    does for all packets of a request."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUNDLES:
+        _BUNDLES.clear()
+        _BUNDLES[key] = _bundled(spark, sf_dir, 4000)
+    return _BUNDLES[key]
+
+
+def _bundled(spark: SparkSession, sf_dir: str, chars: int) -> packets.Bundle:
     c, index, pool = _pool(spark, sf_dir)
     winner, steps, _ = D.plan(D.decide(c, pool, 50), True, LIMIT)
     entries = G.project(c, _edges(spark, sf_dir), _seeds(c, index), False)["entries"]

@@ -78,6 +78,8 @@ def test_load_and_snapshot(spark, root, tmp_path):
     settings = Settings(scope_roots={"all": [root]}, scope_priority=["all"])
     c, facts = M.load(spark, [root, root + "/none"], settings)
     assert facts["missing_roots"] == [root + "/none"] and {r["scope"] for r in c.documents.collect()} == {"all"}
+    # roots outside the selected scopes aren't looked at
+    assert M.load(spark, [root, "/elsewhere"], settings, scopes=["all"])[1]["missing_roots"] == []
     store = Store(spark, str(tmp_path / "snap"))
     assert store.load({}, settings) is None
     token = store.save(c, {"a": 1}, facts["signatures"][0], now_ms=1000)
