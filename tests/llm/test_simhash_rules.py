@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import rules, simhash
+from corpusloom.llm import components, rules, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id long, count long, gid string"
 
@@ -83,6 +83,20 @@ def test_components_match_brute_force(spark, most):
     assert all(found[f] == c for (_, f), c in brute_components(pairs).items())
 
 
+def test_sums_of_links_never_overflow(spark):
+    n = 20_000_000
+    links = spark.range(n).select(F.col("id").alias("u"), F.lit(-1).cast("long").alias("v"))
+    count, _, total = components._sum(links)
+    assert count == n and total is not None
+
+
+def test_rounds_that_end_too_early_are_an_error(spark):
+    path = spark.createDataFrame([(i + 1, i) for i in range(40)], "u long, v long")
+    assert {r["root"] for r in components.connected_components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components.connected_components(path, most_rounds=1)
+
+
 def test_report_and_stage_edges(spark):
     texts = [*EDGES, "one two three four five six seven eight", "one two three four five six seven eight"]
     frame = docs(spark, texts)
