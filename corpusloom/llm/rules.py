@@ -38,8 +38,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import named_back, plainly_named, written
 
-SPACE = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
 #: ln words, ln mean word length, roots of the shares of symbols, repeated lines, repeated words.
 DIMENSIONS = 5
 #: Least spreads that count, in the order of the statistics.
@@ -75,63 +73,52 @@ HALF, WEIGHTED = 0.5, 0.975
 FALL = 0.01
 
 
-def statistics(text: Column) -> list[Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of a text."""
-    t = F.coalesce(text, F.lit(""))
-    trimmed = F.btrim(t, F.lit(SPACE))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \t-\r]+"))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    chars = F.char_length(t)
+#: Hash of three words, by which windows are sorted before their words are compared.
+HASH = "xxhash64({0}, {1}, {2})"
 
-    def let(value: Column, body) -> Column:
-        """``body(value)`` with value computed once."""
-        return F.element_at(F.transform(F.array(value), body), 1)
 
-    def repeated(w: Column, n: Column, low: Column) -> Column:
-        # high bits: the window's hash; low bits (mask ``low``): its place
-        keys = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-        def words_at(p: Column) -> Column:
-            return F.struct(*[F.get(w, p + k) for k in range(3)])
 
-        def places(s: Column) -> Column:
-            def alike(x: Column, k: Column) -> Column:
-                return x.bitwiseOR(low).eqNullSafe(F.get(s, k).bitwiseOR(low))
+def _repeated() -> str:
+    """Words in windows of three that occur twice in the array w of words; m is a mask
+    of the low bits that hold a window's place beside its hash."""
 
-            # neighbours of one hash are compared word for word; where windows of one hash
-            # differ (hashes seldom meet), with all of that hash
-            def equal(x: Column, k: Column) -> Column:
-                return alike(x, k) & (words_at(x.bitwiseAND(low).cast("int")) == words_at(F.get(s, k).bitwiseAND(low).cast("int")))
+    def alike(k: str) -> str:
+        return f"((x | m) <=> (get(s, {k}) | m))"
 
-            def met(x: Column, k: Column) -> Column:
-                own = words_at(x.bitwiseAND(low).cast("int"))
-                among = F.exists(s, lambda y: (y != x) & (y.bitwiseOR(low) == x.bitwiseOR(low)) & (words_at(y.bitwiseAND(low).cast("int")) == own))
-                return F.when(~alike(x, k - 1) & ~alike(x, k + 1), F.lit(False)).when(equal(x, k - 1) | equal(x, k + 1), F.lit(True)).otherwise(among)
+    def at(place: str) -> str:
+        return f"struct(get(w, int({place})), get(w, int({place}) + 1), get(w, int({place}) + 2))"
 
-            marked = F.transform(s, lambda x, k: F.when(met(x, k), x.bitwiseAND(low)))
-            return F.sort_array(F.filter(marked, lambda p: p.isNotNull()))
+    def equal(k: str) -> str:
+        return f"({alike(k)} AND {at('x & m')} = {at(f'get(s, {k}) & m')})"
 
-        def covered(p: Column) -> Column:
-            gains = F.transform(p, lambda x, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), (x - F.get(p, k - 1)).cast("int"))))
-            return F.aggregate(gains, F.lit(0).cast("long"), lambda a, x: a + x)
+    # neighbours of one hash are compared word for word; where windows of one hash differ (hashes seldom meet), with all of that hash
+    among = f"exists(s, y -> y != x AND (y | m) = (x | m) AND {at('y & m')} = {at('x & m')})"
+    met = f"CASE WHEN NOT {alike('k - 1')} AND NOT {alike('k + 1')} THEN NULL WHEN {equal('k - 1')} OR {equal('k + 1')} THEN x & m WHEN {among} THEN x & m END"
+    places = f"sort_array(filter(transform(s, (x, k) -> {met}), p -> p IS NOT NULL))"
+    covered = "aggregate(transform(p, (x, k) -> CASE WHEN k = 0 THEN 3 ELSE least(3, int(x - get(p, k - 1))) END), 0L, (a, x) -> a + x)"
+    full = _let("sort_array(transform(h, (x, i) -> x | i))", "s", _let(places, "p", covered))
+    hashes = f"transform(sequence(0, size(w) - 3), i -> {HASH.format('get(w, i)', 'get(w, i + 1)', 'get(w, i + 2)')} & ~m)"
+    # most texts have no two windows of one hash
+    some = _let(hashes, "h", f"CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE {full} END")
+    return f"CASE WHEN size(w) < 3 THEN 0L ELSE {_let('shiftleft(1L, int(ceil(log2(size(w) + 1)))) - 1', 'm', some)} END"
 
-        return let(let(keys, places), covered)
 
-    def both(w: Column) -> Column:
-        n = F.size(w)
-        low = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double")))).cast("long") - 1
-        return F.struct(n.cast("long").alias("n_words"), F.when(n >= 3, let(low, lambda m: repeated(w, n, m))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
-
-    counted = let(words, both)
-    lined = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    return [counted.alias("counted"), (chars - F.char_length(F.translate(t, SPACE, ""))).alias("white"), chars.alias("chars"), (chars - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"), lined.alias("lined")]
+def statistics(text: str) -> list[Column]:
+    """counted (n_words, word_chars, n_repeat_words), n_symbols, lined (n_lines, n_dup_lines) of a text."""
+    t = f"coalesce(`{text}`, '')"
+    counted = _let(f"regexp_extract_all({t}, r'[^ \\t-\\r]+', 0)", "w", f"named_struct('n_words', bigint(size(w)), 'word_chars', bigint(char_length(array_join(w, ''))), 'n_repeat_words', {_repeated()})")
+    lined = _let(f"filter(split({t}, '\\n'), x -> x RLIKE r'[^ \\t-\\r]')", "x", "named_struct('n_lines', bigint(size(x)), 'n_dup_lines', bigint(size(x) - size(array_distinct(x))))")
+    return [F.expr(counted).alias("counted"), F.expr(f"bigint(regexp_count({t}, r'[#*$%&|<>]'))").alias("n_symbols"), F.expr(lined).alias("lined")]
 
 
 def base(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns with the statistics and base_failed."""
-    s = docs.select(*keep, *statistics(F.col(text)))
-    s = s.select(*keep, F.col("counted.n_words").alias("n_words"), (F.col("chars") - F.col("white")).cast("long").alias("word_chars"), "n_symbols", F.col("lined.dup").alias("n_dup_lines"), F.col("counted.n_repeat_words").alias("n_repeat_words"), F.col("lined.n").alias("n_lines"))
-    return s.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    s = docs.select(*keep, *statistics(text)).select(*keep, "counted.n_words", "counted.word_chars", "n_symbols", "lined.n_dup_lines", "counted.n_repeat_words", "lined.n_lines")
+    return s.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
 
 
 # Expressions of many terms are SQL texts: one call each instead of one for every term.
