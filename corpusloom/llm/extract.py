@@ -7,8 +7,8 @@ page's own tree is first folded (equal neighbours become a repeated group); then
 wrappers of the same host are aligned again and again: equal signatures are
 matched in order, what one side lacks becomes optional, what one side repeats
 becomes repeated, texts that differ become slots. Folding is done for each task
-first, then for each salted share of a host, then for the host, so that a hot
-host is never gathered.
+first, then for a bounded number of these at a time, until there is one wrapper a
+host, so that a hot host is never gathered.
 
 A node also keeps how much text it holds on an average page, and a bottom-k sample
 of its texts, each with some of the pages that have it. From these the wrapper says
@@ -69,7 +69,8 @@ from corpusloom.llm.common import plainly_named, sliced, written
 
 MOST_KINDS = 48
 MOST_NODES = 20_000
-SHARES = 32
+#: Wrappers of one host that are united in one task.
+FAN = 64
 #: Texts that a node samples, and pages that it keeps of each.
 TEXTS_KEPT, PAGES_KEPT = 8, 4
 #: Texts by which a page is told from others.
@@ -677,18 +678,17 @@ def _merged(wrappers: list[str]) -> str:
     return dumped(out)
 
 
-def wrappers(pages: DataFrame, html: str = "html") -> DataFrame:
-    """host, wrapper (JSON) for pages with columns host and ``html``."""
+def wrappers(pages: DataFrame, html: str = "html", fan: int = FAN) -> DataFrame:
+    """host, wrapper (JSON) for pages with columns host and ``html``. A task folds its
+    own pages of a host; of these wrappers at most about ``fan`` meet in one task, and
+    rounds of that go on until a host has so few."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
-        salt = count = 0
+        count = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal salt
-            salt += 1
-            texts = [dumped(fitted(w)) for w in held.values()]
-            made = pa.RecordBatch.from_pydict({"host": list(held), "share": [hash_of(f"{h}{len(w)}{salt}") % SHARES for h, w in zip(held, texts, strict=True)], "wrapper": texts}, schema=_FOLDED)
+            made = pa.RecordBatch.from_pydict({"host": list(held), "wrapper": [dumped(fitted(w)) for w in held.values()]}, schema=_FOLDED)
             held.clear()
             return made
 
@@ -707,12 +707,14 @@ def wrappers(pages: DataFrame, html: str = "html") -> DataFrame:
     def unite(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": group["host"].iloc[:1], "wrapper": [_merged(sorted(group["wrapper"]))]})
 
-    partial = pages.select("host", F.col(html).alias("html")).mapInArrow(fold, "host string, share int, wrapper string")
-    shares = partial.groupBy("host", "share").applyInPandas(unite, "host string, wrapper string")
-    return shares.groupBy("host").applyInPandas(unite, "host string, wrapper string")
+    parts = written(pages.select("host", F.col(html).alias("html")).mapInArrow(fold, "host string, wrapper string"), "folded")
+    while (most := parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > fan:
+        dealt = parts.withColumn("share", F.pmod(F.monotonically_increasing_id(), F.lit(-(-most // fan))))
+        parts = written(dealt.groupBy("host", "share").applyInPandas(unite, "host string, wrapper string"), "united")
+    return parts.groupBy("host").applyInPandas(unite, "host string, wrapper string")
 
 
-_FOLDED = pa.schema([("host", pa.string()), ("share", pa.int32()), ("wrapper", pa.string())])
+_FOLDED = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
 
 
 def hash_of(text: str) -> int:

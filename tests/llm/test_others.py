@@ -234,7 +234,8 @@ def test_hot_hosts_and_small_ones_read_alike(spark, monkeypatch, limit):
     monkeypatch.setattr(extract, "HOT_PAGES", 7)
     rows = [(n, None if n % 40 == 39 else f"http://{'hot' if n % 4 else 'h%d' % (n % 3)}.org/{n}", f"<body><div class=m>All the same</div><div class=t><p>Text {n} " + "word " * 30 + "</p></div></body>", 1) for n in range(80)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, `k0.x` long")
-    got = {r["page_id"]: r["text"] for r in extract.report(frame).collect()}
+    monkeypatch.setattr(extract.wrappers, "__defaults__", ("html", 2))
+    got = {r["page_id"]: r["text"] for r in extract.report(frame.repartition(9)).collect()}
     assert got == {n: f"Text {n} " + " ".join(["word"] * 30) for n in range(80)}
     assert extract.extract(frame, keep=("k0.x",)).columns == ["k0.x", "text"]
 
