@@ -212,30 +212,33 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
 
 class Scored:
     """Words that a worker has scored already, by hash: most words of a text have been
-    met in earlier ones. Holds at most ``most`` numbers, then begins anew."""
+    met in earlier ones. Two generations of at most ``most`` numbers together: a word
+    that is met moves to the younger one; when that is full the older one is dropped."""
 
-    def __init__(self, model: Model, most: int = 4 << 20):
+    def __init__(self, model: Model, most: int = 2 << 20):
         self.model, self.most = model, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes, self.scores = np.zeros(0, np.uint64), np.zeros((len(self.model.languages), 0))
+        self.young = self.old = (np.zeros(0, np.uint64), np.zeros((len(model.languages), 0)))
 
     def of(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Vocabulary) -> np.ndarray:
         """Log probabilities (languages, words) of words in ascending order of their hashes."""
         out = np.empty((len(self.model.languages), len(hashes)))
-        place = np.searchsorted(self.hashes, hashes)
-        known = np.zeros(len(hashes), bool)
-        inside = place < len(self.hashes)
-        known[inside] = self.hashes[place[inside]] == hashes[inside]
-        out[:, known] = self.scores[:, place[known]]
-        if len(fresh := np.flatnonzero(~known)):
-            out[:, fresh] = word_scores(data, start[fresh], end[fresh], pieces, self.model.chances)
-            if (len(self.hashes) + len(fresh)) * (len(out) + 1) > self.most:
-                self.clear()
-            merged = np.concatenate([self.hashes, hashes[fresh]])
+        left = np.arange(len(hashes))
+        moved = left[:0]
+        for held, scores in (self.young, self.old):
+            place = np.minimum(np.searchsorted(held, hashes[left]), max(len(held) - 1, 0))
+            met = held[place] == hashes[left] if len(held) else np.zeros(len(left), bool)
+            out[:, left[met]] = scores[:, place[met]]
+            left = left[~met]
+            moved = left if held is self.young[0] else moved
+        if len(left):
+            out[:, left] = word_scores(data, start[left], end[left], pieces, self.model.chances)
+        if len(moved):
+            held, scores = self.young
+            if (len(held) + len(moved)) * (len(out) + 1) > self.most // 2:
+                self.old, held, scores = self.young, held[:0], scores[:, :0]
+            merged = np.concatenate([held, hashes[moved]])
             order = np.argsort(merged, kind="stable")
-            self.hashes, self.scores = merged[order], np.concatenate([self.scores, out[:, fresh]], axis=1)[:, order]
+            self.young = merged[order], np.concatenate([scores, out[:, moved]], axis=1)[:, order]
         return out
 
 

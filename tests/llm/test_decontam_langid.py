@@ -177,7 +177,7 @@ def test_quality_ranking(spark):
 
 
 def test_words_scored_before_score_alike(monkeypatch):
-    """Words come from what a worker has scored; beyond the bound it begins anew."""
+    """Words come from what a worker has scored; beyond the bound the older half goes."""
     rng = np.random.default_rng(3)
     model = langid.fit({k: {syllables(n, "abcdefgh", 1, rng): 1 for _ in range(40)} for n, k in enumerate("xy")})
     texts = [syllables(1, "abcdefgh", int(rng.integers(0, 40)), rng) for _ in range(60)]
@@ -185,7 +185,7 @@ def test_words_scored_before_score_alike(monkeypatch):
 
     def totals(most):
         monkeypatch.setattr(langid, "_scored", langid.Scored(model, most))
-        return np.concatenate([langid.score_batch(*text_bytes(pa.array(texts[i : i + 7])), pieces, model)[0] for i in range(0, 60, 7)], axis=1), len(langid._scored.hashes)
+        return np.concatenate([langid.score_batch(*text_bytes(pa.array(texts[i : i + 7])), pieces, model)[0] for i in range(0, 60, 7)], axis=1), len(langid._scored.young[0])
 
     whole, held = totals(1 << 20)
     some, fewer = totals(60)
