@@ -13,9 +13,10 @@ from corpusloom.operators.tables import written
 _ROW_BITS = 33
 
 
-def numbered(df: DataFrame, order: Sequence[Column | str], within: Sequence[str] = (), column: str = "place", first: int = 1, name: str = "numbered") -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Column | str], within: Sequence[str] = (), column: str = "place", first: int = 1, total: str | None = None, name: str = "numbered") -> DataFrame:
     """``df`` with ``column``: the place of each row in ``order`` among the rows that
-    share the columns ``within`` (nulls are one group), counted from ``first``.
+    share the columns ``within`` (nulls are one group), counted from ``first``; and,
+    where it is named, ``total``, the number of these rows.
 
     Rows are partitioned by ranges of (within, order) and sorted there; a partition
     then says how many rows of each group it has, and the sum over earlier partitions
@@ -30,11 +31,14 @@ def numbered(df: DataFrame, order: Sequence[Column | str], within: Sequence[str]
     keys = [F.col(c).alias(f"__w{i}") for i, c in enumerate(within)]
     names = [f"__w{i}" for i in range(len(within))]
     parts = rows.groupBy(*keys, part).agg(F.count("*").alias("__n"), F.min("__at").alias("__low"))
-    earlier = Window.partitionBy(*names).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = written(parts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__low") + first).drop("__n", "__low"), f"{name}-parts")
+    group = Window.partitionBy(*names)
+    earlier = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__low") + first
+    parts = written(parts.select(*names, "__part", before.alias("__before"), F.sum("__n").over(group).alias("__total")), f"{name}-parts")
     same = F.shiftright(at, _ROW_BITS) == F.col("__part")
     for c, n in zip(within, names, strict=True):
         same &= rows[c].eqNullSafe(F.col(n))
     # without groups it is one row for each partition, whose number the session sets
     placed = rows.join(parts if within else F.broadcast(parts), same)
-    return placed.select(*[rows[c] for c in df.columns], (at + F.col("__before")).alias(column))
+    found = [(at + F.col("__before")).alias(column), *([F.col("__total").alias(total)] if total else [])]
+    return placed.select(*[rows[c] for c in df.columns], *found)

@@ -15,7 +15,8 @@ def test_places_over_many_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "13")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        found = {r["i"]: r["place"] for r in numbered(df, ["v", "i"], ["g"]).collect()}
+        ranked = numbered(df, ["v", "i"], ["g"], total="n").collect()
+        found = {r["i"]: r["place"] for r in ranked}
         whole = {r["i"]: r["at"] for r in numbered(df, [F.col("v").desc(), "i"], column="at", first=0).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -23,6 +24,7 @@ def test_places_over_many_partitions(spark):
     for g in ("hot", "a", "b", None):
         ordered = sorted((v, i) for h, v, i in rows if h == g)
         assert [found[i] for _, i in ordered] == list(range(1, len(ordered) + 1))
+        assert {r["n"] for r in ranked if r["g"] == g} == {len(ordered)}
     ordered = sorted((-v, i) for _, v, i in rows)
     assert [whole[i] for _, i in ordered] == list(range(len(rows)))
 
