@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontam, extract, langid, lines, manifest, packing, quality, rules, simhash, tokens, urls
+from corpusloom.llm import chat, decontam, extract, langid, lines, manifest, packing, quality, rules, simhash, tokens, trie, urls
 from corpusloom.llm.common import scratch, written
 from corpusloom.session import ship
 
@@ -128,8 +128,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.report(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_chat_transcripts, op2_quality_ranking, op3_language_id, op4_token_rollup, op5_url_lists, op6_html_wrappers, op7_winnowing, op8_robust_outliers, op9_best_fit_packing, op10_simhash, op11_line_dedup, op12_merkle_manifest, base_statistics)
+    found = (op1_chat_transcripts, op2_quality_ranking, op3_language_id, op4_token_rollup, op5_url_lists, op6_html_wrappers, op7_winnowing, op8_robust_outliers, op9_best_fit_packing, op10_simhash, op11_line_dedup, op12_merkle_manifest, op13_prefix_trie, base_statistics)
     return {f.__name__: f for f in found}
 
 
@@ -165,4 +169,4 @@ FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"base_statistics": BASE_SQL, "op5_url_lists": URL_SQL, "op7_winnowing": decontam.REPORT_SQL, "op11_line_dedup": lines.REPORT_SQL, "op12_merkle_manifest": manifest.REPORT_SQL}
+    return {"base_statistics": BASE_SQL, "op5_url_lists": URL_SQL, "op7_winnowing": decontam.REPORT_SQL, "op11_line_dedup": lines.REPORT_SQL, "op12_merkle_manifest": manifest.REPORT_SQL, "op13_prefix_trie": trie.REPORT_SQL}
