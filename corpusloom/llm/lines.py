@@ -31,7 +31,7 @@ from corpusloom.llm.common import named_back, plainly_named, written
 #: Keys of fewer code points, or of fewer documents, are never dropped.
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Lines of one hash that a window task may hold.
-MOST = 2048
+MOST = 256
 BLANKS = " \t\n\x0b\x0c\r"
 BITMAP = "array<struct<skip:int,drop:bigint>>"
 
@@ -95,7 +95,8 @@ def _found(docs: DataFrame, doc_id: str, text: str, least_chars: int, least_docs
     maps = written(bitmaps(repeated(lines, least_docs, most)), "bitmaps").toDF("md", "m0", "m1", "drops")
     keyed = plain.select("*", *_identity(names[doc_id], F.coalesce(F.col(names[text]), F.lit(""))))
     same = F.col("d").eqNullSafe(F.col("md")) & (F.col("t0") == F.col("m0")) & (F.col("t1") == F.col("m1"))
-    return keyed.join(maps, same, "left").select(*names.values(), "drops"), names
+    # texts move once at every size; bitmaps, a bit a line at most, are the side that is held
+    return keyed.join(maps.hint("shuffle_hash"), same, "left").select(*names.values(), "drops"), names
 
 
 def line_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", column: str = "drops", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most: int = MOST) -> DataFrame:
