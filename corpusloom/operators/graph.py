@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.corpus import Corpus
+from corpusloom.operators.ranks import numbered as placed
 from corpusloom.operators.tables import written
+from corpusloom.operators.walk import REASONS, walk
 
 LOCAL_EDGES = 400_000
 #: Rounds of a loop after which what it gathered is written as one table.
 REWRITE = 8
-REASONS = {"seed": 3, "required": 2, "recommended": 1}
 
 
 def edges(corpus: Corpus) -> DataFrame:
@@ -329,16 +330,18 @@ def seeds(corpus: Corpus, names: list[str], hits: DataFrame | None) -> list[str]
     return list(dict.fromkeys([*first, *more]))
 
 
-def compose(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], full: bool) -> tuple[DataFrame, DataFrame]:
+def compose(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], full: bool, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame]:
     """Entries (name, reason, depth, via) of everything that seeds lead to, and the
     missing relations (name, relation, via, depth).
 
     Required relations alone: levels of a breadth-first walk. With recommendations
-    the outcome depends on the order of the walk, so the edges that seeds reach are
-    walked in order in one task (memory: those edges)."""
+    the outcome depends on the order of the walk, see :mod:`corpusloom.operators.walk`."""
     spark = corpus.spark
-    used = edge_rows if full else edge_rows.where("relation = 'requires'")
-    near = reach(arcs(used), seed_names)
+    if full:
+        entries, missing = walk(edge_rows, seed_names)
+        return written(entries, "walked"), missing
+    used = edge_rows.where("relation = 'requires'")
+    near = reach(arcs(used), seed_names, local_edges=local_edges)
     mine = used.join(near.select(F.col("name").alias("from_name")), "from_name", "left_semi")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -351,7 +354,7 @@ def compose(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], full: b
         return pd.DataFrame([*kept, *((v, r, d, None, t) for r, t, v, d in missing)], columns=["name", "reason", "depth", "via", "target"])
 
     schema = "name string, reason string, depth int, via string, target string"
-    if full or _fits(mine, LOCAL_EDGES):
+    if _fits(mine, local_edges):
         walked = mine.groupBy().applyInPandas(run, schema)
         alone = spark.createDataFrame([(s, "seed", 0, None, None) for s in seed_names], schema)
         walked = walked.unionByName(alone).distinct()
@@ -454,5 +457,5 @@ def edge_order() -> list[Column]:
 
 
 def numbered(rows: DataFrame, order: list[Column], number: str = "place") -> DataFrame:
-    """``rows`` of one request with their place in an order (from 1)."""
-    return rows.withColumn(number, F.row_number().over(Window.orderBy(*order)))
+    """``rows`` with their place in an order (from 1), however many they are."""
+    return placed(rows, order, column=number, name="places")

@@ -108,6 +108,25 @@ ap(root, l) AS (SELECT DISTINCT root, 0 FROM rt UNION SELECT v, l + 1 FROM ap JO
 entries AS (SELECT comp0.*, r.l AS read_layer, a.l AS apply_layer FROM comp0 JOIN rt USING (name) JOIN (SELECT root, max(l) AS l FROM rl GROUP BY root) r USING (root) JOIN (SELECT root, max(l) AS l FROM ap GROUP BY root) a USING (root))"""
 
 
+#: turns: a queue of documents whose labels got better; a label is (s: strength, depth, via).
+WALK = """
+offered AS (SELECT from_name, to_name, CASE relation WHEN 'requires' THEN 2 ELSE 1 END AS s FROM e WHERE resolved QUALIFY row_number() OVER (PARTITION BY from_name, to_name ORDER BY relation DESC) = 1),
+first(name, num) AS (VALUES {seeds}),
+turns(kind, id, num, name, s, depth, via) USING KEY (kind, id) AS (
+  SELECT kind, CASE kind WHEN 'q' THEN CAST(num AS VARCHAR) ELSE name END, CAST(num AS BIGINT), name, 3, 0, CAST(NULL AS VARCHAR) FROM first, (VALUES ('q'), ('b')) AS k(kind)
+  UNION ALL SELECT 'c', '', 0, '', 0, {last}, NULL
+  UNION
+  (WITH cur AS (SELECT num AS head, depth AS tail FROM recurring.turns WHERE kind = 'c'),
+   item AS (SELECT q.* FROM recurring.turns AS q, cur WHERE q.kind = 'q' AND q.num = head),
+   live AS (SELECT item.* FROM item JOIN recurring.turns AS b ON b.kind = 'b' AND b.name = item.name AND b.s = item.s AND b.depth = item.depth AND b.via IS NOT DISTINCT FROM item.via),
+   accepted AS (SELECT o.to_name, o.s, live.depth + 1 AS depth, live.name AS via, row_number() OVER (ORDER BY o.s DESC) AS nth FROM live JOIN offered AS o ON o.from_name = live.name
+     LEFT JOIN recurring.turns AS b ON b.kind = 'b' AND b.name = o.to_name
+     WHERE b.name IS NULL OR o.s > b.s OR o.s = b.s AND (live.depth + 1 < b.depth OR live.depth + 1 = b.depth AND live.name < b.via))
+   SELECT 'b', to_name, 0, to_name, s, depth, via FROM accepted
+   UNION ALL SELECT 'q', CAST(tail + nth AS VARCHAR), tail + nth, to_name, s, depth, via FROM accepted, cur
+   UNION ALL SELECT 'c', '', head + 1, '', 0, tail + (SELECT count(*) FROM accepted), NULL FROM cur WHERE head <= tail))"""
+
+
 def route_sql(limit: int) -> str:
     """After tiers and entries: steps, phases."""
     return f"""

@@ -215,7 +215,7 @@ def compose_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compose_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A06 with recommendations: the order of the walk matters (no SQL)."""
+    """A06 with recommendations, where the order of the walk matters."""
     return G.compose(_corpus(spark, sf_dir), _edges(spark, sf_dir), ["doc-81", "doc-99"], True)[0]
 
 
@@ -748,6 +748,8 @@ def oracle_sql() -> dict[str, str]:
         "cycle_list": q(*base, rec, closure, comp, select="SELECT root, count(*) AS n, string_agg(name, ',' ORDER BY name) AS members FROM comp GROUP BY root HAVING count(*) > 1 OR root IN (SELECT u FROM arcs WHERE u = v)", recursive=True),
         "read_layers": q(*base, req, "lv(name, l) AS (SELECT name, 0 FROM d UNION SELECT u, l + 1 FROM lv JOIN arcs ON v = name WHERE l < 60), ap(name, l) AS (SELECT name, 0 FROM d UNION SELECT v, l + 1 FROM ap JOIN arcs ON u = name WHERE l < 60)", select="SELECT name, max(lv.l) AS read_layer, max(ap.l) AS apply_layer FROM lv JOIN ap USING (name) GROUP BY name", recursive=True),
         "orphans": q(*base, select="SELECT name FROM d WHERE name NOT IN (SELECT from_name FROM e WHERE relation = 'requires') AND name NOT IN (SELECT to_name FROM e WHERE relation = 'requires' AND resolved)"),
+        # one turn of the queue at a time: rows of kind q are the queue, b the labels, c how far it is
+        "compose_full": q(*base, O.WALK.format(seeds="('doc-81', 0), ('doc-99', 1)", last=1), select="SELECT name, ['recommended', 'required', 'seed'][s] AS reason, CAST(depth AS INTEGER) AS depth, via FROM turns WHERE kind = 'b'", recursive=True),
         "compose_required": q(*base, req, walk.format(seeds="('doc-81', 0), ('doc-99', 0)"), "m AS (SELECT name, min(depth) AS depth FROM w GROUP BY name)", select="SELECT m.name, CASE WHEN m.depth = 0 THEN 'seed' ELSE 'required' END AS reason, m.depth, min(p.name) AS via FROM m LEFT JOIN arcs ON arcs.v = m.name AND m.depth > 0 LEFT JOIN m p ON p.name = arcs.u AND p.depth = m.depth - 1 GROUP BY m.name, m.depth", recursive=True),
         "graph_slice": q(*base, req, walk.format(seeds="('doc-81', 0), ('doc-99', 0)"), select="SELECT * FROM e WHERE relation = 'requires' AND from_name IN (SELECT name FROM w) AND (to_name IS NULL OR to_name IN (SELECT name FROM w))", recursive=True),
         "metrics_category": "SELECT lang AS category, count(*) AS count FROM documents GROUP BY lang",
