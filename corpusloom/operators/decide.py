@@ -9,8 +9,11 @@ from corpusloom.functions import text as X
 from corpusloom.operators import search as S
 from corpusloom.operators.corpus import Corpus
 from corpusloom.operators.index import Index
+from corpusloom.operators.ranks import numbered
 from corpusloom.operators.tables import written
 
+#: Decisions of more candidates are numbered by ranges instead of as the end of a top-k.
+TOP = 10_000
 SHOWN = ("path", "title", "category", "scope", "aliases")
 
 
@@ -34,7 +37,7 @@ def _sorted_names(names: str) -> Column:
     return F.array_sort(F.collect_set(names))
 
 
-def decide(corpus: Corpus, pool: DataFrame, limit: int) -> DataFrame:
+def decide(corpus: Corpus, pool: DataFrame, limit: int, top: int = TOP) -> DataFrame:
     """Candidates by weight: rank, name, score, query_score, query_coverage, explicit,
     peer_required_by, peer_recommended_by, required_peers, unresolved_requires,
     reasons, preview. The first is the winner."""
@@ -63,9 +66,9 @@ def decide(corpus: Corpus, pool: DataFrame, limit: int) -> DataFrame:
         joined("unresolved requires: ", "unresolved_requires"),
     )
     order = [F.col("score").desc(), F.coalesce("query_score", F.lit(0.0)).desc(), F.size("peer_required_by").desc(), X.locale_order(F.col("name"))]
-    top = found.orderBy(*order).limit(limit)
-    top = top.select("name", X.read_path(F.col("name")).alias("read_path"), *SHOWN, "score", "query_score", "query_coverage", "explicit", *lists, F.array_compact(reasons).alias("reasons"), X.preview(F.col("body_text"), corpus.settings.preview_chars).alias("preview"))
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    ranked = found.orderBy(*order).limit(limit) if limit <= top else numbered(found, order, column="rank", name="decision").where(F.col("rank") <= limit)
+    few = ranked.select("name", X.read_path(F.col("name")).alias("read_path"), *SHOWN, "score", "query_score", "query_coverage", "explicit", *lists, F.array_compact(reasons).alias("reasons"), X.preview(F.col("body_text"), corpus.settings.preview_chars).alias("preview"), *([] if limit <= top else [F.col("rank").cast("int").alias("rank")]))
+    return few.withColumn("rank", F.row_number().over(Window.orderBy(*order))) if limit <= top else few
 
 
 def decide_width(corpus: Corpus, n_docs: int, limit: int) -> int:

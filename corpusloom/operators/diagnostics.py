@@ -9,6 +9,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import graph as G
 from corpusloom.operators.corpus import Corpus
 from corpusloom.operators.index import Index
+from corpusloom.operators.tables import written
 
 
 def _text(*parts: str) -> Column:
@@ -42,7 +43,7 @@ def counts(issues: DataFrame) -> DataFrame:
 
 
 def audit(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], limit: int) -> dict[str, DataFrame]:
-    """Issues in order (validation, cycles, orphans), counts, and the most linked documents."""
+    """Issues with their place (validation, cycles, orphans), counts, and the most linked documents."""
     limit = max(1, min(limit, 20))
     names = F.array(*[F.lit(s) for s in seed_names]).cast("array<string>")
     everyone = corpus.documents.select(F.col("canonical_name").alias("name"), "path")
@@ -55,7 +56,8 @@ def audit(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], limit: in
     issues = issues.unionByName(first.select(F.lit("warning").alias("severity"), F.lit("cycle").alias("kind"), F.concat(F.lit("Relation cycle detected: "), F.array_join(F.concat("members", F.array("name")), " -> ")).alias("message"), F.col("name").alias("skill_name"), "path", F.lit(None).cast("string").alias("source_kind"), F.col("members").alias("related_skills")))
     issues = issues.unionByName(alone.join(everyone, "name").select(F.lit("info").alias("severity"), F.lit("orphan").alias("kind"), _text("Orphan skill '", "{name}", "' has no inbound or outbound relations.").alias("message"), F.col("name").alias("skill_name"), "path", F.lit(None).cast("string").alias("source_kind"), F.array("name").alias("related_skills")))
     weight = F.when(F.col("severity") == "error", 3).when(F.col("severity") == "warning", 2).otherwise(1)
-    ordered = issues.orderBy(weight.desc(), X.locale_order(F.col("kind")), X.locale_order(F.coalesce("skill_name", F.lit(""))), X.locale_order(F.col("message")))
+    issues = written(issues, "issues")
+    ordered = G.numbered(issues, [weight.desc(), X.locale_order(F.col("kind")), X.locale_order(F.coalesce("skill_name", F.lit(""))), X.locale_order(F.col("message"))])
     one = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("severity") == "info").alias("info"), F.count_if(F.col("kind") == "cycle").alias("cycles"), F.count_if(F.col("kind") == "orphan").alias("orphans"), F.count_if(F.coalesce("source_kind", F.lit("")).startswith("broken-")).alias("unresolved_relations"))
     one = one.withColumn("ok", (F.col("errors") == 0) & (F.col("cycles") == 0))
     degree = G.degrees(corpus, edge_rows)

@@ -105,11 +105,14 @@ def compact_unknown_reads(results: DataFrame) -> DataFrame:
 
 
 def rewrite_payload_json(column: Column) -> Column:
-    """:func:`rewrite_payload` over JSON texts (null where nothing changes)."""
+    """:func:`rewrite_payload` over JSON texts (null where nothing changes or the text is no JSON)."""
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> str | None:
-            new = rewrite_payload(json.loads(t)) if t else None
+            try:
+                new = rewrite_payload(json.loads(t)) if t else None
+            except (ValueError, RecursionError):
+                return None
             return None if new is None else json.dumps(new, ensure_ascii=False)
 
         return texts.map(one)

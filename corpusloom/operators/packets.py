@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.corpus import Corpus
-from corpusloom.operators.search import budget_fold, effective_chars
+from corpusloom.operators.budget import budget_fold
+from corpusloom.operators.search import effective_chars
 
 # The words of packets.
 APPLY_HINT = "Increase budgetChars/budgetTokens or inspect omittedReadPaths before apply."
@@ -17,8 +18,8 @@ NO_TURN = "No active turn is available."
 
 
 def pack(corpus: Corpus, entries: DataFrame, chars: int, tokens: int, include_body: bool = True) -> DataFrame:
-    """Projected entries with bodies within the budget: stronger reasons first, then
-    read layer, depth, name."""
+    """Projected entries with their place and bodies within the budget: stronger reasons
+    first, then read layer, depth, name."""
     d = corpus.documents.select(F.col("canonical_name").alias("name"), "path", "title", "category", "scope", "aliases", "requires", "recommends", "body_text")
     rows = entries.join(d, "name")
     strength = F.when(F.col("reason") == "seed", -3).when(F.col("reason") == "required", -2).otherwise(-1)
@@ -26,7 +27,7 @@ def pack(corpus: Corpus, entries: DataFrame, chars: int, tokens: int, include_bo
     fold = budget_fold(rows, order, "body_text", effective_chars(chars, tokens))
     rows = rows.join(fold, "name", "left")
     body = F.when(F.lit(include_body) & F.col("included"), F.col("body_text"))
-    return rows.select("name", "path", "title", "category", "scope", "aliases", "requires", "recommends", "reason", "via", "depth", "read_layer", "apply_layer", X.preview(F.col("body_text"), corpus.settings.preview_chars).alias("preview"), body.alias("body"), X.read_path(F.col("name")).alias("read_path"), (F.lit(include_body) & F.coalesce(~F.col("included"), F.lit(False))).alias("omitted_by_budget"))
+    return rows.select("place", "name", "path", "title", "category", "scope", "aliases", "requires", "recommends", "reason", "via", "depth", "read_layer", "apply_layer", X.preview(F.col("body_text"), corpus.settings.preview_chars).alias("preview"), body.alias("body"), X.read_path(F.col("name")).alias("read_path"), (F.lit(include_body) & F.coalesce(~F.col("included"), F.lit(False))).alias("omitted_by_budget"))
 
 
 def brief(phases: DataFrame, packed: DataFrame) -> DataFrame:

@@ -257,12 +257,10 @@ def effective_chars(chars: int, tokens: int) -> int:
     return min(chars, tokens * 4) if chars > 0 and tokens > 0 else max(chars, tokens * 4)
 
 
-def budget_fold(entries: DataFrame, order: list[Column], body: str, budget: int) -> DataFrame:
-    """name, included: bodies in order while they fit; one that doesn't is skipped and
-    the fold goes on. Empty bodies count neither way (null).
-
-    The fold needs order, so names and lengths (not bodies) of the entries of one
-    request are one array."""
+def fold_named(entries: DataFrame, order: list[Column], body: str, budget: int) -> DataFrame:
+    """name, included for the documents that a request names, see
+    :mod:`corpusloom.operators.budget`: they are no more than its names, so their names
+    and lengths are one array and take no pass."""
     size = F.char_length(F.coalesce(F.col(body), F.lit("")))
     rows = entries.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("name").alias("name"), size.alias("n")).alias("e"))
     line = rows.agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.struct(e["name"].alias("name"), e["n"].cast("long").alias("n"))).alias("line"))
@@ -282,7 +280,7 @@ def resolve(corpus: Corpus, index: Index | None, names: list[str], include_body:
     found = named(corpus, names)
     budget = effective_chars(chars, tokens)
     hit = found.where("canonical_name is not null").withColumn("name", F.col("canonical_name"))
-    fold = budget_fold(hit, [F.col("pos")], "body_text", budget)
+    fold = fold_named(hit, [F.col("pos")], "body_text", budget)
     rows = hit.join(fold, "name", "left")
     body = F.when(F.lit(include_body) & F.col("included"), F.col("body_text"))
     resolved = rows.select("pos", "name", X.read_path(F.col("name")).alias("read_path"), "path", "title", "category", "scope", "aliases", "requires", "recommends", X.preview(F.col("body_text"), corpus.settings.preview_chars).alias("preview"), body.alias("body"), (F.lit(include_body) & F.coalesce(~F.col("included"), F.lit(False))).alias("omitted_by_budget"))

@@ -5,8 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Called by :func:`clear`: what keeps frames that stand on written tables forgets them.
+FORGET: list[Callable[[], None]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset
@@ -31,5 +36,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def clear(spark: SparkSession) -> None:
     """Delete what this application has written with :func:`written`. For the end of a
     job: frames that stand on it can't be read any more."""
+    for forget in FORGET:
+        forget()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def identity(spark: SparkSession, *paths: str) -> tuple:
+    """What tells whether the files below paths have changed: number, bytes, latest time."""
+    conf, found = spark._jsparkSession.sessionState().newHadoopConf(), []
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        held = path.getFileSystem(conf).listStatus(path)
+        found.append((len(held), sum(f.getLen() for f in held), max((f.getModificationTime() for f in held), default=0)))
+    return tuple(found)

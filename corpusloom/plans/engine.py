@@ -31,8 +31,12 @@ class Result:
     error: str | None = None
 
     def text(self) -> str:
-        """What the action found, as text (see :mod:`corpusloom.plans.render`)."""
-        return render.text_of(self.kind, self.frames, self.facts, self.error)
+        """What the action found, as text (see :mod:`corpusloom.plans.render`); frames are
+        lazy, so what fails on the way is told here as it is by the action."""
+        try:
+            return render.text_of(self.kind, self.frames, self.facts, self.error)
+        except Exception as e:
+            return render.text_of(self.kind, {}, {}, f"{self.kind} failed: {e}")
 
 
 class Engine:
@@ -129,7 +133,7 @@ class Engine:
     def _index(self, r: Request, corpus: Corpus, key: tuple) -> Result:
         d = corpus.documents
         n, parsed = d.count(), corpus.duplicates.count()
-        top = d.orderBy("ordinal").limit(r.limit).select("ordinal", "canonical_name", "path", "title", "category", "scope", "source_root")
+        top = d.orderBy("ordinal", "path").limit(r.limit).select("ordinal", "canonical_name", "path", "title", "category", "scope", "source_root")
         stats = {"documents": n, "parsed": n + parsed, "deduplicated": parsed, "parse_errors": corpus.malformed.count(), "name_filter": "targeted" if r.corpus_names(corpus.settings) else "full", "missing_from_requested": self._missing(r, corpus), "requested_names": r.names}
         return Result("index", {"documents": top, "scopes": diagnostics.metrics(corpus)["by_scope"], "duplicates": corpus.duplicates, "malformed": corpus.malformed}, stats)
 

@@ -188,4 +188,6 @@ t3 AS (SELECT *, [{{'kind': 'markdown', 'path': 'packets/' || base_name || '.md'
     {{'kind': 'commands', 'path': 'packets/' || base_name || '.commands.txt', 'media': 'text/plain', 'content': coalesce(nullif(command_block, ''), '-')}}] AS files, 'packets/' || base_name || '.write.py' AS script_path FROM t2),
 t4 AS (SELECT *, 'python ' || script_path AS run_command, {_NUMBERED("list_transform(files, lambda f: 'write ' || f.path || ' (' || f.kind || ')')")} AS apply_text FROM t3),
 t5 AS (SELECT *, '1. Write script file: ' || script_path || chr(10) || '2. Run command: ' || run_command || chr(10) || '3. Expect ' || len(files) || ' file write operations.' AS execution_text,
-  'Run:' || chr(10) || run_command || chr(10) || chr(10) || 'Verify:' || chr(10) || {_NUMBERED("exit_criteria")} AS verification_text FROM t4)"""
+  'Run:' || chr(10) || run_command || chr(10) || chr(10) || 'Verify:' || chr(10) || {_NUMBERED("exit_criteria")} AS verification_text,
+  'import json' || chr(10) || 'from pathlib import Path' || chr(10) || chr(10) || 'WRITES = json.loads(' || to_json([CAST(to_json(list_transform(files, lambda f: {{'kind': 'write', 'sourceKind': f.kind, 'path': f.path, 'mediaType': f.media, 'content': f.content}})) AS VARCHAR)]) || '[0])' || chr(10) || chr(10)
+  || 'for write in WRITES:' || chr(10) || '    path = Path(write["path"])' || chr(10) || '    path.parent.mkdir(parents=True, exist_ok=True)' || chr(10) || '    path.write_text(write["content"])' || chr(10) || '    print("wrote", path, "(" + write["sourceKind"] + ")")' AS script_content FROM t4)"""

@@ -15,7 +15,7 @@ from corpusloom.operators import graph as G
 from corpusloom.operators import index as I
 from corpusloom.operators import search as S
 from corpusloom.operators.corpus import Corpus, classify_scopes, dedupe, scope_table
-from corpusloom.operators.tables import written
+from corpusloom.operators.tables import FORGET, identity, written
 from corpusloom.plans import oracle as O
 from corpusloom.plans.engine import Engine
 from corpusloom.session import ship
@@ -30,19 +30,25 @@ NAMES, LIMIT = ["doc-27", "alias-3", "doc-9", "doc-81", "nobody"], 20
 TERMS = [(0, "attion", 1.0), (1, "ating", 1.0), (2, "bleing", 1.0)]
 SEARCH = "attion ating bleing"
 LEAST = 4.0
-_READY: dict[tuple[str, str], tuple[Corpus, DataFrame]] = {}
-_INDEXES: dict[tuple[str, str], I.Index] = {}
-_BUNDLES: dict[tuple[str, str], packets.Bundle] = {}
+_READY: dict[tuple, tuple[Corpus, DataFrame]] = {}
+_INDEXES: dict[tuple, I.Index] = {}
+_BUNDLES: dict[tuple, packets.Bundle] = {}
+FORGET.extend(x.clear for x in (_READY, _INDEXES, _BUNDLES))
 
 
 def _lazy(spark: SparkSession, sf_dir: str) -> Corpus:
     return corpus(ship(spark), sf_dir)
 
 
+def _key(spark: SparkSession, sf_dir: str) -> tuple:
+    """What the corpus is made of: the application, the folder and its files as they are."""
+    return spark.sparkContext.applicationId, sf_dir, identity(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet")
+
+
 def _ready(spark: SparkSession, sf_dir: str) -> tuple[Corpus, DataFrame]:
     """The corpus and its edges, written once for an application and folder, as an
-    engine keeps them for all its requests."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    engine keeps them for all its requests, and anew where its files have changed."""
+    key = _key(spark, sf_dir)
     if key not in _READY:
         _READY.clear()
         _INDEXES.clear()
@@ -62,7 +68,7 @@ def _edges(spark: SparkSession, sf_dir: str, relation: str | None = None) -> Dat
 
 def _indexed(spark: SparkSession, sf_dir: str) -> tuple[Corpus, I.Index]:
     """The corpus with its written index, built once for an application and folder."""
-    key, c = (spark.sparkContext.applicationId, sf_dir), _corpus(spark, sf_dir)
+    key, c = _key(spark, sf_dir), _corpus(spark, sf_dir)
     if key not in _INDEXES:
         _INDEXES[key] = I.build_index(c.documents)
     return c, _INDEXES[key]
@@ -231,7 +237,7 @@ def validate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues, cycles and orphans."""
-    return diagnostics.audit(_corpus(spark, sf_dir), _edges(spark, sf_dir), [], 10)["issues"].select("severity", "kind", "message", "skill_name", "source_kind", F.array_join("related_skills", ",").alias("related"))
+    return diagnostics.audit(_corpus(spark, sf_dir), _edges(spark, sf_dir), [], 10)["issues"].select("place", "severity", "kind", "message", "skill_name", "source_kind", F.array_join("related_skills", ",").alias("related"))
 
 
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +319,7 @@ def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13, J08, D07."""
     _, _, pool = _pool(spark, sf_dir)
     pairs = D.compare(pool, 8)[1]
-    return pairs.select("left_name", "right_name", "same_category", F.array_join("shared_aliases", ",").alias("shared_aliases"), F.array_join("shared_matched_terms", ",").alias("shared_terms"), "left_to_right", "right_to_left", "score_delta")
+    return pairs.select("left_name", "right_name", "same_category", F.array_join("shared_aliases", ",").alias("shared_aliases"), F.array_join("shared_matched_terms", ",").alias("shared_terms"), F.array_join("left_only_matched_terms", ",").alias("left_only_terms"), F.array_join("right_only_matched_terms", ",").alias("right_only_terms"), "left_to_right", "right_to_left", "score_delta")
 
 
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +355,7 @@ def _flat(rows: DataFrame) -> DataFrame:
 def _bundle(spark: SparkSession, sf_dir: str) -> packets.Bundle:
     """What packets stand on, computed once for an application and folder, as an engine
     does for all packets of a request."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _key(spark, sf_dir)
     if key not in _BUNDLES:
         _BUNDLES.clear()
         _BUNDLES[key] = _bundled(spark, sf_dir, 4000)
@@ -370,7 +376,7 @@ def pack_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies within 4000 characters, by a fold that skips."""
     c = _corpus(spark, sf_dir)
     entries = G.project(c, _edges(spark, sf_dir), ["doc-81", "doc-99", "doc-14", "doc-34"], False)["entries"]
-    return packets.pack(c, entries, 4000, 1000).select("name", "reason", "depth", F.coalesce(F.char_length("body"), F.lit(-1)).alias("body_chars"), "omitted_by_budget")
+    return packets.pack(c, entries, 4000, 1000).select("place", "name", "reason", "depth", F.coalesce(F.char_length("body"), F.lit(-1)).alias("body_chars"), "omitted_by_budget")
 
 
 def brief(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,7 +436,7 @@ def apply_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def execution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The script's place, how it is run, and what to expect (its content is
     Python with the writes as JSON; tests run it)."""
-    return _texts(spark, sf_dir).select("script_path", "run_command", "execution_text")
+    return _texts(spark, sf_dir).select("script_content", "script_path", "run_command", "execution_text")
 
 
 def select_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -662,6 +668,7 @@ def oracle_sql() -> dict[str, str]:
     pairs = """few AS (SELECT p.*, d.category, alias, requires, recommends, row_number() OVER (ORDER BY pos) AS nth FROM pool p JOIN d USING (name) QUALIFY nth <= 8)"""
     rel = lambda a, b: f"CASE WHEN list_has_any({a}.requires, [{b}.name, {b}.alias]) THEN 'requires' WHEN list_has_any([{a}.recommends], [{b}.name, {b}.alias]) THEN 'recommends' END"
     shared = lambda x: f"array_to_string(list_sort(list_intersect(coalesce(l.{x}, []), coalesce(r.{x}, []))), ',')"
+    only = lambda a, b: f"array_to_string(list_sort(list_filter(coalesce({a}.terms, []), lambda x: NOT list_contains(coalesce({b}.terms, []), x))), ',')"
     signals = f"""sg AS (SELECT DISTINCT * FROM (
       SELECT to_name AS name, 'out' AS kind, from_name AS via, relation FROM e WHERE resolved AND from_name IN ('doc-27', 'doc-9')
       UNION ALL SELECT from_name, 'in', to_name, relation FROM e WHERE resolved AND to_name IN ('doc-27', 'doc-9')
@@ -690,7 +697,7 @@ def oracle_sql() -> dict[str, str]:
         "index_stats": q(c, s, a, f"asked(n) AS (VALUES {', '.join(f"('{n}')" for n in sorted(NAMES))})", select="SELECT (SELECT count(*) FROM d WHERE name IN (SELECT n FROM asked) OR alias IN (SELECT n FROM asked)) AS documents, (SELECT count(*) FROM d WHERE name IN (SELECT n FROM asked) OR alias IN (SELECT n FROM asked)) AS parsed, 'targeted' AS name_filter, (SELECT string_agg(n, ',' ORDER BY n) FROM asked WHERE n NOT IN (SELECT alias FROM al)) AS missing"),
         "validate_issues": q(*base, conflicts, valid, select="SELECT * FROM vi"),
         "issue_counts": q(*base, conflicts, valid, select="SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity <> 'error') AS warnings, count(*) FILTER (severity = 'error') = 0 AS ok FROM vi"),
-        "audit_issues": q(*base, conflicts, valid, around, comp, audited, select="SELECT * FROM au", recursive=True),
+        "audit_issues": q(*base, conflicts, valid, around, comp, audited, select="SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END DESC, kind, coalesce(skill_name, ''), message) AS place FROM au", recursive=True),
         "audit_counts": q(*base, conflicts, valid, around, comp, audited, select="SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (kind = 'cycle') AS cycles, count(*) FILTER (kind = 'orphan') AS orphans, count(*) FILTER (starts_with(coalesce(source_kind, ''), 'broken-')) AS unresolved_relations, count(*) FILTER (severity = 'error' OR kind = 'cycle') = 0 AS ok FROM au", recursive=True),
         "degree_top_outbound": q(*base, degrees, select="SELECT * FROM dg WHERE outbound > 0 ORDER BY outbound DESC, inbound DESC, name LIMIT 10"),
         "decide_reasons": q(*full, select=f"""SELECT rank, name, array_to_string(list_filter([CASE WHEN q3 IS NOT NULL THEN printf('query score %.3f coverage %d', q3, CAST(coalesce(qc, 0) AS INTEGER)) END, CASE WHEN explicit THEN 'explicit names input' END,
@@ -703,11 +710,11 @@ def oracle_sql() -> dict[str, str]:
         "missing_places": q(*base, req, walk.format(seeds=steps(["doc-891", "doc-99", "doc-66"])), "m AS (SELECT w.name, min(depth) AS depth FROM w JOIN d USING (name) GROUP BY w.name)", select="SELECT row_number() OVER (ORDER BY m.depth + 1, from_name, target) AS place, 'required' AS relation, target AS name, from_name AS via, m.depth + 1 AS depth FROM m JOIN e ON from_name = m.name WHERE NOT resolved AND relation = 'requires'", recursive=True),
         "graph_nodes": q(*base, "arcs AS (SELECT DISTINCT to_name AS u, from_name AS v FROM e WHERE resolved AND relation = 'requires')", walk.format(seeds="('doc-3', 0)"), "nd AS (SELECT DISTINCT name FROM w), sl AS (SELECT u, v FROM arcs WHERE u IN (SELECT name FROM nd) AND v IN (SELECT name FROM nd)), lv(name, l) AS (SELECT name, 0 FROM nd UNION SELECT v, l + 1 FROM lv JOIN sl ON u = name WHERE l < 60), ap(name, l) AS (SELECT name, 0 FROM nd UNION SELECT u, l + 1 FROM ap JOIN sl ON v = name WHERE l < 60), r AS (SELECT name, max(l) AS l FROM lv GROUP BY name), k AS (SELECT name, max(l) AS l FROM ap GROUP BY name)", select="SELECT name, category, r.l AS read_layer, CAST(row_number() OVER (PARTITION BY r.l ORDER BY name) - 1 AS INTEGER) AS read_pos, k.l AS apply_layer, CAST(row_number() OVER (PARTITION BY k.l ORDER BY name) - 1 AS INTEGER) AS apply_pos FROM r JOIN k USING (name) JOIN d USING (name)", recursive=True),
         "orphan_slice": q(*base, select="SELECT name FROM d WHERE ordinal BETWEEN 100 AND 399 AND name NOT IN (SELECT from_name FROM e WHERE relation = 'requires') AND name NOT IN (SELECT to_name FROM e WHERE relation = 'requires' AND resolved)"),
-        "compare": q(*full, pairs, select=f"SELECT l.name AS left_name, r.name AS right_name, l.category IS NOT DISTINCT FROM r.category AS same_category, CASE WHEN l.alias = r.alias THEN l.alias ELSE '' END AS shared_aliases, {shared('terms')} AS shared_terms, {rel('l', 'r')} AS left_to_right, {rel('r', 'l')} AS right_to_left, CASE WHEN l.qs IS NOT NULL OR r.qs IS NOT NULL THEN round(coalesce(l.qs, 0) - coalesce(r.qs, 0), 3) END AS score_delta FROM few l JOIN few r ON l.pos < r.pos"),
+        "compare": q(*full, pairs, select=f"SELECT l.name AS left_name, r.name AS right_name, l.category IS NOT DISTINCT FROM r.category AS same_category, CASE WHEN l.alias = r.alias THEN l.alias ELSE '' END AS shared_aliases, {shared('terms')} AS shared_terms, {only('l', 'r')} AS left_only_terms, {only('r', 'l')} AS right_only_terms, {rel('l', 'r')} AS left_to_right, {rel('r', 'l')} AS right_to_left, CASE WHEN l.qs IS NOT NULL OR r.qs IS NOT NULL THEN round(coalesce(l.qs, 0) - coalesce(r.qs, 0), 3) END AS score_delta FROM few l JOIN few r ON l.pos < r.pos"),
         "recommend": q(*base, p, O.search_sql(TERMS, 4 * LIMIT), signals, select=f"SELECT row_number() OVER (ORDER BY score DESC, n_out DESC, coalesce(q3, 0) DESC, name) AS rank, name, score, CAST(n_out AS INTEGER) AS n_out, CAST(n_in AS INTEGER) AS n_in FROM rc WHERE name NOT IN ('doc-27', 'doc-9') QUALIFY rank <= {LIMIT}"),
         "explain": q(*full[:-2], "pool AS (SELECT unnest(['doc-81', 'doc-99']) AS name)", O.PROJECT, select="SELECT entries.name, reason, via, depth, read_layer, apply_layer, coalesce(coverage, 0) AS coverage, round(score, 6) AS score, coalesce(array_to_string(terms, ','), '') AS terms FROM entries LEFT JOIN h USING (name)", recursive=True),
         "route": q(*full, tiers, O.PROJECT, O.route_sql(LIMIT), select="""SELECT "order", kind, coalesce(layer, -1) AS layer, array_to_string(names, ',') AS names, rationale FROM phases""", recursive=True),
-        "pack_budget": q(*base, "pool AS (SELECT unnest(['doc-81', 'doc-99', 'doc-14', 'doc-34']) AS name)", O.PROJECT, O.pack_sql(4000), select="SELECT name, reason, depth, coalesce(CAST(length(included) AS INTEGER), -1) AS body_chars, omitted AS omitted_by_budget FROM packed", recursive=True),
+        "pack_budget": q(*base, "pool AS (SELECT unnest(['doc-81', 'doc-99', 'doc-14', 'doc-34']) AS name)", O.PROJECT, O.pack_sql(4000), select="SELECT k AS place, name, reason, depth, coalesce(CAST(length(included) AS INTEGER), -1) AS body_chars, omitted AS omitted_by_budget FROM packed", recursive=True),
         "brief": q(*bundle, select="SELECT phase_order, pos, phase_kind, name, omitted AS omitted_by_budget FROM be", recursive=True),
         "handoff": q(*bundle, select="""SELECT winner, ready, path AS source_path, category AS source_category, scope AS source_scope, 'read("' || path || '")' AS next_command, CASE WHEN NOT ready THEN 'Increase budgetChars/budgetTokens or inspect omittedReadPaths before apply.' END AS apply_hint FROM head LEFT JOIN be ON be.name = winner""", recursive=True),
         "session_steps": q(*bundle, select="""SELECT row_number() OVER (ORDER BY phase_order, pos) AS "order", name, path AS source_path, scope AS source_scope, category AS source_category, 'read("' || path || '")' AS next_command, phase_kind, coalesce(layer, -1) AS layer, omitted AS omitted_by_budget FROM be""", recursive=True),
@@ -718,7 +725,7 @@ def oracle_sql() -> dict[str, str]:
         "packet_texts": q(*bundle, O.TEXTS, select=f"SELECT {of_turn}, instruction_text, summary_text, markdown, checklist_text, command_block, verification_text FROM t5", recursive=True),
         "file_ready": q(*bundle, O.TEXTS, select="SELECT base_name, f.kind, f.path, f.media AS \"mediaType\", f.content FROM (SELECT base_name, unnest(files) AS f FROM t5)", recursive=True),
         "apply_writes": q(*bundle, O.TEXTS, select="SELECT apply_text, 'write' AS kind, f.kind AS \"sourceKind\", f.path, f.media AS \"mediaType\", f.content FROM (SELECT apply_text, unnest(files) AS f FROM t5)", recursive=True),
-        "execution": q(*bundle, O.TEXTS, select="SELECT script_path, run_command, execution_text FROM t5", recursive=True),
+        "execution": q(*bundle, O.TEXTS, select="SELECT script_content, script_path, run_command, execution_text FROM t5", recursive=True),
         "purchase_components": "WITH RECURSIVE ln AS (SELECT l_orderkey AS o, l_linenumber AS n, 'part-' || l_partkey AS p FROM lineitem), arcs AS (SELECT DISTINCT a.p AS u, b.p AS v FROM ln a JOIN ln b ON a.o = b.o AND b.n = a.n + 1), nd AS (SELECT u AS name FROM arcs UNION SELECT v FROM arcs), start AS (SELECT min(name) AS s FROM nd), fw(name) AS (SELECT s FROM start UNION SELECT v FROM fw JOIN arcs ON u = name), bk(name) AS (SELECT s FROM start UNION SELECT u FROM bk JOIN arcs ON v = name), core AS (SELECT name FROM fw INTERSECT SELECT name FROM bk), ra AS (SELECT u, v FROM arcs WHERE u NOT IN (SELECT name FROM core) AND v NOT IN (SELECT name FROM core)), rc(u, v) AS (SELECT u, v FROM ra UNION SELECT rc.u, ra.v FROM rc JOIN ra ON rc.v = ra.u), rr AS (SELECT nd.name, least(nd.name, coalesce(min(x.v), nd.name)) AS root FROM nd LEFT JOIN (SELECT a.u, a.v FROM rc a JOIN rc b ON a.u = b.v AND a.v = b.u) x ON x.u = nd.name WHERE nd.name NOT IN (SELECT name FROM core) GROUP BY nd.name) SELECT root, count(*) AS n FROM (SELECT name, root FROM rr UNION ALL SELECT name, (SELECT s FROM start) FROM core) GROUP BY root",
         "fallback_search": q("d AS (SELECT 'part-' || p_partkey AS name, p_partkey % 3 AS shelf, '' AS alias, CASE WHEN p_partkey % 7 = 0 THEN 'Skill registry' ELSE 'Part' END AS title, p_type AS category, []::VARCHAR[] AS tags, p_name AS body FROM part)", "s AS (SELECT name, ['rest', 'second', 'first'][shelf + 1] AS scope FROM d)", p, O.variants_sql(["skill", "registry", "diagnostics"]), O.search_sql(None, 50), select="SELECT rank, name, round(score, 9) AS score, coverage, ['far', 'also', 'near'][shelf + 1] AS rank_scope, 'query-rewrite' AS mode, 'skill registry diagnostics' AS asked FROM h JOIN d USING (name)"),
         "korean_forms": f"WITH {korean} SELECT p_partkey, word, CASE WHEN length(word) < 2 THEN '' ELSE array_to_string(CASE WHEN stem IS NULL THEN told ELSE list_prepend(stem || ':0.78', told) END, ' ') END AS forms FROM ud",

@@ -1,5 +1,5 @@
 """Results as text: a head line with the number of rows, a line of facts, and a block
-a row. Rows are those of one request (at most its limit)."""
+a row, for the first rows. What is left out is said."""
 
 from __future__ import annotations
 
@@ -31,13 +31,13 @@ LAYOUTS: dict[str, tuple[tuple[str, ...], str, tuple[str, ...], str, tuple[str,
     "brief": (_PACKET, "entries", ("phase_order", "pos"), "name read_path", ("phase_kind", "layer", "category", "body", "omitted_by_budget", "preview")),
     "bundle": (_PACKET, "entries", ("phase_order", "pos"), "name read_path", ("phase_kind", "layer", "category", "omitted_by_budget", "preview")),
     "handoff": (_PACKET, "handoff", (), "winner", ("source_path", "source_category", "source_scope", "next_command", "apply_hint")),
-    "pack": (("ok", "query", "relation_mode"), "entries", ("depth", "name"), "name read_path", ("reason", "via", "depth", "read_layer", "apply_layer", "body", "omitted_by_budget", "preview")),
+    "pack": (("ok", "query", "relation_mode"), "entries", ("place",), "name read_path", ("reason", "via", "depth", "read_layer", "apply_layer", "body", "omitted_by_budget", "preview")),
     "session-packet": (_PACKET, "steps", ("order",), "name", ("source_path", "next_command", "phase_kind", "layer", "omitted_by_budget")),
     "turn-packet": (_PACKET, "turns", ("order",), "phase_kind layer", ("objective", "names", "source_paths", "next_commands", "checklist", "exit_criteria", "blocked_by_budget")),
     "recovery-packet": (_PACKET, "blocked_turns", ("order",), "phase_kind layer", ("objective", "names", "omitted_read_paths", "source_paths", "recovery_commands", "unblock_criteria")),
     "resume-packet": (_PACKET, "turns", ("order",), "phase_kind layer", ("objective", "names", "source_paths", "next_commands", "checklist", "exit_criteria", "blocked_by_budget")),
     "current-turn-packet": (_PACKET, "turn", (), "phase_kind layer", ("objective", "names", "source_paths", "next_commands", "checklist", "exit_criteria", "blocked_by_budget")),
-    "audit": (("ok",), "issues", (), "severity kind", ("message", "skill_name", "path")),
+    "audit": (("ok",), "issues", ("place",), "severity kind", ("message", "skill_name", "path")),
     "validate": ((), "issues", ("severity", "kind", "message"), "severity kind", ("message", "skill_name", "path", "target")),
     "metrics": ((), "by_category", (), "category", ("count",)),
 }
@@ -77,8 +77,10 @@ def text_of(kind: str, frames: dict[str, DataFrame], facts: dict[str, object], e
         return f"{kind}: winner {shown(row['winner'])}, {'ready' if row['ready'] else 'not ready'}\n{body}"
     head, name, order, title, columns = LAYOUTS[kind]
     frame = frames[name]
-    rows = (frame.orderBy(*[F.col(c) for c in order]) if order else frame).limit(SHOWN).collect()
-    lines = [f"{kind}: {len(rows)}", " | ".join(f"{f}: {shown(facts.get(f))}" for f in head if f in facts)]
+    rows = (frame.orderBy(*[F.col(c) for c in order]) if order else frame).limit(SHOWN + 1).collect()
+    total = frame.count() if len(rows) > SHOWN else len(rows)
+    rows = rows[:SHOWN]
+    lines = [f"{kind}: {total}", f"shown: the first {SHOWN}, {total - SHOWN} more are not" if total > SHOWN else "", " | ".join(f"{f}: {shown(facts.get(f))}" for f in head if f in facts)]
     for n, row in enumerate(rows, 1):
         lines.append(f"{n}. " + " -> ".join(shown(row[c]) for c in title.split() if row[c] is not None))
         lines += [f"   {c}: {shown(row[c])}" for c in columns if shown(row[c]) != "-"]

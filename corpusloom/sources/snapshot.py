@@ -97,11 +97,12 @@ class Store:
         now = now_ms or int(time.time() * 1000)
         if f is None or f["request"] != request or now - f["generated_at"] >= f["ttl_ms"] or signature is not None and f["signature"] != signature:
             return None
-        return *self.frames(settings), f["token"]
+        return *self.frames(settings, f), f["token"]
 
-    def frames(self, settings: Settings) -> tuple[Corpus, Index]:
-        """Corpus and index of the current version, whatever its age."""
-        f = self.facts()
+    def frames(self, settings: Settings, facts: dict | None = None) -> tuple[Corpus, Index]:
+        """Corpus and index of the version that ``facts`` tell of, or of the current one,
+        whatever its age."""
+        f = facts or self.facts()
         read = lambda n: self.spark.read.parquet(f"{self.folder}/{f['token']}/{n}")
         return Corpus(*[read(n) for n in FRAMES], settings=settings), Index(read("postings"), read("vocab"), f["n_docs"], f["avg_len"])
 

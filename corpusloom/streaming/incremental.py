@@ -3,8 +3,9 @@
 Each micro-batch becomes a delta under its batch id: the documents in it (also those
 without tokens) and their postings; writing one again replaces it, so a replayed batch
 counts once. A document that comes again replaces its earlier version, and one that
-comes with a null body is deleted: readers take a document's latest batch. Batches are
-folded into one by :func:`compact`.
+comes with a null body is deleted. Within a batch the record with the greatest time
+(null: before all others), then path, stands; between batches the later batch does,
+whatever its records' times. Batches are folded into one by :func:`compact`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ def follow(documents: DataFrame, folder: str, checkpoint: str) -> StreamingQuery
     """Index a stream of document records (file source or other) as it is available."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("skill_id").agg(F.max_by(F.struct(*batch.columns), "mtime_ms").alias("d")).select("d.*").persist()
+        # a struct is never null, so a document without a time is one all the same
+        age = F.struct("mtime_ms", "path")
+        latest = batch.groupBy("skill_id").agg(F.max_by(F.struct(*batch.columns), age).alias("d")).select("d.*").persist()
         try:
             postings(latest.where("body_text is not null")).write.mode("overwrite").parquet(f"{folder}/postings/batch_id={batch_id}")
             # last, as it is what makes the batch count
