@@ -18,9 +18,13 @@ or a group of links; and how much new text a page has there. Each page is read s
 
 - the region is what holds the new text: the page's ``article`` or ``main`` (or what
   is named so) where that has half of it at least, else the deepest node with nearly
-  all of it together with the slots around it;
+  all of it, and around it headings, paragraphs and bare text; where no node has nearly
+  all, the slots;
 - groups of constants, of recurring texts and of links are template, in the region
-  and around it; headings and paragraphs of the region stay, whatever they say;
+  and around it; headings, paragraphs, lists and tables of the region stay, whatever
+  they say;
+- a form is template unless it holds the main text; what readers write (a row of alike
+  elements in one that is named so) is template however long it is;
 - how much a place matters is what the host's pages have there, not what this page
   has, so the article of a page with two words is found beside a long footer.
 
@@ -86,9 +90,17 @@ RAW = frozenset("script style noscript template iframe svg math object canvas te
 #: Those of RAW that last to the end of the page where they are never closed.
 TO_THE_END = frozenset("script style textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav aside footer form script style noscript template iframe svg math object canvas textarea title head button select option input dialog menu audio video".split())
+DROPPED = frozenset("nav aside footer script style noscript template iframe svg math object canvas textarea title head button select option input dialog menu audio video".split())
+#: Those of DROPPED and others that stand within a line and don't end it.
+WITHIN = frozenset("script style noscript template iframe svg math object canvas textarea button select option input audio video label".split())
+#: What holds text of an article wherever it stands.
+CONTENT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+#: Groups that are the article's even if all pages have the same.
+LISTS = frozenset("ul ol dl table tbody figure details".split())
+#: Words in class, id and role of what readers write, where it is a row of alike elements.
+READERS = frozenset("discussion reply replies response responses thread feedback".split())
 #: Words in class, id and role that name what is not the article.
-NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside comment comments respond disqus footer foot masthead".split())
+NAMED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored commentlist cookie cookies consent gdpr notice notices nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside comment comments respond disqus footer foot masthead".split())
 #: Words that may name such things, or what an article is about: they drop only what has little text of its own.
 WEAK = frozenset("promo promoted promotion banner notification alert popup modal overlay paywall subscribe subscription newsletter signup widget widgets related recommended share sharing social reply replies discussion topbar toolbar login search pagination pager copyright disclaimer".split())
 #: Non-link characters that make an element with a weak name content: where the name stands alone, and beside other names.
@@ -98,7 +110,7 @@ NAMED_WHOLE = frozenset("header site-header page-header global-header top bottom
 #: Words before a name of NAMED or WEAK in one compound that make it tell of something else.
 TELLING = frozenset("has have no not without with is hide hides in category categories cat tag tags topic topics type format".split())
 #: Words after such a name that only say what form it has.
-FORMS = frozenset("area bar block body bottom box button buttons container content form group header inner item items left link links list panel right row section title top wrap wrapper 0".split())
+FORMS = frozenset("area banner bar block body bottom box button buttons container content form group header inner item items left link links list panel right row section slot sticky text title top unit widget wrap wrapper primary secondary main desktop mobile 0".split())
 #: Elements that are never dropped for their names.
 KEPT = frozenset("# html body main article".split())
 #: Elements that group others: such groups can be template within the region.
@@ -134,8 +146,9 @@ def _role(tag: str, names: frozenset[str]) -> tuple[str, bool, int, int]:
     signature = ".".join([tag, *sorted(names)])
     if len(signature) > 80:
         signature = f"{tag}.#{hash_of(signature):08x}"
-    weak = tag not in KEPT and any(_names_template(name, WEAK) for name in names)
-    alone = not any(n not in FORMS and not _names_template(n, WEAK) for n in names)
+    vague = [n for n in names if _names_template(n, WEAK) or _begins_with_template(n)]
+    weak = tag not in KEPT and bool(vague)
+    alone = not any(n not in FORMS and n not in vague for n in names)
     return signature, template_words(tag, names), (PLAIN_TEXT[0] if alone else PLAIN_TEXT[1]) if weak else 0, _is_article(tag, names)
 
 
@@ -175,10 +188,10 @@ def parse(html: str | None) -> Node:
                     break
             continue
         closing = CLOSES.get(tag)
-        if opened["p"] and tag not in INLINE and tag not in VOID | RAW or closing and any(opened[t] for t in closing):
+        if opened["p"] and tag not in INLINE and tag not in VOID | RAW | WITHIN or closing and any(opened[t] for t in closing):
             # a block ends an open paragraph, with the inline elements left open in it
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p" and tag not in INLINE or closing and stack[depth].tag in closing:
+                if stack[depth].tag == "p" and tag not in INLINE | WITHIN or closing and stack[depth].tag in closing:
                     cut(depth)
                     break
                 if stack[depth].tag not in INLINE and stack[depth].tag not in ("td", "th", "dd", "dt"):
@@ -421,19 +434,27 @@ def loaded(text: str) -> list:
 
 
 def template_words(tag: str, names: Iterable[str]) -> bool:
-    """Whether an element's names tell that it is not the article."""
-    return tag in DROPPED or tag not in KEPT and any(name in NAMED_WHOLE or _names_template(name) for name in names)
+    """Whether an element's names tell that it is not the article. A form may be laid
+    around a whole page, so it gives way to the main text (see :func:`_show`)."""
+    return tag in DROPPED or tag == "form" or tag not in KEPT and any(name in NAMED_WHOLE or _names_template(name) for name in names)
 
 
 def _names_template(name: str, words_of: frozenset[str] = NAMED) -> bool:
-    """Whether a class, id or role has one of the words for the thing itself: it is or begins with
-    one, or ends with one (and its form), and does not tell of a state or subject."""
+    """Whether a class, id or role has one of the words for the thing itself: it is one, or ends
+    with one (and its form), and does not tell of a state or subject."""
     if name in words_of:
         return True
     words = re.split(r"[-_:]+", name)
     while len(words) > 1 and words[-1] in FORMS and words[-1] not in words_of:
         words.pop()
-    return words[0] in words_of or words[-1] in words_of and not TELLING.intersection(words)
+    return words[-1] in words_of and not TELLING.intersection(words)
+
+
+def _begins_with_template(name: str) -> bool:
+    """Whether a name begins with a word of NAMED and goes on with others: it may be a part of
+    such a thing, or what an article is about."""
+    words = re.split(r"[-_:]+", name)
+    return len(words) > 1 and words[0] in NAMED
 
 
 def _is_article(tag: str, names: Iterable[str]) -> int:
@@ -482,6 +503,18 @@ class Rules:
         self.constants = [frozenset(p[4]) for p in places]
 
 
+def _readers(node: Node) -> bool:
+    """Whether an element that is named so is a row of alike elements, each with elements of its
+    own: what readers write, however long it is."""
+    if node.tag in KEPT or not any(READERS.intersection(re.split(r"[-_:]+", name)) for name in node.signature.split(".")[1:]):
+        return False
+    inner = [c for c in node.children if not isinstance(c, str)]
+    while len(inner) == 1 and inner[0].tag in GROUPS:
+        inner = [c for c in inner[0].children if not isinstance(c, str)]
+    alike = Counter(c.signature for c in inner if sum(not isinstance(x, str) for x in c.children) > 1)
+    return bool(alike) and max(alike.values()) > 1
+
+
 def _sums(own: list, up: list[int]) -> list:
     out = list(own)
     for at in range(len(out) - 1, 0, -1):
@@ -523,7 +556,7 @@ def _mark(nodes: list[Node], up: list[int], rules: Rules) -> None:
     bound = _sums([max(u, x.size) if k else 0.0 for x, u, k in zip(nodes, usual, linked, strict=True)], up)
     for at in n:
         node = nodes[at]
-        if node.weak and (plain[at] < node.weak or plain[at] < bound[at]):
+        if node.weak and (plain[at] < node.weak or plain[at] < bound[at]) or _readers(node):
             node.hidden = True
     _show(nodes, up, new)
     outside = [False] * len(nodes)
@@ -547,6 +580,7 @@ def _mark(nodes: list[Node], up: list[int], rules: Rules) -> None:
     # the outermost named elements, in them what is named best
     top = [-1] * len(nodes)
     held, rest = 0.0, slot[0]
+    around: set[int] = set()
     for at in n:
         top[at] = top[up[at]] if at else -1
         if level[at]:
@@ -566,10 +600,20 @@ def _mark(nodes: list[Node], up: list[int], rules: Rules) -> None:
         nodes[0].mark = max(nodes[0].mark, 1)
         if core:
             nodes[core].mark = 2
+            # around it headings, paragraphs and bare text are read, but no other elements
+            at = core
+            while at:
+                at = up[at]
+                around.add(at)
+                nodes[at].mark = 1
+            for at in n[1:]:
+                if nodes[at].tag in CONTENT and not linked[at]:
+                    nodes[at].mark = max(nodes[at].mark, 1)
     if rules.support >= ENOUGH:
         _drop_groups(nodes, up, place, usual, new, linked)
     for at in n[1:]:
-        nodes[at].mark = max(nodes[at].mark, nodes[up[at]].mark)
+        if up[at] not in around or nodes[at].tag in INLINE:
+            nodes[at].mark = max(nodes[at].mark, nodes[up[at]].mark)
 
 
 def _drop_groups(nodes: list[Node], up: list[int], place: list[int], usual: list[float], new: list[float], linked: list[bool]) -> None:
@@ -580,8 +624,13 @@ def _drop_groups(nodes: list[Node], up: list[int], place: list[int], usual: list
     holds = [x.mark == 2 for x in nodes]
     for at in range(len(nodes) - 1, 0, -1):
         holds[up[at]] |= holds[at]
+    # lists and tables of the region, with all in them, are the article's
+    region, own = [False] * len(nodes), [False] * len(nodes)
+    for at, node in enumerate(nodes):
+        region[at] = node.mark == 2 or at > 0 and region[up[at]]
+        own[at] = at > 0 and own[up[at]] or region[at] and node.tag in LISTS and 2 * links[at] < all_of[at]
     for at, node in enumerate(nodes):
-        if place[at] >= 0 and node.tag in GROUPS and not holds[at] and all_of[at] > 0:
+        if place[at] >= 0 and node.tag in GROUPS and not holds[at] and not own[at] and all_of[at] > 0:
             if fresh[at] == 0 or node.tag in ("div", "section") and links[at] >= 0.8 * fresh[at]:
                 node.hidden = True
 
@@ -640,7 +689,7 @@ def _blocks(root: Node) -> str:
         node, at = stack[-1]
         if at >= len(node.children):
             stack.pop()
-            if node.tag not in INLINE:
+            if node.tag not in INLINE and node.tag not in WITHIN:
                 close()
             continue
         stack[-1][1] += 1
@@ -651,16 +700,16 @@ def _blocks(root: Node) -> str:
             continue
         if child.tag in VOID:
             if node.mark:
-                if child.tag in INLINE:
+                if child.tag in INLINE or child.tag in WITHIN:
                     open_block.append(" " if child.tag != "wbr" else "")
                 else:
                     close()
             continue
         if child.tag in DROPPED or child.hidden or child.tag == "header" and node.mark < 2:
-            if child.tag not in INLINE:
+            if child.tag not in INLINE and child.tag not in WITHIN:
                 close()
             continue
-        if child.tag not in INLINE:
+        if child.tag not in INLINE and child.tag not in WITHIN:
             close()
         stack.append([child, 0])
     close()
