@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.chains import contracted, longest
 from corpusloom.operators.corpus import Corpus
 from corpusloom.operators.ranks import numbered as placed
 from corpusloom.operators.tables import written
@@ -205,9 +206,10 @@ def reach(pairs: DataFrame, seeds: list[str], inbound: bool = False, local_edges
 def strong_components(nodes: DataFrame, pairs: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """name, root (least member) for every node of ``nodes`` (name), over arcs among them.
 
-    Distributed: nodes without arcs in or out peel off; then each node takes the
-    greatest colour that reaches it, and what reaches back to a colour's own node
-    within its colour is a component; repeated on the rest."""
+    Distributed: paths of nodes with one way in and one out become single arcs, see
+    :mod:`corpusloom.operators.chains`, and :func:`_coloured` finds the components of
+    what is left. The nodes of a path belong to the component of its two ends where
+    these share one, else each is its own."""
     inner = pairs.join(nodes.select(F.col("name").alias("u")), "u", "left_semi").join(nodes.select(F.col("name").alias("v")), "v", "left_semi").select("u", "v")
     if _fits(inner, local_edges) and _fits(nodes, local_edges):
         marked = inner.unionByName(nodes.select(F.col("name").alias("u"), F.lit(None).cast("string").alias("v")))
@@ -218,8 +220,25 @@ def strong_components(nodes: DataFrame, pairs: DataFrame, local_edges: int = LOC
             return pd.DataFrame({"name": list(found), "root": list(found.values())})
 
         return marked.groupBy().applyInPandas(run, "name string, root string")
-    rest, arc = written(nodes.select("name").distinct(), "nodes"), written(inner.where("u <> v"), "arcs")
-    done: list[DataFrame] = []
+    arc, rings, paths = contracted(written(inner.where("u <> v").distinct(), "arcs"))
+    gone = rings.select("name").unionByName(paths.select("name"))
+    rest = written(nodes.select("name").distinct().join(gone, "name", "left_anti"), "nodes")
+    found = written(_coloured(rest, arc), "components")
+    ends = found.select(F.col("name").alias("head"), F.col("root").alias("of_head")), found.select(F.col("name").alias("foot"), F.col("root").alias("of_foot"))
+    within = paths.join(ends[0], "head").join(ends[1], "foot").select("name", F.when(F.col("of_head") == F.col("of_foot"), F.col("of_head")).otherwise(F.col("name")).alias("root"))
+    found = written(found.unionByName(rings).unionByName(within), "components")
+    # nodes of paths may be less than those found before
+    least = found.groupBy("root").agg(F.min("name").alias("least"))
+    return found.join(least, "root").select("name", F.col("least").alias("root"))
+
+
+def _coloured(rest: DataFrame, arc: DataFrame) -> DataFrame:
+    """name, root of ``rest`` (name) over ``arc`` (u, v; no loops), both written.
+
+    Nodes without arcs in or out peel off; then each node takes the greatest colour that
+    reaches it, and what reaches back to a colour's own node within its colour is a
+    component; repeated on the rest."""
+    done: list[DataFrame] = [rest.select("name", F.col("name").alias("root")).limit(0)]
     while rest.take(1):
         # peel nodes that can't lie on a cycle
         while True:
@@ -282,22 +301,11 @@ def layers(nodes: DataFrame, pairs: DataFrame, local_edges: int = LOCAL_EDGES) -
     root = written(root, "components")
     link = pairs.join(root.select(F.col("name").alias("u"), F.col("root").alias("a")), "u").join(root.select(F.col("name").alias("v"), F.col("root").alias("b")), "v").where("a <> b").select("a", "b").distinct()
     link = written(link, "links")
-    apply = _longest(root.select(F.col("root").alias("name")).distinct(), link)
-    read = _longest(root.select(F.col("root").alias("name")).distinct(), link.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    apply = longest(root.select(F.col("root").alias("name")).distinct(), link)
+    read = longest(root.select(F.col("root").alias("name")).distinct(), link.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return root.join(read.select(F.col("name").alias("root"), F.col("level").alias("read_layer")), "root").join(apply.select(F.col("name").alias("root"), F.col("level").alias("apply_layer")), "root").select("name", "root", "read_layer", "apply_layer")
 
 
-def _longest(nodes: DataFrame, link: DataFrame) -> DataFrame:
-    """name, level: the longest path that ends in each node of an acyclic graph."""
-    level = written(nodes.withColumn("level", F.lit(0)), "levels")
-    while True:
-        offer = link.join(level, link["a"] == level["name"]).groupBy("b").agg((F.max("level") + 1).alias("o"))
-        moved = written(level.join(offer, level["name"] == offer["b"], "left").select("name", F.greatest("level", F.coalesce("o", F.lit(0))).alias("level"), (F.coalesce("o", F.lit(0)) > F.col("level")).alias("moved")), "levels")
-        level = moved.select("name", "level")
-        if not moved.where("moved").take(1):
-            return level
-
-
 def cycle_rows(roots: DataFrame, pairs: DataFrame) -> DataFrame:
     """root, name: the members of components (``roots``: name, root) of several nodes or
     with an arc to itself, a row each, so that a component may be of any size."""

@@ -198,6 +198,16 @@ def cycle_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("root", F.size("members").cast("long").alias("n"), F.array_join("members", ",").alias("members"))
 
 
+def scc_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R05 in its distributed form, whatever the graph's size."""
+    return G.strong_components(_names(_corpus(spark, sf_dir)), G.arcs(_edges(spark, sf_dir, "recommends")), 0)
+
+
+def layers_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R07 in its distributed form, whatever the graph's size."""
+    return G.layers(_names(_corpus(spark, sf_dir)), G.arcs(_edges(spark, sf_dir, "requires")), 0).select("name", "read_layer", "apply_layer")
+
+
 def purchase_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R05 on the larger graph of parts bought one after the other."""
     arcs = purchase_arcs(ship(spark), sf_dir)
@@ -608,7 +618,7 @@ def snapshot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     vocab_df, doc_len, tokens, bm25_exact, search_ranked, prefix_variants, fuzzy_variants, dedupe_canonical, duplicate_log, scope_classify, scope_filter, alias_owner, alias_conflicts,
-    resolve_names, edges, broken_relations, reach_out, reach_in, scc, cycle_list, purchase_components, read_layers, orphans, compose_required, compose_full, graph_slice, validate_issues,
+    resolve_names, edges, broken_relations, reach_out, reach_in, scc, scc_by_rounds, cycle_list, purchase_components, read_layers, layers_by_rounds, orphans, compose_required, compose_full, graph_slice, validate_issues,
     audit_issues, degree_topk, metrics_category, metrics_root, metrics_scope, metrics_totals, top_terms, decide, plan, route, compare, recommend, explain, gap, pack_budget, brief, handoff,
     session_steps, turns, recovery, resume, current_turn, packet_texts, file_ready, apply_writes, execution, select_hits, minimum_score, resolve_bodies, suggestions, index_top, index_stats,
     decide_reasons, decision_facts, gap_named, compose_places, missing_places, graph_nodes, orphan_slice, fallback_search, korean_forms, payload_rewrite, blocks_rewrite, markdown_records,
@@ -622,6 +632,12 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
+    found = _sql()
+    # two forms of one operator
+    return found | {"scc_by_rounds": found["scc"], "layers_by_rounds": found["read_layers"]}
+
+
+def _sql() -> dict[str, str]:
     q, c, s, a, e, p = O.sql, O.CORPUS, O.SCOPES, O.ALIASES, O.EDGES, O.POSTINGS
     h = O.search_sql(TERMS, LIMIT)
     base = (c, s, a, e)
