@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.operators.ranks import numbered
 from corpusloom.operators.tables import written
 
 TEXTS = T.ArrayType(T.StringType())
@@ -34,6 +35,10 @@ DOCUMENT = T.StructType(
 )
 
 
+#: Rows of one name or alias that are looked at in one window.
+HOT = 10_000
+
+
 def classify_scopes(documents: DataFrame, roots: DataFrame, path: str = "path", fallback: str | None = None) -> DataFrame:
     """Adds ``scope``: the longest root (scope, root, rank) that is the path or a
     ``/``-bounded prefix of it, ties by rank; else ``fallback``.
@@ -61,40 +66,79 @@ def preference(priority: list[str]) -> list[Column]:
     return [rank, F.col("mtime_ms").desc(), F.col("path")]
 
 
-def dedupe(documents: DataFrame, priority: list[str]) -> tuple[DataFrame, DataFrame]:
+def scope_of(path: Column, roots: dict[str, list[str]], fallback: str | None = None) -> Column:
+    """:func:`classify_scopes` for the roots of settings, as an expression: nothing is
+    joined, so no body is shuffled."""
+    owner: dict[str, str] = {}
+    for scope, some in roots.items():
+        for root in some:
+            owner.setdefault(root.rstrip("/"), scope)
+    if not owner:
+        return F.lit(fallback)
+    known = F.create_map(*[F.lit(x) for pair in owner.items() for x in pair])
+    found = F.filter(F.transform(F.reverse(_prefixes_of(path)), lambda p: F.try_element_at(known, p)), lambda s: s.isNotNull())
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(fallback))
+
+
+def least_so_far(rows: DataFrame, by: str, order: list[str], value: str, most: int = HOT) -> DataFrame:
+    """``rows`` with ``was``: the least ``value`` of the rows before, in ``order``, that
+    share ``by``; null for the first.
+
+    Groups of more than ``most`` rows are cut into runs of as many: minima within a run,
+    and of the runs before it, so that a group of any size spreads over tasks."""
+    before = lambda w: F.min(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    hot = written(rows.groupBy(by).count().where(F.col("count") > most).select(by), "hot-names")
+    if not hot.take(1):
+        return rows.withColumn("was", before(Window.partitionBy(by).orderBy(*order)))
+    small = rows.join(hot, by, "left_anti").select(rows.columns).withColumn("was", before(Window.partitionBy(by).orderBy(*order)))
+    placed = numbered(rows.join(hot, by, "left_semi").select(rows.columns), order, [by], "__at", first=0, name="runs").withColumn("__run", F.expr(f"__at div {most}"))
+    placed = written(placed, "runs")
+    runs = placed.groupBy(by, "__run").agg(F.min(value).alias("__least"))
+    runs = runs.select(by, "__run", F.min("__least").over(Window.partitionBy(by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    within = placed.withColumn("__in", before(Window.partitionBy(by, "__run").orderBy("__at"))).join(runs, [by, "__run"])
+    return small.unionByName(within.select(*rows.columns, F.least("__in", "__before").alias("was")))
+
+
+def dedupe(documents: DataFrame, priority: list[str], most: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Winners of each canonical name, and the log of collisions (canonical_name,
     kept_path, dropped_path): one row for each further document of a name in
     traversal order, against the winner so far.
 
-    A winner's ordinal is the first at which its name was seen."""
+    A winner's ordinal is the first at which its name was seen. All is decided on names,
+    paths and times of names that several documents have; documents with their bodies
+    then meet these marks once (by broadcast where they are few)."""
     rank, _, _ = preference(priority)
-    keyed = documents.withColumn("__k", F.struct(rank.alias("a"), (-F.col("mtime_ms")).alias("b"), F.col("path").alias("c")))
-    by_name = Window.partitionBy("canonical_name")
-    seen = by_name.orderBy("ordinal", "path")
-    marked = keyed.withColumn("__r", F.row_number().over(by_name.orderBy("__k"))).withColumn("__first", F.min("ordinal").over(by_name))
-    winners = marked.where("__r = 1").withColumn("ordinal", F.col("__first")).drop("__r", "__first", "__k")
-    so_far = F.min_by("path", "__k").over(seen.rowsBetween(Window.unboundedPreceding, -1))
-    key_so_far = F.min("__k").over(seen.rowsBetween(Window.unboundedPreceding, -1))
-    log = keyed.select("canonical_name", "path", "__k", "ordinal", so_far.alias("was"), key_so_far.alias("k")).where("was is not null")
-    wins = F.col("__k") < F.col("k")
-    log = log.select("canonical_name", F.when(wins, F.col("path")).otherwise(F.col("was")).alias("kept_path"), F.when(wins, F.col("was")).otherwise(F.col("path")).alias("dropped_path"))
+    key = F.struct(rank.alias("a"), (-F.col("mtime_ms")).alias("b"), F.col("path").alias("c"), F.col("ordinal").alias("d"))
+    thin = documents.select("canonical_name", "path", "ordinal", key.alias("k"))
+    crowded = written(thin.groupBy("canonical_name").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"), F.min("k").alias("best")).where("n > 1"), "crowded-names")
+    some = written(thin.join(crowded, "canonical_name"), "collisions")
+    marks = some.groupBy("canonical_name", "path", "ordinal").agg(F.max(F.col("k") == F.col("best")).alias("__keep"), F.max("first").alias("__first"), F.count("*").alias("__n"))
+    marks = written(marks, "marks")
+    same = documents["canonical_name"].eqNullSafe(marks["canonical_name"]) & documents["path"].eqNullSafe(marks["path"]) & documents["ordinal"].eqNullSafe(marks["ordinal"])
+    winners = documents.join(marks, same, "left").where("coalesce(__keep, true)")
+    winners = winners.select(*[F.coalesce("__first", documents[c]).alias(c) if c == "ordinal" else documents[c] for c in documents.columns])
+    if marks.where("__keep and __n > 1").take(1):
+        # the same document several times: nothing tells the rows apart
+        winners = winners.dropDuplicates(["canonical_name"])
+    log = least_so_far(some.select("canonical_name", "path", "ordinal", "k"), "canonical_name", ["ordinal", "path"], "k", most).where("was is not null")
+    wins = F.col("k") < F.col("was")
+    log = log.select("canonical_name", F.when(wins, F.col("path")).otherwise(F.col("was.c")).alias("kept_path"), F.when(wins, F.col("was.c")).otherwise(F.col("path")).alias("dropped_path"))
     return winners, log
 
 
-def alias_map(documents: DataFrame, priority: list[str]) -> tuple[DataFrame, DataFrame]:
+def alias_map(documents: DataFrame, priority: list[str], most: int = HOT) -> tuple[DataFrame, DataFrame]:
     """alias -> canonical_name over names and aliases, each owned by the preferred
     document; and the conflicts (alias, canonical_name, conflicting_canonical_name)
     of every further owner against the preferred one so far."""
     rank, _, _ = preference(priority)
-    key = F.struct(rank.alias("a"), (-F.col("mtime_ms")).alias("b"), F.col("path").alias("c"))
+    key = F.struct(rank.alias("a"), (-F.col("mtime_ms")).alias("b"), F.col("path").alias("c"), F.col("canonical_name").alias("d"))
     own = documents.select(F.col("canonical_name").alias("alias"), "canonical_name", key.alias("k"), F.lit(-1).cast("long").alias("at"), F.lit(0).alias("n"))
     more = documents.select(F.posexplode("aliases").alias("n", "alias"), "canonical_name", key.alias("k"), F.col("ordinal").alias("at")).select("alias", "canonical_name", "k", "at", "n")
-    owners = own.unionByName(more)
-    owner = owners.groupBy("alias").agg(F.min_by("canonical_name", "k").alias("canonical_name"))
-    seen = Window.partitionBy("alias").orderBy("at", "n", "canonical_name").rowsBetween(Window.unboundedPreceding, -1)
-    log = owners.select("alias", "canonical_name", "k", F.min_by("canonical_name", "k").over(seen).alias("was"), F.min("k").over(seen).alias("wk")).where("was is not null and was <> canonical_name")
-    wins = F.col("k") < F.col("wk")
-    log = log.select("alias", F.when(wins, F.col("canonical_name")).otherwise(F.col("was")).alias("canonical_name"), F.when(wins, F.col("was")).otherwise(F.col("canonical_name")).alias("conflicting_canonical_name"))
+    owners = written(own.unionByName(more), "owners")
+    owner = owners.groupBy("alias").agg(F.min("k").alias("k")).select("alias", F.col("k.d").alias("canonical_name"))
+    log = least_so_far(owners, "alias", ["at", "n", "canonical_name"], "k", most).where("was is not null and was.d <> canonical_name")
+    wins = F.col("k") < F.col("was")
+    log = log.select("alias", F.when(wins, F.col("canonical_name")).otherwise(F.col("was.d")).alias("canonical_name"), F.when(wins, F.col("was.d")).otherwise(F.col("canonical_name")).alias("conflicting_canonical_name"))
     return owner, log.distinct()
 
 
@@ -146,7 +190,7 @@ def build(documents: DataFrame, settings: Settings, malformed: DataFrame | None
     """A corpus of parsed documents: scopes classified, names deduped, aliases owned."""
     spark = documents.sparkSession
     if settings.scope_roots:
-        documents = classify_scopes(documents, scope_table(spark, settings.scope_roots), fallback="unclassified")
+        documents = documents.withColumn("scope", scope_of(F.col("path"), settings.scope_roots, "unclassified"))
     winners, log = dedupe(documents, settings.scope_priority)
     owner, conflicts = alias_map(winners, settings.scope_priority)
     if malformed is None:
