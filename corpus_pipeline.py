@@ -4,7 +4,8 @@ decontamination, packing. Each stage works on all that its predecessor kept.
 A stage takes (spark, docs, sf_dir) and returns rows with the columns of
 ``documents``; the last returns where each part of each document lies in the
 training sequences. Its rows depend on learned models, hashes and packing, which
-SQL can't express; tests compare them with a brute-force version.
+SQL can't express; each stage's operator has a brute-force test of its own, and a test
+holds this chain to the stages called one by one.
 """
 
 from __future__ import annotations
