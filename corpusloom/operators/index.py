@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,18 +13,52 @@ from corpusloom.operators.tables import written
 
 #: Fields and their weights in tenths, so that sums stay exact integers.
 FIELDS = {"canonical_name": 30, "aliases": 26, "title": 22, "description": 20, "category": 14, "keywords": 12, "tags": 11, "body_text": 10}
+#: Characters of a term's beginning whose deletions are indexed, and how many are deleted.
+HEAD, DELETIONS = 7, 2
 LISTS = ("aliases", "keywords", "tags")
 
 
 @dataclass
 class Index:
     """``postings``: term, skill_id, tf, wtf (weighted, tenths), n_tokens (of the
-    document, so that scoring needs no further join); ``vocab``: term, df."""
+    document, so that scoring needs no further join); ``vocab``: term, df; ``pieces``:
+    piece, term, see :meth:`deletions`."""
 
     postings: DataFrame
     vocab: DataFrame
     n_docs: int
     avg_len: float
+    pieces: DataFrame | None = None
+
+    def deletions(self) -> DataFrame:
+        """piece, term: what is left of the beginning of each ASCII term after up to
+        ``DELETIONS`` deletions, in ranges of the piece. Terms within as many edits of a
+        word share a piece with it, so near terms are found by equality and the sorted
+        files without them are skipped. Built when first asked for."""
+        if self.pieces is None:
+            terms = self.vocab.where(F.col("term").rlike("^[a-z][a-z0-9_]*$"))
+            rows = terms.select(F.explode(pieces_of(F.col("term"))).alias("piece"), "term")
+            self.pieces = written(rows.repartitionByRange("piece", "term").sortWithinPartitions("piece"), "deletions")
+        return self.pieces
+
+
+def pieces_of(term: Column) -> Column:
+    """The first ``HEAD`` characters of a term after no, one or two deletions; the first
+    character always stays."""
+
+    def shorter(words: Column) -> Column:
+        one = lambda w: F.transform(F.sequence(F.lit(2), F.char_length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+        return F.flatten(F.transform(F.filter(words, lambda w: F.char_length(w) > 1), one))
+
+    whole = F.array(F.substring(term, 1, HEAD))
+    first = F.array_distinct(shorter(whole))
+    return F.array_distinct(F.concat(whole, first, shorter(first)))
+
+
+def pieces_of_word(word: str, deletions: int) -> list[str]:
+    """:func:`pieces_of` for a word of a request, with at most so many deletions."""
+    head = word[:HEAD]
+    return sorted({"".join(c for i, c in enumerate(head) if i not in gone) for n in range(deletions + 1) for gone in combinations(range(1, len(head)), n)})
 
 
 def _fields() -> Column:

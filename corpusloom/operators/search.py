@@ -6,13 +6,14 @@ import json
 import math
 import re
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.corpus import Corpus
-from corpusloom.operators.index import Index
+from corpusloom.operators.index import Index, pieces_of_word
 from corpusloom.operators.tables import written
 
 K1, B = 1.2, 0.75
@@ -70,9 +71,9 @@ def variants_of(index: Index, words: list[str]) -> list[Variant]:
                 best[term] = (weight, source)
         if best:
             found[place] = [Variant(place, token, t, s, w) for t, (w, s) in sorted(best.items(), key=lambda x: (-x[1][0], x[1][1] != "base", x[0]))]
-    for more in (prefixed, near):
+    for more in (lambda left: prefixed(index.vocab, left), lambda left: near(index, left)):
         if left := [(place, token) for place, token in enumerate(words) if place not in found]:
-            for v in more(index.vocab, left):
+            for v in more(left):
                 found.setdefault(v.place, []).append(v)
     return [v for place in sorted(found) for v in found[place]]
 
@@ -84,21 +85,26 @@ def prefixed(vocab: DataFrame, words: list[tuple[int, str]]) -> list[Variant]:
         return []
     # words of one request
     few = F.broadcast(vocab.sparkSession.createDataFrame([(p, w, w[:4]) for p, w in words], "place int, token string, head string"))
-    met = vocab.select("term", F.substring("term", 1, 4).alias("head")).join(few, "head").where(F.col("term").startswith(F.col("token")))
+    # ranges of terms, so that sorted files without them are skipped
+    wanted = reduce(Column.__or__, [(F.col("term") >= w) & (F.col("term") < w + chr(0x10FFFF)) for w in sorted({w for _, w in words})])
+    met = vocab.where(wanted).select("term", F.substring("term", 1, 4).alias("head")).join(few, "head").where(F.col("term").startswith(F.col("token")))
     order = Window.partitionBy("place").orderBy("term")
     rows = met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PREFIX_MOST).orderBy("place", "r").collect()
     return [Variant(r["place"], r["token"], r["term"], "base", PREFIX_WEIGHT) for r in rows]
 
 
-def near(vocab: DataFrame, words: list[tuple[int, str]]) -> list[Variant]:
+def near(index: Index, words: list[tuple[int, str]]) -> list[Variant]:
     """For each (place, ASCII word of 5 or more characters) its nearest terms: 1 edit, 2
-    from 7 on; the first character stays and lengths differ by no more than the edits."""
-    asked = [(p, w, w[0], 2 if len(w) >= 7 else 1) for p, w in words if len(w) >= 5 and re.fullmatch(r"[a-z][a-z0-9_]*", w)]
+    from 7 on; the first character stays and lengths differ by no more than the edits.
+    Candidates share a piece with the word, see :meth:`Index.deletions`."""
+    asked = [(p, w, 2 if len(w) >= 7 else 1) for p, w in words if len(w) >= 5 and re.fullmatch(r"[a-z][a-z0-9_]*", w)]
     if not asked:
         return []
-    few = F.broadcast(vocab.sparkSession.createDataFrame(asked, "place int, token string, head string, most int"))
-    terms = vocab.where(F.col("term").rlike("^[a-z][a-z0-9_]*$")).select("term", F.substring("term", 1, 1).alias("head"))
-    met = terms.join(few, "head").where(F.abs(F.char_length("term") - F.char_length("token")) <= F.col("most"))
+    # at most 22 pieces for each word of a request
+    probes = [(p, w, most, piece) for p, w, most in asked for piece in pieces_of_word(w, most)]
+    few = F.broadcast(index.vocab.sparkSession.createDataFrame(probes, "place int, token string, most int, piece string"))
+    held = index.deletions().where(F.col("piece").isin(sorted({x[3] for x in probes})))
+    met = held.join(few, "piece").select("place", "token", "most", "term").distinct().where(F.abs(F.char_length("term") - F.char_length("token")) <= F.col("most"))
     # a swap is two plain edits, so plain distance bounds what is looked at row by row
     met = met.where(F.levenshtein("term", "token", 4).between(0, 2 * F.col("most")))
     scored = met.select("place", "token", "term", X.osa_column(F.col("term"), F.col("token"), F.col("most")).alias("d")).where("d is not null")

@@ -121,7 +121,7 @@ def prefix_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near terms of words, by edits with swaps."""
     _, index = _indexed(spark, sf_dir)
-    rows = [(v.token, v.term, v.weight) for v in S.near(index.vocab, list(enumerate(("thtionx", "oneratx", "ingblex"))))]
+    rows = [(v.token, v.term, v.weight) for v in S.near(index, list(enumerate(("thtionx", "oneratx", "ingblex"))))]
     return spark.createDataFrame(rows, "token string, term string, weight double")
 
 
