@@ -7,8 +7,12 @@ every path prefix); an equi-join on the key with the interval that holds at fetc
 time evaluates it as of then. Of the entries found, an allow entry wins over block
 entries of keys that are no more specific.
 
-A hot host costs no more than its rows: the list side has few rows a key, the join
-is on the key, and Spark chooses to broadcast it by its size only.
+Most keys of captures are on no list, among them those that most captures share
+(``d:com``). A list of more than ``FEW_KEYS`` intervals is too large to be sent to all
+tasks, so its keys' bits are: a bitmap of 16 bits a key, in pieces, of at most
+``MOST_BITS`` bits. Keys whose bit isn't set drop out before the join; what is left
+are listed keys and about one in sixteen others. A listed key that most captures share
+is one key of a join whose large side Spark splits.
 
 Defined results: null URLs, URLs without a host and null fetch times match nothing
 and are allowed; of an addition and a removal of one key by one list at one time the
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import plainly_named, written
 
+#: Intervals up to which the join alone decides; bits of the bitmap at most (16 MB), bits of a piece.
+FEW_KEYS, MOST_BITS, PIECE = 100_000, 1 << 27, 1 << 15
 _URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)"
 
 
@@ -60,7 +66,21 @@ def intervals(entries: DataFrame) -> DataFrame:
     return last.withColumn("until", F.lead("at").over(following)).where("action = 'add'").select("key", "verdict", "list", F.col("at").alias("since"), "until")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, keep: tuple[str, ...], url: str = "url", fetched: str = "fetched_at") -> DataFrame:
+def maybe_listed(keyed: DataFrame, valid: DataFrame, few_keys: int = FEW_KEYS, most_bits: int = MOST_BITS) -> DataFrame:
+    """``keyed`` without keys that surely aren't in ``valid``."""
+    n = valid.count()
+    if n <= few_keys:
+        return keyed
+    bits = min(max(PIECE, 1 << (16 * n).bit_length()), most_bits)
+    bit = F.pmod(F.xxhash64("key"), F.lit(bits))
+    marks = valid.select(bit.alias("bit")).groupBy(F.expr(f"bit div {PIECE}").alias("piece")).agg(F.bitmap_construct_agg(F.col("bit") % PIECE).alias("marks"))
+    # most_bits bounds what is sent: 4 KB a piece
+    found = keyed.withColumn("bit", bit).join(F.broadcast(marks), F.expr(f"bit div {PIECE}") == F.col("piece"))
+    byte = F.conv(F.hex(F.expr(f"substring(marks, cast((bit % {PIECE}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select(keyed.columns)
+
+
+def evaluate(captures: DataFrame, entries: DataFrame, keep: tuple[str, ...], url: str = "url", fetched: str = "fetched_at", few_keys: int = FEW_KEYS) -> DataFrame:
     """``keep`` columns with blocked, n_active (entries in force), decided_by (key of
     the deciding entry) and list (its list) for every capture."""
     valid = written(intervals(entries), "intervals")
@@ -69,7 +89,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, keep: tuple[str, ...], url
     rows = plain.select(*named, F.col(names[fetched]).alias("at"), keys_of(F.col(names[url])).alias("keys"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "captures")
     keyed = rows.select("row", "at", F.explode("keys").alias("key"))
-    held = keyed.join(valid, "key").where((F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    held = maybe_listed(keyed, valid, few_keys).join(valid, "key").where((F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     # the longest key decides; at one length a path beats a domain, an allow entry a block entry
     order = F.struct(F.char_length("key").alias("n"), F.col("key").alias("k"), (F.col("verdict") == "allow").alias("a"), F.col("list").alias("l"))
     found = held.groupBy("row").agg(F.count("*").alias("n_active"), F.max_by(F.struct("verdict", "key", "list"), order).alias("d"))
