@@ -90,13 +90,18 @@ def lengths(documents: DataFrame) -> DataFrame:
     return tokenised(documents).select("skill_id", "n_tokens")
 
 
+def arranged(rows: DataFrame) -> DataFrame:
+    """Postings in ranges of term and document (so that a frequent term is no single
+    task), sorted within files, so that filters on both skip files, row groups and pages."""
+    return rows.repartitionByRange("term", "skill_id").sortWithinPartitions("term", "skill_id")
+
+
 def build_index(documents: DataFrame, persist: bool = True) -> Index:
     """The index of a corpus; written to the shared folder if ``persist``, with
-    postings in ranges of term and document (so that a frequent term is no single task)
-    sorted within files, so that term filters skip files and row groups."""
+    postings as :func:`arranged`."""
     rows = postings(documents)
     if persist:
-        rows = written(rows.repartitionByRange("term", "skill_id").sortWithinPartitions("term"), "postings")
+        rows = written(arranged(rows), "postings")
     vocab = vocabulary(rows)
     if persist:
         vocab = written(vocab.repartitionByRange("term").sortWithinPartitions("term"), "vocab")

@@ -18,7 +18,7 @@ from corpusloom.operators.index import Index, build_index
 from corpusloom.operators.tables import written
 from corpusloom.plans import render
 from corpusloom.plans.request import Request, RequestError
-from corpusloom.sources.snapshot import Store, opened
+from corpusloom.sources.snapshot import SnapshotError, Store, opened
 
 
 @dataclass
@@ -50,6 +50,7 @@ class Engine:
         self._edges: dict[tuple, DataFrame] = {}
         self._open: Callable[[bool], tuple[Corpus, Index, str]] | None = None
         self._token: str | None = None
+        self._require: Callable[[], None] | None = None
 
     @classmethod
     def over(cls, store: Store, settings: Settings, build: Callable[[], Corpus], signature: Callable[[], str], request: dict | None = None, kept: int = 4) -> Engine:
@@ -65,7 +66,20 @@ class Engine:
         engine._open, engine._token = at, token
         return engine
 
+    @classmethod
+    def pinned(cls, store: Store, settings: Settings, kept: int = 4) -> Engine:
+        """An engine that keeps to the version that is current now. Once another is, its
+        requests are refused, with ``refresh`` too; what it has answered stays readable."""
+        facts = store.facts()
+        if facts is None:
+            raise SnapshotError("there is no snapshot")
+        engine = cls(*store.frames(settings, facts), kept)
+        engine._require = lambda: store.require(facts["token"])
+        return engine
+
     def _current(self, refresh: bool) -> None:
+        if self._require is not None:
+            self._require()
         if self._open is None:
             return
         corpus, index, token = self._open(refresh)

@@ -4,6 +4,8 @@ each with SQL that gives the same rows where SQL can."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,12 @@ from corpusloom.operators import graph as G
 from corpusloom.operators import index as I
 from corpusloom.operators import search as S
 from corpusloom.operators.corpus import Corpus, classify_scopes, dedupe, scope_table
-from corpusloom.operators.tables import FORGET, identity, written
+from corpusloom.operators.tables import FORGET, identity, shared_dir, written
 from corpusloom.plans import oracle as O
 from corpusloom.plans.engine import Engine
 from corpusloom.session import ship
 from corpusloom.sources import markdown
+from corpusloom.sources.snapshot import Store
 from corpusloom.sources.tables import SCOPE_ROOTS, corpus, markdown_files, purchase_arcs, records, shelf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +107,22 @@ def bm25_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ranked(c, index, SEARCH, LIMIT).select("rank", F.col("canonical_name").alias("name"), F.round("score", 6).alias("score"), "coverage")
 
 
+def bm25_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of :func:`bm25_exact` from a snapshot that followed the corpus: the
+    version before lacks some documents, has other texts of some and some that are gone by
+    now; the current one adds what differs to its parts."""
+    c = _corpus(spark, sf_dir)
+    nth = F.col("ordinal") % 40
+    other = F.when(nth == 1, F.concat(F.lit("attion "), F.col("body_text"))).otherwise(F.col("body_text"))
+    left = c.documents.where(nth == 2).withColumns({k: F.concat(F.lit("gone-"), F.col(k)) for k in ("skill_id", "canonical_name", "path")})
+    before = replace(c, documents=c.documents.where(nth != 0).withColumn("body_text", other).unionByName(left))
+    store = Store(spark, f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/snapshots-{uuid4().hex}")
+    store.save(before, {}, "before")
+    store.save(c, {}, "now")
+    held, index = store.frames(c.settings)
+    return S.ranked(held, index, SEARCH, LIMIT).select("rank", F.col("canonical_name").alias("name"), F.round("score", 6).alias("score"), "coverage")
+
+
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of a query with an exact, a prefix and a near word."""
     c, index = _indexed(spark, sf_dir)
@@ -617,7 +636,7 @@ def snapshot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    vocab_df, doc_len, tokens, bm25_exact, search_ranked, prefix_variants, fuzzy_variants, dedupe_canonical, duplicate_log, scope_classify, scope_filter, alias_owner, alias_conflicts,
+    vocab_df, doc_len, tokens, bm25_exact, bm25_after_changes, search_ranked, prefix_variants, fuzzy_variants, dedupe_canonical, duplicate_log, scope_classify, scope_filter, alias_owner, alias_conflicts,
     resolve_names, edges, broken_relations, reach_out, reach_in, scc, scc_by_rounds, cycle_list, purchase_components, read_layers, layers_by_rounds, orphans, compose_required, compose_full, graph_slice, validate_issues,
     audit_issues, degree_topk, metrics_category, metrics_root, metrics_scope, metrics_totals, top_terms, decide, plan, route, compare, recommend, explain, gap, pack_budget, brief, handoff,
     session_steps, turns, recovery, resume, current_turn, packet_texts, file_ready, apply_writes, execution, select_hits, minimum_score, resolve_bodies, suggestions, index_top, index_stats,
@@ -634,7 +653,7 @@ def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     found = _sql()
     # two forms of one operator
-    return found | {"scc_by_rounds": found["scc"], "layers_by_rounds": found["read_layers"]}
+    return found | {"bm25_after_changes": found["bm25_exact"], "scc_by_rounds": found["scc"], "layers_by_rounds": found["read_layers"]}
 
 
 def _sql() -> dict[str, str]:
