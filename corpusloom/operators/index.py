@@ -22,13 +22,14 @@ LISTS = ("aliases", "keywords", "tags")
 class Index:
     """``postings``: term, skill_id, tf, wtf (weighted, tenths), n_tokens (of the
     document, so that scoring needs no further join); ``vocab``: term, df; ``pieces``:
-    piece, term, see :meth:`deletions`."""
+    piece, term, see :meth:`deletions`; ``impacts``: see :func:`blocks.impacts`."""
 
     postings: DataFrame
     vocab: DataFrame
     n_docs: int
     avg_len: float
     pieces: DataFrame | None = None
+    impacts: tuple[DataFrame, DataFrame] | None = None
 
     def deletions(self) -> DataFrame:
         """piece, term: what is left of the beginning of each ASCII term after up to

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators import blocks
 from corpusloom.operators.corpus import Corpus
 from corpusloom.operators.index import Index, pieces_of_word
 from corpusloom.operators.tables import written
@@ -19,6 +20,8 @@ from corpusloom.operators.tables import written
 K1, B = 1.2, 0.75
 FUZZY = {1: 0.45, 2: 0.25}
 PREFIX_WEIGHT, PREFIX_MOST, FUZZY_MOST = 0.7, 8, 5
+#: Postings of a request's terms up to which all are scored at once.
+DIRECT = 1_000_000
 # Query words that a fallback query leaves out, and those that stand for a report on operations.
 FALLBACK_DROPPED = "diagnostic diagnostics improvement low mismatch improvements postmortem report reports retrospective usefulness value".split()
 FALLBACK_TRIGGERS = "diagnostic diagnostics mismatch postmortem report retrospective usefulness value".split()
@@ -151,6 +154,17 @@ def score_many(index: Index, asked: dict[int, list[Variant]]) -> DataFrame:
     return gathered.select("ask", "skill_id", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["s"]).alias("score"), F.size("parts").alias("coverage"), F.transform("parts", lambda p: p["term"]).alias("matched_terms"))
 
 
+def score_leading(index: Index, found: list[Variant], k: int, direct: int = DIRECT) -> DataFrame:
+    """:func:`score` of at least all documents that reach the k-th greatest score. Terms
+    with more than ``direct`` postings together are read by :mod:`blocks`."""
+    terms = sorted({v.term for v in found})
+    dfs = {r["term"]: r["df"] for r in index.vocab.where(F.col("term").isin(terms)).collect()} if terms else {}
+    if sum(dfs.values()) <= direct or k < 1:
+        return score(index, found)
+    weighted = [(v.place, v.term, v.weight * idf(index.n_docs, dfs[v.term])) for v in found if v.term in dfs]
+    return score(replace(index, postings=blocks.leading(index, weighted, k, K1, B)), found)
+
+
 def scope_ranks(corpus: Corpus, scoped: DataFrame | None = None) -> DataFrame:
     """scope (``__unscoped__`` for none), rank: listed priority first, others in byte order."""
     listed = corpus.settings.scope_priority
@@ -175,10 +189,10 @@ def ranking_scopes(corpus: Corpus) -> DataFrame:
     return d.select("skill_id", "canonical_name", F.coalesce("own", above, F.lit("__unscoped__")).alias("scope"))
 
 
-def ranked(corpus: Corpus, index: Index, query: str | None, limit: int, min_score: float = 0.0) -> DataFrame:
+def ranked(corpus: Corpus, index: Index, query: str | None, limit: int, min_score: float = 0.0, direct: int = DIRECT) -> DataFrame:
     """The best documents for a query: rank, document columns, score, coverage,
     matched_terms; ordered by score, coverage, scope rank, name."""
-    hits = score(index, variants(index, query or "")).where((F.col("score") >= min_score) & (F.col("score") > 0))
+    hits = score_leading(index, variants(index, query or ""), limit, direct).where((F.col("score") >= min_score) & (F.col("score") > 0))
     thin = ranking_scopes(corpus)
     ordered = hits.join(thin, "skill_id").join(scope_ranks(corpus, thin), "scope", "left")
     order = [F.col("score").desc(), F.col("coverage").desc(), F.col("rank"), X.locale_order(F.col("canonical_name"))]

@@ -107,6 +107,12 @@ def bm25_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ranked(c, index, SEARCH, LIMIT).select("rank", F.col("canonical_name").alias("name"), F.round("score", 6).alias("score"), "coverage")
 
 
+def bm25_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of :func:`bm25_exact` by blocks of falling score, at every size."""
+    c, index = _indexed(spark, sf_dir)
+    return S.ranked(c, index, SEARCH, LIMIT, direct=0).select("rank", F.col("canonical_name").alias("name"), F.round("score", 6).alias("score"), "coverage")
+
+
 def bm25_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits of :func:`bm25_exact` from a snapshot that followed the corpus: the
     version before lacks some documents, has other texts of some and some that are gone by
@@ -636,7 +642,7 @@ def snapshot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    vocab_df, doc_len, tokens, bm25_exact, bm25_after_changes, search_ranked, prefix_variants, fuzzy_variants, dedupe_canonical, duplicate_log, scope_classify, scope_filter, alias_owner, alias_conflicts,
+    vocab_df, doc_len, tokens, bm25_exact, bm25_blocks, bm25_after_changes, search_ranked, prefix_variants, fuzzy_variants, dedupe_canonical, duplicate_log, scope_classify, scope_filter, alias_owner, alias_conflicts,
     resolve_names, edges, broken_relations, reach_out, reach_in, scc, scc_by_rounds, cycle_list, purchase_components, read_layers, layers_by_rounds, orphans, compose_required, compose_full, graph_slice, validate_issues,
     audit_issues, degree_topk, metrics_category, metrics_root, metrics_scope, metrics_totals, top_terms, decide, plan, route, compare, recommend, explain, gap, pack_budget, brief, handoff,
     session_steps, turns, recovery, resume, current_turn, packet_texts, file_ready, apply_writes, execution, select_hits, minimum_score, resolve_bodies, suggestions, index_top, index_stats,
@@ -652,8 +658,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
     found = _sql()
-    # two forms of one operator
-    return found | {"bm25_after_changes": found["bm25_exact"], "scc_by_rounds": found["scc"], "layers_by_rounds": found["read_layers"]}
+    # other forms of one operator
+    return found | {"bm25_blocks": found["bm25_exact"], "bm25_after_changes": found["bm25_exact"], "scc_by_rounds": found["scc"], "layers_by_rounds": found["read_layers"]}
 
 
 def _sql() -> dict[str, str]:
