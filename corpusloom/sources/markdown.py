@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators.corpus import DOCUMENT, Corpus, Settings, build
 from corpusloom.plans.request import roots_for_scopes
+from corpusloom.sources.walk import PLACES, walk
 
 # Directories that are not entered, and the names that a field goes by (first present counts).
 SKIPPED = (".git", ".svn", "node_modules", ".venv", "dist", "build", "out", "constructor")
@@ -27,6 +28,8 @@ FIELDS = {
     "recommends": ["recommends", "recommend", "related"],
     "version": ["version", "skill_version"],
 }
+#: Places of one root: as many as 2^19 partitions number.
+_ROOT_PLACES = PLACES << 19
 FRONT = r"(?s)^---\r?\n(.*?)\r?\n---(?:\r?\n|$)"
 _ENTRY, _ITEM = re.compile(r"([A-Za-z][A-Za-z0-9_-]*):(.*)"), re.compile(r"\s*-\s*(\S.*)")
 
@@ -107,6 +110,21 @@ def scan(spark: SparkSession, root: str, file_names: tuple[str, ...] = ("SKILL.m
     return rows.where(F.element_at(below, -1).isin(*file_names) & ~F.arrays_overlap(folders, F.array(*[F.lit(s) for s in SKIPPED])))
 
 
+def sources(spark: SparkSession, root: str, file_names: tuple[str, ...] = ("SKILL.md",), names: list[str] | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """The files below a root, with their contents and as a list without; None if there is
+    no such root. A root on a file system that all executors see as a local folder is
+    walked (:mod:`walk`; rows have a ``place``); others, and names, go by :func:`scan`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if names or system.getUri().getScheme() != "file":
+        files = scan(spark, root, file_names, names)
+        return files and (files, files)
+    if not system.exists(path) or not system.getFileStatus(path).isDirectory():
+        return None
+    local = path.toUri().getPath()
+    return walk(spark, local, file_names, SKIPPED), walk(spark, local, file_names, SKIPPED, contents=False)
+
+
 def manifests(files: DataFrame, *by: str) -> DataFrame:
     """``by``, signature: for each value of the columns ``by`` a digest of (path, size,
     mtime_ms) of its files in any order; contents aren't read."""
@@ -123,27 +141,32 @@ def manifest(files: DataFrame) -> str:
 
 
 def parse(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
-    """Document records (:data:`DOCUMENT` columns) and malformed files (path, reason)."""
+    """Document records (:data:`DOCUMENT` columns) and malformed files (path, reason).
+    Ordinals are the files' ``place`` where they have one, else hashes of their paths."""
+    placed = "place" in files.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for path, mtime, content in zip(rows["path"], rows["mtime_ms"], rows["content"], strict=True):
+            for path, mtime, content, place in zip(rows["path"], rows["mtime_ms"], rows["content"], rows["place"], strict=True):
                 try:
+                    if content is None:
+                        raise OSError("no content")
                     text = content.decode("utf-8")
-                except UnicodeDecodeError as e:
+                except (OSError, UnicodeDecodeError) as e:
                     none = {k: [] for k in ("keywords", "tags", "aliases", "requires", "recommends")}
-                    out.append({"path": path, "mtime_ms": mtime, "body_text": "", "name": "", "description": "", "category": "", "version": None, "reason": f"read failed: {e}", **none})
+                    out.append({"path": path, "place": place, "mtime_ms": mtime, "body_text": "", "name": "", "description": "", "category": "", "version": None, "reason": f"read failed: {e}", **none})
                     continue
                 m = re.match(FRONT, text)
                 front = parse_front(m[1]) if m else {}
                 body = text[m.end() :] if m else text
                 f = {k: next((front[n] for n in names if n in front), None) for k, names in FIELDS.items()}
-                out.append({"path": path, "mtime_ms": mtime, "body_text": body, "name": as_text(f["name"]) or PurePosixPath(path).parent.name, "description": as_text(f["description"]) or "", "category": as_text(f["category"]) or "", "version": as_text(f["version"]), "reason": None, **{k: as_list(f[k]) for k in ("keywords", "tags", "aliases", "requires", "recommends")}})
-            yield pd.DataFrame(out, columns=["path", "mtime_ms", "body_text", "name", "description", "category", "version", "reason", "keywords", "tags", "aliases", "requires", "recommends"])
+                out.append({"path": path, "place": place, "mtime_ms": mtime, "body_text": body, "name": as_text(f["name"]) or PurePosixPath(path).parent.name, "description": as_text(f["description"]) or "", "category": as_text(f["category"]) or "", "version": as_text(f["version"]), "reason": None, **{k: as_list(f[k]) for k in ("keywords", "tags", "aliases", "requires", "recommends")}})
+            yield pd.DataFrame(out, columns=["path", "place", "mtime_ms", "body_text", "name", "description", "category", "version", "reason", "keywords", "tags", "aliases", "requires", "recommends"])
 
-    schema = "path string, mtime_ms double, body_text string, name string, description string, category string, version string, reason string, keywords array<string>, tags array<string>, aliases array<string>, requires array<string>, recommends array<string>"
-    rows = files.select("path", "mtime_ms", "content").mapInPandas(run, schema).withColumn("canonical_name", X.canonical_name(F.col("name")))
+    schema = "path string, place long, mtime_ms double, body_text string, name string, description string, category string, version string, reason string, keywords array<string>, tags array<string>, aliases array<string>, requires array<string>, recommends array<string>"
+    place = F.col("place") if placed else F.xxhash64("path")
+    rows = files.select("path", "mtime_ms", "content", place.alias("place")).mapInPandas(run, schema).withColumn("canonical_name", X.canonical_name(F.col("name")))
     empty = F.col("canonical_name") == ""
     malformed = rows.where(F.col("reason").isNotNull() | empty).select("path", F.coalesce("reason", F.lit("no name")).alias("reason"))
     own = F.col("canonical_name")
@@ -157,9 +180,8 @@ def parse(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     heading = F.substring(F.btrim(F.regexp_extract("body_text", r"(?m)^#+\s*(.+)$", 1)), 1, 80)
     title = F.coalesce(F.nullif(heading, F.lit("")), F.nullif("description", F.lit("")), own)
     good = rows.where(F.col("reason").isNull() & ~empty)
-    ordinal = F.xxhash64("path")
     records = good.select(
-        ordinal.alias("ordinal"), own.alias("skill_id"), "canonical_name", "path", F.lit(root).alias("source_root"), F.lit(None).cast("string").alias("scope"), title.alias("title"),
+        F.col("place").alias("ordinal"), own.alias("skill_id"), "canonical_name", "path", F.lit(root).alias("source_root"), F.lit(None).cast("string").alias("scope"), title.alias("title"),
         F.coalesce(F.nullif("category", F.lit("")), F.lit("uncategorized")).alias("category"), "description", plain("keywords").alias("keywords"), plain("tags").alias("tags"),
         named("aliases").alias("aliases"), named("requires").alias("requires"), F.array_except(named("recommends"), named("requires")).alias("recommends"), "body_text", "version", "mtime_ms",
     )
@@ -167,7 +189,8 @@ def parse(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def load(spark: SparkSession, roots: list[str], settings: Settings, file_names: tuple[str, ...] = ("SKILL.md",), names: list[str] | None = None, scopes: list[str] | None = None) -> tuple[Corpus, dict]:
-    """The corpus below several roots (documents in order of root and path), with
+    """The corpus below several roots (documents in order of root and walk, or of root and
+    path where a root can't be walked), with
     facts: missing roots and the digest of the sources. With ``scopes`` only roots are
     read that lie in, or hold, a root of theirs."""
     if scopes is not None:
@@ -175,13 +198,15 @@ def load(spark: SparkSession, roots: list[str], settings: Settings, file_names:
     records = malformed = None
     missing, signatures = [], []
     for nth, root in enumerate(roots):
-        files = scan(spark, root.rstrip("/"), file_names, names)
-        if files is None:
+        held = sources(spark, root.rstrip("/"), file_names, names)
+        if held is None:
             missing.append(root)
             continue
-        signatures.append(manifest(files))
+        files, thin = held
+        signatures.append(manifest(thin))
         good, bad = parse(files, root.rstrip("/"))
-        good = good.withColumn("ordinal", F.lit(nth).cast("long"))
+        walked = F.col("ordinal") if "place" in files.columns else F.lit(0).cast("long")
+        good = good.withColumn("ordinal", F.lit(nth * _ROOT_PLACES).cast("long") + walked)
         records = good if records is None else records.unionByName(good)
         malformed = bad if malformed is None else malformed.unionByName(bad)
     if records is None:
