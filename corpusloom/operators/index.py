@@ -77,7 +77,8 @@ def tokenised(documents: DataFrame) -> DataFrame:
 def postings(documents: DataFrame) -> DataFrame:
     """term, skill_id, n_tokens, tf, wtf. A document's tokens stand in one task, so they
     are counted before the one shuffle."""
-    rows = tokenised(documents).select("skill_id", "n_tokens", F.inline("fields"))
+    # the outer form, as the other one is preceded by a filter that cuts the texts once more
+    rows = tokenised(documents).select("skill_id", "n_tokens", F.inline_outer("fields"))
     rows = rows.select("skill_id", "n_tokens", "weight", F.explode("terms").alias("term")).withColumn("term", X.folded(F.col("term")))
     return rows.groupBy("term", "skill_id", "n_tokens").agg(F.count("*").alias("tf"), F.sum("weight").cast("long").alias("wtf"))
 
