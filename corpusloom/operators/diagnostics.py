@@ -60,9 +60,14 @@ def audit(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], limit: in
     ordered = G.numbered(issues, [weight.desc(), X.locale_order(F.col("kind")), X.locale_order(F.coalesce("skill_name", F.lit(""))), X.locale_order(F.col("message"))])
     one = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("severity") == "info").alias("info"), F.count_if(F.col("kind") == "cycle").alias("cycles"), F.count_if(F.col("kind") == "orphan").alias("orphans"), F.count_if(F.coalesce("source_kind", F.lit("")).startswith("broken-")).alias("unresolved_relations"))
     one = one.withColumn("ok", (F.col("errors") == 0) & (F.col("cycles") == 0))
+    return {"issues": ordered, "counts": one, **most_linked(corpus, edge_rows, limit)}
+
+
+def most_linked(corpus: Corpus, edge_rows: DataFrame, limit: int) -> dict[str, DataFrame]:
+    """The documents with most relations to them and from them: all degrees, no walk."""
     degree = G.degrees(corpus, edge_rows)
-    top = lambda a, b: degree.where(F.col(a) > 0).orderBy(F.col(a).desc(), F.col(b).desc(), X.locale_order(F.col("name"))).limit(limit)
-    return {"issues": ordered, "counts": one, "top_inbound": top("inbound", "outbound"), "top_outbound": top("outbound", "inbound")}
+    top = lambda a, b: degree.where(F.col(a) > 0).orderBy(F.col(a).desc(), F.col(b).desc(), X.locale_order(F.col("name"))).limit(max(1, min(limit, 20)))
+    return {"top_inbound": top("inbound", "outbound"), "top_outbound": top("outbound", "inbound")}
 
 
 def metrics(corpus: Corpus, index: Index | None = None) -> dict[str, DataFrame]:

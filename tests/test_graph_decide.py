@@ -178,3 +178,12 @@ def test_validate(spark):
     issues = diagnostics.validate(c)
     assert rows(issues, "severity", "kind") == [("error", "broken-required-relation"), ("error", "duplicate-canonical-name"), ("warning", "broken-recommended-relation"), ("warning", "duplicate-alias")]
     assert tuple(diagnostics.counts(issues).select("errors", "warnings", "ok").first()) == (2, 2, False)
+
+
+def test_degrees_take_no_walk(ring, monkeypatch):
+    e = G.edges(ring)
+    whole = diagnostics.audit(ring, e, [], 10)
+    monkeypatch.setattr(G, "strong_components", lambda *a: pytest.fail("components for degrees"))
+    found = diagnostics.most_linked(ring, e, 10)
+    assert found.keys() == {"top_inbound", "top_outbound"}
+    assert all(found[k].collect() == whole[k].collect() != [] for k in found)
