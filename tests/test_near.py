@@ -45,3 +45,15 @@ def test_the_plan_has_no_scan_of_the_vocabulary(spark):
     index = I.Index(None, spark.createDataFrame([("attention", 1)], "term string, df int"), 1, 1.0)
     plan = index.deletions().where(I.F.col("piece").isin("atte", "atten"))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(piece" in plan and "deletions-" in plan
+
+
+def test_few_words_take_no_index_of_deletions(spark):
+    terms = ["attention", "attentoin", "attendion", "atention", "btention", "attention_s", "attentionné", "zoo", "zoos"]
+    held = lambda: I.Index(None, spark.createDataFrame([(t, 1) for t in terms], "term string, df int"), 1, 1.0)
+    words = [(0, "attentionx"), (1, "zooss"), (2, "attenti")]
+    few, many = held(), held()
+    many.deletions()
+    assert S.near(few, words) == S.near(many, words) != []
+    assert few.pieces is None and few.passes == 3
+    few.passes = S.PASSES
+    assert S.near(few, words) == S.near(many, words) and few.pieces is not None
