@@ -42,9 +42,8 @@ def counts(issues: DataFrame) -> DataFrame:
     return one.withColumn("ok", F.col("errors") == 0)
 
 
-def audit(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], limit: int) -> dict[str, DataFrame]:
-    """Issues with their place (validation, cycles, orphans), counts, and the most linked documents."""
-    limit = max(1, min(limit, 20))
+def audited(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str]) -> DataFrame:
+    """Issues of validation, cycles and orphans in no order, written."""
     names = F.array(*[F.lit(s) for s in seed_names]).cast("array<string>")
     everyone = corpus.documents.select(F.col("canonical_name").alias("name"), "path")
     rings = G.cycles(everyone.select("name"), G.arcs(edge_rows))
@@ -55,12 +54,24 @@ def audit(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], limit: in
     issues = validate(corpus).select("severity", F.lit("validation").alias("kind"), "message", "skill_name", "path", F.col("kind").alias("source_kind"), F.lit(None).cast("array<string>").alias("related_skills"))
     issues = issues.unionByName(first.select(F.lit("warning").alias("severity"), F.lit("cycle").alias("kind"), F.concat(F.lit("Relation cycle detected: "), F.array_join(F.concat("members", F.array("name")), " -> ")).alias("message"), F.col("name").alias("skill_name"), "path", F.lit(None).cast("string").alias("source_kind"), F.col("members").alias("related_skills")))
     issues = issues.unionByName(alone.join(everyone, "name").select(F.lit("info").alias("severity"), F.lit("orphan").alias("kind"), _text("Orphan skill '", "{name}", "' has no inbound or outbound relations.").alias("message"), F.col("name").alias("skill_name"), "path", F.lit(None).cast("string").alias("source_kind"), F.array("name").alias("related_skills")))
-    weight = F.when(F.col("severity") == "error", 3).when(F.col("severity") == "warning", 2).otherwise(1)
-    issues = written(issues, "issues")
-    ordered = G.numbered(issues, [weight.desc(), X.locale_order(F.col("kind")), X.locale_order(F.coalesce("skill_name", F.lit(""))), X.locale_order(F.col("message"))])
+    return written(issues, "issues")
+
+
+def totals(issues: DataFrame) -> DataFrame:
+    """One row: issues of :func:`audited` by severity and kind, ok."""
     one = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("severity") == "info").alias("info"), F.count_if(F.col("kind") == "cycle").alias("cycles"), F.count_if(F.col("kind") == "orphan").alias("orphans"), F.count_if(F.coalesce("source_kind", F.lit("")).startswith("broken-")).alias("unresolved_relations"))
-    one = one.withColumn("ok", (F.col("errors") == 0) & (F.col("cycles") == 0))
-    return {"issues": ordered, "counts": one, **most_linked(corpus, edge_rows, limit)}
+    return one.withColumn("ok", (F.col("errors") == 0) & (F.col("cycles") == 0))
+
+
+def audit(corpus: Corpus, edge_rows: DataFrame, seed_names: list[str], limit: int) -> dict[str, DataFrame]:
+    """Issues with their place (validation, cycles, orphans), counts, and the most linked documents."""
+    limit = max(1, min(limit, 20))
+    issues = audited(corpus, edge_rows, seed_names)
+    weight = F.when(F.col("severity") == "error", 3).when(F.col("severity") == "warning", 2).otherwise(1)
+    # a cycle's first name and an orphan's are on no other: their texts, which may be long, needn't be compared
+    text = F.when(F.col("kind") == "validation", F.col("message")).otherwise("")
+    ordered = G.numbered(issues, [weight.desc(), X.locale_order(F.col("kind")), X.locale_order(F.coalesce("skill_name", F.lit(""))), X.locale_order(text)])
+    return {"issues": ordered, "counts": totals(issues), **most_linked(corpus, edge_rows, limit)}
 
 
 def most_linked(corpus: Corpus, edge_rows: DataFrame, limit: int) -> dict[str, DataFrame]:
