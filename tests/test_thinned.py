@@ -54,3 +54,15 @@ def test_counts_of_an_audit_order_nothing(spark, monkeypatch):
     assert [(r["place"], r["kind"], r["skill_name"]) for r in whole["issues"].orderBy("place").collect()] == [(1, "validation", "b"), (2, "cycle", "a"), (3, "orphan", "c")]
     monkeypatch.setattr(G, "numbered", None)
     assert diagnostics.totals(diagnostics.audited(ring, e, [])).collect() == whole["counts"].collect()
+
+
+def test_dense_graphs_are_walked_as_they_are(spark, monkeypatch):
+    rng, names = random.Random(7), []
+    pairs = sorted({(f"d{rng.randrange(40)}", f"d{rng.randrange(40)}") for _ in range(400)})
+    nodes = sorted({n for p in pairs for n in p})
+    for at in (G, chains):
+        monkeypatch.setattr(at, "written", lambda df, name, keep=at.written: names.append(name) or keep(df, name))
+    arc = spark.createDataFrame(pairs, "u string, v string")
+    found = {r["name"]: r["root"] for r in G.strong_components(spark.createDataFrame([(n,) for n in nodes], "name string"), arc, 0, inside=True).collect()}
+    assert found == G.components_of(nodes, pairs)
+    assert "contracted" not in names and "thinned" not in names
