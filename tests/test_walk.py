@@ -5,6 +5,7 @@ import random
 import pytest
 
 from corpusloom.operators import graph as G
+from corpusloom.operators import walk as W
 from corpusloom.operators.walk import walk
 
 
@@ -54,3 +55,34 @@ def test_chain_of_doubts(spark):
 def test_no_seeds_and_no_relations(spark):
     none = spark.createDataFrame([], "from_name string, target string, to_name string, relation string, resolved boolean, pos int")
     assert walk(none, [])[0].collect() == [] and [tuple(r) for r in walk(none, ["x"])[0].collect()] == [("x", "seed", 0, None)]
+
+
+def test_second_openings_offer_nothing(spark, monkeypatch):
+    """What is required after it was recommended is opened again, and its missing relations
+    are met again, but its offers aren't made twice."""
+    rows = [("s", "a", "a", "recommends", True, 0), ("s", "b", "b", "requires", True, 0), ("b", "c", "c", "requires", True, 0), ("c", "a", "a", "requires", True, 0)]
+    rows += [("a", f"x{i}", f"x{i}", "recommends", True, i) for i in range(5)] + [("a", "lost", None, "requires", False, 0)]
+    edges = spark.createDataFrame(rows, "from_name string, target string, to_name string, relation string, resolved boolean, pos int")
+    offers = []
+
+    def kept(df, name, keep=W.written):
+        out = keep(df, name)
+        offers.extend([out] if name == "offers" else [])
+        return out
+
+    monkeypatch.setattr(W, "written", kept)
+    entries, gaps = walk(edges, ["s"])
+    assert {r["name"]: (r["reason"], r["depth"], r["via"]) for r in entries.collect()}["a"] == ("required", 3, "c")
+    assert sorted(tuple(r) for r in gaps.collect()) == [("lost", "required", "a", 2), ("lost", "required", "a", 4)]
+    assert sum(o.count() for o in offers) == 9
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_large_fronts_are_shuffled_and_give_the_same(spark, monkeypatch, seed):
+    rows, seeds = graphs(seed, 60)
+    edges = spark.createDataFrame(rows, "from_name string, target string, to_name string, relation string, resolved boolean, pos int")
+    few = walk(edges, seeds)
+    monkeypatch.setattr(W, "FEW", 0)
+    many = walk(edges, seeds)
+    for a, b in zip(few, many, strict=True):
+        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
