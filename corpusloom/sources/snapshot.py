@@ -112,7 +112,7 @@ class Store:
     def _whole(self, corpus: Corpus, token: str) -> tuple[list[str], int, int]:
         """Write all documents and their index as the only part; parts, documents, tokens."""
         documents = self._put(corpus.documents, token, "documents")
-        rows = self._put(arranged(settled(documents)), token, "postings")
+        rows = self._put(arranged(*settled(documents)), token, "postings")
         self._put(vocabulary(rows).repartitionByRange("term").sortWithinPartitions("term"), token, "vocab")
         seen = self._put(documents.select("skill_id", _digest(documents).alias("digest")), token, "seen")
         return [token], seen.count(), rows.agg(F.sum("tf")).first()[0] or 0
@@ -132,7 +132,7 @@ class Store:
             return held["parts"], held["n_docs"], held["n_tokens"]
         fresh = self._put(corpus.documents.join(changed, "skill_id", "left_semi"), token, "documents")
         stale = written(self._standing("documents", held["parts"]).join(changed, "skill_id", "left_semi"), "stale")
-        rows, gone = self._put(arranged(settled(fresh)), token, "postings"), written(postings(stale), "gone")
+        rows, gone = self._put(arranged(*settled(fresh)), token, "postings"), written(postings(stale), "gone")
         signed = vocabulary(rows).unionByName(vocabulary(gone).withColumn("df", -F.col("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         self._put(signed.repartitionByRange("term").sortWithinPartitions("term"), token, "vocab")
         # digests of what was written, whatever the sources have become since

@@ -28,3 +28,14 @@ def test_counts_need_no_shuffle_and_are_those_of_all_fields(spark):
     of = lambda i: {t: n[1] for (t, s), n in found.items() if s == c.documents.where(f"ordinal = {i}").first()["skill_id"]}
     assert of(0)["two"] == 3 and of(0)["one"] == 1 and of(0)["one_two"] == 1 and of(5)["one"] == 5000
     assert "the" in of(2) and not {"_", "a", "x", "a_"} & of(0).keys()
+
+
+def test_ranges_follow_the_number_of_postings(spark, monkeypatch):
+    c = corpus(spark, *(record(i, f"n{i}", b) for i, b in enumerate(BODIES)))
+    rows, n = I.settled(c.documents)
+    assert n == rows.count() == I.postings(c.documents).count()
+    monkeypatch.setattr(I, "PER_RANGE", 4)
+    dealt = I.arranged(rows, n)
+    assert dealt.rdd.getNumPartitions() == -(-n // 4) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, rows.collect()))
+    assert I.settled(c.documents.limit(0))[1] == 0
